@@ -22,6 +22,8 @@ from .common import SHINGLE_WORDS, connected_components, mix64, shingle_set, sig
 REGISTERS, BAND, MANTISSA = 96, 3, 10
 #: A pair is dropped unread only when its estimate lies this many standard deviations below the threshold.
 SIGMAS = 6.0
+#: Bands of at most this many members are compared pair by pair where components differ.
+FEW = 16
 _STARTS = np.array([-(-i * (1 << 64) // REGISTERS) for i in range(REGISTERS)], dtype=np.uint64)
 _SKETCH = "doc_id long, n_shingles long, c1 long, c2 long, registers binary, bands array<long>"
 
@@ -84,6 +86,15 @@ def _sets(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["doc_id", "hashes"])
 
 
+def _singles(batches):
+    for batch in batches:
+        sets = [np.frombuffer(x.as_buffer(), dtype=np.int64) for x in batch.column("hashes")]
+        for at in range(0, len(sets), 256):
+            part = sets[at : at + 256]
+            ids = np.repeat(batch.column("doc_id").to_numpy()[at : at + 256], [len(x) for x in part])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate(part), pa.int64())], names=["id", "h"])
+
+
 def _plausible(percent: int):
     def run(batches):
         for batch in batches:
@@ -114,6 +125,31 @@ def _confirmed(percent: int):
     return run
 
 
+def _across(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of one band that lie in different components and could still be linked.
+
+    Bands of up to ``FEW`` members give all such pairs. In larger ones a shingle that no other
+    member holds bounds what a text can share: families whose members differ from a common
+    source in places of their own are thereby told apart without comparing them in pairs.
+    """
+    split = rest.groupBy("band").agg(F.min("comp").alias("c"), F.max("comp").alias("d"), F.count("*").alias("m")).where("c <> d")
+    open_ = staged(rest.join(split.select("band", "m"), "band"), "open")
+    few = open_.where(f"m <= {FEW}").select("band", "id", "comp")
+    pairs = few.alias("x").join(few.alias("y"), "band").where("x.comp < y.comp").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    many = open_.where(f"m > {FEW}").select("band", "id", "comp")
+    held = sets.join(many.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_singles, "id long, h long")
+    alone = held.groupBy("h").agg(F.min("id").alias("id"), F.max("id").alias("other")).where("id = other").groupBy("id").agg(F.count("*").alias("alone"))
+    sized = sets.select(F.col("doc_id").alias("id"), F.expr("octet_length(hashes) div 8").alias("n"))
+    bounded = (
+        many.join(sized, "id").join(alone, "id", "left").withColumn("s", F.expr("n - coalesce(alone, 0)"))
+        .where(f"100 * s >= {percent} * n").select("band", "id", "comp", "n", "s")
+    )
+    far = bounded.alias("x").join(bounded.alias("y"), "band").where(
+        f"x.comp < y.comp and (100 + {percent}) * least(x.s, y.s) >= {percent} * (x.n + y.n)"
+    )
+    return pairs.unionByName(far.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for each row of ``docs(doc_id, text, ...)``.
 
@@ -162,19 +198,13 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         members.select(F.col("high").alias("a"), F.col("id").alias("b"))
     )
     links = staged(verify(first), "links")
-    for turn in (1, 2):
-        rest = labelled(links)
-        split = rest.groupBy("band").agg(
-            F.min("comp").alias("c"), F.max("comp").alias("d"), F.min_by("id", F.xxhash64("id", "band", F.lit(turn))).alias("pivot"),
-            F.min_by("comp", F.xxhash64("id", "band", F.lit(turn))).alias("own"),
-        ).where("c <> d")
-        more = rest.join(split, "band").where("comp <> own").select(F.col("pivot").alias("a"), F.col("id").alias("b"))
-        links = staged(links.unionByName(verify(more)), "links")
     rest = labelled(links)
-    split = rest.groupBy("band").agg(F.min("comp").alias("c"), F.max("comp").alias("d")).where("c <> d").select("band")
-    open_ = staged(rest.join(split, "band", "left_semi"), "open")
-    across = open_.alias("x").join(open_.alias("y"), "band").where("x.comp < y.comp").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    links = links.unionByName(verify(across))
+    split = rest.groupBy("band").agg(
+        F.min("comp").alias("c"), F.max("comp").alias("d"), F.min_by(F.struct("id", "comp"), F.xxhash64("id", "band")).alias("pivot")
+    ).where("c <> d")
+    more = rest.join(split, "band").where("comp <> pivot.comp").select(F.col("pivot.id").alias("a"), F.col("id").alias("b"))
+    links = staged(links.unionByName(verify(more)), "links")
+    links = links.unionByName(verify(_across(labelled(links), sets, percent)))
     same = classes.withColumnRenamed("rep", "class_rep")
     found = connected_components(links)
     # Rows of one id with different texts are one document: its smallest label holds for all of them.
