@@ -1,7 +1,60 @@
-"""From raw documents to packed training sequences, in stages that each write a table."""
+"""From raw documents to packed training sequences, in stages that each write a table.
 
-STAGES = []
+Every stage takes ``(spark, docs, sf_dir)``; all but the last return the columns of documents.
+"""
 
+from __future__ import annotations
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+from pyspark.sql import DataFrame, SparkSession
+
+from tidemark.llm.common import staged, table
+from tidemark.llm.decontaminate import without_contaminated
+from tidemark.llm.entries import tokenizer
+from tidemark.llm.minhash import near_duplicates
+from tidemark.llm.packing import pack
+from tidemark.llm.quality import scored, train_model
+from tidemark.llm.secrets import mask_secrets
+
+#: Documents that score less than this are rejected: those that the classifier holds for bad beyond doubt.
+QUALITY_CUTOFF = 0.3
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject; it learns from all labels of the table."""
+    model = train_model(docs, table(spark, sf_dir, "labels"))
+    return scored(docs, model, QUALITY_CUTOFF).where("predicted = 1").select(docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: the one with the smallest doc_id."""
+    gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item, as a copy or an edited one."""
+    return without_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets in their texts masked."""
+    return mask_secrets(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of training sequences."""
+    return pack(docs, tokenizer("word_bpe_49k.json"))
+
+
+STAGES = [("quality", quality), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("secrets", secrets), ("packing", packed)]
+
+#: Classifiers, alignment and tokenizers are beyond SQL; tests hold the stages against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; what each returns is written and read again as the next one's input."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
