@@ -24,6 +24,8 @@ REGISTERS, BAND, MANTISSA = 96, 3, 10
 SIGMAS = 6.0
 #: Bands of at most this many members are compared pair by pair where components differ.
 FEW = 16
+#: 64-bit words of the map that tells members of larger bands apart.
+WORDS = 16
 _STARTS = np.array([-(-i * (1 << 64) // REGISTERS) for i in range(REGISTERS)], dtype=np.uint64)
 _SKETCH = "doc_id long, n_shingles long, c1 long, c2 long, registers binary, bands array<long>"
 
@@ -86,15 +88,6 @@ def _sets(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["doc_id", "hashes"])
 
 
-def _singles(batches):
-    for batch in batches:
-        sets = [np.frombuffer(x.as_buffer(), dtype=np.int64) for x in batch.column("hashes")]
-        for at in range(0, len(sets), 256):
-            part = sets[at : at + 256]
-            ids = np.repeat(batch.column("doc_id").to_numpy()[at : at + 256], [len(x) for x in part])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate(part), pa.int64())], names=["id", "h"])
-
-
 def _plausible(percent: int):
     def run(batches):
         for batch in batches:
@@ -125,27 +118,46 @@ def _confirmed(percent: int):
     return run
 
 
+def _marks(batches):
+    """What each set has apart from its pivot's: how many shingles, how many of them share a bit of the map, and the map."""
+    for batch in batches:
+        n, d, hidden, maps = [], [], [], []
+        for x, y in zip(batch.column("hashes"), batch.column("ph")):
+            own, pivot = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
+            apart = np.setxor1d(own, pivot, assume_unique=True)
+            bits = np.zeros(64 * WORDS, np.uint8)
+            bits[mix64(apart) % np.uint64(64 * WORDS)] = 1
+            n.append(len(own)), d.append(len(apart)), hidden.append(len(apart) - int(bits.sum()))
+            maps.append(np.packbits(bits).view(np.int64))
+        words = np.stack(maps).T if maps else np.zeros((WORDS, 0), np.int64)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("pivot"), batch.column("id"), *(pa.array(v, pa.int64()) for v in (n, d, hidden)), *(pa.array(w) for w in words)],
+            names=["pivot", "id", "n", "d", "hidden", *(f"w{k}" for k in range(WORDS))],
+        )
+
+
 def _across(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs of one band that lie in different components and could still be linked.
 
-    Bands of up to ``FEW`` members give all such pairs. In larger ones a shingle that no other
-    member holds bounds what a text can share: families whose members differ from a common
-    source in places of their own are thereby told apart without comparing them in pairs.
+    Bands of up to ``FEW`` members give all such pairs. In larger ones two texts are paired only where
+    what sets them apart from a common pivot overlaps enough: with D the symmetric difference to the
+    pivot, the difference of two texts is ``|D1| + |D2| - 2 |D1 & D2|``, and bit maps of D bound the
+    overlap from above. Families whose members differ from a common source in places of
+    their own are thereby told apart without comparing them in pairs, and no link is lost.
     """
-    split = rest.groupBy("band").agg(F.min("comp").alias("c"), F.max("comp").alias("d"), F.count("*").alias("m")).where("c <> d")
-    open_ = staged(rest.join(split.select("band", "m"), "band"), "open")
+    split = rest.groupBy("band").agg(F.min("comp").alias("pivot"), F.max("comp").alias("d"), F.count("*").alias("m")).where("pivot <> d")
+    open_ = staged(rest.join(split.select("band", "m", "pivot"), "band"), "open")
     few = open_.where(f"m <= {FEW}").select("band", "id", "comp")
     pairs = few.alias("x").join(few.alias("y"), "band").where("x.comp < y.comp").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    many = open_.where(f"m > {FEW}").select("band", "id", "comp")
-    held = sets.join(many.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_singles, "id long, h long")
-    alone = held.groupBy("h").agg(F.min("id").alias("id"), F.max("id").alias("other")).where("id = other").groupBy("id").agg(F.count("*").alias("alone"))
-    sized = sets.select(F.col("doc_id").alias("id"), F.expr("octet_length(hashes) div 8").alias("n"))
-    bounded = (
-        many.join(sized, "id").join(alone, "id", "left").withColumn("s", F.expr("n - coalesce(alone, 0)"))
-        .where(f"100 * s >= {percent} * n").select("band", "id", "comp", "n", "s")
-    )
-    far = bounded.alias("x").join(bounded.alias("y"), "band").where(
-        f"x.comp < y.comp and (100 + {percent}) * least(x.s, y.s) >= {percent} * (x.n + y.n)"
+    many = open_.where(f"m > {FEW}").select("band", "id", "comp", "pivot")
+    both = many.select("pivot", "id").distinct().join(sets.toDF("id", "hashes"), "id").join(sets.toDF("pivot", "ph"), "pivot")
+    fields = "pivot long, id long, n long, d long, hidden long, " + ", ".join(f"w{k} long" for k in range(WORDS))
+    marked = many.join(staged(both.mapInArrow(_marks, fields), "marks"), ["pivot", "id"]).drop("pivot")
+    common = " + ".join(f"bit_count(x.w{k} & y.w{k})" for k in range(WORDS))
+    far = marked.alias("x").join(marked.alias("y"), "band").where(
+        f"x.comp < y.comp and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and "
+        f"(100 + {percent}) * abs(x.d - y.d) <= (100 - {percent}) * (x.n + y.n) and "
+        f"(100 + {percent}) * (x.d + y.d - 2 * ({common} + least(x.hidden, y.hidden))) <= (100 - {percent}) * (x.n + y.n)"
     )
     return pairs.unionByName(far.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")))
 
