@@ -6,8 +6,8 @@ registers propose pairs, the share of equal registers less the expected accident
 the resemblance, and the full shingle sets decide.
 
 Texts with equal sets form one class and are searched once, by their smallest id. Within a band
-value the members are first compared with a few pivots; only members that this leaves in different
-components are then compared with each other, so large groups of copies stay linear.
+value the members are first compared with its first and its last one; only members that this leaves in
+different components are then compared with each other, so large groups of copies stay linear.
 """
 
 from __future__ import annotations
@@ -210,12 +210,6 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         members.select(F.col("high").alias("a"), F.col("id").alias("b"))
     )
     links = staged(verify(first), "links")
-    rest = labelled(links)
-    split = rest.groupBy("band").agg(
-        F.min("comp").alias("c"), F.max("comp").alias("d"), F.min_by(F.struct("id", "comp"), F.xxhash64("id", "band")).alias("pivot")
-    ).where("c <> d")
-    more = rest.join(split, "band").where("comp <> pivot.comp").select(F.col("pivot.id").alias("a"), F.col("id").alias("b"))
-    links = staged(links.unionByName(verify(more)), "links")
     links = links.unionByName(verify(_across(labelled(links), sets, percent)))
     same = classes.withColumnRenamed("rep", "class_rep")
     found = connected_components(links)
