@@ -1,11 +1,531 @@
-"""The query catalogue: name, Spark query and DuckDB equivalent."""
+"""The query catalogue: each query by name, with plain columns that any engine can return."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions import scores, text
+from ..operators import alerts as A
+from ..operators import counters as C
+from ..operators import forecast as W
+from ..operators import fusion, profiles, rules, sequences, sessions, summary
+from ..sources.audit import audit_events
+from . import tables as t
+from .oracle import SQL
+from .tables import P
 
-def oracle_sql() -> dict:
-    return {}
+AS_OF = "2024-01-25 00:00:00"
+KEY = ["insured_id", "session_id"]
+VOCABULARY = {"action": ["view", "click", "purchase"], "device": ["d0", "D1"]}
+RIDGE = {"feature_order": ["total_events_lag_1", "total_events_roll_mean_7", "anomaly_rate_lag_7", "dow"], "coef": [0.01, -0.02, 0.3, 0.005], "intercept": 0.05, "scaler": {"mean": [300.0, 310.0, 0.2, 3.0], "scale": [50.0, 40.0, 0.1, 2.0]}}
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+
+
+def plain(df: DataFrame) -> DataFrame:
+    """Whole numbers as long, fractions to six places, times as microseconds, lists joined by commas."""
+    out = []
+    for f in df.schema:
+        c, k = F.col(f"`{f.name}`"), f.dataType
+        if isinstance(k, (T.IntegerType, T.ShortType, T.ByteType, T.LongType)):
+            c = c.cast("long")
+        elif isinstance(k, (T.DoubleType, T.FloatType, T.DecimalType)):
+            c = F.round(c.cast("double"), 6)
+        elif isinstance(k, T.TimestampType):
+            c = F.unix_micros(c)
+        elif isinstance(k, T.ArrayType):
+            c = F.array_join(c.cast("array<string>"), ",")
+        out.append(c.alias(f.name))
+    return df.select(*out)
+
+
+def query(f: Query) -> Query:
+    _QUERIES[f.__name__] = lambda spark, sf_dir: plain(f(spark, sf_dir))
+    return f
+
+
+def _from(table: Callable[[SparkSession, str], DataFrame], *columns: str) -> Query:
+    return lambda s, d: table(s, d).select(*columns)
+
+
+# --- events ------------------------------------------------------------------------------
+
+for _name, _columns in {
+    "enrich_prev_next": ["prev_action", "next_action"],
+    "enrich_time_delta": ["time_delta_since_last_action", "session_duration_seconds"],
+    "enrich_ip_device_change": ["is_ip_changed", "is_device_changed"],
+    "enrich_cumulative_distinct": ["unique_ips_in_session", "unique_devices_in_session"],
+    "enrich_ko_cumulative": ["cumulative_kos"],
+    "enrich_ko_streak": ["longest_ko_streak"],
+    "enrich_logged_in_before": ["has_logged_in"],
+    "enrich_downloads_trailing": ["downloads_last_2_minutes", "download_actions_in_session"],
+    "enrich_ping_pong": ["ping_pong_count"],
+    "enrich_event_risk": ["session_risk_score"],
+}.items():
+    _QUERIES[_name] = (lambda q: lambda s, d: plain(q(s, d)))(_from(t.enriched, "id", *_columns))
+
+
+@query
+def time_parts(s, d):
+    return audit_events(s, d).select("id", F.hour("created_at").alias("hour"), F.weekday("created_at").alias("dow"), (F.weekday("created_at") >= 5).cast("int").alias("is_weekend"))
+
+
+@query
+def cyclic_time(s, d):
+    (hs, hc), (ds, dc) = scores.cycle(F.hour("created_at"), 24), scores.cycle(F.weekday("created_at"), 7)
+    return audit_events(s, d).select("id", hs.alias("hour_sin"), hc.alias("hour_cos"), ds.alias("dow_sin"), dc.alias("dow_cos"))
+
+
+@query
+def business_hours_both(s, d):
+    h = F.hour("created_at")
+    return audit_events(s, d).select("id", scores.business_hours(h).alias("encoder"), scores.business_hours_running(h).alias("running"))
+
+
+@query
+def field_fallback(s, d):
+    e = audit_events(s, d).withColumn("page", F.when(F.col("k") % 2 == 0, F.concat(F.lit("p"), F.col("k").cast("string"))).when(F.col("k") % 3 == 0, ""))
+    return e.select("id", text.first_text("page", "route").alias("place"))
+
+
+@query
+def text_key(s, d):
+    docs = s.read.parquet(f"{d}/benchmark.parquet")
+    return docs.select("item_id", text.comparison_key(F.col("text")).alias("text_key"))
+
+
+@query
+def idempotency_key(s, d):
+    e = audit_events(s, d).withColumn("own", F.when(F.col("k") % 2 == 0, F.col("id").cast("string")))
+    return e.select("id", text.event_key(F.col("own"), F.col("insured_id"), F.col("action"), F.when(F.col("k") % 3 == 0, F.col("device")), F.col("k")).alias("event_key"))
+
+
+@query
+def download_hint(s, d):
+    e = audit_events(s, d).withColumn("label", F.concat(F.col("action"), F.when(F.col("k") % 5 == 0, " Document").otherwise(" page")))
+    return e.select("id", text.has_download_hint(F.col("is_download_action"), F.col("label")).alias("is_download"))
+
+
+@query
+def score_scales(s, d):
+    e = audit_events(s, d)
+    x = F.col("k") / 10 - 5
+    return e.select("id", scores.sigmoid(x).alias("sigmoid"), scores.saturate(F.col("k") / 10).alias("saturated"), scores.risk_level(F.col("k").cast("double")).alias("level"))
+
+
+@query
+def event_dedup(s, d):
+    """Events read twice count once, by their key."""
+    e = audit_events(s, d).select("id", "insured_id")
+    return e.unionByName(e.where("id % 3 = 0")).dropDuplicates(["id"]).groupBy("insured_id").agg(F.count("*").alias("events"))
+
+
+@query
+def status_normalized(s, d):
+    e = audit_events(s, d).withColumn("raw", F.when(F.col("k") % 3 == 0, "SUCCESS").when(F.col("k") % 3 == 1, "FAILURE").otherwise(F.col("status")))
+    return e.select("id", text.normalize_status(F.col("raw")).alias("status"))
+
+
+# --- sessions ----------------------------------------------------------------------------
+
+
+@query
+def session_boundaries(s, d):
+    e = t.session_events(s, d)
+    return e.groupBy(*KEY).agg(F.min("created_at").alias("start_time"), F.max("created_at").alias("end_time"), F.count("*").alias("events"))
+
+
+@query
+def session_max_duration(s, d):
+    cut = sessions.cut_long_sessions(t.session_events(s, d), P.sessions.max_duration_seconds)
+    return cut.groupBy(*KEY, "part").agg(F.min("created_at").alias("start_time"), F.count("*").alias("events"))
+
+
+@query
+def session_summary(s, d):
+    return t.summaries(s, d).drop("action_sequence", "route_sequence", "action_counts", "anomaly_types", "start_hour", "end_hour", "day_of_week")
+
+
+@query
+def session_sequences(s, d):
+    return t.summaries(s, d).select(*KEY, "action_sequence_signature", "route_sequence_signature", "anomaly_types")
+
+
+@query
+def session_action_histogram(s, d):
+    return t.summaries(s, d).select(*KEY, F.explode("action_counts").alias("action", "n"))
+
+
+@query
+def session_primary_type(s, d):
+    return t.summaries(s, d).select(*KEY, "primary_anomaly_type", "anomaly_event_count")
+
+
+@query
+def running_summary(s, d):
+    return summary.running_summary(t.enriched(s, d)).drop("session_id")
+
+
+def _flag(*names: str) -> Query:
+    return lambda s, d: plain(rules.rule_flags(t.enriched(s, d), P.rules).select(*KEY, *names))
+
+
+_QUERIES["session_rapid_fire"] = _flag("rapid_fire")
+_QUERIES["session_timeout_gap"] = _flag("session_timeout")
+_QUERIES["session_geo_jump"] = _flag("geo_jump")
+_QUERIES["session_repeated_fail"] = _flag("repeated_fail")
+_QUERIES["session_flags"] = _flag(*rules.RULES)
+
+
+@query
+def session_rules(s, d):
+    return rules.triggered(rules.rule_flags(t.enriched(s, d), P.rules))
+
+
+@query
+def explicit_ends(s, d):
+    return sessions.explicit_ends(audit_events(s, d), P.sessions.__class__(end_actions=("View", "sso disconnect"))).select("id", "ends_session", "end_reason")
+
+
+# --- rules and fusion --------------------------------------------------------------------
+
+
+@query
+def rule_score(s, d):
+    return t.ruled(s, d).select(*KEY, "rule_score", "rule_codes", scores.severity(F.col("rule_score")).alias("severity"))
+
+
+@query
+def business_context(s, d):
+    return t.ruled(s, d).select(*KEY, "business_context_score")
+
+
+@query
+def aggregation_boost(s, d):
+    return t.ruled(s, d).select(*KEY, "aggregation_boost")
+
+
+_QUERIES["fusion_renormalized"] = lambda s, d: plain(t.fused(s, d).select(*KEY, "final_risk_score", "risk_level", "fallback_mode", *(f"{m}_contribution" for m in fusion.MODELS), "rule_contribution"))
+
+
+@query
+def fusion_full(s, d):
+    """Sessions that all models scored."""
+    out = t.fused(s, d).where("fallback_mode = 'FULL_HYBRID'")
+    return out.select(*KEY, "final_risk_score", "risk_level")
+
+
+@query
+def fusion_rules_only(s, d):
+    return fusion.rules_only(t.ruled(s, d), P.fusion).select(*KEY, "final_risk_score", "risk_level", "fallback_mode")
+
+
+@query
+def attribution(s, d):
+    return t.fused(s, d).select(*KEY, "anomaly_type_attributed", "anomaly_type_confidence")
+
+
+@query
+def alert_decision(s, d):
+    return t.fused(s, d).select(*KEY, "ai_risk_score", "is_anomaly", "binary_anomaly", "alert_eligible", "alert_reason")
+
+
+@query
+def load_shedding(s, d):
+    return audit_events(s, d).select("id", fusion.load_shedding(F.col("k") * 300).alias("mode"))
+
+
+@query
+def offline_ensemble(s, d):
+    x = t.summaries(s, d).withColumns({"p_anomaly": (F.col("total_events") % 10) / 10, "p_churn": (F.col("total_kos") % 4) / 4})
+    return x.select(*KEY, fusion.offline_score(x).alias("score"))
+
+
+@query
+def session_risk_summary(s, d):
+    """The riskiest twenty sessions."""
+    return t.ruled(s, d).orderBy(F.desc("rule_score"), F.desc("risk_score_max"), "session_id").limit(20).select(
+        *KEY, "total_events", "total_kos", "longest_ko_streak", "risk_score_max", "rule_score", "rule_codes", scores.risk_level(F.col("rule_score")).alias("risk_level")
+    )
+
+
+# --- alerts ------------------------------------------------------------------------------
+
+
+@query
+def alert_search(s, d):
+    return A.search(t.alerts(s, d), level="MEDIUM", kind="geo_jump", since="2024-01-05 00:00:00", until="2024-01-20 00:00:00").select("event_id", "position", "final_risk_score")
+
+
+@query
+def alert_filter_lenient(s, d):
+    rows = t.alerts(s, d).withColumn("timestamp", F.when(F.col("event_id") % 5 != 0, F.col("timestamp")))
+    return A.lenient_filter(rows, level="medium", since="2024-01-20 00:00:00").select("event_id", "position")
+
+
+@query
+def alert_page(s, d):
+    return A.page(t.alerts(s, d).where("position = 0"), limit=25, offset=30).select("event_id", "timestamp", "risk_level")
+
+
+@query
+def alert_page_snapped(s, d):
+    return A.page(t.alerts(s, d).where("position = 0"), limit=25, offset=30, snapped=True).select("event_id", "timestamp", "risk_level")
+
+
+@query
+def alert_dedup_richness(s, d):
+    return A.keep_richest(t.alerts(s, d), "position").select("event_id", "position", "richness")
+
+
+@query
+def alert_merge_critical(s, d):
+    """Live alerts of even ids first, then those of all that live lacks."""
+    rows = t.alerts(s, d).where("position = 0")
+    live = rows.where("event_id % 2 = 0").withColumn("position", F.lit(9))
+    return A.merge_missing(live, rows).select("event_id", "position")
+
+
+@query
+def alert_hydrate_left(s, d):
+    return A.hydrate(t.alerts(s, d).where("position = 1"), t.anomalies(s, d), ["device", "country"]).select("event_id", "device", "country", "event_action")
+
+
+@query
+def alert_first_per_session(s, d):
+    rows = t.alerts(s, d).where("position = 0").withColumn("alert_eligible", F.col("final_risk_score") >= 40)
+    return A.first_per_session(rows).select(*KEY, "event_id")
+
+
+@query
+def alert_new_rows(s, d):
+    rows = t.anomalies(s, d)
+    return A.new_rows(rows, rows.where("event_id % 4 = 0"), ["event_id"]).select("event_id", "risk_level")
+
+
+@query
+def latest_per_key(s, d):
+    return A.latest_by(t.anomalies(s, d), ["insured_id"], "detected_at", "event_id").select("insured_id", "event_id", "risk_level")
+
+
+@query
+def upsert_latest(s, d):
+    rows = t.anomalies(s, d).select("insured_id", "event_id", "detected_at")
+    return A.upsert_latest(rows.where("event_id % 2 = 0"), rows.where("event_id % 2 = 1"), ["insured_id"], "detected_at").select("insured_id", "event_id")
+
+
+# --- users -------------------------------------------------------------------------------
+
+
+@query
+def user_risk_profile(s, d):
+    return profiles.risk_profile(t.analysis(s, d), AS_OF, P.profile)
+
+
+@query
+def clean_streak(s, d):
+    return profiles.clean_streak(t.analysis(s, d), P.profile.anomaly_at)
+
+
+@query
+def user_360(s, d):
+    return profiles.user_360(t.analysis(s, d), t.anomalies(s, d))
+
+
+@query
+def active_hours(s, d):
+    return profiles.active_hours(t.analysis(s, d), audit_events(s, d))
+
+
+@query
+def top_api_families(s, d):
+    routes = audit_events(s, d).select("insured_id", F.when(F.col("k") % 4 == 3, "N/A").otherwise(F.concat("route", F.lit("/x"))).alias("family"))
+    return profiles.top_api_families(routes)
+
+
+@query
+def churn_distribution(s, d):
+    return profiles.churn_distribution(t.analysis(s, d))
+
+
+@query
+def churn_user_winner(s, d):
+    return profiles.churn_users(t.analysis(s, d))
+
+
+@query
+def churn_features(s, d):
+    return profiles.churn_features(audit_events(s, d))
+
+
+# --- counters and dashboards -------------------------------------------------------------
+
+
+@query
+def minute_counters(s, d):
+    return C.per_minute(audit_events(s, d))
+
+
+@query
+def day_counters(s, d):
+    return C.per_day(audit_events(s, d)).withColumn("day", F.col("day").cast("string"))
+
+
+@query
+def minute_country_counters(s, d):
+    e = audit_events(s, d).withColumn("country_code", F.when(F.col("k") % 6 != 0, F.col("country_code")))
+    return C.per_minute_and(e, "country_code")
+
+
+@query
+def live_stats_snapshot(s, d):
+    return C.live_snapshot(audit_events(s, d), t.alerts(s, d).where("position = 0"), AS_OF, short=60 * 24, long=60 * 48)
+
+
+@query
+def security_overview(s, d):
+    return C.security_overview(t.analysis(s, d))
+
+
+@query
+def rule_histogram(s, d):
+    return C.rule_histogram(t.analysis(s, d))
+
+
+@query
+def type_counts(s, d):
+    return C.type_counts(t.analysis(s, d))
+
+
+@query
+def cluster_share(s, d):
+    return C.shares(t.analysis(s, d), "cluster")
+
+
+@query
+def top_risky_sessions(s, d):
+    return t.analysis(s, d).orderBy(F.desc("final_risk_score"), F.desc("end_time"), "session_id").limit(20).select(*KEY, "final_risk_score")
+
+
+@query
+def latency_percentile(s, d):
+    return C.nearest_rank(audit_events(s, d), "k")
+
+
+@query
+def field_coverage(s, d):
+    known = {"action": ["view", "click", "purchase"], "device": ["D0", "D1", "D2"], "country_code": ["FR"]}
+    return C.field_coverage(audit_events(s, d), known)
+
+
+@query
+def traffic_anomaly(s, d):
+    days = C.per_day(audit_events(s, d))
+    return days.select(F.col("day").cast("string").alias("day"), C.traffic_anomaly(F.col("events"), F.dayofmonth("day") % 24, F.lit(300.0)).alias("unusual"))
+
+
+# --- sequences ---------------------------------------------------------------------------
+
+
+@query
+def transition_matrix(s, d):
+    return sequences.transitions(t.session_events(s, d))
+
+
+@query
+def conversation_transitions(s, d):
+    return sequences.transitions(t.conversation_events(s, d))
+
+
+@query
+def rare_paths(s, d):
+    return sequences.rare_paths(sequences.transitions(t.session_events(s, d)), below=0.195)
+
+
+@query
+def path_flags(s, d):
+    e = t.session_events(s, d)
+    return sequences.path_flags(sequences.score_transitions(e, sequences.transitions(e)), impossible=0.19, rare=0.2)
+
+
+@query
+def next_action_hits(s, d):
+    e = t.session_events(s, d)
+    known = sequences.transitions(e)
+    return sequences.next_hits(sequences.score_transitions(e, known), known)
+
+
+@query
+def dropoff_actions(s, d):
+    return sequences.dropoff_actions(t.summaries(s, d))
+
+
+@query
+def vocab_encode(s, d):
+    return sequences.encode(audit_events(s, d), VOCABULARY).select("id", "action_id", "device_id")
+
+
+@query
+def window10_features(s, d):
+    e = sequences.encode(t.session_events(s, d), VOCABULARY)
+    out = sequences.window_features(e, ["k"], {"action_id": 3})
+    return out.select("id", "window_length_ratio", "k_mean", "k_last", "k_std", "action_id_last", "action_id_distinct")
+
+
+@query
+def padded_window(s, d):
+    out = sequences.padded_window(t.session_events(s, d), ["k"], 5)
+    return out.select("id", F.transform("window", lambda x: F.get(x, F.lit(0)).cast("long")).alias("window"), F.transform("mask", lambda x: x.cast("int")).alias("mask"))
+
+
+@query
+def softmax_surprise(s, d):
+    k = F.col("k")
+    x = F.array((k % 7).cast("double"), (k % 3).cast("double"), (k % 5).cast("double"))
+    return audit_events(s, d).select("id", F.get(scores.softmax(x), F.lit(1)).alias("p1"), scores.surprise(x, k % 3).alias("surprise"))
+
+
+@query
+def next_event_predictions(s, d):
+    k = F.col("k")
+    x = F.array((k % 7).cast("double"), (k % 3 + 0.5).cast("double"), (k % 5 + 0.25).cast("double"))
+    e = sequences.top_predictions(audit_events(s, d).withColumn("logits", x), "logits", ["view", "click"], 2)
+    return e.select("id", F.inline("predictions"), sequences.deviation(F.col("predictions"), F.col("action")).alias("deviation"))
+
+
+# --- forecast ----------------------------------------------------------------------------
+
+
+@query
+def daily_series(s, d):
+    return W.daily_series(audit_events(s, d)).withColumn("ds", F.col("ds").cast("string"))
+
+
+@query
+def daily_lag_rolling(s, d):
+    return W.lag_features(W.daily_series(audit_events(s, d))).withColumn("ds", F.col("ds").cast("string")).drop("anomaly_events", "download_events")
+
+
+@query
+def calendar_features(s, d):
+    return W.calendar_features(W.daily_series(audit_events(s, d)).select("ds")).withColumn("ds", F.col("ds").cast("string"))
+
+
+@query
+def ridge_forecast(s, d):
+    days = W.calendar_features(W.lag_features(W.daily_series(audit_events(s, d))))
+    out = W.forecast(days, RIDGE)
+    return out.select(F.col("ds").cast("string").alias("ds"), "predicted_total_events", "predicted_anomaly_rate", "expected_alerts")
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return {k: v for k, v in SQL.items() if k in _QUERIES}
