@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import SHINGLE_WORDS, connected_components, mix64, shingle_set, signed, staged, text_bytes, word_blocks
 
-REGISTERS, BAND, MANTISSA = 96, 3, 10
+REGISTERS, BAND, MANTISSA = 128, 4, 10
 #: A pair is dropped unread only when its estimate lies this many standard deviations below the threshold.
 SIGMAS = 6.0
 #: Bands of at most this many members are compared pair by pair where components differ.
@@ -198,13 +198,19 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         left = regs.toDF("a", "na", "ra")
         right = regs.toDF("b", "nb", "rb")
         sized = pairs.join(left, "a").join(right, "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-        likely = sized.mapInArrow(_plausible(percent), "a long, b long").distinct()
+        likely = sized.mapInArrow(_plausible(percent), "a long, b long")
         full = likely.join(sets.toDF("a", "ha"), "a").join(sets.toDF("b", "hb"), "b")
-        return full.mapInArrow(_confirmed(percent), "a long, b long").distinct()
+        return full.mapInArrow(_confirmed(percent), "a long, b long")
 
     def labelled(links: DataFrame) -> DataFrame:
-        found = connected_components(links)
-        return members.join(found, "id", "left").select("band", "id", F.coalesce("component", "id").alias("comp"))
+        """Members with a label that only texts of one component share: the least id three links away."""
+        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        near = staged(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("id"), F.least("a", "b").alias("comp")), "near")
+        # the least label among neighbours, then that label's own one
+        wide = both.join(near.toDF("b", "comp"), "b").groupBy("a").agg(F.min("comp").alias("comp"))
+        own = near.toDF("comp", "next")
+        label = wide.join(own, "comp", "left").select(F.col("a").alias("id"), F.coalesce("next", "comp").alias("comp"))
+        return members.join(label, "id", "left").select("band", "id", F.coalesce("comp", "id").alias("comp"))
 
     first = members.select(F.col("low").alias("a"), F.col("id").alias("b")).unionByName(
         members.select(F.col("high").alias("a"), F.col("id").alias("b"))
