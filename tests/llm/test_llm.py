@@ -367,3 +367,15 @@ def test_pipeline(spark, empty):
     assert p.run(spark, SMALL).count() > 0
     for _, stage in p.STAGES[1:]:
         assert stage(spark, empty, SMALL).count() == 0
+
+
+def test_word_ids_like_whole_texts():
+    """Words cut at signs and digits, lower-cased and known by hash give the ids of the whole text."""
+    rng = np.random.default_rng(8)
+    parts = ["a", "B", "z", "é", "É", "'s", "'", "'RE", "1", "23", "*", "!!", "~", "—", "’", "½", "٣", "ß", "中", "İ", "ǅ", "J̌", "Å", "ﬁ", "​", " ", " ", "\n", "_", "<|endoftext|>", "'d", "K", "Σ"]
+    words = packing.WordIds(entries.tokenizer("word_bpe_49k.json"))
+    plain = [p for p in parts if p[0] not in "<JA"]
+    texts = ["".join(rng.choice(p, int(rng.integers(0, 20)))) for p in (parts, plain, plain) for _ in range(300)]
+    want = [np.array(words.tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert [words.encode([t.encode()])[0] for t in texts] == want
+    assert words.encode([t.encode() for t in texts]) == want

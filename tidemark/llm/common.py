@@ -96,7 +96,7 @@ def hash_block(data: bytes, lower: bool) -> tuple[np.ndarray, np.ndarray, np.nda
     return starts, ends, mix64(h + (ends - starts).astype(np.uint64) * _COEF[0])
 
 
-def _cut(data: bytes) -> Iterator[bytes]:
+def cut_text(data: bytes) -> Iterator[bytes]:
     """A long text in blocks that end in white space."""
     at = 0
     while at < len(data):
@@ -116,7 +116,7 @@ def word_blocks(texts: list[bytes], lower: bool) -> Iterator[tuple[int, list[np.
             size += len(texts[end]) + 1
             end += 1
         if end == at + 1:
-            parts = [hash_block(b, lower)[2] for b in _cut(texts[at])]
+            parts = [hash_block(b, lower)[2] for b in cut_text(texts[at])]
             yield at, [np.concatenate(parts) if parts else np.zeros(0, np.uint64)]
         else:
             starts, _, h = hash_block(b" ".join(texts[at:end]), lower)

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import BLOCK_BYTES, cut_text, hash_block, staged
 from .tokens import load
 
 CAPACITY, END_ID, WASTE = 2048, 1, 0.02
@@ -40,24 +40,112 @@ def cut(length: int, capacity: int = CAPACITY, waste: float = WASTE) -> list[int
     return out
 
 
+# Kinds of bytes: 1 ASCII letters, 2 digits, 3 ASCII signs but the apostrophe, 0 all others.
+_KINDS = np.array([2 if 48 <= c < 58 else 1 if chr(c).isalpha() and c < 128 else 3 if 33 <= c < 127 and c != 39 else 0 for c in range(256)], np.uint8)
+#: Pairs of kinds, the first four times over, between which words are cut.
+_CUT = np.array([(a, b) in {(1, 2), (2, 1), (2, 2), (1, 3), (3, 1), (2, 3), (3, 2)} for a in range(4) for b in range(4)])
+
+
 class WordIds:
-    """Ids of texts by a tokenizer that drops white space and never joins across it: words are encoded once."""
+    """Ids of texts by a tokenizer that drops white space and never joins across it: words are encoded once.
+
+    Words are first cut where the tokenizer cuts them anyway: between an ASCII letter and an ASCII sign or digit,
+    about digits; A-Z are lower-cased as it does. Words are told apart by 64-bit hashes within a task. New words are encoded many at a time, with a mark
+    between them that has an id of its own; words that hold the mark are encoded alone.
+    """
+
+    MARK, TOGETHER = b"~", 256
 
     def __init__(self, path: str) -> None:
-        self.tok, self.known = load(path), {}
+        self.tok = load(path)
+        self.mark = self.tok.encode(self.MARK.decode(), add_special_tokens=False).ids
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known = np.zeros(0, np.uint64)
+        self.at, self.length, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def _alone(self, words: list[bytes]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+
+    def _encoded(self, words: list[bytes]) -> list[np.ndarray]:
+        """Ids of each word."""
+        if len(self.mark) != 1:
+            return self._alone(words)
+        own = [k for k, w in enumerate(words) if self.MARK in w]
+        out: list = [None] * len(words)
+        for k, ids in zip(own, self._alone([words[k] for k in own])):
+            out[k] = ids
+        rest = [k for k in range(len(words)) if out[k] is None]
+        parts = [rest[k : k + self.TOGETHER] for k in range(0, len(rest), self.TOGETHER)]
+        texts = [(b"\n" + self.MARK + b"\n").join([words[k] for k in part]).decode() for part in parts]
+        for part, e in zip(parts, self.tok.encode_batch_fast(texts, add_special_tokens=False)):
+            ids = np.array(e.ids, np.uint32)
+            cut = np.flatnonzero(ids == self.mark[0])
+            if len(cut) != len(part) - 1:
+                found = self._alone([words[k] for k in part])
+            else:
+                edges = [-1, *cut.tolist(), len(ids)]
+                found = [ids[x + 1 : y] for x, y in zip(edges[:-1], edges[1:])]
+            for k, x in zip(part, found):
+                out[k] = x
+        return out
+
+    def _learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
+        if not words:
+            return
+        found = self._encoded(words)
+        length = np.fromiter(map(len, found), np.int64, len(found))
+        known = np.concatenate([self.known, hashes])
+        at = np.concatenate([self.at, len(self.flat) + np.cumsum(length) - length])
+        self.flat = np.concatenate([self.flat, *found])
+        order = np.argsort(known, kind="stable")
+        self.known, self.at, self.length = known[order], at[order], np.concatenate([self.length, length])[order]
+
+    def _block(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts of the words of a block, where the ids of each end, and all ids."""
+        if len(self.known) > KNOWN_WORDS:
+            self._forget()
+        cuts = np.zeros(0, np.int64)
+        # special tokens are cut by nothing and looked for as they are; marks could join a letter differently by case
+        if not any(x in data for x in (b"<|", b"\xcc", b"\xcd")):
+            data = data.lower()
+            kinds = _KINDS[np.frombuffer(data, np.uint8)]
+            cuts = np.flatnonzero(_CUT[kinds[:-1] * 4 + kinds[1:]]) + 1
+            data = np.insert(np.frombuffer(data, np.uint8), cuts, 32).tobytes()
+        starts, ends, h = hash_block(data, lower=False)
+        each, first, back = np.unique(h, return_index=True, return_inverse=True)
+        if len(self.known):
+            new = self.known[np.minimum(np.searchsorted(self.known, each), len(self.known) - 1)] != each
+        else:
+            new = np.ones(len(each), bool)
+        self._learn(each[new], [data[a:b] for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist())])
+        place = np.searchsorted(self.known, each)[back]
+        length = self.length[place]
+        upto = np.cumsum(length)
+        total = int(upto[-1]) if len(upto) else 0
+        # starts in the block as it came: less what was put in before
+        starts = starts - np.searchsorted(cuts + np.arange(len(cuts)), starts, side="left")
+        return starts, upto, self.flat[np.repeat(self.at[place] - upto + length, length) + np.arange(total)]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers."""
-        words = [t.split() for t in texts]  # bytes are split at 0x20 and 0x09-0x0D
-        if len(self.known) > KNOWN_WORDS:
-            self.known = {}
-        known = self.known
-        new = [w for w in {w for ws in words for w in ws} if w not in known]
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for w, e in zip(part, self.tok.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                known[w] = np.array(e.ids, dtype="<u4").tobytes()
-        return [b"".join(map(known.__getitem__, ws)) for ws in words]
+        out, at = [], 0
+        while at < len(texts):
+            end, size = at, 0
+            while end < len(texts) and (end == at or size + len(texts[end]) < BLOCK_BYTES):
+                size += len(texts[end]) + 1
+                end += 1
+            if end == at + 1:
+                out.append(b"".join(self._block(part)[2].astype("<u4").tobytes() for part in cut_text(texts[at])))
+            else:
+                starts, upto, ids = self._block(b" ".join(texts[at:end]))
+                raw, limits = ids.astype("<u4").tobytes(), np.append(0, upto)
+                offsets = np.cumsum([0] + [len(t) + 1 for t in texts[at:end]])
+                bounds = (4 * limits[np.searchsorted(starts, offsets)]).tolist()
+                out += [raw[x:y] for x, y in zip(bounds[:-1], bounds[1:])]
+            at = end
+        return out
 
 
 def _fill(rows: list[tuple], key, number) -> tuple[list[tuple], list[tuple]]:
