@@ -19,35 +19,36 @@ from pyspark.sql import functions as F
 
 from .common import SHINGLE_WORDS, connected_components, mix64, shingle_set, signed, staged, text_bytes, word_blocks
 
-REGISTERS, BAND, MANTISSA = 128, 4, 10
+REGISTERS, BAND, MANTISSA = 128, 4, 24
 #: A pair is dropped unread only when its estimate lies this many standard deviations below the threshold.
 SIGMAS = 6.0
 #: Bands of at most this many members are compared pair by pair where components differ.
 FEW = 16
 #: 64-bit words of the map that tells members of larger bands apart.
 WORDS = 16
+_MARKS = ["n", "lacks", "lacks_hidden", "more", "more_hidden", *(f"w{k}" for k in range(WORDS))]
 _STARTS = np.array([-(-i * (1 << 64) // REGISTERS) for i in range(REGISTERS)], dtype=np.uint64)
 _SKETCH = "doc_id long, n_shingles long, c1 long, c2 long, registers binary, bands array<long>"
 
 
 def registers(hashes: np.ndarray) -> np.ndarray:
-    """Leading zeros and mantissa of the least hash of each part, as 16 bits; 0 for an empty part."""
+    """Leading zeros and mantissa of the least hash of each part, as 32 bits; 0 for an empty part."""
     at = np.searchsorted(hashes, _STARTS)
     have = at < np.append(at[1:], len(hashes))
     rest = (hashes[np.minimum(at, len(hashes) - 1)] - _STARTS) * np.uint64(REGISTERS)
     zeros = np.uint64(64) - np.frexp(np.maximum(rest, 1).astype(np.float64))[1].astype(np.uint64)
     zeros = np.minimum(zeros, np.uint64(60))
     mantissa = (rest << (zeros + np.uint64(1))) >> np.uint64(64 - MANTISSA)
-    return np.where(have, (zeros << np.uint64(MANTISSA)) + mantissa + np.uint64(1), 0).astype(np.uint16)
+    return np.where(have, (zeros << np.uint64(MANTISSA)) + mantissa + np.uint64(1), 0).astype(np.uint32)
 
 
 def band_keys(regs: np.ndarray) -> np.ndarray:
     """One key for each band that has a filled register."""
     r = regs.astype(np.uint64).reshape(-1, BAND)
-    key = np.arange(len(r), dtype=np.uint64) << np.uint64(48)
+    key = np.arange(1, len(r) + 1, dtype=np.uint64) << np.uint64(40)
     for j in range(BAND):
-        key = key + (r[:, j] << np.uint64(16 * j))
-    return mix64(key)[r.any(axis=1)]
+        key = mix64(key + r[:, j])
+    return key[r.any(axis=1)]
 
 
 def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -94,7 +95,7 @@ def _plausible(percent: int):
             if not batch.num_rows:
                 continue
             cols = {k: batch.column(k) for k in batch.schema.names}
-            a, b = (np.frombuffer(b"".join(cols[k].to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS) for k in ("ra", "rb"))
+            a, b = (np.frombuffer(b"".join(cols[k].to_pylist()), dtype=np.uint32).reshape(-1, REGISTERS) for k in ("ra", "rb"))
             est, used = estimate(a, b, cols["na"].to_numpy(), cols["nb"].to_numpy())
             t = percent / 100
             keep = est >= t - SIGMAS * np.sqrt(t * (1 - t) / used)
@@ -119,21 +120,21 @@ def _confirmed(percent: int):
 
 
 def _marks(batches):
-    """What each set has apart from its pivot's: how many shingles, how many of them share a bit of the map, and the map."""
+    """What each set lacks of its pivot's and has besides: how many shingles, how many share a bit of the map, and both maps."""
+    half = 32 * WORDS
     for batch in batches:
-        n, d, hidden, maps = [], [], [], []
+        counts, maps = [], []
         for x, y in zip(batch.column("hashes"), batch.column("ph")):
             own, pivot = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
-            apart = np.setxor1d(own, pivot, assume_unique=True)
-            bits = np.zeros(64 * WORDS, np.uint8)
-            bits[mix64(apart) % np.uint64(64 * WORDS)] = 1
-            n.append(len(own)), d.append(len(apart)), hidden.append(len(apart) - int(bits.sum()))
+            lacks, more = np.setdiff1d(pivot, own, assume_unique=True), np.setdiff1d(own, pivot, assume_unique=True)
+            bits = np.zeros((2, half), np.uint8)
+            # what it lacks by its place in the pivot's set, what it has besides by hash
+            bits[0, np.searchsorted(pivot, lacks) * half // max(len(pivot), half)] = 1
+            bits[1, (mix64(more) % np.uint64(half)).astype(np.int64)] = 1
+            counts.append((len(own), len(lacks), len(lacks) - int(bits[0].sum()), len(more), len(more) - int(bits[1].sum())))
             maps.append(np.packbits(bits).view(np.int64))
-        words = np.stack(maps).T if maps else np.zeros((WORDS, 0), np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("pivot"), batch.column("id"), *(pa.array(v, pa.int64()) for v in (n, d, hidden)), *(pa.array(w) for w in words)],
-            names=["pivot", "id", "n", "d", "hidden", *(f"w{k}" for k in range(WORDS))],
-        )
+        columns = [*np.array(counts, np.int64).reshape(-1, 5).T, *np.array(maps, np.int64).reshape(-1, WORDS).T]
+        yield pa.RecordBatch.from_arrays([batch.column("pivot"), batch.column("id"), *map(pa.array, columns)], names=["pivot", "id", *_MARKS])
 
 
 def _across(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -151,13 +152,17 @@ def _across(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     pairs = few.alias("x").join(few.alias("y"), "band").where("x.comp < y.comp").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
     many = open_.where(f"m > {FEW}").select("band", "id", "comp", "pivot")
     both = many.select("pivot", "id").distinct().join(sets.toDF("id", "hashes"), "id").join(sets.toDF("pivot", "ph"), "pivot")
-    fields = "pivot long, id long, n long, d long, hidden long, " + ", ".join(f"w{k} long" for k in range(WORDS))
+    fields = "pivot long, id long, " + ", ".join(f"{c} long" for c in _MARKS)
     marked = many.join(staged(both.mapInArrow(_marks, fields), "marks"), ["pivot", "id"]).drop("pivot")
-    common = " + ".join(f"bit_count(x.w{k} & y.w{k})" for k in range(WORDS))
+
+    def shared(count: str, hidden: str, words: range) -> str:
+        bits = " + ".join(f"bit_count(x.w{k} & y.w{k})" for k in words)
+        return f"least(x.{count}, y.{count}, {bits} + least(x.{hidden}, y.{hidden}))"
+
+    common = f"{shared('lacks', 'lacks_hidden', range(WORDS // 2))} + {shared('more', 'more_hidden', range(WORDS // 2, WORDS))}"
     far = marked.alias("x").join(marked.alias("y"), "band").where(
         f"x.comp < y.comp and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and "
-        f"(100 + {percent}) * abs(x.d - y.d) <= (100 - {percent}) * (x.n + y.n) and "
-        f"(100 + {percent}) * (x.d + y.d - 2 * ({common} + least(x.hidden, y.hidden))) <= (100 - {percent}) * (x.n + y.n)"
+        f"(100 + {percent}) * (x.lacks + x.more + y.lacks + y.more - 2 * ({common})) <= (100 - {percent}) * (x.n + y.n)"
     )
     return pairs.unionByName(far.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")))
 
@@ -203,13 +208,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         return full.mapInArrow(_confirmed(percent), "a long, b long")
 
     def labelled(links: DataFrame) -> DataFrame:
-        """Members with a label that only texts of one component share: the least id three links away."""
+        """Members with a label that only texts of one component share: the least id one link away."""
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        near = staged(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("id"), F.least("a", "b").alias("comp")), "near")
-        # the least label among neighbours, then that label's own one
-        wide = both.join(near.toDF("b", "comp"), "b").groupBy("a").agg(F.min("comp").alias("comp"))
-        own = near.toDF("comp", "next")
-        label = wide.join(own, "comp", "left").select(F.col("a").alias("id"), F.coalesce("next", "comp").alias("comp"))
+        label = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("id"), F.least("a", "b").alias("comp"))
         return members.join(label, "id", "left").select("band", "id", F.coalesce("comp", "id").alias("comp"))
 
     first = members.select(F.col("low").alias("a"), F.col("id").alias("b")).unionByName(
