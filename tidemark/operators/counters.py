@@ -61,10 +61,12 @@ def live_snapshot(events: DataFrame, alerts: DataFrame, as_of: str, short: int =
             F.array_join(F.transform("l", lambda x: x.v), ",").alias(f"top_{column}")
         )
 
-    one = counts.join(raised).join(ranked("action", 5)).join(ranked("country_code", 3))
+    one = counts.withColumn("_one", F.lit(1))
+    for part in (raised, ranked("action", 5), ranked("country_code", 3)):  # one row each
+        one = one.join(part.withColumn("_one", F.lit(1)), "_one")
     rate = F.when(F.col("events_long") > 0, F.col("alerts") / F.col("events_long")).otherwise(0.0)
     ko = F.when(F.col("events_short") > 0, F.col("kos_short") / F.col("events_short")).otherwise(0.0)
-    out = one.withColumns({"alert_rate": rate, "ko_rate": ko})
+    out = one.withColumns({"alert_rate": rate, "ko_rate": ko}).drop("_one")
     return out.withColumn("global_risk_level", global_level(F.col("alerts"), F.col("alert_rate"), F.col("ko_rate")))
 
 
@@ -89,8 +91,8 @@ def type_counts(rows: DataFrame, column: str = "anomaly_type") -> DataFrame:
 
 def shares(rows: DataFrame, column: str) -> DataFrame:
     """Count and share of each value that is not null."""
-    counts = type_counts(rows, column)
-    return counts.crossJoin(F.broadcast(counts.agg(F.sum("n").alias("_all")))).withColumn("share", F.col("n") / F.col("_all")).drop("_all")
+    # one row a value is left by now
+    return type_counts(rows, column).withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0))))
 
 
 def nearest_rank(df: DataFrame, column: str, percents: tuple[int, ...] = (50, 95, 99)) -> DataFrame:
