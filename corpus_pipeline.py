@@ -1,6 +1,9 @@
 """From raw documents to packed training sequences, in stages that each write a table.
 
-Every stage takes ``(spark, docs, sf_dir)``; all but the last return the columns of documents.
+Every stage takes ``(spark, docs, sf_dir)``; all but the last return the columns of documents, also others
+that there may be. Null texts count as empty: the classifier scores them, no other stage finds anything
+in them. Rows without doc_id are never taken for copies or leaks; rows that repeat an id stay or go
+together. An empty table passes through as one.
 """
 
 from __future__ import annotations
@@ -12,7 +15,7 @@ from tidemark.llm.decontaminate import without_contaminated
 from tidemark.llm.entries import tokenizer
 from tidemark.llm.minhash import near_duplicates
 from tidemark.llm.packing import pack
-from tidemark.llm.quality import scored, train_model
+from tidemark.llm.quality import accepted, train_model
 from tidemark.llm.secrets import mask_secrets
 
 #: Documents that score less than this are rejected: those that the classifier holds for bad beyond doubt.
@@ -22,7 +25,7 @@ QUALITY_CUTOFF = 0.3
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject; it learns from all labels of the table."""
     model = train_model(docs, table(spark, sf_dir, "labels"))
-    return scored(docs, model, QUALITY_CUTOFF).where("predicted = 1").select(docs.columns)
+    return accepted(docs, model, QUALITY_CUTOFF)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

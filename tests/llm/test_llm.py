@@ -365,8 +365,11 @@ def test_pipeline(spark, empty):
     assert set(kept["secrets"]) == set(kept["decontaminate"]) and all(spans(t or "") == "" for t in kept["secrets"].values())
     check_packing(p.STAGES[-1][1](spark, now, SMALL).collect(), {i: t or "" for i, t in kept["secrets"].items()})
     assert p.run(spark, SMALL).count() > 0
-    for _, stage in p.STAGES[1:]:
+    odd = spark.createDataFrame([(1, None, 2, 3, 4), (1, "x", 2, 3, 4), (None, "y " * 50, 2, 3, 4), (2, "", 2, 3, 4)], "doc_id long, text string, score int, predicted int, n_chars int")
+    for name, stage in p.STAGES:
         assert stage(spark, empty, SMALL).count() == 0
+        if name != "packing":
+            assert stage(spark, odd, SMALL).columns == odd.columns and stage(spark, odd, SMALL).count() <= 4
 
 
 def test_word_ids_like_whole_texts():

@@ -205,6 +205,17 @@ def scored(docs: DataFrame, model: Model, cutoff: float = 0.3) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+def accepted(docs: DataFrame, model: Model, cutoff: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` that score ``cutoff`` or more, whatever other columns there are; null texts count as empty."""
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(model.score(matrix(text_bytes(batch.column(at)))) >= cutoff, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 #: Rows kept apart for measuring: crc32 of the id as text, modulo 5, is 0.
 HELD_OUT = "coalesce(crc32(cast(doc_id as string)) % 5 = 0, false)"
 
