@@ -3,6 +3,7 @@
 import hashlib
 import html as markup
 import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -289,6 +290,19 @@ def test_licences(spark, duck, docs, empty):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_licences_over_blank_and_wrapped_lines(spark):
+    """Every long template word for word, with blank lines between sentences and numbers on their own, and wrapped."""
+    long_ = [(k, name, t) for k, (name, t) in enumerate(licences.TEMPLATES) if len(t) > 150]
+    rows = []
+    for k, _, t in long_:
+        rows += [(10 * k, t), (10 * k + 1, "A b c.\n\n" + re.sub(r"([.:;]) ", r"\1\n\n", t) + "\n\nD e f."), (10 * k + 2, "Top line\n\n" + textwrap.fill(t, 30) + "\n\nend here"), (10 * k + 3, t.replace(" ", "\n"))]
+    got = {(r.doc_id, r.licence): (r.first_unit, r.dice) for r in licences.scan_licences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, name, _ in long_:
+        exact, blank, wrapped, words = (got[10 * k + v, name] for v in range(4))
+        assert exact[1] >= 0.85 and (exact[0], blank[0], wrapped[0]) == (0, 2, 2)
+        assert blank[1] == exact[1] and abs(wrapped[1] - exact[1]) < 0.03 and words[1] >= 0.75
+
+
 def article(source):
     a = source[source.index("<article>") + 9 : source.index("</article>")]
     blocks = [" ".join(markup.unescape(re.sub("<[^>]*>", "", b)).split()) for b in re.split("</?p>|</?h1>|<br>", a)]

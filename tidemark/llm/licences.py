@@ -1,7 +1,8 @@
 """Licence scans: blocks of a text compared with licence templates by Dice coefficient over word bigrams.
 
 Everything is DataFrame expressions. A text is cut into units at line and sentence ends; a unit
-of which at least half the bigrams stand in one template joins its like neighbours to a block. A
+of which at least half the bigrams stand in one template joins its like neighbours to a block, past units
+without bigrams (blank lines, numbers of items) and with the bigrams across line ends inside a paragraph. A
 block is compared with the templates whose size the coefficient allows: 2c / (n + m) can reach the
 threshold t only where t / (2 - t) <= n / m <= (2 - t) / t.
 """
@@ -38,15 +39,18 @@ TEMPLATES = [
     ("unlicense", "This is free and unencumbered software released into the public domain."),
 ]
 
-#: Ends of units; bigrams do not cross them.
+#: Ends of units; bigrams do not cross sentence ends and blank lines.
 _UNIT_END = r"[.!?;:]+[ \t\r]+|\n"
 _NO_WORD = "[^a-z0-9]+"
+_MARK = "\x01"
+#: A line end inside a paragraph, with the word before it: no sentence ends there, and the next line has words.
+_WRAP = r"(?<![a-z0-9])([a-z0-9]++)([^a-z0-9\n.!?;:]*+)\n(?=[^\n]*[a-z0-9])"
 
 
-def _bigrams(words):
-    """Distinct neighbours of an array of words."""
-    pairs = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.array_distinct(pairs)
+def _pairs(words):
+    """Neighbours of an array of words; the array is bound once."""
+    rest = lambda w: F.greatest(F.size(w) - 1, F.lit(0))
+    return F.transform(F.array(words), lambda w: F.zip_with(F.slice(w, 1, rest(w)), F.slice(w, 2, rest(w)), lambda a, b: F.concat(a, F.lit(" "), b)))[0]
 
 
 def _words(text):
@@ -54,15 +58,26 @@ def _words(text):
 
 
 def _units(df: DataFrame, *keys: str) -> DataFrame:
-    """``keys, unit, n, bigrams``: the units of ``text`` that have bigrams."""
-    cut = df.select(*keys, F.posexplode(F.split(F.regexp_replace("text", _UNIT_END, "\n"), "\n")).alias("unit", "line"))
-    return cut.select(*keys, "unit", _bigrams(_words(F.col("line"))).alias("bigrams")).withColumn("n", F.size("bigrams")).where("n > 0")
+    """``keys, unit, number, n, bigrams, bridge``: the units of ``text`` that have bigrams, in order by ``number``.
+
+    ``unit`` counts all units, also blank ones. Where a line end inside a paragraph precedes the unit,
+    ``bridge`` holds the bigram across it, which is not among the ``n`` of the unit itself.
+    """
+    text = F.regexp_replace(F.lower(F.translate("text", _MARK, " ")), _WRAP, f"$1$2\n$1{_MARK}")
+    lines = F.transform(F.split(F.regexp_replace(text, _UNIT_END, "\n"), "\n"), lambda x, i: F.struct(i.alias("unit"), x.alias("line")))
+    cut = df.select(*keys, F.posexplode(F.filter(lines, lambda s: s["line"].rlike("[a-z0-9][^a-z0-9]+[a-z0-9]"))).alias("number", "s"))
+    pairs = cut.select(*keys, "number", F.col("s.unit").alias("unit"), (F.instr("s.line", _MARK) > 0).alias("wrapped"), _pairs(_words(F.col("s.line"))).alias("p"))
+    parts = F.transform(F.array("p"), lambda p: F.when(F.col("wrapped"), F.struct(F.array_distinct(F.slice(p, 2, F.size(p))).alias("own"), F.slice(p, 1, 1).alias("bridge"))).otherwise(
+        F.struct(F.array_distinct(p).alias("own"), F.slice(p, 1, 0).alias("bridge"))
+    ))[0]
+    split = pairs.select(*keys, "number", "unit", parts.alias("q"))
+    return split.select(*keys, "unit", "number", F.size("q.own").alias("n"), F.col("q.own").alias("bigrams"), F.col("q.bridge").alias("bridge"))
 
 
 def template_bigrams(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
     """``template, licence, m, bigram``: a row for each distinct bigram of each template."""
     texts = spark.createDataFrame([(k, name, text) for k, (name, text) in enumerate(templates)], "template int, licence string, text string")
-    each = _units(texts, "template", "licence").select("template", "licence", F.explode("bigrams").alias("bigram")).distinct()
+    each = _units(texts, "template", "licence").select("template", "licence", F.explode(F.concat("bigrams", "bridge")).alias("bigram")).distinct()
     return each.withColumn("m", F.count("*").over(Window.partitionBy("template")).cast("int"))
 
 
@@ -75,17 +90,29 @@ def scan_licences(docs: DataFrame, threshold: float = THRESHOLD, templates=TEMPL
     itself; an empty table gives no rows; other columns are ignored. The templates are broadcast: their
     number is fixed by the caller, not by the data.
     """
-    known = F.broadcast(template_bigrams(docs.sparkSession, templates))
+    known = template_bigrams(docs.sparkSession, templates)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("version", F.xxhash64("text"))
-    units = _units(rows, "doc_id", "version").select("doc_id", "version", "unit", "n", F.explode("bigrams").alias("bigram"))
+    # bridges are marked: they count for a block that holds the units on both sides, and for no unit alone
+    marked = known.unionByName(known.withColumn("bigram", F.concat(F.lit(_MARK), "bigram")))
+    marks = F.transform("bridge", lambda x: F.concat(F.lit(_MARK), x))
+    keys = ["doc_id", "version", "unit", "number", "n", "bridged"]
+    units = _units(rows, "doc_id", "version").withColumn("bridged", F.size("bridge"))
+    units = units.select(*keys, F.explode(F.concat("bigrams", marks)).alias("bigram"))
+    own_of = lambda c: F.filter(c, lambda x: ~x.startswith(_MARK))
     # units of which half the bigrams are known at all, then those of which half are in one template
-    some = units.join(F.broadcast(known.select("bigram").distinct()), "bigram")
-    likely = some.groupBy("doc_id", "version", "unit", "n").agg(F.collect_set("bigram").alias("known")).where("2 * size(known) >= n")
-    each = likely.select("doc_id", "version", "unit", "n", F.explode("known").alias("bigram")).join(known, "bigram")
-    own = each.groupBy("doc_id", "version", "template", "licence", "m", "unit", "n").agg(F.collect_set("bigram").alias("found")).where("2 * size(found) >= n")
-    turn = F.row_number().over(Window.partitionBy("doc_id", "version", "template").orderBy("unit"))
-    blocks = own.withColumn("island", F.col("unit") - turn).groupBy("doc_id", "version", "template", "licence", "m", "island").agg(
+    some = units.join(F.broadcast(marked.select("bigram").distinct()), "bigram")
+    likely = some.groupBy(*keys).agg(F.collect_set("bigram").alias("known")).where(2 * F.size(own_of("known")) >= F.col("n"))
+    each = likely.select(*keys, F.explode("known").alias("bigram")).join(F.broadcast(marked), "bigram")
+    own = each.groupBy("template", "licence", "m", *keys).agg(F.collect_set("bigram").alias("found")).where(2 * F.size(own_of("found")) >= F.col("n"))
+    # units without bigrams (blank lines, numbers of items) have no number, so they break no block
+    order = Window.partitionBy("doc_id", "version", "template").orderBy("number")
+    turned = own.withColumn("island", F.col("number") - F.row_number().over(order)).withColumn("linked", F.coalesce(F.lag("number").over(order) == F.col("number") - 1, F.lit(False)))
+    counted = turned.select(
+        "doc_id", "version", "template", "licence", "m", "island", "unit", F.expr("n + if(linked, bridged, 0)").alias("n"),
+        F.when(F.col("linked"), F.transform("found", lambda x: F.translate(x, _MARK, ""))).otherwise(own_of("found")).alias("found"),
+    ).where("n > 0")
+    blocks = counted.groupBy("doc_id", "version", "template", "licence", "m", "island").agg(
         F.min("unit").alias("first_unit"), F.count("*").alias("n_units"), F.sum("n").alias("n"),
         F.size(F.array_distinct(F.flatten(F.collect_list("found")))).alias("c"),
     )
