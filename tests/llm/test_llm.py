@@ -330,6 +330,16 @@ def test_pages_without_article_and_edges(spark):
     assert html.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_attributes_are_read_whole():
+    shown = ["style=\"overflow:hidden\"", "title='the hidden cost'", 'data-hidden="false"', 'data-role="banner"', "data-x = 'a class=ad role=banner'", "alt=hidden/id=ad", 'aria-hidden="false"']
+    for a in shown:
+        assert html._attributes(a) == ("", set(), False), a
+        assert html.main_text(f"<body><p>a</p><div {a}><p {a}>lost text</p></div>", None) == "a lost text"
+    for a in ["hidden", 'style="x" hidden', "HIDDEN=hidden", "aria-hidden = true", "title='q' role='banner'", 'data-a="1"role=search']:
+        assert html._attributes(a)[2], a
+    assert html._attributes("x=1 class='lead big' ID=\"a7\"") == (".lead big#a0", {"lead", "big", "a", ""}, False)
+
+
 def check_packing(rows, texts):
     tok = tokens.load(entries.tokenizer("word_bpe_49k.json"))
     by_doc, by_seq = {}, {}

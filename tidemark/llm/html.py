@@ -57,7 +57,9 @@ OUTER_WORDS = set("header masthead footer topbar".split())
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>", re.S
 )
-_ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+#: One attribute, its value consumed whole; nothing is looked for inside names and values.
+_ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.S)
+_READ = {"class", "id", "role", "hidden", "aria-hidden"}
 _END = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in RAW}
 _HOST = re.compile(r"^\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#]*)", re.I)
 
@@ -79,7 +81,10 @@ def _attributes(text: str) -> tuple[str, set[str], bool]:
     """The part of a role that attributes give, the words of class and id, and whether the role attribute drops the element."""
     role, words, out = "", set(), False
     for m in _ATTRIBUTE.finditer(text):
-        kind, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+        kind = m[1].lower()
+        if kind not in _READ:
+            continue
+        value = (m[2] or m[3] or m[4] or "").lower()
         if kind in ("class", "id"):
             role += ("." if kind == "class" else "#") + re.sub(r"\d+", "0", " ".join(value.split()))
             for name in value.split():
