@@ -279,6 +279,18 @@ def test_repeats(spark, small, docs, empty):
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in repeats.remove_repeats(rows).collect()} == kept_words(texts)
 
 
+def test_repeats_of_repeated_rows(spark):
+    """A row that stands twice keeps a passage that it owns; each text of an id is compared and cut for itself."""
+    words = lambda c, n: " ".join(f"{c}{k}" for k in range(n))
+    shared, other = words("s", 40), words("o", 40)
+    owner, later = f"{words('a', 30)} {shared}", f"{words('b', 30)} {shared} {words('c', 5)}"
+    rows = [(1, owner), (1, owner), (1, owner.replace(" ", "  ")), (2, later), (3, other), (4, other), (4, f"{words('d', 30)} {shared}"), (5, words("e", 90)), (5, f"{words('f', 30)} {other}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for df in (docs, docs.coalesce(1)):
+        got = Counter((r.doc_id, r.n_words, r.n_removed) for r in repeats.remove_repeats(df).collect())
+        assert got == {(1, 70, 0): 3, (2, 75, 40): 1, (3, 40, 0): 1, (4, 40, 40): 1, (4, 70, 40): 1, (5, 90, 0): 1, (5, 70, 40): 1}
+
+
 def test_licences(spark, duck, docs, empty):
     same_rows(entries.queries()["op8_licence_scans"](spark, SMALL).toPandas(), duck.execute(licences.ORACLE_SQL).df())
     mit = next(t for n, t in licences.TEMPLATES if n == "mit" and len(t) > 500)

@@ -73,15 +73,21 @@ def _parse(batches):
                 names.append(signed(name))
                 places.append(place)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(names, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32()))],
-            names=["doc_id", "n_words", "sha", "names", "places"],
+            [
+                batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(names, pa.list_(pa.int64())),
+                pa.array(places, pa.list_(pa.int32())),
+            ],
+            names=["doc_id", "version", "n_words", "sha", "names", "places"],
         )
 
 
 def _windows(batches):
-    """Hashes of the windows about repeated symbols; of equal ones in a batch all but the first are settled here."""
+    """Hashes of the windows about repeated symbols; of equal ones in a batch all but the first are settled here.
+
+    Rows that repeat id and version are one document: the same place in each is the first.
+    """
     for batch in batches:
-        ids = batch.column("doc_id").to_numpy()
+        ids, versions = batch.column("doc_id").to_numpy(), batch.column("version").to_numpy()
         texts, places = text_bytes(batch.column("text")), batch.column("places")
         rows, starts, hashes = [], [], []
         for at, docs in word_blocks(texts, lower=False):
@@ -98,18 +104,22 @@ def _windows(batches):
         if not rows:
             continue
         row, start, h = np.concatenate(rows), np.concatenate(starts), np.concatenate(hashes)
-        order = np.lexsort((start, ids[row], h))
+        order = np.lexsort((start, versions[row], ids[row], h))
         first = np.ones(len(h), bool)
         if len(h):
-            first[order[1:]] = h[order[1:]] != h[order[:-1]]
+            a, b = order[:-1], order[1:]
+            new = np.concatenate([[True], h[b] != h[a]])
+            moved = (ids[row[b]] != ids[row[a]]) | (versions[row[b]] != versions[row[a]]) | (start[b] != start[a])
+            place = np.concatenate([[0], np.cumsum(new[1:] | moved)])
+            first[order] = place == place[np.flatnonzero(new)][np.cumsum(new) - 1]
         of = np.searchsorted(row, np.arange(len(ids) + 1))
         parts = [(np.arange(a, b), first[a:b]) for a, b in zip(of[:-1], of[1:])]
         yield pa.RecordBatch.from_arrays(
             [
-                batch.column("doc_id"), pa.array([signed(h[i[f]]) for i, f in parts], pa.list_(pa.int64())),
+                batch.column("doc_id"), batch.column("version"), pa.array([signed(h[i[f]]) for i, f in parts], pa.list_(pa.int64())),
                 pa.array([start[i[f]] for i, f in parts], pa.list_(pa.int32())), pa.array([start[i[~f]] for i, f in parts], pa.list_(pa.int32())),
             ],
-            names=["doc_id", "hashes", "starts", "settled"],
+            names=["doc_id", "version", "hashes", "starts", "settled"],
         )
 
 
@@ -139,28 +149,31 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     Words covered by a window of 20 words that also starts earlier (smaller doc_id, or same text and
     an earlier word) are removed; windows are judged on the input. ``with_text`` adds the kept words (null where nothing was removed).
     Null and empty texts have no words; rows without doc_id lose nothing and take nothing from
-    others; rows that repeat an id with the same text are one document; with other texts, each is cut by what its
-    id's rows lose together. An empty table gives no rows; other columns are ignored.
+    others; rows that repeat an id with the same text are one document; with other texts, each is a document of its own
+    and the order among them is that of their hashes. An empty table gives no rows; other columns are ignored.
     Windows and symbols are told apart by 64-bit hashes.
     """
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    parsed = staged(text.mapInArrow(_parse, "doc_id long, n_words long, sha string, names array<long>, places array<int>"), "parsed")
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("version", F.xxhash64("text"))
+    parsed = staged(text.mapInArrow(_parse, "doc_id long, version long, n_words long, sha string, names array<long>, places array<int>"), "parsed")
     long_ = parsed.where(f"doc_id is not null and n_words >= {WINDOW}")
     owner = long_.groupBy("sha").agg(F.min("doc_id").alias("owner"))
     lean = parsed.select("doc_id", "n_words", "sha").join(owner, "sha", "left")
-    copies = staged(lean.where("owner < doc_id").select("doc_id").distinct(), "copies")
-    own = long_.join(copies, "doc_id", "left_anti").dropDuplicates(["doc_id", "sha"])
-    symbols = own.select("doc_id", F.arrays_zip("names", "places").alias("s")).select("doc_id", F.inline("s"))
+    copies = staged(lean.where("owner < doc_id").select("doc_id", "sha").distinct(), "copies")
+    # texts of an id that differ in blanks only are one document, read by its least version
+    one = F.min_by(F.struct("version", "names", "places"), "version").alias("one")
+    own = long_.join(copies, ["doc_id", "sha"], "left_anti").groupBy("doc_id", "sha").agg(one).select("doc_id", "one.*")
+    symbols = own.select("doc_id", "version", F.arrays_zip("names", "places").alias("s")).select("doc_id", "version", F.inline("s"))
     again = symbols.groupBy("names").agg(F.count("*").alias("n")).where("n > 1").select("names")
-    hits = staged(symbols.join(again, "names").groupBy("doc_id").agg(F.sort_array(F.collect_set("places")).alias("places")), "hits")
-    read = _texts_of(text, hits, parsed)
-    windows = staged(read.mapInArrow(_windows, "doc_id long, hashes array<long>, starts array<int>, settled array<int>"), "windows")
-    each = windows.select("doc_id", F.arrays_zip("hashes", "starts").alias("s")).select("doc_id", F.inline("s"))
-    turn = F.row_number().over(Window.partitionBy("hashes").orderBy("doc_id", "starts"))
-    later = each.withColumn("turn", turn).where("turn > 1").select("doc_id", "starts")
-    gone = later.unionByName(windows.select("doc_id", F.explode("settled").alias("starts")))
-    cuts = staged(gone.groupBy("doc_id").agg(F.collect_set("starts").alias("starts")), "cuts")
-    cut = _texts_of(text, cuts, parsed).mapInArrow(_cut, "doc_id long, sha string, cut_words long, cut_sha string, kept_text string")
+    hits = staged(symbols.join(again, "names").groupBy("doc_id", "version").agg(F.sort_array(F.collect_set("places")).alias("places")), "hits")
+    read = _texts_of(text, hits)
+    windows = staged(read.mapInArrow(_windows, "doc_id long, version long, hashes array<long>, starts array<int>, settled array<int>"), "windows")
+    each = windows.select("doc_id", "version", F.arrays_zip("hashes", "starts").alias("s")).select("doc_id", "version", F.inline("s"))
+    # repeated rows of a document tie
+    turn = F.rank().over(Window.partitionBy("hashes").orderBy("doc_id", "version", "starts"))
+    later = each.withColumn("turn", turn).where("turn > 1").select("doc_id", "version", "starts")
+    gone = later.unionByName(windows.select("doc_id", "version", F.explode("settled").alias("starts")))
+    cuts = staged(gone.groupBy("doc_id", "version").agg(F.collect_set("starts").alias("starts")), "cuts")
+    cut = _texts_of(text, cuts).mapInArrow(_cut, "doc_id long, sha string, cut_words long, cut_sha string, kept_text string")
     cut = staged(cut.dropDuplicates(["doc_id", "sha"]) if with_text else cut.drop("kept_text").dropDuplicates(["doc_id", "sha"]), "cut")
     out = lean.join(cut, ["doc_id", "sha"], "left")
     copied = "owner < doc_id"
@@ -173,16 +186,16 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     )
 
 
-def _texts_of(text: DataFrame, wanted: DataFrame, parsed: DataFrame) -> DataFrame:
-    """``wanted`` with the texts of its ids (and their hash), reading past other texts before any shuffle where ids are few."""
+def _texts_of(text: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``wanted`` with the texts of its ids and versions (and their hash), reading past other texts before any shuffle where ids are few."""
     ids = wanted.select("doc_id")
     if wanted.count() <= MOST_IDS:
         text = text.join(F.broadcast(ids), "doc_id", "left_semi")
-    joined = text.join(wanted, "doc_id")
+    joined = text.join(wanted, ["doc_id", "version"])
 
     def with_sha(batches):
         for batch in batches:
-            sha = [hashlib.sha256(b" ".join(t.split())).hexdigest() for t in text_bytes(batch.column(1))]
+            sha = [hashlib.sha256(b" ".join(t.split())).hexdigest() for t in text_bytes(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sha, pa.string())], names=[*batch.schema.names, "sha"])
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in joined.schema)
