@@ -252,6 +252,19 @@ def test_quality_model_learns_a_pair():
     assert ((model.score(x[2000:]) > 0.5) == (y[2000:] > 0.5)).mean() > 0.85
 
 
+def test_decontamination_of_a_passage_in_many_documents(spark):
+    """Over half an item, copied so often that none of its trigrams is rare, while the item's other words are."""
+    item = [f"i{k}" for k in range(40)]
+    copies = [(k, f"x{k} y{k} " + " ".join(item[:24]) + f" z{k}") for k in range(60)]
+    edited = [(100 + k, f"x{k} " + " ".join("changed" if j == 4 else w for j, w in enumerate(item[10:36])) + f" z{k}") for k in range(60)]
+    half = [(200 + k, " ".join(item[20:])) for k in range(60)]
+    rows = copies + edited + half + [(300 + k, f"u{k} v{k} " + " ".join(item[:8])) for k in range(300)]
+    bench = spark.createDataFrame([(9, " ".join(item))], "item_id long, text string")
+    for part in (copies, copies + rows[180:], rows):
+        found = {r.doc_id: r.score for r in decontaminate.contaminated(spark.createDataFrame(part, "doc_id long, text string"), bench).collect()}
+        assert set(found) == {d for d, _ in part if d < 300} and all(s >= 0.5 for s in found.values())
+
+
 def kept_words(texts):
     """Brute force: windows of twenty words seen before, in order of id and start."""
     seen, out = set(), {}

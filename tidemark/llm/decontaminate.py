@@ -1,6 +1,6 @@
 """Benchmark decontamination: rare word n-grams seed alignments of passages with benchmark items.
 
-One scan counts, for every n-gram of the items, the documents that hold it. An item's rare n-grams
+One scan counts, for every n-gram of the items, the documents that hold it. An item's rare n-grams, and the rarest of each of its stretches,
 become seeds; a second scan finds them in the texts, lays the item along the diagonal of its seeds
 and scores the passage there by Smith-Waterman alignment of words. Both scans are map-side and
 shuffle only counts and findings. Items are taken in blocks of bounded size, so what a task is sent
@@ -19,13 +19,15 @@ from pyspark.sql import functions as F
 from .common import gram_hashes, staged, text_bytes, word_blocks
 
 SEED_WORDS = 3
-#: A seed is held by at most this share of the documents, or is among the rarest of its item.
+#: A seed is held by at most this share of the documents, or is among the rarest of a stretch of its item.
 RARE_SHARE, RARE_LEAST = 0.001, 3
 #: What alignment pays for another word and for a missing one; a full match counts 1 a word.
 OTHER, GAP = 0.5, 0.5
 THRESHOLD = 0.5
 #: Words of the items that one block of the benchmark holds at most; their hashes are sent to tasks.
 BLOCK_WORDS = 1_000_000
+#: Stretches of an item that are compared together.
+STRETCHES = 256
 #: Alignments that are computed together.
 TOGETHER = 256
 
@@ -89,16 +91,27 @@ def gram_counts(docs: DataFrame, items: Items) -> dict[int, np.ndarray]:
 
 
 def rare_grams(items: Items, counts: dict[int, np.ndarray], total: int) -> dict[int, np.ndarray]:
-    """Which n-grams are seeds: rare ones, and of each item those about as rare as its rarest quarter."""
+    """Which n-grams are seeds: rare ones, and in each stretch of an item those about as rare as its rarest quarter.
+
+    A stretch has the n-grams inside of ``THRESHOLD`` of the item's words, the least that a finding
+    copies, so each has seeds however many documents hold it.
+    """
     rare = {n: c <= max(RARE_LEAST, RARE_SHARE * total) for n, c in counts.items()}
-    own: dict[tuple[int, int], list[int]] = {}
+    own: dict[tuple[int, int], list[tuple[int, int]]] = {}
     for n, holders in items.holders.items():
         for i, places in enumerate(holders):
-            for k, _ in places:
-                own.setdefault((n, k), []).append(i)
-    for (n, _), grams in own.items():
-        c = counts[n][grams]
-        rare[n][np.array(grams)[c <= 2 * np.quantile(c, 0.25)]] = True
+            for k, place in places:
+                own.setdefault((n, k), []).append((place, i))
+    for (n, k), grams in own.items():
+        i = np.array([g for _, g in sorted(grams)])
+        span = min(len(i), max(1, int(np.ceil(THRESHOLD * len(items.words[k]))) - n + 1))
+        view = np.lib.stride_tricks.sliding_window_view(counts[n][i], span)
+        # the rarest quarter by rank, so that no stretch is without
+        for at in range(0, len(view), STRETCHES):
+            part = view[at : at + STRETCHES]
+            bound = np.partition(part, (span - 1) // 4, axis=1)[:, (span - 1) // 4]
+            row, column = np.nonzero(part <= 2 * bound[:, None])
+            rare[n][i[at + row + column]] = True
     return rare
 
 
