@@ -2,8 +2,8 @@
 
 A tag token's role is its name, class and id below its containers. Tokens of a host that occur
 equally often on the same pages - equal occurrence vectors - form a class; classes found on most
-of the host's pages and nested properly make up its template. The template's slot that holds the
-article is found per host; pages then give the blocks of that slot, less the navigation, notices,
+of the host's pages make up its template; their order and nesting are not checked. The one slot that holds
+most of the article is found per host, text in containers beside it is not read; pages then give the blocks of that slot, less the navigation, notices,
 adverts, forms and comments within it.
 
 Vectors are never spelled out: each is a hash that pages add to, so Spark sums them before any shuffle
@@ -249,7 +249,7 @@ def templates(pages: DataFrame) -> DataFrame:
     """``host, slot``: for each host with a template, the path of the slot that holds its articles.
 
     A class is valid when it has two tokens or more (a container's start and end at least), is on
-    enough of the host's pages and its containers nest in one another. Of the containers that stand
+    enough of the host's pages. Of the containers that stand
     once on their pages, the article or main element is taken, else the one with most text of its own.
     """
     rows = pages.select(F.col("url").cast("string"), F.col("html").cast("string"))
