@@ -4,6 +4,7 @@ import hashlib
 import html as markup
 import re
 import textwrap
+import time
 import zlib
 from collections import Counter
 
@@ -358,11 +359,50 @@ def test_pages_without_article_and_edges(spark):
 def test_attributes_are_read_whole():
     shown = ["style=\"overflow:hidden\"", "title='the hidden cost'", 'data-hidden="false"', 'data-role="banner"', "data-x = 'a class=ad role=banner'", "alt=hidden/id=ad", 'aria-hidden="false"']
     for a in shown:
-        assert html._attributes(a) == ("", set(), False), a
-        assert html.main_text(f"<body><p>a</p><div {a}><p {a}>lost text</p></div>", None) == "a lost text"
+        assert html._attributes(a) == ("", [], False), a
+        assert html.main_text(f"<body><p>a</p><div {a}><p {a}>lost text</p></div>") == "a lost text"
     for a in ["hidden", 'style="x" hidden', "HIDDEN=hidden", "aria-hidden = true", "title='q' role='banner'", 'data-a="1"role=search']:
         assert html._attributes(a)[2], a
-    assert html._attributes("x=1 class='lead big' ID=\"a7\"") == (".lead big#a0", {"lead", "big", "a", ""}, False)
+    assert html._attributes("x=1 class='lead big' ID=\"a7\"") == (".lead big#a0", ["lead", "big", "a7"], False)
+
+
+def extracted(spark, rows):
+    return {r.page_id: r.text for r in html.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_pages_by_the_template_of_their_host(spark):
+    """Without article elements: constant texts go whatever they are called, all slots with the pages' own text stay, menus of changing links go."""
+    box = "<div class=zz>Sign up now for all the latest and greatest news by mail every single day</div>"
+    plain = [(k, f"http://j.example/{k}", f"<html><body>{box}<div class=c9><h2>Title {k}</h2><p>Story {k} is here</p></div><div>(c) constant foot</div>") for k in range(20)]
+    bare = [(100 + k, f"http://w.example/{k}", f"<html><body><div>Head of site</div><h1>T{k}</h1><p>Story {k} <i>x</i><p>more {k * 7}<div>foot</div></body></html>") for k in range(20)]
+    links = lambda k: f"<div class=m7><a href=1>m{k} one</a> <a>m{k} two</a></div>"
+    some = lambda k: "<div class=opt>Opt box<b>x</b></div>" if k % 4 else ""
+    slots = [(200 + k, f"http://p.example/{k}", f"<body>{links(k)}<div class=post><div class=lead>lead{k}</div><div class=bod>body{k} text</div></div>{some(k)}") for k in range(20)]
+    own = [(300 + k, f"http://a.example/{k}", f"<body><article><h1>A{k}</h1><div class='social-history'>soc</div><p class='notice'>not</p><div class='ad'>no</div></article>") for k in range(20)]
+    form = [(400 + k, f"http://f.example/{k}", f"<body><form id=page><input><main><h1>F{k}</h1></main><div>other{k}</div></form>") for k in range(20)]
+    want = {r[0]: f"Title {k} Story {k} is here" for k, r in enumerate(plain)} | {r[0]: f"T{k} Story {k} x more {k * 7}" for k, r in enumerate(bare)}
+    want |= {r[0]: f"lead{k} body{k} text" for k, r in enumerate(slots)} | {r[0]: f"A{k} soc not" for k, r in enumerate(own)} | {r[0]: f"F{k}" for k, r in enumerate(form)}
+    assert extracted(spark, plain + bare + slots + own + form) == want
+
+
+def test_classes_that_cross_or_move_are_not_of_the_template(spark):
+    """Texts that change places on half the pages leave their class and stay; those in a fixed place go."""
+    moved = [(k, f"http://x.example/{k}", f"<body><div class=c>own{k}</div>{'<p class=a>A<hr class=q>B</p>' if k % 2 else '<hr class=q>B<p class=a>A</p>'}<div class=d>fixed</div>") for k in range(20)]
+    assert extracted(spark, moved) == {k: f"own{k} A B" if k % 2 else f"own{k} B A" for k in range(20)}
+
+
+def test_pages_repeated_and_hostile(spark):
+    """Rows that repeat count as pages and keep their text; markup that never ends takes linear time."""
+    page = "<body><div class=t>top</div><div class=s>story of the day</div>"
+    rows = [(1, "http://r.example/1", page)] * 3 + [(2 + k, f"http://r.example/{k}", page.replace("day", f"day {k}")) for k in range(9)] + [(50, "http://r.example/", None)]
+    got = html.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"host": F.lit(1), "tokens": F.lit(2)})).collect()
+    assert len(got) == 13 and all(r.text in ("", f"story of the day {r.page_id - 2}", "story of the day") for r in got) and sum(r.text == "" for r in got) == 1
+    hostile = ["<div>" * 40000, '<a "' * 60000, '<a ">" "' * 20000, "</x" * 60000, "<!" * 60000, "</p>" * 20000 + "<div></i>" * 20000, "<script>" + "</script" * 30000, "<b class=ad>" * 20000]
+    for h in hostile:
+        start = time.perf_counter()
+        html.main_text(h)
+        assert time.perf_counter() - start < 2, h[:20]
+    assert html.main_text("x < y <b>z</b> <!-- no") == "x < y z"
 
 
 def check_packing(rows, texts):
