@@ -305,6 +305,49 @@ def test_repeats_of_repeated_rows(spark):
         assert got == {(1, 70, 0): 3, (2, 75, 40): 1, (3, 40, 0): 1, (4, 40, 40): 1, (4, 70, 40): 1, (5, 90, 0): 1, (5, 70, 40): 1}
 
 
+def test_repeats_of_an_id_with_other_texts(spark):
+    """An id's texts are told apart: a copied text, one that holds another document, and one of its own."""
+    words = lambda c, n: " ".join(f"{c}{k}" for k in range(n))
+    a, b, own = words("a", 40), words("b", 45), words("u", 60)
+    rows = [(1, a), (2, b), (5, a), (5, f"x y z {b} tail"), (6, f"q1 q2 {own}"), (6, a), (6, a.replace(" ", "  ")), (6, None)]
+    got = Counter((r.doc_id, r.n_words, r.n_removed) for r in repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == {(1, 40, 0): 1, (2, 45, 0): 1, (5, 40, 40): 1, (5, 49, 45): 1, (6, 62, 0): 1, (6, 40, 40): 2, (6, 0, 0): 1}
+
+
+def test_repeats_at_chance_places(spark):
+    """Random texts of few words with passages, runs and periods copied anywhere: the same words go as by brute force."""
+    rng = np.random.default_rng(11)
+    texts, pool = {}, []
+    for k in range(120):
+        w = [f"v{x}" for x in rng.zipf(1.3, int(rng.integers(0, 120))) % 40]
+        for _ in range(int(rng.integers(0, 3))):
+            part = pool[int(rng.integers(len(pool)))] if pool and rng.random() < 0.6 else ["r"] * int(rng.integers(1, 60)) if rng.random() < 0.3 else ["p", "q", "s"][: int(rng.integers(1, 4))] * int(rng.integers(1, 25))
+            at = int(rng.integers(len(w) + 1))
+            w[at:at] = part
+        if len(w) > 30:
+            at = int(rng.integers(len(w) - 25))
+            pool.append(w[at : at + int(rng.integers(18, 40))])
+        texts[k] = " ".join(w)
+    got = repeats.remove_repeats(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == kept_words(texts)
+
+
+def test_symbols_stand_in_each_copy_of_a_passage():
+    """Windows of equal words show the same symbol at the same place, wherever they stand, in each round."""
+    rng = np.random.default_rng(3)
+    hashed = lambda n, top: common.mix64(rng.integers(0, top, n).astype(np.uint64))
+    for top in (2, 6, 1000):
+        passage = hashed(50, top)
+        docs = [np.concatenate([hashed(int(rng.integers(0, 30)), top), passage, hashed(int(rng.integers(0, 30)), top)]) for _ in range(40)]
+        for rounds in (repeats.LOW, repeats.HIGH):
+            seen = {}
+            for words, (names, firsts, lasts) in zip(docs, repeats.shown_by(docs, rounds)):
+                assert list(firsts[1:]) == list(lasts[:-1] + 1)
+                for name, a, b in zip(names, firsts, lasts):
+                    for i in range(a, b + 1):
+                        assert seen.setdefault(words[i : i + 20].tobytes(), name) == name
+
+
 def test_licences(spark, duck, docs, empty):
     same_rows(entries.queries()["op8_licence_scans"](spark, SMALL).toPandas(), duck.execute(licences.ORACLE_SQL).df())
     mit = next(t for n, t in licences.TEMPLATES if n == "mit" and len(t) > 500)

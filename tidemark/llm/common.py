@@ -33,6 +33,31 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: What a task should read of a shuffle whose rows Python works on, where executors have about 1 GB a core.
+TASK_BYTES = 16 << 20
+
+
+def partitions(spark: SparkSession, size: int) -> int:
+    """How many partitions ``size`` bytes make: as many as the session shuffles to, more where they would be large."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
+
+
+#: A key with more than one in ``HOT_SHARE`` of all rows is hot; there are fewer than that many.
+HOT_SHARE = 5_000
+
+
+def join_counted(rows: DataFrame, counted: DataFrame, key: list[str]) -> DataFrame:
+    """``rows`` joined with the few of ``counted(key, n, ...)``, a staged table, that share their key; ``n`` counts the rows of each key.
+
+    Hot keys, at most ``HOT_SHARE`` by the way they are chosen, are broadcast, so none of their rows is
+    shuffled; all others meet in a shuffle in which no key is large.
+    """
+    bound = (counted.agg(F.sum("n")).first()[0] or 0) // HOT_SHARE
+    hot = F.broadcast(counted.where(F.col("n") > bound))
+    rest = rows.join(hot.select(*key), key, "left_anti").join(counted.where(F.col("n") <= bound), key)
+    return rows.join(hot, key).unionByName(rest)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
@@ -58,28 +83,30 @@ def _stream(n: int, seed: int) -> np.ndarray:
         return mix64(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
 
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BYTE = _stream(256, 11)
+#: Two families of word hashes, independent of each other: 128 bits together.
+_BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F)
+_BYTES = (_stream(256, 11), _stream(256, 13))
 _COEF = _stream(64, 12) | np.uint64(1)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
-_POWERS: dict[str, np.ndarray] = {}
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS.get("up", ())) < n:
+def _powers(n: int, family: int) -> tuple[np.ndarray, np.ndarray]:
+    if family not in _POWERS or len(_POWERS[family][0]) < n:
         n = max(n, BLOCK_BYTES + 4096)
-        inverse = pow(_BASE, -1, 1 << 64)
-        for key, base in (("up", _BASE), ("down", inverse)):
+        both = []
+        for base in (_BASES[family], pow(_BASES[family], -1, 1 << 64)):
             a = np.full(n, np.uint64(base), dtype=np.uint64)
             a[0] = 1
-            _POWERS[key] = np.cumprod(a, dtype=np.uint64)
-    return _POWERS["up"], _POWERS["down"]
+            both.append(np.cumprod(a, dtype=np.uint64))
+        _POWERS[family] = tuple(both)
+    return _POWERS[family]
 
 
-def hash_block(data: bytes, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def hash_block(data: bytes, lower: bool, family: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and 64-bit hash of every word of a block of bytes."""
     buf = np.frombuffer(data, dtype=np.uint8)
     n = len(buf)
@@ -87,13 +114,13 @@ def hash_block(data: bytes, lower: bool) -> tuple[np.ndarray, np.ndarray, np.nda
     gap[1:-1] = _SPACE[buf]
     turn = np.diff(gap)
     starts, ends = np.flatnonzero(turn == -1), np.flatnonzero(turn == 1)
-    up, down = _powers(n + 1)
+    up, down = _powers(n + 1, family)
     total = np.zeros(n + 1, dtype=np.uint64)
-    values = _BYTE[_LOWER[buf] if lower else buf]
+    values = _BYTES[family][_LOWER[buf] if lower else buf]
     np.multiply(values, up[:n], out=values)
     np.cumsum(values, out=total[1:])
     h = (total[ends] - total[starts]) * down[starts]
-    return starts, ends, mix64(h + (ends - starts).astype(np.uint64) * _COEF[0])
+    return starts, ends, mix64(h + (ends - starts).astype(np.uint64) * _COEF[2 * family])
 
 
 def cut_text(data: bytes) -> Iterator[bytes]:
@@ -107,7 +134,7 @@ def cut_text(data: bytes) -> Iterator[bytes]:
         at = end
 
 
-def word_blocks(texts: list[bytes], lower: bool) -> Iterator[tuple[int, list[np.ndarray]]]:
+def word_blocks(texts: list[bytes], lower: bool, family: int = 0) -> Iterator[tuple[int, list[np.ndarray]]]:
     """For consecutive texts: the index of the first one, and the word hashes of each."""
     at = 0
     while at < len(texts):
@@ -116,10 +143,10 @@ def word_blocks(texts: list[bytes], lower: bool) -> Iterator[tuple[int, list[np.
             size += len(texts[end]) + 1
             end += 1
         if end == at + 1:
-            parts = [hash_block(b, lower)[2] for b in cut_text(texts[at])]
+            parts = [hash_block(b, lower, family)[2] for b in cut_text(texts[at])]
             yield at, [np.concatenate(parts) if parts else np.zeros(0, np.uint64)]
         else:
-            starts, _, h = hash_block(b" ".join(texts[at:end]), lower)
+            starts, _, h = hash_block(b" ".join(texts[at:end]), lower, family)
             offsets = np.cumsum([0] + [len(t) + 1 for t in texts[at:end]])
             cut = np.searchsorted(starts, offsets)
             yield at, [h[cut[i] : cut[i + 1]] for i in range(end - at)]

@@ -1,131 +1,193 @@
 """Removal of repeated passages by recompression.
 
-Rounds of recompression name pairs of neighbouring symbols: a pair is joined where its left symbol
-falls in one half of all names and its right one in the other, and never where both are equal, so
-runs stay spelled out. Names are hashes of what they stand for, so all tasks give equal pairs equal names without
-talking. Two rounds make symbols of up to four words; whether there is a boundary depends on three words to
-either side, so equal passages have equal symbols inside. The third level names seven words from a
-boundary and keeps, for each window, the least such name: equal windows keep the same one.
-
-Spark counts these names. Windows about a name that occurs again are compared by their hashes, and all but
-the first occurrence are removed. Copies of whole texts are settled before, by the text's own hash.
+Recompression names runs of one token, then, round by round, pairs of neighbouring symbols: a pair is
+joined where its left symbol falls in one half of all names and its right one in the other. Names are hashes of
+what they stand for, so all tasks give equal runs and pairs equal names. A
+symbol depends on the words of its closure alone - its own words and those neighbours that decide
+whether it is joined - so every symbol whose closure lies inside a passage stands in each copy of it.
+
+A window is 20 words. Spark rounds narrow down which windows can repeat. In each, a window shows the longest
+symbol that it determines (equal windows show the same one at the same place), Spark counts the
+symbols shown in all documents, and windows whose symbol is shown once are done. The first
+round goes through all texts with the symbols of few rounds of pairs; the second through the stretches that are left,
+with high-level symbols. The windows left are then compared by their words, as two independent 64-bit hashes,
+and all but the first of equal ones are removed. Copies of whole texts are settled before, by SHA-256.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gram_hashes, mix64, signed, staged, text_bytes, word_blocks
+from .common import gram_hashes, join_counted, mix64, partitions, signed, staged, text_bytes, word_blocks
 
-WINDOW, TOP_WORDS, REACH = 20, 7, 3
+WINDOW = 20
+#: Rounds of pairs before Spark counts symbols for the first and for the second time.
+LOW, HIGH = 4, 12
 #: Ids of documents with repeats are broadcast up to this number, 8 bytes each; beyond it both sides are shuffled.
-MOST_IDS = 2_000_000
-_ROUND = [np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)]
+MOST_IDS = 1_000_000
+_RUN, _PAIR = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
+#: More than a window: what depends on a text's end is determined by no window.
+_FAR = 100
+
 
+def symbols(words: np.ndarray, ends: np.ndarray, rounds: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """The symbols that each round names: starts, ends, closures' starts and ends, names.
 
-def boundaries(words: np.ndarray, rounds: int = 2) -> np.ndarray:
-    """Where symbols start after ``rounds`` of joining pairs."""
-    starts, names = np.arange(len(words)), words
+    ``ends`` marks the places between texts, which belong to none.
+    """
+    new = np.ones(len(words), bool)
+    new[1:] = (words[1:] != words[:-1]) | ends[1:] | ends[:-1]
+    start = np.flatnonzero(new)
+    end = np.append(start[1:], len(words))
+    name, out = words[start], ends[start]
+    run = end - start > 1
+    name = np.where(run, mix64(name + (end - start).astype(np.uint64) * _RUN), name)
+    low, high = np.where(out, start - _FAR, start - 1), np.where(out, end + _FAR, end + 1)
+    yield start[run], end[run], low[run], high[run], name[run]
     for r in range(rounds):
-        side = mix64(names ^ _ROUND[r]) >> np.uint64(63)
-        join = (side[:-1] == 0) & (side[1:] == 1) & (names[:-1] != names[1:])
-        pair = np.flatnonzero(join)
-        joined = mix64(names[pair] * np.uint64(3) + names[pair + 1] * _ROUND[1] + np.uint64(r))
-        names = names.copy()
-        names[pair] = joined
-        keep = np.ones(len(names), bool)
-        keep[pair + 1] = False
-        starts, names = starts[keep], names[keep]
-    return starts
-
-
-def top_symbols(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Names and places of the third level: at least one inside each window of 20 words."""
-    n = len(words)
-    if n < WINDOW:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    value = np.full(n, np.iinfo(np.uint64).max, np.uint64)
-    spelled = gram_hashes(words, TOP_WORDS)
-    at = boundaries(words)
-    at = at[at < len(spelled)]
-    value[at] = spelled[at] >> np.uint64(1)
-    # of the places REACH .. WINDOW - TOP_WORDS of each window, that of the least name
-    span = WINDOW - TOP_WORDS - REACH + 1
-    view = np.lib.stride_tricks.sliding_window_view(value[REACH:], span)[: n - WINDOW + 1]
-    best = np.unique(np.argmin(view, axis=1) + np.arange(len(view)) + REACH)
-    return value[best], best
+        right = mix64(name ^ (_PAIR + np.uint64(r))) >> np.uint64(63) == 1
+        left = ~right & ~out
+        right &= ~out
+        at = np.flatnonzero(left[:-1] & right[1:])
+        # what is not joined depends on the neighbour that it could have been joined with
+        wide_low, wide_high = low.copy(), high.copy()
+        k = np.flatnonzero(right[1:]) + 1
+        wide_low[k] = low[k - 1]
+        k = np.flatnonzero(left[:-1])
+        wide_high[k] = high[k + 1]
+        wide_low[at], wide_high[at] = low[at], high[at + 1]
+        end, name = end.copy(), name.copy()
+        end[at] = end[at + 1]
+        name[at] = mix64(name[at] * np.uint64(3) + name[at + 1] * _PAIR + np.uint64(1))
+        yield start[at], end[at], wide_low[at], wide_high[at], name[at]
+        keep = np.ones(len(name), bool)
+        keep[at + 1] = False
+        start, end, name, out, low, high = (x[keep] for x in (start, end, name, out, wide_low, wide_high))
+
+
+def shown(words: np.ndarray, ends: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """The longest symbol that each window determines, by length and name, and where it starts; a window without one shows itself."""
+    n = len(words) - WINDOW + 1
+    best, place = np.zeros(n, np.uint64), np.full(n, -1, np.int64)
+    for start, end, low, high, name in symbols(words, ends, rounds):
+        fits = (high - low <= WINDOW) & (low >= 0) & (high <= len(words))
+        start, end, low, high, name = (x[fits] for x in (start, end, low, high, name))
+        if not len(start):
+            continue
+        value = ((end - start).astype(np.uint64) << np.uint64(58)) | (name >> np.uint64(6))
+        # of all symbols in order, window i determines those from first[i] up to after[i]
+        first = np.cumsum(np.bincount(low + 1, minlength=len(words) + 2))[:n]
+        after = np.cumsum(np.bincount(high, minlength=len(words) + 2))[WINDOW : WINDOW + n]
+        i = np.flatnonzero(after > first)
+        if not len(i):
+            continue
+        count = (after - first)[i]
+        # places of the greatest value (the leftmost among equal ones) of 1, 2, 4, ... symbols from each on
+        tables = [np.arange(len(value))]
+        while 1 << len(tables) <= count.max():
+            t, h = tables[-1], 1 << (len(tables) - 1)
+            more = t.copy()
+            more[:-h] = np.where(value[t[:-h]] >= value[t[h:]], t[:-h], t[h:])
+            tables.append(more)
+        size = sum((count >= 1 << b).astype(np.int64) for b in range(1, len(tables))) + np.zeros(len(i), np.int64)
+        table = np.stack(tables)
+        a, b = table[size, first[i]], table[size, after[i] - (1 << size)]
+        most = np.where(value[a] >= value[b], a, b)
+        better = value[most] > best[i]
+        best[i[better]], place[i[better]] = value[most[better]], start[most[better]]
+    none = np.flatnonzero(place < 0)
+    if len(none):
+        best[none], place[none] = gram_hashes(words, WINDOW)[none] >> np.uint64(6), none
+    return best, place
+
+
+def shown_by(texts: list[np.ndarray], rounds: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each text: the symbols that its windows show, in order, and the first and last window of each."""
+    between = np.zeros(1, np.uint64)
+    words = np.concatenate([x for t in texts for x in (t, between)]) if texts else between
+    after = np.cumsum([len(t) + 1 for t in texts])
+    ends = np.zeros(len(words), bool)
+    ends[after - 1] = True
+    if len(words) >= WINDOW:
+        best, place = shown(words, ends, rounds)
+    for t, stop in zip(texts, after):
+        n, at = max(len(t) - WINDOW + 1, 0), stop - 1 - len(t)
+        if not n:
+            yield np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+            continue
+        b, p = best[at : at + n], place[at : at + n]
+        turn = np.flatnonzero(np.concatenate([[True], (b[1:] != b[:-1]) | (p[1:] != p[:-1])]))
+        yield b[turn], turn, np.append(turn[1:], n) - 1
 
 
 def _parse(batches):
     for batch in batches:
         texts = text_bytes(batch.column(1))
-        n, sha, names, places = [], [], [], []
+        n, sha, names, firsts, lasts = [], [], [], [], []
         for at, docs in word_blocks(texts, lower=False):
-            for k, words in enumerate(docs):
-                name, place = top_symbols(words)
+            for k, (words, (name, first, last)) in enumerate(zip(docs, shown_by(docs, LOW))):
                 n.append(len(words))
                 sha.append(hashlib.sha256(b" ".join(texts[at + k].split())).hexdigest())
                 names.append(signed(name))
-                places.append(place)
+                firsts.append(first)
+                lasts.append(last)
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(names, pa.list_(pa.int64())),
-                pa.array(places, pa.list_(pa.int32())),
+                pa.array(firsts, pa.list_(pa.int32())), pa.array(lasts, pa.list_(pa.int32())),
             ],
-            names=["doc_id", "version", "n_words", "sha", "names", "places"],
+            names=["doc_id", "version", "n_words", "sha", "names", "firsts", "lasts"],
         )
 
 
-def _windows(batches):
-    """Hashes of the windows about repeated symbols; of equal ones in a batch all but the first are settled here.
+def _stretches(spans) -> list[tuple[int, int]]:
+    """First and last windows of the stretches that sorted spans of windows cover."""
+    out: list[tuple[int, int]] = []
+    for first, last in spans:
+        if out and first <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], max(last, out[-1][1]))
+        else:
+            out.append((first, last))
+    return out
 
-    Rows that repeat id and version are one document: the same place in each is the first.
-    """
+
+def _second(batches):
+    """A row for each high-level symbol that the windows left by the first round show, with those windows' hashes."""
     for batch in batches:
-        ids, versions = batch.column("doc_id").to_numpy(), batch.column("version").to_numpy()
-        texts, places = text_bytes(batch.column("text")), batch.column("places")
-        rows, starts, hashes = [], [], []
-        for at, docs in word_blocks(texts, lower=False):
-            for k, words in enumerate(docs):
-                h = gram_hashes(words, WINDOW)
-                turn = np.zeros(len(words) + WINDOW + 1, np.int64)
-                p = np.asarray(places[at + k].values.to_numpy())
-                np.add.at(turn, np.maximum(p - (WINDOW - TOP_WORDS), 0), 1)
-                np.add.at(turn, np.maximum(p - REACH + 1, 0), -1)
-                i = np.flatnonzero(np.cumsum(turn)[: len(h)] > 0)
-                rows.append(np.full(len(i), at + k))
-                starts.append(i)
-                hashes.append(h[i])
+        ids, versions, texts = batch.column("doc_id").to_numpy(), batch.column("version").to_numpy(), text_bytes(batch.column("text"))
+        firsts, lasts = batch.column("firsts"), batch.column("lasts")
+        rows, names, starts, sizes, keys = [], [], [], [], ([], [])
+        for (at, one), (_, two) in zip(word_blocks(texts, False), word_blocks(texts, False, 1)):
+            of, stretch, froms = [], [], []
+            for k, words in enumerate(one):
+                for first, last in _stretches(zip(firsts[at + k].values.to_pylist(), lasts[at + k].values.to_pylist())):
+                    of.append(k)
+                    froms.append(first)
+                    stretch.append(words[first : last + WINDOW])
+            for k, first, words, (name, a, b) in zip(of, froms, stretch, shown_by(stretch, HIGH)):
+                rows.append(np.full(len(name), at + k))
+                names.append(name)
+                starts.append(a + first)
+                sizes.append(b - a + 1)
+                keys[0].append(gram_hashes(words, WINDOW))
+                keys[1].append(gram_hashes(two[k][first : first + len(words)], WINDOW))
         if not rows:
             continue
-        row, start, h = np.concatenate(rows), np.concatenate(starts), np.concatenate(hashes)
-        order = np.lexsort((start, versions[row], ids[row], h))
-        first = np.ones(len(h), bool)
-        if len(h):
-            a, b = order[:-1], order[1:]
-            new = np.concatenate([[True], h[b] != h[a]])
-            moved = (ids[row[b]] != ids[row[a]]) | (versions[row[b]] != versions[row[a]]) | (start[b] != start[a])
-            place = np.concatenate([[0], np.cumsum(new[1:] | moved)])
-            first[order] = place == place[np.flatnonzero(new)][np.cumsum(new) - 1]
-        of = np.searchsorted(row, np.arange(len(ids) + 1))
-        parts = [(np.arange(a, b), first[a:b]) for a, b in zip(of[:-1], of[1:])]
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column("doc_id"), batch.column("version"), pa.array([signed(h[i[f]]) for i, f in parts], pa.list_(pa.int64())),
-                pa.array([start[i[f]] for i, f in parts], pa.list_(pa.int32())), pa.array([start[i[~f]] for i, f in parts], pa.list_(pa.int32())),
-            ],
-            names=["doc_id", "version", "hashes", "starts", "settled"],
-        )
+        row, offsets = np.concatenate(rows), np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32)
+        lists = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(signed(np.concatenate(k)))) for k in keys]
+        columns = [pa.array(ids[row]), pa.array(versions[row]), pa.array(signed(np.concatenate(names))), pa.array(np.concatenate(starts).astype(np.int32)), *lists]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "version", "name", "first", "one", "two"])
 
 
 def _cut(batches):
     for batch in batches:
-        n, sha, kept_texts = [], [], []
+        n, sha, own_sha, kept_texts = [], [], [], []
         for text, starts in zip(text_bytes(batch.column("text")), batch.column("starts")):
             words = text.split()
             turn = np.zeros(len(words) + 1, np.int64)
@@ -135,10 +197,11 @@ def _cut(batches):
             gone = np.cumsum(turn)[:-1] > 0
             kept = b" ".join([w for w, g in zip(words, gone) if not g])
             n.append(int(gone.sum()))
+            own_sha.append(hashlib.sha256(b" ".join(words)).hexdigest())
             sha.append(hashlib.sha256(kept).hexdigest())
             kept_texts.append(kept.decode("utf-8"))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("sha"), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(kept_texts, pa.string())],
+            [batch.column("doc_id"), pa.array(own_sha, pa.string()), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(kept_texts, pa.string())],
             names=["doc_id", "sha", "cut_words", "cut_sha", "kept_text"],
         )
 
@@ -151,52 +214,58 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     Null and empty texts have no words; rows without doc_id lose nothing and take nothing from
     others; rows that repeat an id with the same text are one document; with other texts, each is a document of its own
     and the order among them is that of their hashes. An empty table gives no rows; other columns are ignored.
-    Windows and symbols are told apart by 64-bit hashes.
+    Windows are told apart by 128 bits of hashes of their words: two that differ are taken for one with a chance of 2^-128 a pair.
     """
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("version", F.xxhash64("text"))
-    parsed = staged(text.mapInArrow(_parse, "doc_id long, version long, n_words long, sha string, names array<long>, places array<int>"), "parsed")
+    fields = "doc_id long, version long, n_words long, sha string, names array<long>, firsts array<int>, lasts array<int>"
+    parsed = staged(text.mapInArrow(_parse, fields), "parsed")
+    lean = parsed.select("doc_id", "version", "n_words", "sha")
     long_ = parsed.where(f"doc_id is not null and n_words >= {WINDOW}")
-    owner = long_.groupBy("sha").agg(F.min("doc_id").alias("owner"))
-    lean = parsed.select("doc_id", "n_words", "sha").join(owner, "sha", "left")
-    copies = staged(lean.where("owner < doc_id").select("doc_id", "sha").distinct(), "copies")
-    # texts of an id that differ in blanks only are one document, read by its least version
-    one = F.min_by(F.struct("version", "names", "places"), "version").alias("one")
-    own = long_.join(copies, ["doc_id", "sha"], "left_anti").groupBy("doc_id", "sha").agg(one).select("doc_id", "one.*")
-    symbols = own.select("doc_id", "version", F.arrays_zip("names", "places").alias("s")).select("doc_id", "version", F.inline("s"))
-    again = symbols.groupBy("names").agg(F.count("*").alias("n")).where("n > 1").select("names")
-    hits = staged(symbols.join(again, "names").groupBy("doc_id", "version").agg(F.sort_array(F.collect_set("places")).alias("places")), "hits")
-    read = _texts_of(text, hits)
-    windows = staged(read.mapInArrow(_windows, "doc_id long, version long, hashes array<long>, starts array<int>, settled array<int>"), "windows")
-    each = windows.select("doc_id", "version", F.arrays_zip("hashes", "starts").alias("s")).select("doc_id", "version", F.inline("s"))
-    # repeated rows of a document tie
-    turn = F.rank().over(Window.partitionBy("hashes").orderBy("doc_id", "version", "starts"))
-    later = each.withColumn("turn", turn).where("turn > 1").select("doc_id", "version", "starts")
-    gone = later.unionByName(windows.select("doc_id", "version", F.explode("settled").alias("starts")))
-    cuts = staged(gone.groupBy("doc_id", "version").agg(F.collect_set("starts").alias("starts")), "cuts")
-    cut = _texts_of(text, cuts).mapInArrow(_cut, "doc_id long, sha string, cut_words long, cut_sha string, kept_text string")
-    cut = staged(cut.dropDuplicates(["doc_id", "sha"]) if with_text else cut.drop("kept_text").dropDuplicates(["doc_id", "sha"]), "cut")
-    out = lean.join(cut, ["doc_id", "sha"], "left")
-    copied = "owner < doc_id"
-    nothing = hashlib.sha256(b"").hexdigest()
-    return out.select(
-        "doc_id", "n_words",
-        F.expr(f"cast(case when {copied} then n_words else coalesce(cut_words, 0) end as long)").alias("n_removed"),
-        F.expr(f"case when {copied} then '{nothing}' else coalesce(cut_sha, sha) end").alias("kept_sha256"),
-        *([F.expr(f"case when {copied} then '' else kept_text end").alias("kept_text")] if with_text else []),
-    )
+    owner = staged(long_.groupBy("sha").agg(F.min("doc_id").alias("owner"), F.count("*").alias("n")).where("n > 1"), "owner")
+    shared = join_counted(lean.where("doc_id is not null"), owner, ["sha"])
+    # of texts of an id that differ in blanks only, the least version is read
+    least = shared.where("owner = doc_id").groupBy("doc_id", "sha").agg(F.min("version").alias("least"), F.max("version").alias("greatest")).where("least < greatest")
+    blanks = shared.join(least, ["doc_id", "sha"]).where("version > least").select("doc_id", "sha", "version")
+    past = shared.where("owner < doc_id").select("doc_id", "sha", "version").withColumn("copied", F.lit(True)).unionByName(blanks.withColumn("copied", F.lit(False)))
+    past = staged(past.distinct(), "past")
+    small = past.count() <= MOST_IDS
+    keys = past.select("doc_id", "version")
+    own = long_.select("doc_id", "version", "names", "firsts", "lasts").join(F.broadcast(keys) if small else keys, ["doc_id", "version"], "left_anti")
+    own = own if small else staged(own, "own")
 
+    # first round: low-level symbols of all texts
+    shows = own.select("doc_id", "version", F.inline(F.arrays_zip("names", "firsts", "lasts"))).withColumnsRenamed({"names": "name", "firsts": "first", "lasts": "last"})
+    again = staged(shows.groupBy("name").agg(F.count("*").alias("n")).where("n > 1"), "again")
+    spans = F.sort_array(F.collect_list(F.struct("first", "last"))).alias("s")
+    left = join_counted(shows, again, ["name"]).groupBy("doc_id", "version").agg(spans).select("doc_id", "version", F.col("s.first").alias("firsts"), F.col("s.last").alias("lasts"))
+    left = staged(left, "left")
 
-def _texts_of(text: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``wanted`` with the texts of its ids and versions (and their hash), reading past other texts before any shuffle where ids are few."""
-    ids = wanted.select("doc_id")
-    if wanted.count() <= MOST_IDS:
-        text = text.join(F.broadcast(ids), "doc_id", "left_semi")
-    joined = text.join(wanted, ["doc_id", "version"])
+    # second round: high-level symbols of what is left
+    fields = "doc_id long, version long, name long, first int, one array<long>, two array<long>"
+    parts = partitions(docs.sparkSession, 6 * (parsed.agg(F.sum("n_words")).first()[0] or 0))
+    high = staged(_texts_of(text, left, parts).mapInArrow(_second, fields), "high")
+    twice = staged(high.groupBy("name").agg(F.count("*").alias("n")).where("n > 1"), "twice")
+    alive = join_counted(high, twice, ["name"]).select("doc_id", "version", "first", F.posexplode(F.arrays_zip("one", "two")).alias("k", "w"))
+    windows = alive.select("w.one", "w.two", "doc_id", "version", (F.col("first") + F.col("k")).alias("start"))
 
-    def with_sha(batches):
-        for batch in batches:
-            sha = [hashlib.sha256(b" ".join(t.split())).hexdigest() for t in text_bytes(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sha, pa.string())], names=[*batch.schema.names, "sha"])
+    # windows of equal words: all but the first go
+    place = F.struct("doc_id", "version", "start")
+    first = windows.groupBy("one", "two").agg(F.min(place).alias("earliest"), F.count("*").alias("n")).where("n > 1")
+    later = join_counted(windows, staged(first, "first"), ["one", "two"]).where(place != F.col("earliest"))
+    cuts = staged(later.groupBy("doc_id", "version").agg(F.collect_set("start").alias("starts")), "cuts")
+    cut = _texts_of(text, cuts, parts).mapInArrow(_cut, "doc_id long, sha string, cut_words long, cut_sha string, kept_text string")
+    cut = cut if with_text else cut.drop("kept_text")
+    nothing = hashlib.sha256(b"").hexdigest()
+    gone = past.where("copied").select("doc_id", "sha").distinct().withColumns({"cut_words": F.lit(None).cast("long"), "cut_sha": F.lit(nothing)} | ({"kept_text": F.lit("")} if with_text else {}))
+    changed = staged(cut.dropDuplicates(["doc_id", "sha"]).unionByName(gone), "changed")
+    out = lean.drop("version").join(changed, ["doc_id", "sha"], "left")
+    removed = F.when(F.col("cut_sha").isNull(), F.lit(0).cast("long")).otherwise(F.coalesce("cut_words", "n_words"))
+    return out.select("doc_id", "n_words", removed.alias("n_removed"), F.coalesce("cut_sha", "sha").alias("kept_sha256"), *(["kept_text"] if with_text else []))
 
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in joined.schema)
-    return joined.mapInArrow(with_sha, f"{fields}, sha string") if "starts" in joined.columns else joined
+
+def _texts_of(text: DataFrame, wanted: DataFrame, parts: int) -> DataFrame:
+    """``wanted`` with the texts of its ids and versions, reading past other texts before any shuffle where ids are few."""
+    if wanted.count() <= MOST_IDS:
+        text = text.join(F.broadcast(wanted.select("doc_id")), "doc_id", "left_semi")
+    keys = ["doc_id", "version"]
+    return text.repartition(parts, *keys).join(wanted.repartition(parts, *keys), keys)
