@@ -56,9 +56,10 @@ def _members(items) -> set[int]:
 def _build(nfa: _Nfa, parsed, start: int, fold: bool, backwards: bool) -> int:
     """Add the parsed expression after ``start``; returns its end state."""
     for op, arg in reversed(list(parsed)) if backwards else parsed:
-        if op in (grammar.LITERAL, grammar.IN):
+        if op in (grammar.LITERAL, grammar.NOT_LITERAL, grammar.IN):
             end = nfa.state()
-            nfa.moves[start].append((_folded({arg} if op is grammar.LITERAL else _members(arg), fold), end))
+            chars = _members(arg) if op is grammar.IN else {arg} if op is grammar.LITERAL else set(range(256)) - {arg}
+            nfa.moves[start].append((_folded(chars, fold), end))
         elif op is grammar.SUBPATTERN:
             end = _build(nfa, arg[-1], start, fold, backwards)
         elif op is grammar.BRANCH:
@@ -110,19 +111,27 @@ class Automaton:
         rows = np.array([[b in m for m in kinds] for b in range(256)])
         _, byte_of, self.classes = np.unique(rows, axis=0, return_index=True, return_inverse=True)
         self.classes = self.classes.reshape(-1)
-        # subset construction
-        names, todo, table, accepts = {}, [nfa.closure([root])], [], []
-        names[todo[0]] = 0
+        # subset construction; a set of states is a bit set, moves lead to closed sets
+        closed = [sum(1 << t for t in nfa.closure([s])) for s in range(len(nfa.moves))]
+        class_of = {m: [c for c, b in enumerate(byte_of) if b in m] for m in kinds}
+        moves = [[(c, closed[t]) for m, t in own for c in class_of[m]] for own in nfa.moves]
+        final = {s: sum(1 << k for k in ks) for s, ks in ends.items()}
+        names, todo, table, accepts = {closed[root]: 0}, [closed[root]], [], []
         for now in todo:
-            row = []
-            for b in byte_of:
-                then = nfa.closure({t for s in now for m, t in nfa.moves[s] if b in m})
+            row, bits = [0] * len(byte_of), 0
+            while now:
+                s = (now & -now).bit_length() - 1
+                now &= now - 1
+                bits |= final.get(s, 0)
+                for c, then in moves[s]:
+                    row[c] |= then
+            for c, then in enumerate(row):
                 if then not in names:
                     names[then] = len(todo)
                     todo.append(then)
-                row.append(names[then])
+                row[c] = names[then]
             table.append(row)
-            accepts.append(sum(1 << k for s in now for k in ends.get(s, ())))
+            accepts.append(bits)
         # Moore's minimisation
         t, a = np.array(table), np.array(accepts)
         block = np.unique(a, return_inverse=True)[1].reshape(-1)

@@ -1,7 +1,8 @@
 """Secret scans: all rules run as one automaton in one pass over the bytes of a text.
 
 The pass marks where rules can end. From each end the rule's mirrored automaton reads back to the
-leftmost start after the rule's previous match; the rule's own condition then decides.
+leftmost start after the rule's previous match; the rule's own condition then decides. Of the kinds beyond the base ones the
+automaton holds what they start with.
 """
 
 from __future__ import annotations
@@ -24,18 +25,55 @@ BASE_RULES = [
     ("access", r"AKIA[A-Z0-9]+", False, 0, 16),
     ("hex", r"[0-9a-f]{32,}", False, 0, 32),
 ]
+_KEY_LINE = "-----BEGIN [A-Z0-9 ]*PRIVATE KEY( BLOCK)?-----"
 MORE_RULES = [
+    ("age", r"AGE-SECRET-KEY-1[A-Z0-9]+", False, 0, 60),
+    ("aws_secret", r"""aws_?secret(_?access)?_?key["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/=]+)""", True, 2, 40),
+    ("azure", r"AccountKey=[A-Za-z0-9+/=]+", False, 0, 60),
+    ("bearer", r"bearer\x20+[A-Za-z0-9._~+/=-]+", True, 0, 27),
     ("github", r"gh[opsur]_[A-Za-z0-9]+", False, 0, 40),
-    ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", False, 0, 27),
+    ("github_fine", r"github_pat_[A-Za-z0-9_]+", False, 0, 40),
+    ("gitlab", r"glpat-[A-Za-z0-9_-]+", False, 0, 26),
+    ("google", r"AIza[A-Za-z0-9_-]+", False, 0, 39),
+    ("google_oauth", r"ya29\.[A-Za-z0-9_-]+", False, 0, 30),
+    ("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", False, 0, 40),
+    ("model_key", r"sk-(proj-|ant-|svcacct-)[A-Za-z0-9_-]+", False, 0, 40),
+    ("model_key_old", r"sk-[A-Za-z0-9]+", False, 0, 35),
+    ("npm", r"npm_[A-Za-z0-9]+", False, 0, 40),
+    ("pem", _KEY_LINE, False, 0, 27),
+    ("pem_end", _KEY_LINE.replace("BEGIN", "END"), False, 0, 25),
+    ("sendgrid", r"SG\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", False, 0, 60),
     ("slack", r"xox[abprs]-[A-Za-z0-9-]+", False, 0, 15),
+    ("slack_hook", r"https://hooks\.slack\.com/services/[A-Za-z0-9/]+", False, 0, 60),
+    ("stripe", r"[rs]k_(live|test)_[A-Za-z0-9]+", False, 0, 24),
+    ("url_password", r"""(https?|ftp|postgres(ql)?|mysql|mongodb(\+srv)?|rediss?|amqps?)://[^\x00-\x20"':@/]+:[^\x00-\x20"':@/]+@""", False, 0, 10),
 ]
+#: What a kind of our own starts with. The automaton finds these; what follows is read on from there, so that no
+#: product of all rules' bodies is ever built. Such kinds start after a
+#: character of no word, but for the lines of private keys, which may follow a written-out line end.
+HEADS = {
+    "age": "AGE-SECRET-KEY-1", "aws_secret": "aws_?secret(_?access)?_?key", "azure": "AccountKey=", "bearer": r"bearer\x20", "github": "gh[opsur]_",
+    "github_fine": "github_pat_", "gitlab": "glpat-", "google": "AIza", "google_oauth": r"ya29\.", "jwt": "eyJ", "model_key": "sk-(proj-|ant-|svcacct-)",
+    "model_key_old": "sk-[A-Za-z0-9]", "npm": "npm_", "pem": "-----BEGIN ", "pem_end": "-----END ", "sendgrid": r"SG\.", "slack": "xox[abprs]-",
+    "slack_hook": "https://hooks", "stripe": "[rs]k_(live|test)_", "url_password": r"(https?|ftp|postgres(ql)?|mysql|mongodb(\+srv)?|rediss?|amqps?)://",
+}
 RULES = BASE_RULES + MORE_RULES
+_PEM, _PEM_END = ([r[0] for r in RULES].index(k) for k in ("pem", "pem_end"))
+#: What may follow the first line of a private key whose last line is missing.
+_KEY_BODY = re.compile(rb"[A-Za-z0-9+/=\r\n\\]*")
+
+
+#: In the automaton hex digits count from four on; the rule's own condition decides on their number.
+_SHORT_HEX = "[0-9a-f]{4,}"
+_WORD = frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_")
 
 
 @cache
 def _compiled():
-    forward = Automaton([(p, fold) for _, p, fold, _, _ in RULES])
-    back = [Automaton([(p, fold)], anchored=True, backwards=True) for _, p, fold, _, _ in RULES]
+    rules = [(_SHORT_HEX if kind == "hex" else p, fold) for kind, p, fold, _, _ in BASE_RULES]
+    rules += [(HEADS[kind], fold) for kind, _, fold, _, _ in MORE_RULES]
+    forward = Automaton(rules)
+    back = [Automaton([rule], anchored=True, backwards=True) for rule in rules]
     whole = [re.compile(p.encode(), re.IGNORECASE if fold else 0) for _, p, fold, _, _ in RULES]
     return forward, back, whole
 
@@ -79,11 +117,28 @@ def scan(data: bytes) -> list[tuple[int, int, int]]:
                     start = at
             if start < 0:
                 continue
-            last = end  # a match that fails its condition has still taken its text
-            m = whole[k].fullmatch(data, start, end)
+            if k < len(BASE_RULES):
+                last = end  # a match that fails its condition has still taken its text
+                m = whole[k].fullmatch(data, start, end)
+            else:
+                alone = k in (_PEM, _PEM_END) or not start or data[start - 1] not in _WORD
+                m = whole[k].match(data, start) if alone else None
+                last = m.end() if m else last
             if m and len(m[group]) >= least:
-                found.append((start, end, k))
-    return sorted(found, key=lambda x: (x[0], x[2]))
+                found.append((*m.span(), k))
+    return sorted(_whole_keys(data, found), key=lambda x: (x[0], x[2]))
+
+
+def _whole_keys(data: bytes, found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Private keys as one match each, from the first line through the last one, or as far as a key's text goes where the last one is missing."""
+    lines = sorted(x for x in found if x[2] in (_PEM, _PEM_END))
+    if not lines:
+        return found
+    keys = []
+    for (start, end, k), (_, close, then) in zip(lines, [*lines[1:], (len(data), 0, -1)]):
+        if k == _PEM:
+            keys.append((start, close if then == _PEM_END else _KEY_BODY.match(data, end).end(), k))
+    return [x for x in found if x[2] not in (_PEM, _PEM_END)] + keys
 
 
 def spans_of(data: bytes) -> list[tuple[int, int, int]]:
