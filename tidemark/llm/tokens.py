@@ -1,15 +1,17 @@
 """Token counts with a public tokenizer; huge texts are encoded in overlapping chunks.
 
 Each chunk is encoded with offsets. Two neighbours are spliced at a boundary that both have and
-that no context can move: a blank after a character that is no white space. Pre-tokens of these
-tokenizers take a blank only as their first character, so every pre-token ends there, and what
-follows depends on what follows alone. Where the overlap holds no such place it is widened, at
-last to the whole of both chunks.
+that no context can move: a blank after a character that is no white space, or a sign after a letter or digit. Pre-tokens of
+these tokenizers take a blank only as their first character, and a run of letters or digits ends before a sign, so
+every pre-token ends there, and what follows depends on what follows alone. The overlap reaches back to such a place; where
+alignment fails it is widened, at last to the whole of both chunks. Text without any such place
+(one endless word) is encoded as a whole, in steps that double.
 """
 
 from __future__ import annotations
 
 import os
+from unicodedata import category
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,7 +37,14 @@ def load(path: str):
 
 
 def _stable(text: str, at: int) -> bool:
-    return text[at] == " " and not text[at - 1].isspace()
+    now, before = text[at], text[at - 1]
+    if now == " ":
+        return not before.isspace()
+    return not now.isspace() and category(before)[0] in "LN" and category(now)[0] not in "LNM"
+
+
+def _last_stable(text: str, low: int, high: int) -> int | None:
+    return next((p for p in range(high - 1, low, -1) if _stable(text, p)), None)
 
 
 def _encode(tok, text: str, start: int, end: int) -> tuple[list[int], list[int]]:
@@ -49,8 +58,11 @@ def encode_long(tok, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> l
     ids, at = _encode(tok, text, 0, end)
     done: list[int] = []
     while end < len(text):
-        more, low, wide = min(len(text), end + chunk), at[0], overlap
-        while True:
+        more, low = min(len(text), end + chunk), at[0]
+        # an overlap without a stable place is of no use: reach back to the last one at least
+        last = _last_stable(text, low, end - 1)
+        wide, place = overlap if last is None else max(overlap, end - last + 1), None
+        while last is not None:
             start = max(low, end - wide)
             next_ids, next_at = _encode(tok, text, start, more)
             both = {p for p in at if p > start} & set(next_at)
@@ -60,6 +72,8 @@ def encode_long(tok, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> l
                 break
             wide *= 2
         if place is None:
+            # nothing to splice at: take as much again, so that all such attempts together stay linear
+            more = min(len(text), low + max(2 * (end - low), chunk))
             ids, at = _encode(tok, text, low, more)
         else:
             done += ids[: at.index(place)]
