@@ -170,7 +170,8 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, train: str, most: int = MO
     own = labels.where("doc_id is not null and quality in (0, 1)").where(train).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     own = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     text = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return text.join(F.broadcast(own), "doc_id").select("text", "quality")
+    # of texts that repeat an id the least is read, so there is one row for each id
+    return text.join(F.broadcast(own), "doc_id").groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.max("quality").alias("quality")).select("text", "quality")
 
 
 def train_model(docs: DataFrame, labels: DataFrame, train: str = "true") -> Model:
@@ -183,7 +184,7 @@ def train_model(docs: DataFrame, labels: DataFrame, train: str = "true") -> Mode
                 [pa.array(list(x), pa.list_(pa.float64())), batch.column(1).cast(pa.int32())], names=["x", "y"]
             )
 
-    rows = labelled_rows(docs, labels, train).mapInArrow(run, "x array<double>, y int").limit(2 * MOST_LABELS).toPandas()
+    rows = labelled_rows(docs, labels, train).mapInArrow(run, "x array<double>, y int").toPandas()
     rows["key"] = rows.x.map(lambda v: np.asarray(v).tobytes())
     rows = rows.sort_values(["key", "y"])  # the same fit in whatever order tasks end
     x = np.stack(rows.x.tolist()) if len(rows) else np.zeros((0, len(FEATURES)))
@@ -191,7 +192,8 @@ def train_model(docs: DataFrame, labels: DataFrame, train: str = "true") -> Mode
 
 
 def scored(docs: DataFrame, model: Model, cutoff: float = 0.3) -> DataFrame:
-    """``docs`` with ``score`` and ``predicted``; null texts count as empty."""
+    """``docs`` with ``score`` and ``predicted``, in place of columns of these names; null texts count as empty."""
+    docs = docs.drop("score", "predicted")
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema)}, `score` double, `predicted` int"
     at = docs.columns.index("text")
 
