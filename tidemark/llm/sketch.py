@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shingle_set, word_blocks
+from .common import TASK_BYTES, partitions, shingle_set, word_blocks
 
 K, BITS = 128, 48
 
@@ -136,8 +136,9 @@ def compare_with_edits(docs: DataFrame, rows_per_range: int = 4096, most_ranges:
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    total = rows.agg(F.count("*"), F.max("doc_id")).first()
-    ranges = max(1, min(total[0] // rows_per_range, most_ranges))
+    total = rows.agg(F.count("*"), F.max("doc_id"), F.sum(F.octet_length("text"))).first()
+    # a range, and a task, for as many rows or bytes, whichever makes more
+    ranges = max(1, min(max(total[0] // rows_per_range, (total[2] or 0) // TASK_BYTES), most_ranges))
     heads = []
     if total[1] is not None:
         cuts = [i / ranges for i in range(1, ranges)] + [1.0]
@@ -161,6 +162,6 @@ def compare_with_edits(docs: DataFrame, rows_per_range: int = 4096, most_ranges:
         border = border.unionByName(rows.groupBy().agg(F.min("text").alias("text")).where("text is not null").select(
             F.lit(None).cast("long").alias("doc_id"), "text", F.lit(0).cast("long").alias("r"), F.lit(True).alias("border")))
     dealt = own.select("r", "doc_id", "text", "border").unionByName(border.select("r", "doc_id", "text", "border"))
-    parts = max(1, min(len(heads), int(spark.conf.get("spark.sql.shuffle.partitions")) * 4))
+    parts = max(1, min(len(heads), partitions(spark, total[2] or 0)))
     ordered = dealt.repartition(parts, "r").sortWithinPartitions("r", "border", F.col("doc_id").desc_nulls_last(), "text")
     return ordered.mapInArrow(_in_order, _COMPARED)
