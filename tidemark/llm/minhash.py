@@ -17,13 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SHINGLE_WORDS, connected_components, mix64, shingle_set, signed, staged, text_bytes, word_blocks
+from .common import SHINGLE_WORDS, connected_components, join_counted, mix64, shingle_set, signed, staged, text_bytes, word_blocks
 
 REGISTERS, BAND, MANTISSA = 128, 4, 24
 #: A pair is dropped unread only when its estimate lies this many standard deviations below the threshold.
 SIGMAS = 6.0
 #: Bands of at most this many members are compared pair by pair where components differ.
 FEW = 16
+#: Members on each side of a cell of a larger band.
+CELL = 256
 #: 64-bit words of the map that tells members of larger bands apart.
 WORDS = 16
 _MARKS = ["n", "lacks", "lacks_hidden", "more", "more_hidden", *(f"w{k}" for k in range(WORDS))]
@@ -150,7 +152,7 @@ def _across(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     open_ = staged(rest.join(split.select("band", "m", "pivot"), "band"), "open")
     few = open_.where(f"m <= {FEW}").select("band", "id", "comp")
     pairs = few.alias("x").join(few.alias("y"), "band").where("x.comp < y.comp").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    many = open_.where(f"m > {FEW}").select("band", "id", "comp", "pivot")
+    many = open_.where(f"m > {FEW}").select("band", "m", "id", "comp", "pivot")
     both = many.select("pivot", "id").distinct().join(sets.toDF("id", "hashes"), "id").join(sets.toDF("pivot", "ph"), "pivot")
     fields = "pivot long, id long, " + ", ".join(f"{c} long" for c in _MARKS)
     marked = many.join(staged(both.mapInArrow(_marks, fields), "marks"), ["pivot", "id"]).drop("pivot")
@@ -160,7 +162,12 @@ def _across(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         return f"least(x.{count}, y.{count}, {bits} + least(x.{hidden}, y.{hidden}))"
 
     common = f"{shared('lacks', 'lacks_hidden', range(WORDS // 2))} + {shared('more', 'more_hidden', range(WORDS // 2, WORDS))}"
-    far = marked.alias("x").join(marked.alias("y"), "band").where(
+    # a band of m members is compared in cells of CELL by CELL, so that no task has more than one cell to do
+    cells = F.ceil(F.col("m") / CELL).cast("int")
+    own = marked.withColumn("cell", F.pmod(F.hash("id"), cells))
+    every = F.explode(F.sequence(F.lit(0), cells - 1))
+    x, y = own.withColumnRenamed("cell", "row").withColumn("column", every), own.withColumnRenamed("cell", "column").withColumn("row", every)
+    far = x.alias("x").join(y.alias("y"), ["band", "row", "column"]).where(
         f"x.comp < y.comp and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and "
         f"(100 + {percent}) * (x.lacks + x.more + y.lacks + y.more - 2 * ({common})) <= (100 - {percent}) * (x.n + y.n)"
     )
@@ -180,14 +187,14 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketch = staged(text.mapInArrow(_sketch, _SKETCH), "sketch")
     filled = sketch.where("doc_id is not null and n_shingles > 0")
-    classes = filled.groupBy("c1", "c2", "n_shingles").agg(F.min("doc_id").alias("rep"))
+    key = ["c1", "c2", "n_shingles"]
+    classes = filled.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1")
     # A repeated id may carry several texts; each of its sets is searched under its own key.
+    followers = join_counted(filled.select("doc_id", *key), staged(classes, "classes"), key).where("doc_id <> rep")
+    followers = staged(followers.select("doc_id", *key, "rep").distinct(), "followers")
     reps = staged(
-        filled.join(classes, ["c1", "c2", "n_shingles"]).where("doc_id = rep")
-        .dropDuplicates(["doc_id", "c1", "c2", "n_shingles"])
-        .select("doc_id", "c1", "c2", "n_shingles", "registers", "bands"),
-        "reps",
-    )
+        filled.join(followers, ["doc_id", *key], "left_anti").dropDuplicates(["doc_id", *key]).select("doc_id", *key, "registers", "bands"), "reps"
+    )
     entries = reps.select(F.explode("bands").alias("band"), F.col("doc_id").alias("id"))
     crowded = entries.groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high")
     members = staged(entries.join(crowded, "band"), "members")
@@ -218,13 +225,13 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     )
     links = staged(verify(first), "links")
     links = links.unionByName(verify(_across(labelled(links), sets, percent)))
-    same = classes.withColumnRenamed("rep", "class_rep")
-    found = connected_components(links)
+    found = staged(connected_components(links), "components")
     # Rows of one id with different texts are one document: its smallest label holds for all of them.
+    led = followers.groupBy("rep").agg(F.count("*").alias("n")).join(found.toDF("rep", "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     label = (
-        filled.select("doc_id", "c1", "c2", "n_shingles").join(same, ["c1", "c2", "n_shingles"])
-        .join(found.withColumnRenamed("id", "class_rep"), "class_rep", "left")
-        .groupBy("doc_id").agg(F.min(F.coalesce("component", "class_rep")).alias("component_id"))
+        reps.select("doc_id").join(found.toDF("doc_id", "component"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"))
+        .unionByName(join_counted(followers.select("doc_id", "rep"), staged(led, "led"), ["rep"]).select("doc_id", "component"))
+        .groupBy("doc_id").agg(F.min("component").alias("component_id"))
     )
     out = sketch.select("doc_id", "n_shingles").join(label, "doc_id", "left")
     component = F.coalesce("component_id", "doc_id")
