@@ -6,12 +6,13 @@ what they stand for, so all tasks give equal runs and pairs equal names. A
 symbol depends on the words of its closure alone - its own words and those neighbours that decide
 whether it is joined - so every symbol whose closure lies inside a passage stands in each copy of it.
 
-A window is 20 words. Spark rounds narrow down which windows can repeat. In each, a window shows the longest
-symbol that it determines (equal windows show the same one at the same place), Spark counts the
-symbols shown in all documents, and windows whose symbol is shown once are done. The first
-round goes through all texts with the symbols of few rounds of pairs; the second through the stretches that are left,
-with high-level symbols. The windows left are then compared by their words, as two independent 64-bit hashes,
-and all but the first of equal ones are removed. Copies of whole texts are settled before, by SHA-256.
+A window is 20 words. It shows the longest symbol that it determines, named with its closure; equal windows show the same one at the
+same place. Spark counts the symbols shown in all documents, and windows whose symbol is shown once are done. The
+windows left are compared by their words, as two independent 64-bit hashes: Spark finds the first place
+of each, and all other places are removed. Copies of whole texts are settled before, by SHA-256.
+
+Rows of hot symbols are not shuffled by them, and first places are combined before their shuffle, so passages that
+many documents share gather nowhere.
 """
 
 from __future__ import annotations
@@ -27,8 +28,10 @@ from pyspark.sql import functions as F
 from .common import gram_hashes, join_counted, mix64, partitions, signed, staged, text_bytes, word_blocks
 
 WINDOW = 20
-#: Rounds of pairs before Spark counts symbols for the first and for the second time.
-LOW, HIGH = 4, 12
+#: Rounds of pairs; symbols of about five words come of them. More rounds add longer symbols to show, but more of them.
+ROUNDS = 4
+#: A span of windows is one number: the first one times this, and how many follow. A symbol is shown by 20 windows at most.
+SPAN = 32
 #: Ids of documents with repeats are broadcast up to this number, 8 bytes each; beyond it both sides are shuffled.
 MOST_IDS = 1_000_000
 _RUN, _PAIR = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
@@ -71,10 +74,25 @@ def symbols(words: np.ndarray, ends: np.ndarray, rounds: int) -> Iterator[tuple[
         start, end, name, out, low, high = (x[keep] for x in (start, end, name, out, wide_low, wide_high))
 
 
+class _Spans:
+    """Names of spans of words of any length, by sums of words with powers for weights."""
+
+    def __init__(self, words: np.ndarray) -> None:
+        base = int(_PAIR) | 1
+        up, self.down = (np.full(len(words) + 1, np.uint64(b)) for b in (base, pow(base, -1, 1 << 64)))
+        up[0] = self.down[0] = 1
+        up, self.down = np.cumprod(up), np.cumprod(self.down)
+        self.total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * up[:-1])])
+
+    def names(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        return mix64((self.total[high] - self.total[low]) * self.down[low] + (high - low).astype(np.uint64) * _RUN)
+
+
 def shown(words: np.ndarray, ends: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """The longest symbol that each window determines, by length and name, and where it starts; a window without one shows itself."""
+    """The closure of the longest symbol that each window determines, by name, and where the symbol starts; a window without one shows itself."""
     n = len(words) - WINDOW + 1
-    best, place = np.zeros(n, np.uint64), np.full(n, -1, np.int64)
+    best, place, name_of = np.zeros(n, np.uint64), np.full(n, -1, np.int64), np.zeros(n, np.uint64)
+    closures = _Spans(words)
     for start, end, low, high, name in symbols(words, ends, rounds):
         fits = (high - low <= WINDOW) & (low >= 0) & (high <= len(words))
         start, end, low, high, name = (x[fits] for x in (start, end, low, high, name))
@@ -100,15 +118,16 @@ def shown(words: np.ndarray, ends: np.ndarray, rounds: int) -> tuple[np.ndarray,
         a, b = table[size, first[i]], table[size, after[i] - (1 << size)]
         most = np.where(value[a] >= value[b], a, b)
         better = value[most] > best[i]
-        best[i[better]], place[i[better]] = value[most[better]], start[most[better]]
+        most, i = most[better], i[better]
+        best[i], place[i], name_of[i] = value[most], start[most], closures.names(low[most], high[most])
     none = np.flatnonzero(place < 0)
     if len(none):
-        best[none], place[none] = gram_hashes(words, WINDOW)[none] >> np.uint64(6), none
-    return best, place
+        name_of[none], place[none] = gram_hashes(words, WINDOW)[none], none
+    return name_of, place
 
 
 def shown_by(texts: list[np.ndarray], rounds: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each text: the symbols that its windows show, in order, and the first and last window of each."""
+    """For each text: the names that its windows show, in order, and the first and last window of each."""
     between = np.zeros(1, np.uint64)
     words = np.concatenate([x for t in texts for x in (t, between)]) if texts else between
     after = np.cumsum([len(t) + 1 for t in texts])
@@ -129,27 +148,27 @@ def shown_by(texts: list[np.ndarray], rounds: int) -> Iterator[tuple[np.ndarray,
 def _parse(batches):
     for batch in batches:
         texts = text_bytes(batch.column(1))
-        n, sha, names, firsts, lasts = [], [], [], [], []
+        n, sha, names, spans = [], [], [], []
         for at, docs in word_blocks(texts, lower=False):
-            for k, (words, (name, first, last)) in enumerate(zip(docs, shown_by(docs, LOW))):
+            for k, (words, (name, first, last)) in enumerate(zip(docs, shown_by(docs, ROUNDS))):
                 n.append(len(words))
                 sha.append(hashlib.sha256(b" ".join(texts[at + k].split())).hexdigest())
                 names.append(signed(name))
-                firsts.append(first)
-                lasts.append(last)
+                spans.append(first * SPAN + last - first)
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(names, pa.list_(pa.int64())),
-                pa.array(firsts, pa.list_(pa.int32())), pa.array(lasts, pa.list_(pa.int32())),
+                pa.array(spans, pa.list_(pa.int64())),
             ],
-            names=["doc_id", "version", "n_words", "sha", "names", "firsts", "lasts"],
+            names=["doc_id", "version", "n_words", "sha", "names", "spans"],
         )
 
 
 def _stretches(spans) -> list[tuple[int, int]]:
     """First and last windows of the stretches that sorted spans of windows cover."""
     out: list[tuple[int, int]] = []
-    for first, last in spans:
+    for first, more in (divmod(x, SPAN) for x in spans.values.to_pylist()):
+        last = first + more
         if out and first <= out[-1][1] + 1:
             out[-1] = (out[-1][0], max(last, out[-1][1]))
         else:
@@ -157,43 +176,44 @@ def _stretches(spans) -> list[tuple[int, int]]:
     return out
 
 
-def _second(batches):
-    """A row for each high-level symbol that the windows left by the first round show, with those windows' hashes."""
+def _windows(batches):
+    """Both hashes of each window left, with the earliest place it has in the batch."""
     for batch in batches:
         ids, versions, texts = batch.column("doc_id").to_numpy(), batch.column("version").to_numpy(), text_bytes(batch.column("text"))
-        firsts, lasts = batch.column("firsts"), batch.column("lasts")
-        rows, names, starts, sizes, keys = [], [], [], [], ([], [])
+        spans = batch.column("spans")
+        rows, starts, keys = [], [], ([], [])
         for (at, one), (_, two) in zip(word_blocks(texts, False), word_blocks(texts, False, 1)):
-            of, stretch, froms = [], [], []
-            for k, words in enumerate(one):
-                for first, last in _stretches(zip(firsts[at + k].values.to_pylist(), lasts[at + k].values.to_pylist())):
-                    of.append(k)
-                    froms.append(first)
-                    stretch.append(words[first : last + WINDOW])
-            for k, first, words, (name, a, b) in zip(of, froms, stretch, shown_by(stretch, HIGH)):
-                rows.append(np.full(len(name), at + k))
-                names.append(name)
-                starts.append(a + first)
-                sizes.append(b - a + 1)
-                keys[0].append(gram_hashes(words, WINDOW))
-                keys[1].append(gram_hashes(two[k][first : first + len(words)], WINDOW))
+            for k in range(len(one)):
+                for first, last in _stretches(spans[at + k]):
+                    rows.append(np.full(last - first + 1, at + k))
+                    starts.append(np.arange(first, last + 1))
+                    for words, hashes in zip((one, two), keys):
+                        hashes.append(gram_hashes(words[k][first : last + WINDOW], WINDOW))
         if not rows:
             continue
-        row, offsets = np.concatenate(rows), np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32)
-        lists = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(signed(np.concatenate(k)))) for k in keys]
-        columns = [pa.array(ids[row]), pa.array(versions[row]), pa.array(signed(np.concatenate(names))), pa.array(np.concatenate(starts).astype(np.int32)), *lists]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "version", "name", "first", "one", "two"])
+        row, start, a, b = (np.concatenate(x) for x in (rows, starts, *keys))
+        order = np.lexsort((start, versions[row], ids[row], b, a))
+        new = np.ones(len(order), bool)
+        new[1:] = (a[order[1:]] != a[order[:-1]]) | (b[order[1:]] != b[order[:-1]])
+        at = order[new]
+        columns = [signed(a[at]), signed(b[at]), ids[row[at]], versions[row[at]], start[at].astype(np.int32)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["one", "two", "doc_id", "version", "start"])
 
 
 def _cut(batches):
+    """Texts less the windows left that are not their own words' first place."""
     for batch in batches:
         n, sha, own_sha, kept_texts = [], [], [], []
-        for text, starts in zip(text_bytes(batch.column("text")), batch.column("starts")):
+        for text, spans, own in zip(text_bytes(batch.column("text")), batch.column("spans"), batch.column("own")):
             words = text.split()
+            again = np.zeros(len(words) + 1, bool)
+            for first, last in _stretches(spans):
+                again[first : last + 1] = True
+            again[own.values.to_numpy()] = False
+            s = np.flatnonzero(again)
             turn = np.zeros(len(words) + 1, np.int64)
-            s = starts.values.to_numpy()
             np.add.at(turn, s, 1)
-            np.add.at(turn, np.minimum(s + WINDOW, len(words)), -1)
+            np.add.at(turn, s + WINDOW, -1)
             gone = np.cumsum(turn)[:-1] > 0
             kept = b" ".join([w for w, g in zip(words, gone) if not g])
             n.append(int(gone.sum()))
@@ -216,8 +236,8 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     and the order among them is that of their hashes. An empty table gives no rows; other columns are ignored.
     Windows are told apart by 128 bits of hashes of their words: two that differ are taken for one with a chance of 2^-128 a pair.
     """
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("version", F.xxhash64("text"))
-    fields = "doc_id long, version long, n_words long, sha string, names array<long>, firsts array<int>, lasts array<int>"
+    text = _versions(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+    fields = "doc_id long, version long, n_words long, sha string, names array<long>, spans array<long>"
     parsed = staged(text.mapInArrow(_parse, fields), "parsed")
     lean = parsed.select("doc_id", "version", "n_words", "sha")
     long_ = parsed.where(f"doc_id is not null and n_words >= {WINDOW}")
@@ -230,29 +250,22 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     past = staged(past.distinct(), "past")
     small = past.count() <= MOST_IDS
     keys = past.select("doc_id", "version")
-    own = long_.select("doc_id", "version", "names", "firsts", "lasts").join(F.broadcast(keys) if small else keys, ["doc_id", "version"], "left_anti")
+    own = long_.select("doc_id", "version", "names", "spans").join(F.broadcast(keys) if small else keys, ["doc_id", "version"], "left_anti")
     own = own if small else staged(own, "own")
 
-    # first round: low-level symbols of all texts
-    shows = own.select("doc_id", "version", F.inline(F.arrays_zip("names", "firsts", "lasts"))).withColumnsRenamed({"names": "name", "firsts": "first", "lasts": "last"})
+    # first round: the symbols that windows show
+    shows = own.select("doc_id", "version", F.inline(F.arrays_zip("names", "spans"))).withColumnsRenamed({"names": "name", "spans": "span"})
     again = staged(shows.groupBy("name").agg(F.count("*").alias("n")).where("n > 1"), "again")
-    spans = F.sort_array(F.collect_list(F.struct("first", "last"))).alias("s")
-    left = join_counted(shows, again, ["name"]).groupBy("doc_id", "version").agg(spans).select("doc_id", "version", F.col("s.first").alias("firsts"), F.col("s.last").alias("lasts"))
+    left = join_counted(shows, again, ["name"]).groupBy("doc_id", "version").agg(F.sort_array(F.collect_set("span")).alias("spans"))
     left = staged(left, "left")
 
-    # second round: high-level symbols of what is left
-    fields = "doc_id long, version long, name long, first int, one array<long>, two array<long>"
+    # second round: the windows left; of equal ones the first stays, so all else that is left in a document goes
     parts = partitions(docs.sparkSession, 6 * (parsed.agg(F.sum("n_words")).first()[0] or 0))
-    high = staged(_texts_of(text, left, parts).mapInArrow(_second, fields), "high")
-    twice = staged(high.groupBy("name").agg(F.count("*").alias("n")).where("n > 1"), "twice")
-    alive = join_counted(high, twice, ["name"]).select("doc_id", "version", "first", F.posexplode(F.arrays_zip("one", "two")).alias("k", "w"))
-    windows = alive.select("w.one", "w.two", "doc_id", "version", (F.col("first") + F.col("k")).alias("start"))
-
-    # windows of equal words: all but the first go
-    place = F.struct("doc_id", "version", "start")
-    first = windows.groupBy("one", "two").agg(F.min(place).alias("earliest"), F.count("*").alias("n")).where("n > 1")
-    later = join_counted(windows, staged(first, "first"), ["one", "two"]).where(place != F.col("earliest"))
-    cuts = staged(later.groupBy("doc_id", "version").agg(F.collect_set("start").alias("starts")), "cuts")
+    windows = _texts_of(text, left, parts).mapInArrow(_windows, "one long, two long, doc_id long, version long, start int")
+    first = windows.groupBy("one", "two").agg(F.min(F.struct("doc_id", "version", "start")).alias("p")).groupBy("p.doc_id", "p.version").agg(F.collect_list("p.start").alias("own"))
+    both = left.join(first, ["doc_id", "version"], "left").withColumn("own", F.coalesce("own", F.array().cast("array<int>")))
+    n_left = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + F.pmod(x, F.lit(SPAN)) + 1)
+    cuts = staged(both.where(n_left > F.size("own")), "cuts")
     cut = _texts_of(text, cuts, parts).mapInArrow(_cut, "doc_id long, sha string, cut_words long, cut_sha string, kept_text string")
     cut = cut if with_text else cut.drop("kept_text")
     nothing = hashlib.sha256(b"").hexdigest()
@@ -263,6 +276,16 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     return out.select("doc_id", "n_words", removed.alias("n_removed"), F.coalesce("cut_sha", "sha").alias("kept_sha256"), *(["kept_text"] if with_text else []))
 
 
+def _versions(text: DataFrame) -> DataFrame:
+    """``text`` with ``version``: 0, or where an id has more rows than one, the hash of their texts."""
+    several = staged(text.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", F.lit(True).alias("several")), "several")
+    if several.isEmpty():
+        return text.withColumn("version", F.lit(0).cast("long"))
+    several = F.broadcast(several) if several.count() <= MOST_IDS else several
+    version = F.when(F.col("several"), F.xxhash64("text")).otherwise(F.lit(0).cast("long"))
+    return text.join(several, "doc_id", "left").select("doc_id", "text", version.alias("version"))
+
+
 def _texts_of(text: DataFrame, wanted: DataFrame, parts: int) -> DataFrame:
     """``wanted`` with the texts of its ids and versions, reading past other texts before any shuffle where ids are few."""
     if wanted.count() <= MOST_IDS:
