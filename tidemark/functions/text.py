@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Accented letters and what stands for each in a comparison key.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ’"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY'"
+def _folds() -> dict[str, str]:
+    """Letters below U+2000 that canonically decompose into one character and marks, with that character."""
+    out = {"\u2019": "'"}
+    for code in range(0xC0, 0x2000):
+        base, *marks = unicodedata.normalize("NFD", chr(code))
+        if marks and all(unicodedata.category(m)[0] == "M" for m in marks):
+            out[chr(code)] = base
+    return out
+
+
+FOLDS = _folds()
 # What makes an action count as a download in the live counters.
 DOWNLOAD_HINTS = ("download", "telecharg", "téléchar", "document", "certificat", "decompte", "wallet", "file")
 # Routes and the families they belong to.
@@ -30,18 +39,20 @@ def first_text(*columns: Column | str) -> Column:
 
 def normalize_label(c: Column) -> Column:
     """Trimmed; text that was read as Latin-1 though it was UTF-8 is repaired, up to three times."""
-    out = F.trim(c)
-    for _ in range(3):
+
+    def mended(x: Column, _: Column) -> Column:
         # only characters of Latin-1 can be turned back into bytes
-        broken = out.rlike("[ÃÂ�]") & ~out.rlike("[^\u0000-ÿ]")
-        mended = F.try_validate_utf8(F.encode(out, "ISO-8859-1").cast("string"))
-        out = F.when(broken, F.coalesce(mended, out)).otherwise(out)
-    return out
+        whole = F.try_validate_utf8(F.encode(x, "ISO-8859-1").cast("string"))
+        return F.when(x.rlike("[ÃÂ\ufffd]") & ~x.rlike("[^\u0000-ÿ]"), F.coalesce(whole, x)).otherwise(x)
+
+    # the fold binds each pass once, so the expression does not grow with the passes
+    three = F.aggregate(F.array(F.lit(1), F.lit(2), F.lit(3)), F.trim(c), mended)
+    return F.when(c.rlike("[ÃÂ]"), three).otherwise(F.trim(c))
 
 
 def comparison_key(c: Column) -> Column:
     """Repaired, without accents, lower case, trimmed; null gives the empty key."""
-    plain = F.translate(normalize_label(c), ACCENTED, PLAIN)
+    plain = F.translate(normalize_label(c), "".join(FOLDS), "".join(FOLDS.values()))
     return F.coalesce(F.trim(F.lower(F.regexp_replace(plain, "\\p{M}", ""))), F.lit(""))
 
 
@@ -51,22 +62,25 @@ def equals_normalized(a: Column, b: Column) -> Column:
 
 def python_key(text: str | None) -> str:
     """``comparison_key`` of a literal."""
-    import unicodedata
-
     t = (text or "").strip()
     for _ in range(3):
-        if any(x in t for x in "ÃÂ�"):
+        if any(x in t for x in "ÃÂ\ufffd"):
             try:
                 t = t.encode("latin-1").decode("utf-8")
             except UnicodeError:
                 break
-    t = "".join(x for x in unicodedata.normalize("NFD", t) if not unicodedata.combining(x))
-    return t.replace("’", "'").lower().strip()
+    t = t.translate(str.maketrans(FOLDS))
+    return "".join(x for x in t if unicodedata.category(x)[0] != "M").lower().strip()
+
+
+def key_is_one_of(key: Column, labels: Iterable[str]) -> Column:
+    """``is_one_of`` of a column that holds comparison keys already."""
+    return key.isin(sorted({python_key(x) for x in labels}))
 
 
 def is_one_of(c: Column, labels: Iterable[str]) -> Column:
     """Whether the column equals one of the labels, accents and case aside."""
-    return comparison_key(c).isin(sorted({python_key(x) for x in labels}))
+    return key_is_one_of(comparison_key(c), labels)
 
 
 def has_download_word(c: Column, words: Iterable[str]) -> Column:

@@ -24,18 +24,27 @@ def risk_profile(sessions: DataFrame, as_of: str, p: ProfileParams = ProfilePara
     week = F.col("end_time") > now - F.expr("interval 7 days")
     bad = F.coalesce(F.col("final_risk_score") >= p.anomaly_at, F.lit(False))
     kind = F.when(bad & (F.trim("anomaly_type") != ""), F.struct("end_time", "session_id", "anomaly_type"))
-    base = month.groupBy("insured_id").agg(
-        F.count("*").alias("sessions_30d"), F.count_if(week).alias("sessions_7d"), F.count_if(bad).alias("anomaly_count_30d"),
-        F.count_if(bad & week).alias("anomaly_count_7d"), F.coalesce(F.avg("final_risk_score"), F.lit(0.0)).alias("avg_risk"),
-        F.coalesce(F.max("final_risk_score"), F.lit(0.0)).alias("max_risk"), F.max(kind)["anomaly_type"].alias("last_anomaly_type"),
-        F.avg(F.coalesce(F.col("session_duration_seconds").cast("double"), F.lit(0.0))).alias("avg_session_duration_30d"),
-        F.coalesce(F.max(F.lower("anomaly_type").isin(*(t.lower() for t in p.high_risk_types)) if p.high_risk_types else F.lit(False)), F.lit(False)).alias("_risky"),
+    risky = F.coalesce(F.lower("anomaly_type").isin(*(t.lower() for t in p.high_risk_types)), F.lit(False)) if p.high_risk_types else F.lit(False)
+    duration = F.coalesce(F.col("session_duration_seconds").cast("double"), F.lit(0.0))
+    # a row for each action of a session, of which the first stands for the session as well: one pass gives both
+    rows = month.select("*", week.alias("_week"), bad.alias("_bad"), kind.alias("_kind"), risky.alias("_risky"), duration.alias("_seconds"), F.posexplode_outer("action_counts").alias("_at", "action", "n"))
+    one = F.coalesce(F.col("_at"), F.lit(0)) == 0
+    of_one = lambda c: F.when(one, c)
+    by_action = rows.groupBy("insured_id", "action").agg(
+        F.sum("n").alias("n"), F.count_if(one).alias("sessions_30d"), F.count_if(one & F.col("_week")).alias("sessions_7d"), F.count_if(one & F.col("_bad")).alias("anomaly_count_30d"),
+        F.count_if(one & F.col("_bad") & F.col("_week")).alias("anomaly_count_7d"), F.sum(of_one(F.col("final_risk_score"))).alias("_risk"), F.count(of_one(F.col("final_risk_score"))).alias("_scored"),
+        F.max("final_risk_score").alias("max_risk"), F.max("_kind").alias("_kind"), F.sum(of_one(F.col("_seconds"))).alias("_seconds"), F.max("_risky").alias("_risky"),
     )
-    counts = month.select("insured_id", F.explode("action_counts").alias("action", "n")).groupBy("insured_id", "action").agg(F.sum("n").alias("n"))
     # most frequent first; of equals the first in the alphabet
-    top = counts.groupBy("insured_id").agg(F.min(F.struct((-F.col("n")).alias("n"), "action"))["action"].alias("most_frequent_action_30d"))
+    usual = F.min(F.when(F.col("action").isNotNull(), F.struct((-F.col("n")).alias("n"), "action")))["action"]
+    counts = ("sessions_30d", "sessions_7d", "anomaly_count_30d", "anomaly_count_7d")
+    out = by_action.groupBy("insured_id").agg(
+        *(F.sum(c).alias(c) for c in counts), F.when(F.sum("_scored") > 0, F.sum("_risk") / F.sum("_scored")).otherwise(0.0).alias("avg_risk"),
+        F.coalesce(F.max("max_risk"), F.lit(0.0)).alias("max_risk"), F.max("_kind")["anomaly_type"].alias("last_anomaly_type"),
+        (F.sum("_seconds") / F.sum("sessions_30d")).alias("avg_session_duration_30d"), F.max("_risky").alias("_risky"), usual.alias("most_frequent_action_30d"),
+    )
     rate = F.col("anomaly_count_30d") / F.col("sessions_30d")
-    out = base.join(top, "insured_id", "left").withColumn("anomaly_rate_30d", rate)
+    out = out.withColumn("anomaly_rate_30d", rate)
     tier = (
         F.when(F.col("_risky") | (F.col("max_risk") >= 80), "HIGH").when((F.col("anomaly_rate_30d") >= p.high_rate) | (F.col("avg_risk") >= 60), "HIGH")
         .when((F.col("anomaly_rate_30d") >= p.medium_rate) | (F.col("avg_risk") >= 35), "MEDIUM").otherwise("LOW")

@@ -36,8 +36,8 @@ def _lookup(table: dict, key: Column) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key)
 
 
-def rule_flags(enriched: DataFrame, p: RuleParams = RuleParams()) -> DataFrame:
-    """One row a session with a boolean for each rule."""
+def flag_rows(enriched: DataFrame, p: RuleParams = RuleParams()) -> DataFrame:
+    """Enriched events with what the rules look at; the partitioning and order of ``enrich`` serve."""
     w = in_session()
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -45,32 +45,46 @@ def rule_flags(enriched: DataFrame, p: RuleParams = RuleParams()) -> DataFrame:
     whole_seconds = lambda n: F.floor(F.abs(us - F.unix_micros(F.lag("created_at", n).over(w))) / 1_000_000)
     fails = F.coalesce((F.upper("status") == "KO") & F.upper("type").isin(*(t.upper() for t in p.fail_types)), F.lit(False))
     first_country = F.first(F.when(F.trim("country_code") != "", F.lower("country_code")), ignorenulls=True).over(whole)
-    rows = enriched.withColumns({
-        "_n": F.row_number().over(w), "_fail": fails, "_span": whole_seconds(p.rapid_events - 1), "_pause": whole_seconds(1),
+    return enriched.withColumns({
+        "_fail": fails, "_span": whole_seconds(p.rapid_events - 1), "_pause": whole_seconds(1),
         "_jump": F.coalesce((F.trim("country_code") != "") & (F.lower("country_code") != first_country), F.lit(False)),
-    }).withColumn("_ok_at", F.coalesce(F.max(F.when(~F.col("_fail"), F.col("_n"))).over(upto), F.lit(0)))
+    }).withColumn("_ok_at", F.coalesce(F.max(F.when(~F.col("_fail"), F.col("number_in_session"))).over(upto), F.lit(0)))
+
+
+def flag_aggregates(p: RuleParams = RuleParams()) -> list[Column]:
+    """A boolean for each rule, over the ``flag_rows`` of a session."""
     any_ = lambda c: F.coalesce(F.max(c), F.lit(False))
     low, high = p.unusual_hours
-    skips = (F.col("_n") == 1) & F.col("action").isNotNull() & ~is_one_of(F.col("action"), p.allowed_first_actions)
-    return rows.groupBy(*SESSION).agg(
+    n = F.col("number_in_session")
+    skips = (n == 1) & F.col("action").isNotNull() & ~is_one_of(F.col("action"), p.allowed_first_actions)
+    return [
         any_(F.hour("created_at").between(low, high)).alias("unusual_hour"),
         any_(skips).alias("skip_login"),
-        any_(F.col("_fail") & (F.col("_n") - F.col("_ok_at") >= p.fail_run)).alias("repeated_fail"),
+        any_(F.col("_fail") & (n - F.col("_ok_at") >= p.fail_run)).alias("repeated_fail"),
         any_(F.col("_span") <= p.rapid_window_seconds).alias("rapid_fire"),
         any_(F.col("_jump")).alias("geo_jump"),
         any_(F.col("is_device_changed") == 1).alias("device_switch"),
         any_(F.col("downloads_last_2_minutes") >= p.download_spike).alias("download_spike"),
         any_(F.col("ping_pong_count") >= p.scraping_ping_pongs).alias("api_scraping"),
         any_(F.col("_pause") > p.timeout_seconds).alias("session_timeout"),
-    )
+    ]
+
+
+def rule_flags(enriched: DataFrame, p: RuleParams = RuleParams()) -> DataFrame:
+    """One row a session with a boolean for each rule."""
+    return flag_rows(enriched, p).groupBy(*SESSION).agg(*flag_aggregates(p))
 
 
 RULES = ["unusual_hour", "skip_login", "repeated_fail", "rapid_fire", "geo_jump", "device_switch", "download_spike", "api_scraping", "session_timeout"]
 
 
+def triggered_rules() -> Column:
+    """The names of a session's rules, in their fixed order."""
+    return F.array_compact(F.array(*(F.when(F.col(r), r) for r in RULES))).alias("triggered_rules")
+
+
 def triggered(flags: DataFrame) -> DataFrame:
-    """``triggered_rules``: the names of a session's rules, in their fixed order."""
-    return flags.select(*SESSION, F.array_compact(F.array(*(F.when(F.col(r), r) for r in RULES))).alias("triggered_rules"))
+    return flags.select(*SESSION, triggered_rules())
 
 
 def canonical(rule: Column) -> Column:

@@ -95,7 +95,7 @@ def enrich(events: DataFrame, p: FeatureParams = FeatureParams()) -> DataFrame:
     by_time_then_id = Window.partitionBy(*SESSION).orderBy(*event_order()).rowsBetween(Window.unboundedPreceding, 0)
     base = events.withColumns({"_us": us, "_ko": ko, "_key": comparison_key(action), "is_download_action": download})
     first_pass = base.withColumns({
-        "_row": F.row_number().over(w),
+        "number_in_session": F.row_number().over(w),
         "prev_action": F.coalesce(F.lag("action").over(w), F.lit("")),
         "next_action": F.coalesce(F.lead("action").over(w), F.lit("")),
         "session_duration_seconds": F.coalesce(seconds(F.last("_us").over(whole), F.first("_us").over(whole)), F.lit(0)),
@@ -115,11 +115,11 @@ def enrich(events: DataFrame, p: FeatureParams = FeatureParams()) -> DataFrame:
         "is_weekend": (F.col("day_of_week") >= 5).cast("int"),
         "downloads_last_2_minutes": trailing("is_download_action").cast("int"),
         "ping_pong_count": F.coalesce(F.sum("_pong").over(upto), F.lit(0)).cast("int"),
-        "_last_ok": F.coalesce(F.max(F.when(~F.col("_ko"), F.col("_row"))).over(upto), F.lit(0)),
+        "_last_ok": F.coalesce(F.max(F.when(~F.col("_ko"), F.col("number_in_session"))).over(upto), F.lit(0)),
     })
-    run = F.when(F.col("_ko"), F.col("_row") - F.col("_last_ok")).otherwise(0)
+    run = F.when(F.col("_ko"), F.col("number_in_session") - F.col("_last_ok")).otherwise(0)
     third = second.withColumn("longest_ko_streak", F.max(run).over(upto).cast("int"))
-    return third.withColumn("session_risk_score", event_risk(p)).drop("_us", "_ko", "_key", "_row", "_pong", "_last_ok")
+    return third.withColumn("session_risk_score", event_risk(p)).drop("_us", "_ko", "_key", "_pong", "_last_ok")
 
 
 def event_risk(p: FeatureParams = FeatureParams()) -> Column:

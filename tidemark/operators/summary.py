@@ -2,43 +2,49 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.params import FeatureParams
-from ..functions.text import is_one_of
+from ..functions.text import comparison_key, key_is_one_of
 from .sessions import SESSION, in_session
 
 
-def summarize(enriched: DataFrame, p: FeatureParams = FeatureParams(), abrupt_least: int = 3) -> DataFrame:
+def summarize(enriched: DataFrame, p: FeatureParams = FeatureParams(), abrupt_least: int = 3, also: Sequence[Column] = ()) -> DataFrame:
     """Session summaries of enriched events.
 
     ``abrupt_least``: events from which a session without a logout ended abruptly (1 as the offline
     derivation has it). Averages over nothing are 0; the primary type is the most frequent one that is
-    neither blank nor ``normal``, the first seen among equals, else ``normal``.
+    neither blank nor ``normal``, the first seen among equals, else ``normal``. ``also``: more aggregates of the same
+    rows. Sequences are columns of their own: where a query drops them, Spark never collects them.
     """
     blank = lambda c: F.when(F.trim(c) != "", F.col(c))
-    place = F.struct(
-        F.col("sequence_in_session").isNull().alias("a"), F.col("sequence_in_session").alias("b"), F.col("created_at").isNull().alias("c"),
-        F.col("created_at").alias("d"), F.col("id").isNull().alias("e"), F.col("id").alias("f"),
-    )
+    number = F.col("number_in_session")
+    action = F.coalesce("action", F.lit(""))
     kind = F.when((F.trim("anomaly_type") != "") & (F.lower("anomaly_type") != "normal"), F.col("anomaly_type"))
-    row = F.struct(
-        place.alias("place"), F.coalesce("action", F.lit("")).alias("action"), blank("route").alias("route"), kind.alias("kind"),
-        F.col("time_delta_since_last_action").alias("gap"), F.col("created_at").alias("at"),
-    )
-    ordered = enriched.groupBy(*SESSION).agg(
-        F.array_sort(F.collect_list(row)).alias("_rows"),
+    gap = F.when(number > 1, F.col("time_delta_since_last_action"))
+    edge = F.struct(F.col("created_at").alias("at"), action.alias("action"), F.coalesce(blank("route"), F.lit("")).alias("route"))
+    different = lambda c: F.size(F.collect_set(c)).cast("int")
+
+    def in_order(c: Column) -> Column:
+        rows = F.array_sort(F.collect_list(F.when(c.isNotNull(), F.struct(number.alias("n"), c.alias("x")))))
+        return F.transform(rows, lambda r: r.x)
+
+    out = enriched.withColumn("_key", comparison_key(action)).groupBy(*SESSION).agg(
+        F.min_by(edge, number).alias("_first"), F.max_by(edge, number).alias("_last"),
+        in_order(action).alias("action_sequence"), in_order(blank("route")).alias("route_sequence"), in_order(kind).alias("_kinds"),
         F.count("*").cast("int").alias("total_events"),
-        F.count_distinct(F.coalesce("action", F.lit(""))).cast("int").alias("unique_actions"),
-        F.count_distinct(blank("route")).cast("int").alias("unique_routes"),
-        F.greatest(F.lit(1), F.count_distinct(blank("ip"))).cast("int").alias("unique_ips_used"),
-        F.greatest(F.lit(1), F.count_distinct(blank("device"))).cast("int").alias("unique_devices_used"),
+        different(action).alias("unique_actions"),
+        different(blank("route")).alias("unique_routes"),
+        F.greatest(F.lit(1), different(blank("ip"))).alias("unique_ips_used"),
+        F.greatest(F.lit(1), different(blank("device"))).alias("unique_devices_used"),
         F.count_if(F.upper("status") == "KO").cast("int").alias("total_kos"),
         F.count_if(F.upper("status") == "OK").cast("int").alias("total_oks"),
         F.max("longest_ko_streak").alias("longest_ko_streak"),
-        F.max(F.coalesce(is_one_of(F.col("action"), p.login_actions).cast("int"), F.lit(0))).alias("has_login"),
-        F.max(F.coalesce(is_one_of(F.col("action"), p.logout_actions).cast("int"), F.lit(0))).alias("has_logout"),
+        F.max(key_is_one_of(F.col("_key"), p.login_actions).cast("int")).alias("has_login"),
+        F.max(key_is_one_of(F.col("_key"), p.logout_actions).cast("int")).alias("has_logout"),
         F.max("is_ip_changed").alias("ip_changed"),
         F.max("is_device_changed").alias("device_changed"),
         F.sum("is_download_action").cast("int").alias("total_download_actions"),
@@ -47,37 +53,27 @@ def summarize(enriched: DataFrame, p: FeatureParams = FeatureParams(), abrupt_le
         F.max("session_risk_score").alias("risk_score_max"),
         F.avg("session_risk_score").alias("risk_score_avg"),
         F.count_if(F.col("is_anomaly") == 1).cast("int").alias("anomaly_event_count"),
-        F.min("created_at").alias("earliest"),
-    )
-    first, last = F.get("_rows", F.lit(0)), F.try_element_at("_rows", F.lit(-1))
-    gaps = F.transform(F.slice("_rows", 2, F.greatest(F.size("_rows") - 1, F.lit(1))), lambda r: r.gap)
-    kinds = F.filter(F.transform("_rows", lambda r: r.kind), lambda x: x.isNotNull())
+        F.coalesce(F.avg(gap), F.lit(0.0)).alias("avg_inter_action_seconds"),
+        F.coalesce(F.min(gap).cast("double"), F.lit(0.0)).alias("min_inter_action_seconds"),
+        F.coalesce(F.max(gap).cast("double"), F.lit(0.0)).alias("max_inter_action_seconds"),
+        *also,
+    )
     # the first of the most frequent: counts by first place
-    counted = F.transform(F.array_distinct("anomaly_type_sequence"), lambda k: F.struct(
-        F.size(F.filter("anomaly_type_sequence", lambda x: x == k)).alias("n"), (-F.array_position("anomaly_type_sequence", k)).alias("first"), k.alias("kind")))
-    start, end = F.col("session_start"), F.col("session_end")
-    out = ordered.withColumns({
-        "session_start": first["at"], "session_end": last["at"], "first_action": first["action"], "last_action": last["action"],
-        "first_route": F.coalesce(first["route"], F.lit("")), "last_route": F.coalesce(last["route"], F.lit("")),
-        "action_sequence": F.transform("_rows", lambda r: r.action),
-        "route_sequence": F.filter(F.transform("_rows", lambda r: r.route), lambda x: x.isNotNull()),
-        "anomaly_type_sequence": kinds, "_gaps": gaps,
-    })
-    n = F.size("_gaps")
-    total = F.aggregate("_gaps", F.lit(0).cast("bigint"), lambda a, x: a + x)
+    counted = F.transform(F.array_distinct("_kinds"), lambda k: F.struct(
+        F.size(F.filter("_kinds", lambda x: x == k)).alias("n"), (-F.array_position("_kinds", k)).alias("first"), k.alias("kind")))
+    start, end = F.col("_first.at"), F.col("_last.at")
     return out.withColumns({
+        "session_start": start, "session_end": end, "first_action": F.col("_first.action"), "last_action": F.col("_last.action"),
+        "first_route": F.col("_first.route"), "last_route": F.col("_last.route"),
         "start_hour": F.coalesce(F.hour(start), F.lit(0)), "end_hour": F.coalesce(F.hour(end), F.lit(0)), "day_of_week": F.coalesce(F.weekday(start), F.lit(3)),
         "total_duration_seconds": F.coalesce(F.greatest(F.lit(0).cast("bigint"), F.floor((F.unix_micros(end) - F.unix_micros(start)) / 1_000_000)), F.lit(0)),
-        "avg_inter_action_seconds": F.when(n > 0, total / n).otherwise(0.0),
-        "min_inter_action_seconds": F.coalesce(F.array_min("_gaps").cast("double"), F.lit(0.0)),
-        "max_inter_action_seconds": F.coalesce(F.array_max("_gaps").cast("double"), F.lit(0.0)),
         "ended_abruptly": ((F.col("has_logout") == 0) & (F.col("total_events") >= abrupt_least)).cast("int"),
         "primary_anomaly_type": F.coalesce(F.array_max(counted)["kind"], F.lit("normal")),
-        "anomaly_types": F.array_distinct("anomaly_type_sequence"),
+        "anomaly_types": F.array_distinct("_kinds"),
         "action_sequence_signature": F.array_join("action_sequence", " > "),
         "route_sequence_signature": F.array_join("route_sequence", " > "),
         "action_counts": action_histogram(F.col("action_sequence")),
-    }).drop("_rows", "_gaps", "earliest", "anomaly_type_sequence")
+    }).drop("_first", "_last", "_kinds")
 
 
 def action_histogram(actions):

@@ -31,8 +31,8 @@ def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ruled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Summaries with rules, their points, context and boost."""
-    e = enriched(spark, sf_dir)
-    both = summary.summarize(e, P.features).join(rules.triggered(rules.rule_flags(e, P.rules)), sessions.SESSION)
+    rows = rules.flag_rows(enriched(spark, sf_dir), P.rules)
+    both = summary.summarize(rows, P.features, also=rules.flag_aggregates(P.rules)).withColumn("triggered_rules", rules.triggered_rules()).drop(*rules.RULES)
     return rules.score_rules(both, business_hours=business_hours(F.col("end_hour")))
 
 
