@@ -1,10 +1,13 @@
-"""Thresholds of the behavioural operators; the defaults are those of the production setting."""
+"""Thresholds of the behavioural operators; the defaults are those of the production setting, fixed values all of them."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
 
+# The defaults of the classes below.
+
+
 @dataclass(frozen=True)
 class FeatureParams:
     download_window_seconds: int = 120

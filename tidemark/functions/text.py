@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterable
 
@@ -146,3 +147,21 @@ def evidence_hash(payload: Column) -> Column:
 def evidence_summary(score: Column, level: Column, kind: Column, fallback: Column) -> Column:
     show = lambda c: F.coalesce(c.cast("string"), F.lit("null"))
     return F.concat(F.lit("risk="), show(score), F.lit("; level="), show(level), F.lit("; type="), show(kind), F.lit("; fallback="), show(fallback))
+
+
+def template_of(method: Column, path: Column, templates: Iterable[tuple[str, str]], untracked: str = "UNTRACKED") -> Column:
+    """The template of a request: the path itself, then the path without its query, then the first template of the method
+    whose ``*`` and ``{parameter}`` parts fit. ``templates``: method and template, few and typed by the caller."""
+    few = list(templates)
+    bare = F.split_part(path, F.lit("?"), F.lit(1))
+    same = lambda p, t: (F.upper(method) == t[0].upper()) & (p == t[1])
+    out = None
+    tests = [(same(path, t), t[1]) for t in few] + [(same(bare, t), t[1]) for t in few]
+    for kind, template in few:
+        parts = re.split(r"(\*|\{[^{}/]*\})", template)
+        pattern = "".join(".*" if x == "*" else "[^/]+" if k % 2 else re.escape(x) for k, x in enumerate(parts))
+        if len(parts) > 1:
+            tests.append(((F.upper(method) == kind.upper()) & bare.rlike(f"^{pattern}$"), template))
+    for test, template in tests:
+        out = F.when(test, template) if out is None else out.when(test, template)
+    return F.lit(untracked) if out is None else out.otherwise(untracked)

@@ -70,15 +70,39 @@ def live_snapshot(events: DataFrame, alerts: DataFrame, as_of: str, short: int =
     return out.withColumn("global_risk_level", global_level(F.col("alerts"), F.col("alert_rate"), F.col("ko_rate")))
 
 
-def security_overview(sessions: DataFrame, latest: int = 50) -> DataFrame:
-    """One row over the ``latest`` sessions: critical and high ones, anomaly rate, average risk, users."""
+def security_overview(sessions: DataFrame, events: DataFrame, anomalies: DataFrame, day: str, latest: int = 50) -> DataFrame:
+    """One row about ``day``: its events, alerts and their rate, its ten most frequent types; of the ``latest`` sessions
+    the critical and high ones, the average risk, the users and the five most frequent rules.
+
+    ``sessions``: end_time, session_id, insured_id, final_risk_score, rule_codes; ``events``: created_at; ``anomalies``: detected_at, anomaly_type.
+    """
+    start = F.lit(day).cast("timestamp")
+    of_day = lambda df, c: df.where((F.col(c) >= start) & (F.col(c) < start + F.expr("interval 1 day")))
     rows = sessions.orderBy(F.col("end_time").desc_nulls_last(), F.col("session_id").desc()).limit(latest)
     s = F.col("final_risk_score")
-    return rows.agg(
-        F.count("*").alias("sessions"), F.count_if(s >= 80).alias("critical"), F.count_if((s >= 60) & (s < 80)).alias("high"),
-        F.coalesce(F.avg(F.when(s >= 35, 1.0).otherwise(0.0)), F.lit(0.0)).alias("anomaly_rate"), F.coalesce(F.avg(s), F.lit(0.0)).alias("avg_risk"),
-        F.count_distinct("insured_id").alias("active_users"),
-    )
+    raised = of_day(anomalies, "detected_at")
+    parts = [
+        of_day(events, "created_at").agg(F.count("*").alias("total_events")),
+        raised.agg(F.count("*").alias("alerts")),
+        rows.agg(
+            F.count("*").alias("sessions"), F.count_if(s >= 80).alias("critical"), F.count_if((s >= 60) & (s < 80)).alias("high"),
+            F.coalesce(F.avg(s), F.lit(0.0)).alias("avg_risk"), F.count_distinct("insured_id").alias("active_users"),
+        ),
+        _listed(top(raised.where(F.trim("anomaly_type") != ""), "anomaly_type", 10), "anomaly_type", "top_types"),
+        _listed(rule_histogram(rows, 5), "rule", "top_rules"),
+    ]
+    one = None
+    for part in parts:  # one row each
+        part = part.withColumn("_one", F.lit(1))
+        one = part if one is None else one.join(F.broadcast(part), "_one")
+    rate = F.when(F.col("total_events") > 0, F.col("alerts") / F.col("total_events")).otherwise(0.0)
+    return one.withColumn("anomaly_rate", rate).drop("_one")
+
+
+def _listed(few: DataFrame, column: str, name: str) -> DataFrame:
+    """The values of a short ``top`` in one row, most frequent first."""
+    values = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), F.col(column).alias("v"))))
+    return few.agg(values.alias("l")).select(F.transform("l", lambda x: x.v).alias(name))
 
 
 def rule_histogram(sessions: DataFrame, n: int = 5, column: str = "rule_codes") -> DataFrame:
@@ -100,7 +124,7 @@ def nearest_rank(df: DataFrame, column: str, percents: tuple[int, ...] = (50, 95
     return df.agg(*(F.expr(f"percentile_disc({p / 100}) within group (order by {column})").cast(df.schema[column].dataType).alias(f"p{p}") for p in percents), F.count(column).alias("n"))
 
 
-def field_coverage(df: DataFrame, known: dict[str, list[str]], warn_above: float = 0.30) -> DataFrame:
+def field_coverage(df: DataFrame, known: dict[str, list[str]], warn_above: float = 0.30, top_unknown: int = 5) -> DataFrame:
     """For each field: values known to its vocabulary, unknown ones, their share, the most frequent of these."""
     pairs = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in known)))
     rows = df.select(pairs.alias("x")).select("x.field", "x.value").groupBy("field", "value").agg(F.count("*").alias("n"))
@@ -108,13 +132,30 @@ def field_coverage(df: DataFrame, known: dict[str, list[str]], warn_above: float
     for f, values in known.items():
         ok = ok | ((F.col("field") == f) & F.col("value").isin(*values))
     counts = rows.withColumn("known", F.coalesce(ok, F.lit(False)))
-    worst = F.min(F.when(~F.col("known") & F.col("value").isNotNull(), F.struct((-F.col("n")).alias("n"), "value")))["value"]
-    out = counts.groupBy("field").agg(
-        F.sum(F.when(F.col("known"), F.col("n")).otherwise(0)).alias("known"), F.sum(F.when(~F.col("known"), F.col("n")).otherwise(0)).alias("unknown"), worst.alias("most_frequent_unknown"),
-    )
+    # an entry for each value of a field is left by now; of the unknown ones the most frequent are kept
+    by_n = Window.partitionBy("field", "known").orderBy(F.col("value").isNull(), F.desc("n"), "value")
+    ranked = counts.withColumn("rank", F.row_number().over(by_n))
+    worst = F.when(~F.col("known") & F.col("value").isNotNull() & (F.col("rank") <= top_unknown), F.struct("rank", "value"))
+    out = ranked.groupBy("field").agg(
+        F.sum(F.when(F.col("known"), F.col("n")).otherwise(0)).alias("known"), F.sum(F.when(~F.col("known"), F.col("n")).otherwise(0)).alias("unknown"),
+        F.transform(F.array_sort(F.collect_list(worst)), lambda x: x.value).alias("most_frequent_unknown"),
+    )
     return out.withColumn("unknown_ratio", F.col("unknown") / (F.col("known") + F.col("unknown"))).withColumn("warn", F.col("unknown_ratio") > warn_above)
 
 
+def tabular_coverage(df: DataFrame, defaults: dict[str, float]) -> DataFrame:
+    """For each feature, given as text: values missing, of no number, not finite, and equal to the default that stands in for them."""
+    pairs = F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f).cast("string").alias("value"), F.lit(float(d)).alias("default")) for f, d in defaults.items())))
+    x = df.select(pairs.alias("x")).select("x.*").withColumn("number", F.expr("try_cast(value as double)"))
+    missing = F.coalesce(F.trim("value"), F.lit("")) == ""
+    no_number = ~missing & F.col("number").isNull()
+    endless = F.coalesce(F.isnan("number") | F.col("number").isin(float("inf"), float("-inf")), F.lit(False))
+    return x.groupBy("feature").agg(
+        F.count("*").alias("values"), F.count_if(missing).alias("missing"), F.count_if(no_number).alias("mismatched"), F.count_if(endless).alias("non_finite"),
+        F.count_if(missing | no_number | endless).alias("defaulted"), F.count_if(F.coalesce(F.col("number") == F.col("default"), F.lit(False))).alias("at_default"),
+    )
+
+
 def snapshot(views: DataFrame, stored: DataFrame) -> DataFrame:
     """Rows of ``views(view_name, snapshot_key, payload)`` whose content differs from what is stored, with their hash."""
     hashed = views.withColumn("payload_json", F.to_json("payload")).withColumn("payload_hash", F.sha2("payload_json", 256)).drop("payload")

@@ -73,6 +73,7 @@ def attribute(df: DataFrame) -> DataFrame:
     sensitive = _mentions(
         _joined(["api_template", "api_family", "controller", "action_value"], have), ["document", "download", "wallet", "bank", "insured", "file"]
     )
+    # Tests in order, the type that each names and how sure it is.
     cases = [
         ((xgb >= 60) & has("API_SCRAPING_PATTERN") & (F.col("ping_pong_count") >= 2), "api_scraping", 0.82),
         ((has("STATUS_CODE_BURST") | (F.col("total_kos") >= 3)) & login & (seq >= 50), "credential_stuffing", 0.80),

@@ -156,3 +156,38 @@ def clusters(df: DataFrame, features: list[str], k: int = 4, seed: int = 42) ->
 
 def cluster_means(df: DataFrame, features: list[str]) -> DataFrame:
     return df.groupBy("cluster").agg(F.count("*").alias("n"), *(F.avg(c).alias(f"mean_{c}") for c in features))
+
+
+def impute_medians(train: DataFrame, df: DataFrame, columns: list[str]) -> DataFrame:
+    """``df`` with nulls in ``columns`` replaced by the medians of ``train``, 0 where it has no value."""
+    medians = train.agg(*(F.percentile(F.col(c), F.lit(0.5)).alias(c) for c in columns)).first()
+    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(float(medians[c] or 0.0))) for c in columns})
+
+
+def one_hot(train: DataFrame, df: DataFrame, column: str, most: int = 200) -> DataFrame:
+    """Adds ``<column>_<value>``, 1.0 or 0.0, for each of the ``most`` most frequent values in ``train``; a value that it lacks has no column."""
+    ranked = train.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), column).limit(most)
+    values = sorted(r[0] for r in ranked.select(column).collect())
+    return df.withColumns({f"{column}_{v}": F.coalesce((F.col(column) == v).cast("double"), F.lit(0.0)) for v in values})
+
+
+def train_classifier(df: DataFrame, features: list[str], label: str, kind: str = "gbt", seed: int = 42, **settings):
+    """A fitted Spark pipeline for 0/1 (``gbt``) or several (``forest``) classes; nulls count as 0. ``settings`` go to the learner."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+    from pyspark.ml.feature import Imputer, VectorAssembler
+
+    filled = [f"_{c}" for c in features]
+    learner = {"gbt": GBTClassifier, "forest": RandomForestClassifier}[kind](featuresCol="_x", labelCol=label, seed=seed, **settings)
+    numbers = df.withColumns({c: F.col(c).cast("double") for c in features}).withColumn(label, F.col(label).cast("double"))
+    stages = [Imputer(inputCols=features, outputCols=filled, strategy="median"), VectorAssembler(inputCols=filled, outputCol="_x", handleInvalid="keep"), learner]
+    return Pipeline(stages=stages).fit(numbers)
+
+
+def predict_with(model, df: DataFrame, features: list[str]) -> DataFrame:
+    """``df`` with ``prediction`` and, where there are two classes, ``score``, the probability of class 1 on a scale to 100."""
+    from pyspark.ml.functions import vector_to_array
+
+    out = model.transform(df.withColumns({c: F.col(c).cast("double") for c in features}))
+    score = F.get(vector_to_array("probability"), F.lit(1)) * 100
+    return out.withColumn("score", score).drop("_x", "rawPrediction", "probability", *(f"_{c}" for c in features))

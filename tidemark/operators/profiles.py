@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.params import ProfileParams
-from ..functions.text import api_family
+from ..functions.scores import business_hours
+from ..functions.text import api_family, comparison_key
 from .alerts import latest_by
+from .sessions import SESSION
 
 
 def _newest(*columns: str) -> Column:
@@ -105,6 +107,25 @@ def churn_distribution(sessions: DataFrame) -> DataFrame:
     )
 
 
+def churn_dashboard(sessions: DataFrame, latest: int = 50, n: int = 10) -> DataFrame:
+    """One row over the ``latest`` sessions: churn levels, average probability, users, and the ``n`` sessions most likely to churn."""
+    rows = sessions.orderBy(F.col("end_time").desc_nulls_last(), F.col("session_id").desc()).limit(latest)
+    p = F.col("churn_probability")
+    level = churn_level(p)
+    # at most ``latest`` rows are left
+    likely = F.slice(F.array_sort(F.collect_list(F.struct((-F.coalesce(p, F.lit(0.0))).alias("p"), "session_id"))), 1, n)
+    return rows.agg(
+        F.count_if(level == "HIGH").alias("high"), F.count_if(level == "MEDIUM").alias("medium"), F.count_if(level == "LOW").alias("low"),
+        F.coalesce(F.avg(p), F.lit(0.0)).alias("avg_probability"), F.count_distinct("insured_id").alias("users"),
+        F.transform(likely, lambda x: x.session_id).alias("top_sessions"),
+    )
+
+
+def top_churn_users(sessions: DataFrame, limit: int = 50) -> DataFrame:
+    """Users by the probability of their deciding session, highest first; 200 at most."""
+    return churn_users(sessions).orderBy(F.desc("churn_probability"), "insured_id").limit(max(1, min(limit, 200)))
+
+
 def churn_users(sessions: DataFrame) -> DataFrame:
     """Each user's deciding session: the latest end, then creation, then the highest probability."""
     rows = sessions.where("churn_probability is not null")
@@ -113,6 +134,48 @@ def churn_users(sessions: DataFrame) -> DataFrame:
     )
 
 
+# Words in the kind of an action, and in the name of a device, whose shares churn features give.
+ACTION_KINDS = ("logging", "contact", "document", "banking", "insured", "open")
+DEVICE_KINDS = ("mobile", "desktop", "tablet")
+
+
+def churn_session_features(events: DataFrame, summaries: DataFrame) -> DataFrame:
+    """The 32 churn features of each session.
+
+    ``events``: enriched, with ``type``, ``device``, ``country_code`` and, where there, ``browser``, ``os``, ``ip_region``. As the live
+    system has it, what only a user's history could tell is constant, and unique countries are counted as addresses.
+    Usual values are comparison keys with dashes; of equally frequent ones the first seen.
+    """
+    key = lambda c: comparison_key(F.col(c)) if c in events.columns else F.lit("")
+    share = lambda c: F.avg(F.when(F.coalesce(c, F.lit(False)), 1.0).otherwise(0.0))
+    fields = {"device": "device", "browser": "browser", "os": "os", "region": "ip_region"}
+    rows = events.withColumns({"_type": key("type"), "_country": key("country_code"), **{f"_{k}": F.translate(key(c), " ", "-") for k, c in fields.items()}})
+
+    def usual(c: str) -> Column:
+        seen = F.transform(F.array_sort(F.collect_list(F.when(F.col(c) != "", F.struct("number_in_session", F.col(c).alias("v"))))), lambda x: x.v)
+        # bound once, counted by value
+        counted = F.transform(F.array(seen), lambda a: F.array_max(F.transform(F.array_distinct(a), lambda v: F.struct(
+            F.size(F.filter(a, lambda x: x == v)).alias("n"), (-F.array_position(a, v)).alias("at"), v.alias("v")))))
+        return counted[0]["v"]
+
+    of_events = rows.groupBy(*SESSION).agg(
+        *(share(F.contains("_type", F.lit(k))).alias(f"pct_{k}_actions") for k in ACTION_KINDS),
+        *(share(F.contains("_device", F.lit(k))).alias(f"{k}_ratio") for k in DEVICE_KINDS),
+        share(business_hours(F.hour("created_at")) == 1).alias("business_hours_ratio"), share(F.col("_country") == "fr").alias("fr_events_ratio"),
+        *(usual(f"_{k}").alias(f"primary_{k}") for k in fields),
+    )
+    c, total, per = F.col, F.col("total_events"), lambda n: F.when(F.col("total_events") > 0, F.col(n) / F.col("total_events")).otherwise(0.0)
+    of_session = summaries.select(
+        *SESSION, total.alias("total_actions"), F.lit(1.0).alias("total_sessions"), F.lit(1.0).alias("days_active"), F.lit(0.0).alias("days_active_ratio"),
+        (c("total_duration_seconds") * 1000.0).alias("avg_session_duration_ms"), total.alias("avg_actions_per_session"), F.lit(0.0).alias("sessions_per_week"),
+        (c("avg_inter_action_seconds") * 1000.0).alias("avg_inter_action_ms"), c("unique_routes").alias("pages_visited"), per("total_kos").alias("failure_rate"),
+        (c("day_of_week") >= 5).cast("double").alias("weekend_ratio"), c("unique_devices_used").alias("unique_devices"), c("unique_ips_used").alias("unique_countries"),
+        F.lit(0.0).alias("is_anomalous_user"), c("anomaly_event_count").cast("double").alias("anomaly_event_count"), per("anomaly_event_count").alias("anomaly_ratio"),
+        F.lit(0.0).alias("is_confuser"),
+    )
+    return of_session.join(of_events, SESSION)
+
+
 def churn_features(events: DataFrame) -> DataFrame:
     """Shares of a user's events by kind, device and hour, and the usual device (first in the alphabet among equals)."""
     h = F.hour("created_at")

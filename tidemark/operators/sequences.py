@@ -53,6 +53,40 @@ def dropoff_actions(summaries: DataFrame) -> DataFrame:
     return summaries.where("ended_abruptly = 1").groupBy("last_action").agg(F.count("*").alias("n"))
 
 
+# Spellings of one outcome; a vocabulary may know either.
+STATUS_SYNONYMS = [("OK", "SUCCESS"), ("KO", "FAILURE")]
+
+
+def time_since_previous(df: DataFrame, supplied: str | None = None, differs: int = 1_000) -> DataFrame:
+    """Adds ``ms_since_previous`` within a session, 0 for its first event, never negative; where a time is missing, the ``supplied``
+    milliseconds. ``ms_mismatch`` marks supplied values further than ``differs`` from the computed ones."""
+    now, before = F.unix_millis("created_at"), F.unix_millis(F.lag("created_at").over(in_session()))
+    first = F.row_number().over(in_session()) == 1
+    computed = F.when(first, F.lit(0).cast("long")).otherwise(F.greatest(F.lit(0).cast("long"), now - before))
+    given = F.col(supplied).cast("long") if supplied else F.lit(None).cast("long")
+    out = df.withColumn("_ms", F.when(first | (now.isNotNull() & before.isNotNull()), computed))
+    return out.withColumns({
+        "ms_since_previous": F.coalesce("_ms", F.greatest(F.lit(0).cast("long"), given), F.lit(0).cast("long")),
+        "ms_mismatch": F.coalesce(F.abs(given - F.col("_ms")) > differs, F.lit(False)),
+    }).drop("_ms")
+
+
+def top_surprises(contributions: Column, n: int = 5) -> Column:
+    """The ``n`` fields of a map of contributions that add most, highest first; of equals the first in the alphabet."""
+    ranked = F.array_sort(F.transform(F.map_entries(contributions), lambda e: F.struct((-e.value).alias("c"), e.key.alias("field"))))
+    return F.transform(F.slice(ranked, 1, n), lambda x: x.field)
+
+
+def of_sessions(events: DataFrame, sessions: DataFrame) -> DataFrame:
+    """The events of the given sessions: a training or test set by whole sessions."""
+    return events.join(sessions.select("session_id").distinct(), "session_id", "left_semi")
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """Adds each event's ``number`` in its session, from 1, and the session's ``length``."""
+    return df.withColumns({"number": F.row_number().over(in_session()), "length": F.count("*").over(Window.partitionBy(*SESSION))})
+
+
 def encode(df: DataFrame, vocabularies: dict[str, list[str]]) -> DataFrame:
     """Adds ``<field>_id``: a value's place in its vocabulary from 1, as it is, trimmed, lower or upper case; 0 where unknown."""
     out = {}
@@ -60,6 +94,9 @@ def encode(df: DataFrame, vocabularies: dict[str, list[str]]) -> DataFrame:
         table = F.create_map(*[F.lit(x) for i, w in enumerate(words) for x in (w, i + 1)])
         c = F.col(f).cast("string")
         tries = [F.try_element_at(table, t) for t in (c, F.trim(c), F.lower(F.trim(c)), F.upper(F.trim(c)))]
+        if f == "status":
+            same = {x: group for group in STATUS_SYNONYMS for x in group}
+            tries += [F.coalesce(*(F.when(F.upper(F.trim(c)) == x, F.try_element_at(table, F.lit(y))) for x, group in same.items() for y in group))]
         out[f"{f}_id"] = F.coalesce(*tries, F.lit(0))
     return df.withColumns(out)
 

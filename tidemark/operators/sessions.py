@@ -12,6 +12,7 @@ from ..functions.params import FeatureParams, SessionParams
 from ..functions.text import comparison_key, has_download_word, is_one_of
 
 SESSION = ["insured_id", "session_id"]
+# Types that add to an event's risk.
 _RISKY_TYPES = ("geo_jump", "data_exfiltration", "impossible_device_switch", "distributed_brute_force", "zombie_session")
 
 
@@ -125,6 +126,7 @@ def enrich(events: DataFrame, p: FeatureParams = FeatureParams()) -> DataFrame:
 def event_risk(p: FeatureParams = FeatureParams()) -> Column:
     """Points of one enriched event, 100 at most."""
     c, kind = F.col, F.coalesce("anomaly_type", F.lit(""))
+    # What adds how many points.
     points = [
         (c("is_ip_changed") == 1, 30), (F.coalesce(F.upper("status") == "KO", F.lit(False)), 10), (c("is_device_changed") == 1, 25),
         (c("hour_of_day").between(2, 4), 15), (c("time_delta_since_last_action").between(1, p.rapid_action_seconds), 15),

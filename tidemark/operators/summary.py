@@ -94,3 +94,28 @@ def running_summary(enriched: DataFrame) -> DataFrame:
         F.when(pauses > 0, F.sum("time_delta_since_last_action").over(upto) / pauses).otherwise(0.0).alias("avg_pause_so_far"),
         F.max("session_risk_score").over(upto).alias("risk_max_so_far"),
     )
+
+
+def recent_events(events: DataFrame, n: int = 50) -> DataFrame:
+    """The last ``n`` events of each session, with ``from_last``, 1 for the last one."""
+    w = Window.partitionBy(*SESSION).orderBy(*(F.col(c).desc_nulls_first() for c in ("sequence_in_session", "created_at", "id")))
+    return events.withColumn("from_last", F.row_number().over(w)).where(F.col("from_last") <= n)
+
+
+def live_summary(enriched: DataFrame, n: int = 50) -> DataFrame:
+    """What the live view knows of a session: totals of all its events, and what its last ``n`` show.
+
+    One pass over the session's partitioning; where nothing is recent, the totals alone count.
+    """
+    w = Window.partitionBy(*SESSION).orderBy(*(F.col(c).desc_nulls_first() for c in ("sequence_in_session", "created_at", "id")))
+    rows = enriched.withColumn("_back", F.row_number().over(w))
+    recent, later = F.col("_back") <= n, F.col("number_in_session") > 1
+    ko = F.upper("status") == "KO"
+    return rows.groupBy(*SESSION).agg(
+        F.count("*").cast("int").alias("events"), F.count_if(ko).cast("int").alias("kos"), F.max("session_risk_score").alias("risk_max"),
+        F.coalesce(F.avg(F.when(later, F.col("time_delta_since_last_action"))), F.lit(0.0)).alias("avg_pause"),
+        F.min_by("action", "number_in_session").alias("first_action"), F.max_by("action", "number_in_session").alias("last_action"),
+        F.count_if(recent).cast("int").alias("recent_events"), F.count_if(recent & ko).cast("int").alias("recent_kos"),
+        F.size(F.collect_set(F.when(recent, F.col("action")))).alias("recent_actions"), F.size(F.collect_set(F.when(recent, F.col("ip")))).alias("recent_ips"),
+        F.sum(F.when(recent, F.col("is_download_action"))).cast("int").alias("recent_downloads"), F.max(F.when(recent, F.col("ping_pong_count"))).alias("recent_ping_pongs"),
+    )

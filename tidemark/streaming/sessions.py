@@ -147,3 +147,19 @@ def closed_sessions(events: DataFrame, p: SessionParams = SessionParams(), drop_
 def state_store(spark) -> None:
     """The state store that stateful processors need."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def trailing_downloads(events: DataFrame, seconds: int = 120, late: str = "10 minutes") -> DataFrame:
+    """For each event of a stream, downloads of its session in the ``seconds`` up to it.
+
+    An interval join of the stream with its own downloads; both sides' state ends with the watermark, so it does not grow.
+    ``events``: id, insured_id, session_id, created_at, is_download_action.
+    """
+    left = events.select("id", "insured_id", "session_id", "created_at").withWatermark("created_at", late)
+    right = events.where("is_download_action = 1").select(
+        F.col("insured_id").alias("_user"), F.col("session_id").alias("_session"), F.col("created_at").alias("_at"), F.col("id").alias("_id")
+    ).withWatermark("_at", late)
+    near = (F.col("insured_id") == F.col("_user")) & (F.col("session_id") == F.col("_session"))
+    near &= (F.col("_at") <= F.col("created_at")) & (F.col("_at") >= F.col("created_at") - F.expr(f"interval {seconds} seconds"))
+    joined = left.join(right, near, "left_outer")
+    return joined.groupBy(F.window("created_at", "1 second"), "id", "session_id").agg(F.count("_id").alias("downloads_recent")).drop("window")

@@ -43,3 +43,18 @@ def split_dead_letters(good_path: str, dead_path: str, parse) -> Batch:
 def latest(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The current rows of a table that ``append_once`` wrote: the newest of each key, the later batch among equals."""
     return latest_by(df, keys, order, "batch")
+
+
+def source_lag(progress: dict) -> int:
+    """Records that a stream's Kafka sources have not read yet, from a query's last progress; never negative for a partition."""
+    import json
+
+    def offsets(x) -> dict:
+        return json.loads(x) if isinstance(x, str) else x or {}
+
+    lag = 0
+    for source in progress.get("sources", []):
+        latest = offsets(source.get("latestOffset"))
+        for topic, read in offsets(source.get("endOffset")).items():
+            lag += sum(max(0, latest.get(topic, {}).get(part, at) - at) for part, at in read.items())
+    return lag
