@@ -30,6 +30,8 @@ BLOCK_WORDS = 1_000_000
 STRETCHES = 256
 #: Alignments that are computed together.
 TOGETHER = 256
+#: Passages aligned together hold at most so many words, padding included; a longer one is aligned alone.
+CELLS = 1 << 20
 
 # Letters, digits and all bytes of other scripts make words; A-Z count as a-z, the rest separates.
 _PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -159,8 +161,13 @@ def _scored(queue: list[tuple], items: Items) -> list[tuple]:
     """Rows above the threshold of a queue of ``(doc_id, item, start, words of the passage)``."""
     rows = []
     queue.sort(key=lambda q: (len(q[3]), len(items.words[q[1]])))
-    for at in range(0, len(queue), TOGETHER):
-        part = queue[at : at + TOGETHER]
+    at = 0
+    while at < len(queue):
+        # passages come by width: as many together as keep to CELLS, one at least
+        end = at + 1
+        while end < min(len(queue), at + TOGETHER) and (end + 1 - at) * len(queue[end][3]) <= CELLS:
+            end += 1
+        part, at = queue[at:end], end
         a = np.zeros((len(part), max(len(items.words[q[1]]) for q in part)), np.uint64)
         b = np.ones((len(part), max(len(q[3]) for q in part)), np.uint64)
         for r, (_, k, _, p) in enumerate(part):

@@ -58,6 +58,8 @@ class WordIds:
 
     def __init__(self, path: str) -> None:
         self.tok = load(path)
+        # in lower case, as blocks are looked at
+        self.special = [t.content.encode().lower() for t in self.tok.get_added_tokens_decoder().values()]
         self.mark = self.tok.encode(self.MARK.decode(), add_special_tokens=False).ids
         self._forget()
 
@@ -108,8 +110,9 @@ class WordIds:
             self._forget()
         cuts = np.zeros(0, np.int64)
         # special tokens are cut by nothing and looked for as they are; marks could join a letter differently by case
-        if not any(x in data for x in (b"<|", b"\xcc", b"\xcd")):
-            data = data.lower()
+        low = data.lower()
+        if not any(x in low for x in (*self.special, b"\xcc", b"\xcd")):
+            data = low
             kinds = _KINDS[np.frombuffer(data, np.uint8)]
             cuts = np.flatnonzero(_CUT[kinds[:-1] * 4 + kinds[1:]]) + 1
             data = np.insert(np.frombuffer(data, np.uint8), cuts, 32).tobytes()
