@@ -109,6 +109,16 @@ def first_per_session(alerts: DataFrame) -> DataFrame:
     return alerts.where("alert_eligible").withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
+def duplicates_skipped(alerts: DataFrame) -> DataFrame:
+    """Eligible rows of a session after its earliest one are not raised again: not eligible, and DUPLICATE_SKIPPED their reason."""
+    w = Window.partitionBy("insured_id", "session_id", "alert_eligible").orderBy(F.col("timestamp").asc_nulls_last(), F.col("event_id").asc_nulls_last())
+    again = F.coalesce(F.col("alert_eligible"), F.lit(False)) & (F.row_number().over(w) > 1)
+    out = alerts.withColumn("_again", again)
+    return out.withColumns({
+        "alert_reason": F.when(F.col("_again"), "DUPLICATE_SKIPPED").otherwise(F.col("alert_reason")), "alert_eligible": F.col("alert_eligible") & ~F.col("_again"),
+    }).drop("_again")
+
+
 def new_rows(rows: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose keys are not stored yet: the idempotent insert. Repeated rows go in once."""
     return rows.dropDuplicates(keys).join(stored.select(*keys), keys, "left_anti")

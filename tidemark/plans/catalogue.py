@@ -171,6 +171,12 @@ def session_summary(s, d):
     return t.summaries(s, d).drop("action_sequence", "route_sequence", "action_counts", "anomaly_types", "start_hour", "end_hour", "day_of_week")
 
 
+@query
+def session_summary_offline(s, d):
+    """As the offline derivation has it: any session without a logout ended abruptly."""
+    return summary.summarize(t.enriched(s, d), P.features, abrupt_least=1).select(*KEY, "total_events", "has_logout", "ended_abruptly", "last_action")
+
+
 @query
 def session_sequences(s, d):
     return t.summaries(s, d).select(*KEY, "action_sequence_signature", "route_sequence_signature", "anomaly_types")
@@ -332,6 +338,12 @@ def alert_first_per_session(s, d):
     return A.first_per_session(rows).select(*KEY, "event_id")
 
 
+@query
+def alert_duplicates(s, d):
+    rows = t.alerts(s, d).where("position = 0").withColumns({"alert_eligible": F.col("final_risk_score") >= 40, "alert_reason": F.lit("ANOMALY_THRESHOLD")})
+    return A.duplicates_skipped(rows).select("event_id", "alert_eligible", "alert_reason")
+
+
 @query
 def alert_new_rows(s, d):
     rows = t.anomalies(s, d)
@@ -684,6 +696,22 @@ def ridge_forecast(s, d):
     return out.select(F.col("ds").cast("string").alias("ds"), "predicted_total_events", "predicted_anomaly_rate", "expected_alerts")
 
 
+@query
+def forecast_without_models(s, d):
+    out = W.forecast(W.lag_features(W.daily_series(audit_events(s, d))))
+    return out.select(F.col("ds").cast("string").alias("ds"), "predicted_total_events", "predicted_anomaly_rate", "expected_alerts")
+
+
+@query
+def previous_prediction(s, d):
+    """What was predicted before each event, and how far off it was."""
+    k = F.col("k")
+    x = F.array((k % 7).cast("double"), (k % 3 + 0.5).cast("double"))
+    e = sequences.top_predictions(t.session_events(s, d).withColumn("logits", x), "logits", ["view", "click"], 2)
+    before = F.lag("predictions").over(sessions.in_session())
+    return e.withColumn("p", before).where("p is not null").select("id", F.get("p", F.lit(0))["value"].alias("expected"), sequences.deviation(F.col("p"), F.col("action")).alias("deviation"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .oracle import _KEY, _sql, ALERTS, AUDIT, ENRICHED, FUSED, SESSIONS, SUMMARY, real, whole
+from .oracle import _KEY, _sql, ALERTS, AUDIT, ENRICHED, FUSED, LAGGED, SESSIONS, SUMMARY, real, whole
 
 _DETAIL = ALERTS + """,
 own as (select *, case when event_id % 4 = 0 then event_id when event_id % 4 = 1 then event_id + 1 when event_id % 8 = 2 then -9 end as about from base),
@@ -36,6 +36,17 @@ select event_id, {real('risk as final_risk_score')}, (select count(*) from f) as
 , b as (select * from base where event_id % 2 = 0 union all select * from base)
 select event_id, {real('risk as final_risk_score')} from b order by risk desc, b.timestamp desc, event_id desc limit 40"""),
     "alert_cache_trim": _sql(ALERTS, "select event_id, risk_level from base qualify count(*) over () <= 400 or row_number() over (order by event_id desc) <= 250"),
+    "alert_duplicates": _sql(ALERTS, """
+, r as (select event_id, risk >= 40 as ok, row_number() over (partition by session_id, risk >= 40 order by timestamp, event_id) as n from base)
+select event_id, ok and n = 1 as alert_eligible, case when ok and n > 1 then 'DUPLICATE_SKIPPED' else 'ANOMALY_THRESHOLD' end as alert_reason from r"""),
+    "session_summary_offline": _sql(SUMMARY, f"select {_KEY}, {whole('total_events', 'has_logout', '1 - has_logout as ended_abruptly')}, last_action from summed"),
+    "forecast_without_models": _sql(LAGGED, f"""
+, p as (select ds, case when total_events_lag_7 > 0 then total_events_lag_7 else total_events_roll_mean_7 end as e, case when anomaly_rate_lag_7 > 0 then anomaly_rate_lag_7 else anomaly_rate_roll_mean_7 end as r from lagged)
+select cast(ds as varchar) as ds, {real('e as predicted_total_events', 'r as predicted_anomaly_rate', 'e * r as expected_alerts')} from p"""),
+    "previous_prediction": _sql(SESSIONS, f"""
+, p as (select id, action, lag(k) over (partition by session_id order by created_at, id) as k from sess),
+q as (select id, action, exp(k % 7) as a, exp(k % 3 + 0.5) as b from p where k is not null)
+select id, case when a >= b then 'view' else 'click' end as expected, {real("1 - case action when 'view' then a when 'click' then b else 0.1 * least(a, b) end / (a + b) as deviation")} from q"""),
     "buffer_dedup": _sql(SESSIONS, "select session_id, count(distinct id) filter (where k % 10 <> 0) + max((k % 10 = 0)::int) as events, cast(max((k % 10 = 0)::int) as bigint) as without_id from sess group by session_id"),
     "half_open_range": _sql(ALERTS, "select event_id, risk_level from base where timestamp >= '2024-01-05' and timestamp < '2024-01-06'"),
     "recent_events": _sql(SESSIONS, "select id, row_number() over (partition by session_id order by created_at desc, id desc) as from_last from sess qualify from_last <= 5"),
