@@ -25,7 +25,7 @@ SIGMAS = 6.0
 #: Bands of at most this many members are compared pair by pair where components differ.
 FEW = 16
 #: Members on each side of a cell of a larger band.
-CELL = 256
+CELL = 512
 #: 64-bit words of the map that tells members of larger bands apart.
 WORDS = 16
 _MARKS = ["n", "lacks", "lacks_hidden", "more", "more_hidden", *(f"w{k}" for k in range(WORDS))]
@@ -167,7 +167,8 @@ def _across(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     own = marked.withColumn("cell", F.pmod(F.hash("id"), cells))
     every = F.explode(F.sequence(F.lit(0), cells - 1))
     x, y = own.withColumnRenamed("cell", "row").withColumn("column", every), own.withColumnRenamed("cell", "column").withColumn("row", every)
-    far = x.alias("x").join(y.alias("y"), ["band", "row", "column"]).where(
+    # the maps of one side unfold to far more than their compressed size says: never a broadcast
+    far = x.alias("x").join(y.hint("merge").alias("y"), ["band", "row", "column"]).where(
         f"x.comp < y.comp and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and "
         f"(100 + {percent}) * (x.lacks + x.more + y.lacks + y.more - 2 * ({common})) <= (100 - {percent}) * (x.n + y.n)"
     )
