@@ -43,22 +43,21 @@ def assign_sessions(events: DataFrame, gap_seconds: int = SessionParams.gap_seco
 def cut_long_sessions(events: DataFrame, max_seconds: int = SessionParams.max_duration_seconds) -> DataFrame:
     """Adds ``part``: a session's part ends before the first event ``max_seconds`` or more after the part's start.
 
-    Each part starts anew, so the cut is a fold over the session's ordered times.
+    Each part starts anew, so the cut is a fold over the session's ordered times. It keeps the starts of parts
+    alone; an event's part is the number of starts up to it. Events without a time have no part.
     """
-    times = F.array_sort(F.collect_list(F.struct(F.unix_micros("created_at").alias("t"), F.col("id").alias("id"))))
-    first = F.struct(F.lit(-1).alias("part"), F.lit(0).cast("bigint").alias("start"), F.array().cast("array<struct<id:bigint,part:int>>").alias("out"))
+    us = F.unix_micros("created_at")
+    times = F.array_sort(F.collect_list(us))
+    none = F.struct(F.lit(None).cast("bigint").alias("start"), F.array().cast("array<bigint>").alias("starts"))
 
-    def step(acc, x):
-        cut = (acc.part < 0) | (x.t - acc.start >= max_seconds * 1_000_000)
-        part = F.when(cut, acc.part + 1).otherwise(acc.part)
-        return F.struct(
-            part.alias("part"), F.when(cut, x.t).otherwise(acc.start).alias("start"),
-            F.array_append(acc.out, F.struct(x.id.alias("id"), part.alias("part"))).alias("out"),
-        )
+    def step(acc, t):
+        cut = acc.start.isNull() | (t - acc.start >= max_seconds * 1_000_000)
+        return F.struct(F.when(cut, t).otherwise(acc.start).alias("start"), F.when(cut, F.array_append(acc.starts, t)).otherwise(acc.starts).alias("starts"))
 
     parts = events.where("created_at is not null").groupBy(*SESSION).agg(times.alias("times"))
-    each = parts.select(*SESSION, F.inline(F.aggregate("times", first, step, lambda a: a.out)))
-    return events.join(each, [*SESSION, "id"], "left")
+    starts = parts.select(*SESSION, F.aggregate("times", none, step, lambda a: a.starts).alias("_starts"))
+    part = F.when(us.isNotNull(), F.size(F.filter("_starts", lambda s: s <= us)) - 1)
+    return events.join(starts, SESSION, "left").withColumn("part", part).drop("_starts")
 
 
 def enrich(events: DataFrame, p: FeatureParams = FeatureParams()) -> DataFrame:
