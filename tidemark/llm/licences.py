@@ -87,15 +87,17 @@ def scan_licences(docs: DataFrame, threshold: float = THRESHOLD, templates=TEMPL
     """
     known = template_bigrams(docs.sparkSession, templates)
     share = threshold / (2 - threshold)
-    sizes = known.agg(F.min("m").alias("m"), F.collect_set("bigram").alias("bigrams")).first()
-    least = ceil(share * (sizes.m or 1))
+    by_template = known.groupBy("template").agg(F.first("m").alias("m"), F.collect_list("bigram").alias("bigrams")).orderBy("template").collect()
     # bigrams hold letters, digits and a blank
-    is_known = f"in ({', '.join(repr(x) for x in sorted(sizes.bigrams) or [''])})"
+    listed = lambda bigrams: f"in ({', '.join(repr(x) for x in sorted(bigrams)) or repr('')})"
+    is_known = listed({x for r in by_template for x in r.bigrams})
+    likely = " or ".join(f"size(filter(h, x -> x {listed(r.bigrams)})) >= {ceil(share * r.m)}" for r in by_template) or "false"
     keys = ["doc_id", "version"]
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     grams = texts.select("doc_id", F.xxhash64("text").alias("version"), _bigrams("text").alias("grams"))
-    # texts with too few known bigrams for any template go before anything is exploded
-    some = staged(grams.where(F.size(F.expr(f"filter(grams, x -> x {is_known})")) >= least).dropDuplicates(keys), "licences")
+    # texts go before anything is exploded or written unless some template finds enough of its bigrams in them
+    found = f"array_distinct(filter(grams, x -> x {is_known}))"
+    some = staged(grams.where(F.expr(f"exists(array({found}), h -> {likely})")).dropDuplicates(keys), "licences")
     places = F.expr(f"filter(transform(grams, (x, i) -> struct(i as place, x as bigram)), s -> s.bigram {is_known})")
     hits = some.select(*keys, F.inline(places)).join(F.broadcast(known), "bigram")
     of_template = ["doc_id", "version", "template", "licence", "m"]
