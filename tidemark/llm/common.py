@@ -48,18 +48,28 @@ def partitions(spark: SparkSession, size: int) -> int:
 HOT_SHARE = 5_000
 
 
+def _hot(counted: DataFrame) -> tuple[int, DataFrame]:
+    """The number of rows from which a key of ``counted(key, n, ...)`` is hot, and the hot keys."""
+    bound = (counted.agg(F.sum("n")).first()[0] or 0) // HOT_SHARE
+    return bound, F.broadcast(counted.where(F.col("n") > bound))
+
+
 def join_counted(rows: DataFrame, counted: DataFrame, key: list[str]) -> DataFrame:
     """``rows`` joined with the few of ``counted(key, n, ...)``, a staged table, that share their key; ``n`` counts the rows of each key.
 
     Hot keys, at most ``HOT_SHARE`` by the way they are chosen, are broadcast, so none of their rows is
     shuffled; all others meet in a shuffle in which no key is large.
     """
-    bound = (counted.agg(F.sum("n")).first()[0] or 0) // HOT_SHARE
-    hot = F.broadcast(counted.where(F.col("n") > bound))
+    bound, hot = _hot(counted)
     rest = rows.join(hot.select(*key), key, "left_anti").join(counted.where(F.col("n") <= bound), key)
     return rows.join(hot, key).unionByName(rest)
 
 
+def without_counted(rows: DataFrame, counted: DataFrame, key: list[str]) -> DataFrame:
+    """The ``rows`` that ``join_counted`` finds nothing for, with as little moved of hot keys."""
+    return rows.join(_hot(counted)[1].select(*key), key, "left_anti").join(counted.select(*key), key, "left_anti")
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import licences
+from . import licences, middle, vectors
 from .common import table
 from .decontaminate import contaminated
 from .html import extract_pages
@@ -13,6 +13,7 @@ from .repeats import remove_repeats
 from .secrets import scan_secrets
 from .sketch import compare_with_edits
 from .tokens import count_tokens
+from .whitening import whiten
 
 
 def tokenizer(name: str) -> str:
@@ -39,6 +40,9 @@ def queries() -> dict:
         "op8_licence_scans": lambda s, d: licences.scan_licences(docs(s, d)),
         "op9_html_extraction": lambda s, d: extract_pages(table(s, d, "pages")),
         "op10_harmonic_packing": lambda s, d: pack(docs(s, d), tokenizer("word_bpe_49k.json")),
+        "op11_fill_in_middle": lambda s, d: middle.middle_digests(docs(s, d)),
+        "op12_embedding_whitening": lambda s, d: whiten(table(s, d, "embeddings")),
+        "op13_embedding_near_dedup": lambda s, d: vectors.link_vectors(table(s, d, "embeddings")),
         "pipeline": corpus_pipeline.run,
     }
 
@@ -46,5 +50,5 @@ def queries() -> dict:
 def oracle_sql() -> dict:
     import corpus_pipeline
 
-    found = {"op8_licence_scans": licences.ORACLE_SQL}
+    found = {"op8_licence_scans": licences.ORACLE_SQL, "op11_fill_in_middle": middle.ORACLE_SQL, "op13_embedding_near_dedup": vectors.ORACLE_SQL}
     return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
