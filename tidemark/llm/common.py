@@ -1,7 +1,7 @@
 """Shared pieces: table access, staged tables, word and shingle hashing, connected components.
 
 Words are maximal runs of bytes outside ``0x20, 0x09-0x0D``. Hashing works on whole Arrow
-batches with numpy: one cumulative sum gives the hash of every word of a block of texts.
+batches with numpy, the words of a block of texts at a time.
 """
 
 from __future__ import annotations
@@ -95,44 +95,42 @@ def _stream(n: int, seed: int) -> np.ndarray:
         return mix64(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
 
 
-#: Two families of word hashes, independent of each other: 128 bits together.
-_BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F)
-_BYTES = (_stream(256, 11), _stream(256, 13))
+#: Families of word hashes, by seed; two of them tell words apart by 128 bits.
+_SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 _COEF = _stream(64, 12) | np.uint64(1)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _powers(n: int, family: int) -> tuple[np.ndarray, np.ndarray]:
-    if family not in _POWERS or len(_POWERS[family][0]) < n:
-        n = max(n, BLOCK_BYTES + 4096)
-        both = []
-        for base in (_BASES[family], pow(_BASES[family], -1, 1 << 64)):
-            a = np.full(n, np.uint64(base), dtype=np.uint64)
-            a[0] = 1
-            both.append(np.cumprod(a, dtype=np.uint64))
-        _POWERS[family] = tuple(both)
-    return _POWERS[family]
 
 
 def hash_block(data: bytes, lower: bool, family: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and 64-bit hash of every word of a block of bytes."""
+    """Start, end and 64-bit hash of every word of a block of bytes.
+
+    A word is read eight bytes at a time. Each eight are mixed with their place before they are added, so
+    that no order or exchange of parts of long words cancels out.
+    """
     buf = np.frombuffer(data, dtype=np.uint8)
     n = len(buf)
     gap = np.ones(n + 2, dtype=np.int8)
     gap[1:-1] = _SPACE[buf]
     turn = np.diff(gap)
     starts, ends = np.flatnonzero(turn == -1), np.flatnonzero(turn == 1)
-    up, down = _powers(n + 1, family)
-    total = np.zeros(n + 1, dtype=np.uint64)
-    values = _BYTES[family][_LOWER[buf] if lower else buf]
-    np.multiply(values, up[:n], out=values)
-    np.cumsum(values, out=total[1:])
-    h = (total[ends] - total[starts]) * down[starts]
-    return starts, ends, mix64(h + (ends - starts).astype(np.uint64) * _COEF[2 * family])
+    if not len(starts):
+        return starts, ends, np.zeros(0, np.uint64)
+    padded = np.zeros(n + 8, np.uint8)
+    padded[:n] = _LOWER[buf] if lower else buf
+    eights = np.ndarray(n, "<u8", padded, strides=(1,))
+    size = ends - starts
+    parts = (size + 7) >> 3
+    first = np.cumsum(parts) - parts
+    k = np.arange(int(parts.sum())) - np.repeat(first, parts)
+    at = np.repeat(starts, parts) + 8 * k
+    values = eights[at] & _KEEP[np.minimum(np.repeat(ends, parts) - at, 8)]
+    places = mix64((k.astype(np.uint64) + np.uint64(1)) * np.uint64(_SEEDS[family]))
+    h = np.add.reduceat(mix64(values ^ places), first)
+    return starts, ends, mix64(h + size.astype(np.uint64) * _COEF[2 * family])
 
 
 def cut_text(data: bytes) -> Iterator[bytes]:

@@ -50,7 +50,7 @@ class WordIds:
     """Ids of texts by a tokenizer that drops white space and never joins across it: words are encoded once.
 
     Words are first cut where the tokenizer cuts them anyway: between an ASCII letter and an ASCII sign or digit,
-    about digits; A-Z are lower-cased as it does. Words are told apart by 64-bit hashes within a task. New words are encoded many at a time, with a mark
+    about digits; A-Z are lower-cased as it does. Equal words of a block are found by two 64-bit hashes and looked up by their bytes. New words are encoded many at a time, with a mark
     between them that has an id of its own; words that hold the mark are encoded alone.
     """
 
@@ -64,7 +64,7 @@ class WordIds:
         self._forget()
 
     def _forget(self) -> None:
-        self.known = np.zeros(0, np.uint64)
+        self.known: dict[bytes, int] = {}
         self.at, self.length, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def _alone(self, words: list[bytes]) -> list[np.ndarray]:
@@ -93,16 +93,16 @@ class WordIds:
                 out[k] = x
         return out
 
-    def _learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
-        if not words:
-            return
-        found = self._encoded(words)
-        length = np.fromiter(map(len, found), np.int64, len(found))
-        known = np.concatenate([self.known, hashes])
-        at = np.concatenate([self.at, len(self.flat) + np.cumsum(length) - length])
-        self.flat = np.concatenate([self.flat, *found])
-        order = np.argsort(known, kind="stable")
-        self.known, self.at, self.length = known[order], at[order], np.concatenate([self.length, length])[order]
+    def _places(self, words: list[bytes]) -> np.ndarray:
+        """The number under which each word is known; new ones are encoded first."""
+        new = [w for w in words if w not in self.known]
+        if new:
+            found = self._encoded(new)
+            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
+            length = np.fromiter(map(len, found), np.int64, len(found))
+            self.at = np.concatenate([self.at, len(self.flat) + np.cumsum(length) - length])
+            self.length, self.flat = np.concatenate([self.length, length]), np.concatenate([self.flat, *found])
+        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
 
     def _block(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts of the words of a block, where the ids of each end, and all ids."""
@@ -117,13 +117,11 @@ class WordIds:
             cuts = np.flatnonzero(_CUT[kinds[:-1] * 4 + kinds[1:]]) + 1
             data = np.insert(np.frombuffer(data, np.uint8), cuts, 32).tobytes()
         starts, ends, h = hash_block(data, lower=False)
-        each, first, back = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.known):
-            new = self.known[np.minimum(np.searchsorted(self.known, each), len(self.known) - 1)] != each
-        else:
-            new = np.ones(len(each), bool)
-        self._learn(each[new], [data[a:b] for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist())])
-        place = np.searchsorted(self.known, each)[back]
+        other = hash_block(data, lower=False, family=1)[2]
+        _, first, back = np.unique(h, return_index=True, return_inverse=True)
+        if (other != other[first][back]).any():
+            first, back = np.unique(np.stack([h, other]), axis=1, return_index=True, return_inverse=True)[1:]
+        place = self._places([data[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())])[back.ravel()]
         length = self.length[place]
         upto = np.cumsum(length)
         total = int(upto[-1]) if len(upto) else 0
