@@ -58,6 +58,9 @@ HEADS = {
     "slack_hook": "https://hooks", "stripe": "[rs]k_(live|test)_", "url_password": r"(https?|ftp|postgres(ql)?|mysql|mongodb(\+srv)?|rediss?|amqps?)://",
 }
 RULES = BASE_RULES + MORE_RULES
+_JWT = [r[0] for r in RULES].index("jwt")
+#: What a token's first part is made of: all heads within one run of it are followed by the same, so that where one fails all do.
+_JWT_RUN = re.compile(rb"[A-Za-z0-9_-]*")
 _PEM, _PEM_END = ([r[0] for r in RULES].index(k) for k in ("pem", "pem_end"))
 #: What may follow the first line of a private key whose last line is missing.
 _KEY_BODY = re.compile(rb"[A-Za-z0-9+/=\r\n\\]*")
@@ -105,7 +108,7 @@ def scan(data: bytes) -> list[tuple[int, int, int]]:
     forward, back, whole = _compiled()
     found = []
     for k, ends in _ends(data, forward).items():
-        auto, last, (_, _, _, group, least) = back[k], 0, RULES[k]
+        auto, last, failed, (_, _, _, group, least) = back[k], 0, 0, RULES[k]
         for end in ends:
             state, start, at = 0, -1, end
             while at > last:
@@ -122,7 +125,9 @@ def scan(data: bytes) -> list[tuple[int, int, int]]:
                 m = whole[k].fullmatch(data, start, end)
             else:
                 alone = k in (_PEM, _PEM_END) or not start or data[start - 1] not in _WORD
-                m = whole[k].match(data, start) if alone else None
+                m = whole[k].match(data, start) if alone and start >= failed else None
+                if k == _JWT and m is None and start >= failed:
+                    failed = _JWT_RUN.match(data, start).end()
                 last = m.end() if m else last
             if m and len(m[group]) >= least:
                 found.append((*m.span(), k))
