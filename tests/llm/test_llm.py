@@ -624,6 +624,45 @@ def test_pages_by_the_template_of_their_host(spark):
     assert extracted(spark, plain + bare + slots + own + form) == want
 
 
+def test_what_names_tell():
+    out = ["reader-comments", "user-comments", "comment-thread", "ad-banner-728x90", "sponsored-content", "consent-dialog", "cookie_bar2", "newsletter-box"]
+    for name in out:
+        for page in ("<article><p>own</p>{}</article>", "<div><p>own</p>{}</div>"):
+            assert html.main_text(page.format(f"<div class='{name}'><p>gone</p></div>")) == "own", (name, page)
+    for name in ("has-sidebar", "no-comments", "with-ads", "social-history", "adversary", "commentary", "article has-comments", "content-sidebar-wrap"):
+        assert html.main_text(f"<div class='{name}'><p>own</p></div>") == "own", name
+    code = "<article><p>text <span class='comment'># remark</span></p><aside class='pullquote'>said so</aside><aside>gone</aside></article>"
+    assert html.main_text(code) == "text # remark said so"
+
+
+def test_teasers_are_not_of_the_article():
+    teaser = "<article><a href=/x><h3>Other</h3></a><p>short words</p></article>"
+    story = "<article><h1>Story</h1><p>" + "long words " * 9 + "</p></article>"
+    assert html.main_text(f"<body>{story}<section><h2>More stories</h2>{teaser}{teaser}</section>") == ("Story " + "long words " * 9).strip()
+    # an index of teasers alone, and an article of two parts, stay whole
+    assert html.main_text(teaser * 2) == "Other short words Other short words"
+    assert html.main_text("<article><h1>A</h1>long part</article><article><p>B</p></article>") == "A long part B"
+
+
+def test_small_hosts_and_equal_pages(spark):
+    box = "<div class=q1>Get our letter every day</div>"
+    two = [(k, f"http://two.example/{k}", f"<body>{box}<div><p>Story {k}</p></div>") for k in range(2)]
+    equal = [(10 + k, f"http://equal.example/{k}", f"<body>{box}<div><p>The one story</p></div>") for k in range(10)]
+    copies = [(50 + k, f"http://c.example/{k}", f"<body>{box}<div><p>Text {min(k, 9)}</p></div>") for k in range(30)]
+    only = [(90, "http://only.example/", f"<body>{box}<div>one page</div>")]
+    first = "Get our letter every day "
+    want = {0: first + "Story 0", 1: first + "Story 1", 90: first + "one page"} | {10 + k: first + "The one story" for k in range(10)}
+    want |= {50 + k: f"Text {min(k, 9)}" for k in range(30)}
+    rows = two + equal + copies + only
+    assert extracted(spark, rows) == want
+    # the same where templates are too large for a broadcast
+    few, html.MOST_TOKENS = html.MOST_TOKENS, 0
+    try:
+        assert extracted(spark, rows) == want
+    finally:
+        html.MOST_TOKENS = few
+
+
 def test_classes_that_cross_or_move_are_not_of_the_template(spark):
     """Texts that change places on half the pages leave their class and stay; those in a fixed place go."""
     moved = [(k, f"http://x.example/{k}", f"<body><div class=c>own{k}</div>{'<p class=a>A<hr class=q>B</p>' if k % 2 else '<hr class=q>B<p class=a>A</p>'}<div class=d>fixed</div>") for k in range(20)]

@@ -3,7 +3,7 @@
 Tokens are tags (start and end) and texts (each run of text between tags that break it). A token's role
 is its name, class and id below its containers, a text's the words themselves there. Tokens of a host that
 occur equally often on the same pages - equal occurrence vectors - form a class. A class is large and
-frequent when it has two tokens or more, markup among them, and is on ``SUPPORT`` of the host's pages; it is ordered
+frequent when it has two tokens or more, markup among them, and is on ``SUPPORT`` of the host's different pages and some more; it is ordered
 when its tokens stand in the same order wherever it occurs (tokens that change places leave it), and nested when no other
 class crosses it and it always stands in the same gap of the class around it. Valid classes nest into the host's template; its
 gaps are the slots. Texts that are tokens of the template (banners, boxes, footers, whatever they are called) go, the
@@ -26,15 +26,15 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import mix64, staged
 
-#: A class belongs to the template when it is on at least this share of a host's pages.
-SUPPORT = 0.5
-#: Hosts of fewer pages show no template; their pages are read by elements alone.
-LEAST_PAGES = 8
+#: A class belongs to the template when it is on this share of a host's different pages and on ``MARGIN`` pages more. What
+#: few pages have in common may be their own; it goes for its elements and names alone.
+SUPPORT, MARGIN = 0.5, 4
 #: A slot with more than this share of its characters inside links is a menu.
 LINKED = 0.5
 #: Templates are broadcast up to this many tokens (32 bytes each); beyond it both sides are shuffled, with ``SALTS`` parts of a host.
@@ -59,6 +59,13 @@ DROPPED_WORDS = ADVERTS | set(
     "breadcrumb breadcrumbs pagination pager comment comments commentlist disqus respond reply replies share sharing social "
     "related recommended recommendations newsletter subscribe signup login search widget widgets toolbar skip".split()
 )
+#: Words that tell whatever else is in the name, as in ``reader-comments`` or ``ad-banner-728x90``.
+COMMENTS = set("comment comments commentlist disqus".split())
+TELLING = ADVERTS | COMMENTS | set("cookie cookies consent gdpr newsletter breadcrumb breadcrumbs pagination".split())
+#: Before such a word they speak of the page around.
+RELATIONS = set("has no not with without is".split())
+#: An aside of an article with such a name is part of its text.
+QUOTES = set("pullquote quote blockquote callout".split())
 #: Words that say nothing of their own in the name of such an element, as in ``main-menu`` or ``ad-box``.
 PLACE_WORDS = set(
     "site page main global top bottom left right primary secondary inner outer box block list area section wrap wrapper container bar item items "
@@ -82,7 +89,8 @@ _END = {t: re.compile(rf"</{t}\b", re.I) for t in RAW}
 _HOST = re.compile(r"^\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#]*)", re.I)
 
 HARD, BY_FORM, ARTICLE = 1, 2, 4
-_PARSED = "page_id long, url string, host string, tokens array<long>, places array<int>, texts array<string>, flags array<int>, linked array<int>"
+_LISTS = [("places", "int"), ("texts", "string"), ("flags", "int"), ("linked", "int"), ("articles", "int")]
+_PARSED = "page_id long, url string, host string, row long, looks long, tokens array<long>, " + ", ".join(f"{k} array<{t}>" for k, t in _LISTS)
 
 
 def host_of(url: str | None) -> str:
@@ -92,9 +100,12 @@ def host_of(url: str | None) -> str:
 
 @lru_cache(1 << 16)
 def _named(name: str, words: str) -> bool:
-    """Whether a class or id name speaks of nothing but ``words`` (``dropped``, ``adverts``, ``outer``) and places."""
+    """Whether a class or id name tells of ``words`` (``dropped``, ``adverts``, ``remarks``, ``outer``): by a telling part, or as it speaks of nothing but these and places."""
     parts = [p for p in re.split("[^a-z]+", name) if p]
-    own, places = {"dropped": (DROPPED_WORDS, PLACE_WORDS), "adverts": (ADVERTS, PLACE_WORDS), "outer": (OUTER_WORDS, OUTER_PLACES)}[words]
+    telling = {"dropped": TELLING, "adverts": ADVERTS, "remarks": ADVERTS | COMMENTS, "outer": set()}[words]
+    if any(p in telling for p in parts) and RELATIONS.isdisjoint(parts):
+        return True
+    own, places = (OUTER_WORDS, OUTER_PLACES) if words == "outer" else (DROPPED_WORDS if words == "dropped" else telling, PLACE_WORDS)
     return any(p in own for p in parts) and all(p in own or p in places for p in parts)
 
 
@@ -163,13 +174,15 @@ def _left_out(tag: str, names: list[str], article: bool) -> int:
     if tag in CONTAINERS:
         if tag == "form":
             return BY_FORM
+        if tag == "aside" and article and any(p in QUOTES for n in names for p in re.split("[^a-z]+", n)):
+            return 0
         out = tag in DROPPED_TAGS or _says(names, "dropped") or not article and (tag == "header" or _says(names, "outer"))
         return HARD * out
-    return HARD * _says(names, "adverts" if article else "dropped")
+    return HARD * _says(names, "dropped" if not article else "adverts" if tag in INLINE else "remarks")
 
 
 class Page:
-    """Tokens of one page in order, odd ones texts, and its texts: place among the tokens, words, flags, characters in links."""
+    """Tokens of one page in order, odd ones texts, and its texts: place among the tokens, words, flags, characters in links, outermost article."""
 
     def __init__(self, source: str) -> None:
         self.tokens: list[int] = []
@@ -177,8 +190,9 @@ class Page:
         self.texts: list[str] = []
         self.flags: list[int] = []
         self.linked: list[int] = []
-        # tag, path, flags
-        stack: list[tuple[str, int, int]] = [("", 1, 0)]
+        self.articles: list[int] = []
+        # tag, path, flags, article
+        stack: list[tuple[str, int, int, int]] = [("", 1, 0, 0)]
         opened: dict[str, int] = {}
         pieces: list[str] = []
         in_links: list[str] = []
@@ -189,7 +203,8 @@ class Page:
                 return
             text = " ".join("".join(map(markup.unescape, pieces)).split())
             if text:
-                _, path, flags = stack[-1]
+                _, path, flags, article = stack[-1]
+                self.articles.append(article)
                 self.places.append(len(self.tokens))
                 self.texts.append(text)
                 self.flags.append(flags)
@@ -198,8 +213,8 @@ class Page:
             pieces.clear()
             in_links.clear()
 
-        def push(tag: str, path: int, flags: int) -> None:
-            stack.append((tag, path, flags))
+        def push(tag: str, path: int, flags: int, article: int) -> None:
+            stack.append((tag, path, flags, article))
             opened[tag] = opened.get(tag, 0) + 1
 
         def pop() -> None:
@@ -222,7 +237,7 @@ class Page:
                     pop()
                 elif attributes and not closing and _left_out(tag, _attributes(attributes)[1], bool(top[2] & ARTICLE)):
                     close()
-                    push(tag, top[1], top[2] | HARD)
+                    push(tag, top[1], top[2] | HARD, top[3])
                 continue
             close()
             if closing:
@@ -236,7 +251,7 @@ class Page:
             role, names, out = _attributes(attributes) if attributes else ("", [], False)
             while len(stack) > 1 and stack[-1][0] in SELF_CLOSING and (stack[-1][0] in ("p", tag) or tag in ("tr", "li")):
                 pop()
-            _, path, flags = stack[-1]
+            _, path, flags, article = stack[-1]
             own = xxhash.xxh64_intdigest(tag + role, path) & ~1
             self.tokens.append(own)
             if tag in VOID:
@@ -244,25 +259,30 @@ class Page:
             gone = HARD * out | _left_out(tag, names, bool(flags & ARTICLE))
             if tag in ("main", "article") and not gone:
                 # a form around a whole page holds its article all the same
-                flags = flags & ~BY_FORM | ARTICLE
+                flags, article = flags & ~BY_FORM | ARTICLE, article or len(self.tokens)
             if tag in CONTAINERS:
-                push(tag, own, flags | gone)
+                push(tag, own, flags | gone, article)
             elif gone:
-                push(tag, path, flags | HARD)
+                push(tag, path, flags | HARD, article)
         if at < len(source):
             pieces.append(source[at:])
         close()
 
 
 def _parse(batches):
+    row = TaskContext.get().partitionId() << 40
     for batch in batches:
         pages = [Page(s or "") for s in batch.column("html").to_pylist()]
         hosts = [host_of(u) for u in batch.column("url").to_pylist()]
         tokens = [np.array(p.tokens, np.uint64).view(np.int64) for p in pages]
-        lists = [([getattr(p, k) for p in pages], t) for k, t in (("places", pa.int32()), ("texts", pa.string()), ("flags", pa.int32()), ("linked", pa.int32()))]
+        looks = [xxhash.xxh64_intdigest(t.tobytes()) - (1 << 63) for t in tokens]
+        kinds = {"int": pa.int32(), "string": pa.string()}
+        lists = [pa.array([getattr(p, k) for p in pages], pa.list_(kinds[t])) for k, t in _LISTS]
+        rows = pa.array(np.arange(row, row + len(pages)))
+        row += len(pages)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("page_id"), batch.column("url"), pa.array(hosts, pa.string()), pa.array(tokens, pa.list_(pa.int64())), *(pa.array(v, pa.list_(t)) for v, t in lists)],
-            names=["page_id", "url", "host", "tokens", "places", "texts", "flags", "linked"],
+            [batch.column("page_id"), batch.column("url"), pa.array(hosts, pa.string()), rows, pa.array(looks, pa.int64()), pa.array(tokens, pa.list_(pa.int64())), *lists],
+            names=["page_id", "url", "host", "row", "looks", "tokens", *(k for k, _ in _LISTS)],
         )
 
 
@@ -300,10 +320,10 @@ def _vectors(batches):
 def classes(parsed: DataFrame) -> DataFrame:
     """``host, class, token, size``: the large and frequent equivalence classes of each host."""
     parts = parsed.select("host", "tokens").mapInArrow(_vectors, "host string, token long, pages long, times long, low long, high long")
-    found = parts.groupBy("host", "token").agg(*(F.sum(c).alias(c) for c in ("pages", "times", "low", "high"))).where(f"pages >= {SUPPORT} * {LEAST_PAGES}")
+    found = parts.groupBy("host", "token").agg(*(F.sum(c).alias(c) for c in ("pages", "times", "low", "high"))).where(f"pages > {MARGIN}")
     found = staged(found, "vectors")
-    total = found.where(f"token = 0 and pages >= {LEAST_PAGES}").select("host", F.col("pages").alias("all_pages"))
-    often = found.where("token <> 0").join(total, "host").where(f"pages >= {SUPPORT} * all_pages")
+    total = found.where("token = 0").select("host", F.col("pages").alias("all_pages"))
+    often = found.where("token <> 0").join(total, "host").where(f"pages >= {SUPPORT} * all_pages + {MARGIN}")
     same = often.groupBy("host", "pages", "times", "low", "high").agg(F.sort_array(F.collect_list("token")).alias("members"))
     large = same.where(F.size("members") > 1).where(F.exists("members", lambda t: t.bitwiseAND(F.lit(1)) == 0))
     return large.select("host", F.col("members")[0].alias("class"), F.explode("members").alias("token"), F.size("members").cast("long").alias("size"))
@@ -325,12 +345,15 @@ def _with_template(parsed: DataFrame, template: DataFrame, small: bool) -> DataF
     """``parsed`` and the tokens of its host's template ``(host, token, class, place, size)`` as one flat list, empty where there is none."""
     row = F.array("token", "class", "place", "size")
     packed = template.groupBy("host").agg(F.flatten(F.sort_array(F.collect_list(row))).alias("template"))
+    return _by_host(parsed, packed, small).withColumn("template", F.coalesce("template", F.array().cast("array<long>")))
+
+
+def _by_host(parsed: DataFrame, hosts: DataFrame, small: bool) -> DataFrame:
+    """``parsed`` with what ``hosts`` has for each host: broadcast where it is small, else shuffled with the rows of a host dealt into ``SALTS`` parts."""
     if small:
-        joined = parsed.join(F.broadcast(packed), "host", "left")
-    else:
-        salted = packed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = parsed.withColumn("_salt", F.pmod(F.hash("url", "tokens"), F.lit(SALTS))).join(salted, ["host", "_salt"], "left").drop("_salt")
-    return joined.withColumn("template", F.coalesce("template", F.array().cast("array<long>")))
+        return parsed.join(F.broadcast(hosts), "host", "left")
+    salted = hosts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return parsed.withColumn("_salt", F.pmod(F.hash("url", "tokens"), F.lit(SALTS))).join(salted, ["host", "_salt"], "left").drop("_salt")
 
 
 def _extremes(found: dict, names: list[str], kinds: list):
@@ -477,20 +500,31 @@ def _slots(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.string()] + [pa.int64()] * 3)], names=["host", "gap", "chars", "linked"])
 
 
-def _picked(texts, flags, slots, menus) -> str:
-    """The texts of a page's slots in order: those of its article or main elements where it has some, else all outside menus."""
-    article = [t for t, f in zip(texts, flags) if f == ARTICLE]
-    if article:
-        return " ".join(article)
+def _teasers(texts, flags, linked, articles) -> set[int]:
+    """Articles whose first text, their title, is a link elsewhere and that are less than half as long as the longest one."""
+    size: dict[int, int] = {}
+    titles: dict[int, bool] = {}
+    for t, f, n, a in zip(texts, flags, linked, articles):
+        if f == ARTICLE:
+            titles.setdefault(a, n == len(t))
+            size[a] = size.get(a, 0) + len(t)
+    return {a for a, n in size.items() if titles[a] and 2 * n < max(size.values())}
+
+
+def _picked(texts, flags, linked, articles, slots, menus) -> str:
+    """The texts of a page's slots in order: those of its article or main elements but teasers where it has some, else all outside menus."""
+    if ARTICLE in flags:
+        teasers = _teasers(texts, flags, linked, articles)
+        return " ".join(t for t, f, a in zip(texts, flags, articles) if f == ARTICLE and a not in teasers)
     return " ".join(t for t, f, (own, gap) in zip(texts, flags, slots) if not f and not own and gap not in menus)
 
 
 def _extract(batches):
     for batch in batches:
-        cols = [batch.column(c).to_pylist() for c in ("tokens", "places", "texts", "flags", "menus")]
+        cols = [batch.column(c).to_pylist() for c in ("tokens", "places", "texts", "flags", "linked", "articles", "menus")]
         out = [
-            _picked(texts, flags, _slot_texts(tokens, places, template), menus or ())
-            for tokens, places, texts, flags, menus, template in zip(*cols, _templates_of(batch))
+            _picked(texts, flags, linked, articles, _slot_texts(tokens, places, template), menus or ())
+            for tokens, places, texts, flags, linked, articles, menus, template in zip(*cols, _templates_of(batch))
         ]
         yield pa.RecordBatch.from_arrays(
             [batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), pa.array(list(map(len, out)), pa.int64())], names=["page_id", "url", "text", "n_chars"]
@@ -500,25 +534,33 @@ def _extract(batches):
 def main_text(source: str) -> str:
     """The text of one page by its elements alone, as of a host without a template."""
     page = Page(source)
-    return _picked(page.texts, page.flags, [(False, NO_GAP)] * len(page.texts), ())
+    return _picked(page.texts, page.flags, page.linked, page.articles, [(False, NO_GAP)] * len(page.texts), ())
+
+
+def _different(parsed: DataFrame) -> DataFrame:
+    """One of all pages of a host that look alike to the last token: copies of a page say nothing about what pages have in common."""
+    again = staged(parsed.groupBy("host", "looks").agg(F.min("row").alias("first"), F.count("*").alias("n")).where("n > 1"), "again")
+    rows = parsed.select("host", "url", "looks", "row", "tokens")
+    found = rows.join(F.broadcast(again) if again.count() <= MOST_TOKENS else again, ["host", "looks"], "left")
+    return found.where("first is null or row = first").select("host", "url", "tokens")
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` of each row of ``pages(page_id, url, html, ...)``.
 
-    Null and empty html gives the empty text; pages whose url has no host form one group. Text inside an
-    article or main element is never taken for the template's own. Hosts of fewer than ``LEAST_PAGES`` pages have no
-    template: there, elements alone decide. page_id and url are passed on, null or repeated; repeated rows each give
-    one and count as pages; no rows give none; other columns are ignored. Markup that never ends, deep
+    Null and empty html gives the empty text; pages whose url has no host form one group. Text of an
+    article or main element is never taken for the template's own. Pages that look alike to the last token
+    count once, so a host of one page, however often it comes, has no template and keeps its text. page_id and url are passed on,
+    null or repeated; repeated rows each give one; no rows give none; other columns are ignored. Markup that never ends, deep
     nesting and very long pages take linear time; a tag whose quotes never close ends at its first ``>``.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     parsed = staged(rows.mapInArrow(_parse, _PARSED), "parsed")
-    template, small = templates(parsed)
+    template, small = templates(_different(parsed))
     sized = parsed.select("host", "url", "tokens", "places", "flags", F.transform("texts", F.length).alias("sizes"), "linked")
     slots = _with_template(sized, template, small).mapInArrow(_slots, "host string, gap long, chars long, linked long")
     menus = slots.groupBy("host", "gap").agg(F.sum("chars").alias("chars"), F.sum("linked").alias("linked")).where(f"linked > {LINKED} * chars")
     # at most one for each token of a template
     marked = staged(menus.groupBy("host").agg(F.collect_list("gap").alias("menus")), "menus")
-    both = _with_template(parsed, template, small).join(F.broadcast(marked) if small else marked, "host", "left")
-    return both.select("page_id", "url", "tokens", "places", "texts", "flags", "menus", "template").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    both = _by_host(_with_template(parsed, template, small), marked, small)
+    return both.select("page_id", "url", "tokens", "places", "texts", "flags", "linked", "articles", "menus", "template").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
