@@ -44,8 +44,8 @@ def test_payloads_of_other_events_are_never_shown(spark):
     )
     out = {r.event_id: (r.source, r.warning, r.shown_payload) for r in got.collect()}
     assert {k: v[:2] for k, v in out.items()} == {
-        "e1": ("sql-payload", None), "e2": ("sql", "sql_payload_event_mismatch"), "e3": ("sql", "sql_payload_event_mismatch"), "e4": ("session-payload", None),
-        "e5": ("sql", "session_payload_event_mismatch"), "e6": ("sql", "sql_payload_event_mismatch"), "e7": ("sql", None),
+        "e1": ("sql-payload", None), "e2": ("sql", "sql_payload_event_mismatch"), "e3": ("sql", "sql_payload_event_mismatch"), "e4": ("sql-payload", None),
+        "e5": ("sql", "sql_payload_event_mismatch"), "e6": ("sql", "sql_payload_event_mismatch"), "e7": ("sql", "exact_event_payload_unavailable"),
     }
     assert out["e1"][2] == rows[0][4] and out["e4"][2] == analyses[0][3] and out["e2"][2] is None and got.limit(0).count() == 0
 

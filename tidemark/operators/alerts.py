@@ -32,12 +32,12 @@ def search(alerts: DataFrame, level=None, kind=None, insured=None, session=None,
     return alerts
 
 
-def lenient_filter(alerts: DataFrame, level=None, kind=None, since=None, until=None) -> DataFrame:
-    """As ``search``, without regard to case; rows without a time pass any range."""
+def lenient_filter(alerts: DataFrame, level=None, kind=None, since=None, until=None, insured=None, session=None) -> DataFrame:
+    """As ``search``, without regard to case; blank conditions are none; rows without a time pass any range."""
     c = F.col
-    for name, value in (("risk_level", level), ("anomaly_type", kind)):
-        if value is not None:
-            alerts = alerts.where(F.lower(name) == value.lower())
+    for name, value in (("risk_level", level), ("anomaly_type", kind), ("insured_id", insured), ("session_id", session)):
+        if value is not None and str(value).strip():
+            alerts = alerts.where(F.lower(c(name).cast("string")) == str(value).lower())
     if since is not None:
         alerts = alerts.where(c("timestamp").isNull() | (c("timestamp") >= F.lit(since).cast("timestamp")))
     if until is not None:

@@ -124,25 +124,90 @@ def nearest_rank(df: DataFrame, column: str, percents: tuple[int, ...] = (50, 95
     return df.agg(*(F.expr(f"percentile_disc({p / 100}) within group (order by {column})").cast(df.schema[column].dataType).alias(f"p{p}") for p in percents), F.count(column).alias("n"))
 
 
+def latest_percentiles(df: DataFrame, column: str, order: list[str], n: int = 1_000, percents: tuple[int, ...] = (50, 95)) -> DataFrame:
+    """Nearest-rank percentiles, ``greatest`` and number of the last ``n`` values that are not null, by ``order``; 0 without any.
+
+    A task keeps no more than ``n`` rows, and so does the one that merges them.
+    """
+    last = df.where(F.col(column).isNotNull()).orderBy(*(F.col(c).desc_nulls_last() for c in order)).limit(n).select(F.col(column).alias("x"))
+    rows = last.agg(F.sort_array(F.collect_list("x")).alias("v")).withColumn("n", F.size("v"))
+    place = lambda p: F.greatest(F.lit(1), F.ceil(p * F.col("n") / 100)).cast("int")
+    of = lambda c: F.when(F.col("n") > 0, c).otherwise(0)
+    return rows.select(*(of(F.try_element_at("v", place(p))).alias(f"p{p}") for p in percents), of(F.try_element_at("v", F.lit(-1))).alias("greatest"), F.col("n").cast("long").alias("n"))
+
+
+def nearest_rank_by_rounds(df: DataFrame, column: str, percents: tuple[int, ...] = (50, 95, 99), buckets: int = 1_024) -> dict[int, float | None]:
+    """Exact nearest-rank percentiles of a number column of any size, without a sort: the value at place ceil(p/100 n).
+
+    Each round counts the values left in ``buckets`` equal parts of each wanted place's interval, with the least and the greatest value of each part,
+    and goes on within the part that holds the place, until that part holds one value. A round is one pass with
+    partial sums; the driver sees the parts, never values. Only finite numbers count; without any all are None.
+    """
+    x = df.select(F.col(column).cast("double").alias("x")).where("abs(x) < double('infinity')")
+    n, low, high = x.agg(F.count("*"), F.min("x"), F.max("x")).first()
+    if not n:
+        return dict.fromkeys(percents)
+    # wanted place to interval and to the place within it
+    left = {p: (low, high, max(1, -(-p * n // 100))) for p in percents}
+    done: dict[int, float] = {}
+    while True:
+        done |= {p: a for p, (a, b, _) in left.items() if a == b}
+        left = {p: v for p, v in left.items() if p not in done}
+        if not left:
+            return done
+        spans = sorted({(a, b) for a, b, _ in left.values()})
+        each = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(a).alias("a"), F.lit(b).alias("b")) for k, (a, b) in enumerate(spans))))
+        # the least value is a part of its own, so that each round leaves fewer
+        part = F.least(F.lit(buckets - 1), F.floor(F.try_divide(F.col("x") / 2 - F.col("a") / 2, F.col("b") / 2 - F.col("a") / 2) * buckets))
+        part = F.when(F.col("x") <= F.col("a"), -1).otherwise(part)
+        rows = x.select("x", each.alias("s")).select("x", "s.*").where("x between a and b").groupBy("k", part.alias("part"))
+        found = rows.agg(F.count("*").alias("n"), F.min("x").alias("a"), F.max("x").alias("b")).orderBy("k", "part").collect()
+        for p, (a, b, place) in left.items():
+            for r in (r for r in found if spans[r.k] == (a, b)):
+                if place <= r.n:
+                    left[p] = (r.a, r.b, place)
+                    break
+                place -= r.n
+
+
 def field_coverage(df: DataFrame, known: dict[str, list[str]], warn_above: float = 0.30, top_unknown: int = 5) -> DataFrame:
-    """For each field: values known to its vocabulary, unknown ones, their share, the most frequent of these."""
+    """For each field: values known to its vocabulary, unknown ones, their share, the most frequent of these.
+
+    Values are counted with partial sums. Of a field's unknown values each task passes on no more than the
+    ``top_unknown`` most frequent of its own, so a field with very many values is no heavier than others.
+    """
     pairs = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in known)))
     rows = df.select(pairs.alias("x")).select("x.field", "x.value").groupBy("field", "value").agg(F.count("*").alias("n"))
     ok = F.lit(False)
     for f, values in known.items():
         ok = ok | ((F.col("field") == f) & F.col("value").isin(*values))
     counts = rows.withColumn("known", F.coalesce(ok, F.lit(False)))
-    # an entry for each value of a field is left by now; of the unknown ones the most frequent are kept
-    by_n = Window.partitionBy("field", "known").orderBy(F.col("value").isNull(), F.desc("n"), "value")
-    ranked = counts.withColumn("rank", F.row_number().over(by_n))
-    worst = F.when(~F.col("known") & F.col("value").isNotNull() & (F.col("rank") <= top_unknown), F.struct("rank", "value"))
-    out = ranked.groupBy("field").agg(
-        F.sum(F.when(F.col("known"), F.col("n")).otherwise(0)).alias("known"), F.sum(F.when(~F.col("known"), F.col("n")).otherwise(0)).alias("unknown"),
-        F.transform(F.array_sort(F.collect_list(worst)), lambda x: x.value).alias("most_frequent_unknown"),
-    )
+    number = lambda test: F.sum(F.when(test, F.col("n")).otherwise(0))
+    totals = counts.groupBy("field").agg(number(F.col("known")).alias("known"), number(~F.col("known")).alias("unknown"))
+    by_n = Window.partitionBy("field").orderBy(F.desc("n"), "value")
+    worst = counts.where(~F.col("known") & F.col("value").isNotNull()).withColumn("rank", F.row_number().over(by_n)).where(F.col("rank") <= top_unknown)
+    named = worst.groupBy("field").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "value"))), lambda x: x.value).alias("most_frequent_unknown"))
+    out = totals.join(named, "field", "left").withColumn("most_frequent_unknown", F.coalesce("most_frequent_unknown", F.array().cast("array<string>")))
     return out.withColumn("unknown_ratio", F.col("unknown") / (F.col("known") + F.col("unknown"))).withColumn("warn", F.col("unknown_ratio") > warn_above)
 
 
+def vector_coverage(vectors: DataFrame) -> DataFrame:
+    """How well feature vectors were filled: one row of counters.
+
+    ``vectors``: ``warnings`` (array of text), expected_length, actual_length, unknown_categoricals, categorical_values; nulls count as
+    nothing, lengths that differ in being null as a mismatch.
+    """
+    warned = lambda test: F.coalesce(F.sum(F.coalesce(F.size(F.filter("warnings", test)), F.lit(0))), F.lit(0))
+    some = lambda c: F.coalesce(F.sum(F.greatest(F.lit(0), F.coalesce(F.col(c), F.lit(0)))), F.lit(0))
+    sums = vectors.agg(
+        warned(lambda w: w.startswith("missing_tabular_feature")).alias("missing_features"), warned(lambda w: w.startswith("defaulted_tabular_feature")).alias("defaulted_features"),
+        some("unknown_categoricals").alias("unknown"), some("categorical_values").alias("values"), warned(lambda w: F.contains(w, F.lit("non_finite"))).alias("non_finite_replacements"),
+        warned(lambda w: F.contains(w, F.lit("feature_contract_mismatch"))).alias("contract_mismatches"),
+        F.count_if(~F.col("expected_length").eqNullSafe(F.col("actual_length"))).alias("length_mismatches"),
+    )
+    return sums.withColumn("unknown_categorical_ratio", F.when(F.col("values") > 0, F.col("unknown") / F.col("values")).otherwise(0.0)).drop("unknown", "values")
+
+
 def tabular_coverage(df: DataFrame, defaults: dict[str, float]) -> DataFrame:
     """For each feature, given as text: values missing, of no number, not finite, and equal to the default that stands in for them."""
     pairs = F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f).cast("string").alias("value"), F.lit(float(d)).alias("default")) for f, d in defaults.items())))

@@ -7,6 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import json_text
 from . import alerts as A
 
 # Where a payload may name the event that it is about.
@@ -45,21 +46,18 @@ def alert_details(anomalies: DataFrame, sessions: DataFrame) -> DataFrame:
     """One row for each event, of its latest anomaly: which payload it shows, from where, and what was held back.
 
     ``anomalies``: event_id, insured_id, session_id, detected_at, ``payload`` (JSON). ``sessions``: insured_id, session_id,
-    created_at, ``payload``. The event's own payload comes first; one about another event is never shown and leaves a
-    warning. Without one, the payload of the latest session analysis serves where it is about this event.
+    created_at, ``payload``. The event's own payload comes first; without one, that of the latest analysis of its session. A payload is
+    shown where it speaks of this event and names its own source or is an ``sql-payload``; one about another event is held back with
+    the warning ``sql_payload_event_mismatch``. Where there is neither a payload nor a session, the warning is ``exact_event_payload_unavailable``.
     """
     rows = with_latest_session(A.latest_by(anomalies.where("event_id is not null"), ["event_id"], "detected_at"), sessions)
-    own, theirs, event = F.col("payload"), F.col("session.payload"), F.col("event_id")
     has = lambda c: F.coalesce(F.trim(c) != "", F.lit(False))
-    source = (
-        F.when(has(own) & payload_is_about(own, event), "sql-payload").when(has(own), "sql")
-        .when(has(theirs) & payload_is_about(theirs, event), "session-payload").otherwise("sql")
-    )
-    warning = F.when(has(own) & ~payload_is_about(own, event), "sql_payload_event_mismatch").when(
-        ~has(own) & has(theirs) & ~payload_is_about(theirs, event), "session_payload_event_mismatch"
-    )
-    shown = F.when(F.col("source") == "sql-payload", own).when(F.col("source") == "session-payload", theirs)
-    return rows.withColumns({"source": source, "warning": warning}).withColumn("shown_payload", shown)
+    one = F.when(has(F.col("payload")), F.col("payload")).when(has(F.col("session.payload")), F.col("session.payload"))
+    about = payload_is_about(F.col("_one"), F.col("event_id"))
+    shown = F.when(about, F.col("_one"))
+    warning = F.when(F.col("_one").isNotNull() & ~about, "sql_payload_event_mismatch").when(F.col("_one").isNull() & F.col("session").isNull(), "exact_event_payload_unavailable")
+    source = F.when(about, json_text(F.col("_one"), "$.source")).when(~about, "sql")
+    return rows.withColumn("_one", one).withColumns({"source": F.coalesce(source, F.lit("sql-payload")), "warning": warning, "shown_payload": shown}).drop("_one")
 
 
 def evidence(anomaly: dict[str, str], scores: Iterable[str]) -> Column:
@@ -87,10 +85,24 @@ def page_of(alerts: DataFrame, limit: int = A.USUAL_PAGE, offset: int = 0) -> Da
     return rows.join(F.broadcast(total), "_one").drop("_one").withColumn("has_more", F.col("total") > max(0, offset) + size)
 
 
-def live_list(live: DataFrame, stored: DataFrame, limit: int = A.USUAL_PAGE, offset: int = 0, **conditions) -> DataFrame:
-    """The list of alerts: live ones and the stored ones that live lacks, one row an event, filtered and paged."""
-    merged = A.merge_missing(live, stored)
-    return page_of(A.search(A.keep_richest(merged, "position"), **conditions), limit, offset)
+def first_filled(*tables: DataFrame) -> DataFrame:
+    """The rows of the first table that has any: live ones, else a snapshot, else what is stored."""
+    both = None
+    for k, table in enumerate(tables):
+        rows = table.select(tables[0].columns).withColumn("_tier", F.lit(k))
+        both = rows if both is None else both.unionByName(rows)
+    first = both.agg(F.min("_tier").alias("_tier"))  # one row
+    return both.join(F.broadcast(first), "_tier", "left_semi").drop("_tier")
+
+
+def live_list(live: DataFrame, stored: DataFrame, limit: int = A.USUAL_PAGE, offset: int = 0, events: DataFrame | None = None, fields: Iterable[str] = (), **conditions) -> DataFrame:
+    """The list of alerts: live ones and the stored ones that live lacks, one row an event, hydrated, filtered leniently and paged.
+
+    ``events``: rows (event_id, detected_at, ``fields``) that fill what an alert lacks before it is filtered.
+    """
+    rows = A.keep_richest(A.merge_missing(live, stored), "position")
+    rows = rows if events is None else A.hydrate(rows, events, list(fields))
+    return page_of(A.lenient_filter(rows, **conditions), limit, offset)
 
 
 def top_of_both(live: DataFrame, stored: DataFrame, n: int, *order: str) -> DataFrame:

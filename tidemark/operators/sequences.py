@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import softmax, surprise
+from ..functions.text import normalize_label
 from .sessions import SESSION, event_order, in_session
 
 
@@ -53,8 +54,8 @@ def dropoff_actions(summaries: DataFrame) -> DataFrame:
     return summaries.where("ended_abruptly = 1").groupBy("last_action").agg(F.count("*").alias("n"))
 
 
-# Spellings of one outcome; a vocabulary may know either.
-STATUS_SYNONYMS = [("OK", "SUCCESS"), ("KO", "FAILURE")]
+# Spellings of each outcome; a vocabulary is asked for the outcome's own name.
+STATUS_SYNONYMS = {"OK": ("SUCCESS", "SUCCEEDED", "200"), "KO": ("FAILURE", "FAILED", "ERROR")}
 
 
 def time_since_previous(df: DataFrame, supplied: str | None = None, differs: int = 1_000) -> DataFrame:
@@ -88,15 +89,18 @@ def numbered(df: DataFrame) -> DataFrame:
 
 
 def encode(df: DataFrame, vocabularies: dict[str, list[str]]) -> DataFrame:
-    """Adds ``<field>_id``: a value's place in its vocabulary from 1, as it is, trimmed, lower or upper case; 0 where unknown."""
+    """Adds ``<field>_id``: a value's place in its vocabulary from 1, as it is, repaired and trimmed, lower or upper case; 0 where unknown.
+
+    Spellings of an outcome in ``status`` stand for OK and KO, in either case, where the vocabulary has those; never the other way round.
+    """
     out = {}
     for f, words in vocabularies.items():
         table = F.create_map(*[F.lit(x) for i, w in enumerate(words) for x in (w, i + 1)])
         c = F.col(f).cast("string")
-        tries = [F.try_element_at(table, t) for t in (c, F.trim(c), F.lower(F.trim(c)), F.upper(F.trim(c)))]
+        label = F.coalesce(F.trim(normalize_label(c)), F.lit(""))
+        tries = [F.try_element_at(table, t) for t in (c, label, F.lower(label), F.upper(label))]
         if f == "status":
-            same = {x: group for group in STATUS_SYNONYMS for x in group}
-            tries += [F.coalesce(*(F.when(F.upper(F.trim(c)) == x, F.try_element_at(table, F.lit(y))) for x, group in same.items() for y in group))]
+            tries += [F.when(F.upper(label).isin(*same), F.try_element_at(table, F.lit(x))) for name, same in STATUS_SYNONYMS.items() for x in (name, name.lower())]
         out[f"{f}_id"] = F.coalesce(*tries, F.lit(0))
     return df.withColumns(out)
 
@@ -151,9 +155,58 @@ def sequence_surprise(logits: dict[str, Column], targets: dict[str, Column], wei
         total = total + F.coalesce(surprise(x, targets[f]) * weights.get(f, 1.0) * norms.get(f, 1.0), F.lit(0.0))
     errors = F.zip_with(predicted, actual, lambda a, b: F.abs(a - b))
     mean = lambda a: F.when(F.size(a) > 0, F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a)).otherwise(0.0)
-    return total + mean(F.slice(errors, 1, first)) + rest_weight * mean(F.slice(errors, first + 1, 1000))
+    return total + mean(F.slice(errors, 1, first)) + rest_weight * mean(F.slice(errors, first + 1, F.greatest(F.size(errors), F.lit(1))))
 
 
 def previous_prediction(df: DataFrame, column: str) -> Column:
     """The prediction that stood when the event came: that of the event before in its session."""
     return F.lag(column).over(Window.partitionBy(*SESSION).orderBy(*event_order()))
+
+
+def predictions_as_of(events: DataFrame, predictions: DataFrame, on: str = "session_id") -> DataFrame:
+    """``events`` with ``predicted_at``, ``predicted_for`` and ``prediction``: the latest prediction of another event that stood when each came.
+
+    ``predictions``: ``on``, context_event_id, created_at, prediction. A prediction of the time of an event itself counts; of
+    several at one time the one with the greatest context event is the latest. One that an event's own context gave is passed
+    over for the latest of another event. Without one, and for events without a time or key, all three
+    are null. Both sides meet in one shuffle by ``on``, in which the last prediction is carried on in order of time.
+    """
+    kind = events.schema["id"].dataType
+    made = predictions.where(F.col(on).isNotNull() & F.col("created_at").isNotNull()).select(
+        F.col(on).alias("_on"), F.col("created_at").alias("_at"), F.lit(0).alias("_side"), F.col("context_event_id").cast(kind).alias("_id"),
+        F.struct(F.col("created_at").alias("at"), F.col("context_event_id").cast(kind).alias("event"), F.col("prediction").alias("prediction")).alias("_p"),
+    )
+    came = events.select(F.col(on).alias("_on"), F.col("created_at").alias("_at"), F.lit(1).alias("_side"), F.col("id").alias("_id"), F.struct("*").alias("_event"))
+    w = Window.partitionBy("_on").orderBy(F.col("_at").asc_nulls_first(), "_side", F.col("_id").asc_nulls_first())
+    past = w.rowsBetween(Window.unboundedPreceding, -1)
+    rows = made.unionByName(came, allowMissingColumns=True).withColumn("_before", F.last("_p", ignorenulls=True).over(past))
+    # the latest prediction of another context than the last one changes only where the context does
+    turned = F.col("_p").isNotNull() & F.col("_before").isNotNull() & ~F.col("_p.event").eqNullSafe(F.col("_before.event"))
+    rows = rows.withColumn("_other", F.last(F.when(turned, F.col("_before")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    timed = F.col("_on").isNotNull() & F.col("_at").isNotNull()
+    found = F.when(timed, F.when(F.col("_before.event").eqNullSafe(F.col("_id")), F.col("_other")).otherwise(F.col("_before")))
+    out = rows.where("_event is not null").select("_event", found.alias("_f"))
+    return out.select("_event.*", F.col("_f.at").alias("predicted_at"), F.col("_f.event").alias("predicted_for"), F.col("_f.prediction").alias("prediction"))
+
+
+def head_deviations(heads: Column, actual: dict[str, Column]) -> Column:
+    """How far what came is from a prediction of several heads: ``matched`` and ``probability`` by field, and ``score``.
+
+    ``heads``: a map of field to the ranked values, structs of value and probability. A field counts where its value is
+    known and its head ranked any. What a head did not rank has a tenth of its least probability, 0.001 where
+    that is 0. ``score`` is the mean of 1 - p, 1 where nothing counts; null without a prediction.
+    """
+    own = F.array(*(F.struct(F.lit(f).alias("field"), c.cast("string").alias("value")) for f, c in actual.items()))
+    asked = F.filter(own, lambda a: a.value.isNotNull() & F.coalesce(F.size(F.try_element_at(heads, a.field)) > 0, F.lit(False)))
+
+    def judged(a: Column) -> Column:
+        ranked = F.try_element_at(heads, a.field)
+        hit = F.get(F.filter(ranked, lambda x: x.value == a.value), F.lit(0))
+        least = F.array_min(F.transform(ranked, lambda x: x.probability))
+        p = F.when(hit.probability > 0, hit.probability).when(least > 0, least * 0.1).otherwise(0.001)
+        return F.struct(a.field.alias("field"), hit.isNotNull().alias("matched"), p.alias("probability"))
+
+    each = F.transform(asked, judged)
+    mean = F.aggregate(each, F.lit(0.0), lambda s, x: s + 1 - x.probability, lambda s: F.when(F.size(each) > 0, s / F.size(each)).otherwise(1.0))
+    by_field = lambda name: F.map_from_entries(F.transform(each, lambda x: F.struct(x.field, x[name])))
+    return F.when(heads.isNotNull(), F.struct(by_field("matched").alias("matched"), by_field("probability").alias("probability"), mean.alias("score")))

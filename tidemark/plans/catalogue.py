@@ -12,7 +12,8 @@ from ..functions import scores, text
 from ..operators import alerts as A
 from ..operators import counters as C
 from ..operators import forecast as W
-from ..operators import details, fusion, models, profiles, rules, sequences, sessions, summary
+from ..operators import details, fusion, live, models, profiles, requests, rules, sequences, sessions, summary
+from ..sources import payloads
 from ..sources.audit import audit_events
 from . import tables as t
 from .oracle import SQL
@@ -134,6 +135,34 @@ def request_template(s, d):
     return audit_events(s, d).select("id", text.template_of(F.when(k % 5 == 0, "post").otherwise("get"), path, templates).alias("template"))
 
 
+@query
+def request_template_table(s, d):
+    """Requests against a table of templates: of all routes, with open parts, in order of their place."""
+    k, v = F.col("k"), F.col("k").cast("string")
+    path = (
+        F.when(k % 6 == 0, F.concat(F.lit("/r"), k % 4)).when(k % 6 == 1, F.concat(F.lit("/users/"), v, F.lit("?a=/b"))).when(k % 6 == 2, F.concat(F.lit("/users/"), v, F.lit("/file-"), v, F.lit(".pdf")))
+        .when(k % 6 == 3, F.concat(F.lit("/users//file-"), v, F.lit(".pdf"))).when(k % 6 == 4, F.concat(F.lit("/users/"), v, F.lit("/all"))).otherwise("/users/me")
+    )
+    routes = audit_events(s, d).select("route").distinct().select(F.crc32("route").alias("position"), F.lit("GET").alias("method"), F.col("route").alias("template"))
+    few = [(-3, "get", "/users/{id}/file-*.pdf"), (-2, "GET", "/users/{id}/{part}"), (-1, "GET", "/users/{id}"), (0, "GET", "/users/me"), (-9, "POST", "/users/*")]
+    more = s.createDataFrame(few, "position long, method string, template string")
+    asked = audit_events(s, d).select("id", F.when(k % 5 == 0, "Post").otherwise("get").alias("method"), path.alias("path"))
+    return requests.match_templates(asked, routes.unionByName(more)).select("id", "template")
+
+
+@query
+def payload_items(s, d):
+    """Items of payloads in each shape, and of broken ones."""
+    k, one = F.col("k"), lambda n: F.concat(F.lit('{"id":'), (F.col("k") + n).cast("string"), F.lit(',"risk":{"score":'), ((F.col("k") + n) / 4).cast("string"), F.lit("}}"))
+    both = F.concat(F.lit("["), one(0), F.lit(","), one(1), F.lit("]"))
+    payload = (
+        F.when(k % 7 == 0, both).when(k % 7 == 1, F.concat(F.lit('{"items":'), both, F.lit(',"data":[]}'))).when(k % 7 == 2, F.concat(F.lit('{"items":null,"data":'), both, F.lit("}")))
+        .when(k % 7 == 3, one(0)).when(k % 7 == 4, F.concat(F.lit("["), one(0))).when(k % 7 == 5, F.lit(" ")).otherwise("[1,2]")
+    )
+    rows = payloads.list_items(audit_events(s, d).select("id", payload.alias("payload")), "payload", {"item_id": ("$.id", "long"), "score": ("$.risk.score", "double")})
+    return rows.select("id", "shape", "place", "item_id", "score")
+
+
 @query
 def text_helpers(s, d):
     """Equality without accents, download words, first parts of paths, statuses of codes."""
@@ -207,6 +236,20 @@ def live_summary(s, d):
     return summary.live_summary(t.enriched(s, d), 5)
 
 
+@query
+def live_session_summary(s, d):
+    """The whole live summary of each session, looking back at five events."""
+    return live.live_summaries(t.enriched(s, d), P.features, recent=5).drop("action_counts", "campaign_ids")
+
+
+@query
+def live_session_totals(s, d):
+    """The live summary where nothing recent is kept."""
+    return live.live_summaries(t.enriched(s, d), P.features, recent=0).select(
+        *KEY, "total_events", "unique_actions", "unique_ips_used", "first_route", "action_sequence", F.map_keys("action_counts").alias("counted"), "primary_anomaly_type"
+    )
+
+
 def _flag(*names: str) -> Query:
     return lambda s, d: plain(rules.rule_flags(t.enriched(s, d), P.rules).select(*KEY, *names))
 
@@ -544,6 +587,20 @@ def latency_percentile(s, d):
     return C.nearest_rank(audit_events(s, d), "k")
 
 
+@query
+def latency_of_latest(s, d):
+    """Percentiles of the last thousand samples."""
+    return C.latest_percentiles(audit_events(s, d), "k", ["created_at", "id"])
+
+
+@query
+def vector_coverage(s, d):
+    k = F.col("k")
+    warned = F.array_compact(F.array(F.when(k % 3 == 0, "missing_tabular_feature:a"), F.when(k % 4 == 0, "defaulted_tabular_feature:non_finite"), F.when(k % 5 == 0, "feature_contract_mismatch")))
+    e = audit_events(s, d).select(warned.alias("warnings"), F.lit(12).alias("expected_length"), F.when(k % 6 != 0, 12).alias("actual_length"), (k % 3 - 1).alias("unknown_categoricals"), (k % 4).alias("categorical_values"))
+    return C.vector_coverage(e)
+
+
 @query
 def field_coverage(s, d):
     known = {"action": ["view", "click", "purchase"], "device": ["D0", "D1", "D2"], "country_code": ["FR"]}
@@ -712,6 +769,33 @@ def previous_prediction(s, d):
     return e.withColumn("p", before).where("p is not null").select("id", F.get("p", F.lit(0))["value"].alias("expected"), sequences.deviation(F.col("p"), F.col("action")).alias("deviation"))
 
 
+@query
+def prediction_as_of(s, d):
+    """The prediction of another event that stood when each event came, and how far off its heads were."""
+    e = t.session_events(s, d)
+    k = F.col("k")
+    ranked = lambda names, n: F.array(*(F.struct(F.lit(x).alias("value"), ((k % n + i) / 20).alias("probability")) for i, x in enumerate(names)))
+    heads = F.create_map(F.lit("action"), ranked(["view", "click"], 7), F.lit("device"), F.when(k % 4 == 0, F.array().cast("array<struct<value:string,probability:double>>")).otherwise(ranked(["D0", "D1"], 5)))
+    # every second event gives a prediction, some at once, some half an hour later, and each fourth of them again after two
+    late = F.when(k % 3 == 0, F.col("created_at")).otherwise(F.col("created_at") + F.expr("interval 30 minutes"))
+    made = e.where("id % 2 = 0").select("session_id", F.col("id").alias("context_event_id"), late.alias("created_at"), heads.alias("prediction"), "k")
+    again = made.where("k % 4 = 0").withColumn("created_at", F.col("created_at") + F.expr("interval 2 hours"))
+    out = sequences.predictions_as_of(e.select("id", "session_id", "created_at", "action", "device"), made.unionByName(again).drop("k"))
+    off = sequences.head_deviations(F.col("prediction"), {"action": F.col("action"), "device": F.col("device")})
+    known = lambda c: F.coalesce(c, F.lit(-1))
+    return out.withColumn("off", off).select("id", known(F.unix_micros("predicted_at")).alias("predicted_at"), known(F.col("predicted_for")).alias("predicted_for"), F.coalesce("off.score", F.lit(-1.0)).alias("deviation"), F.coalesce(F.try_element_at("off.matched", F.lit("action")), F.lit(False)).alias("action_matched"))
+
+
+@query
+def alert_list_hydrated(s, d):
+    """A page of stored alerts where nothing is live, filled from their events, some without a time."""
+    rows = t.alerts(s, d).withColumn("timestamp", F.when(F.col("event_id") % 7 != 0, F.col("timestamp")))
+    listed = details.first_filled(rows.where("event_id < 0"), rows.where("position = 1"), rows)
+    return details.live_list(listed.where("event_id % 2 = 0"), listed, 40, 20, t.anomalies(s, d), ["device", "country"], level=" Medium ".strip(), kind="", since="2024-01-15 00:00:00").select(
+        "event_id", F.coalesce(F.unix_micros("timestamp"), F.lit(-1)).alias("timestamp"), "device", "country", "total", "has_more"
+    )
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -9,8 +9,8 @@ own as (select *, case when event_id % 4 = 0 then event_id when event_id % 4 = 1
 led as (select session_id, min(event_id) as e from base group by all),
 joined as (select o.*, case when e % 3 <> 0 then e end as session_about from own o join led using (session_id)),
 sourced as (
-  select event_id, case when about = event_id then 'sql-payload' when about is not null then 'sql' when session_about = event_id then 'session-payload' else 'sql' end as source,
-    case when about <> event_id then 'sql_payload_event_mismatch' when about is null and session_about <> event_id then 'session_payload_event_mismatch' end as warning
+  select event_id, case when about = event_id then 'sql-payload' when about is not null then 'sql' when session_about = event_id then 'sql-payload' else 'sql' end as source,
+    case when coalesce(about, session_about) <> event_id then 'sql_payload_event_mismatch' end as warning
   from joined
 )"""
 _LIST = ALERTS + """,
@@ -85,7 +85,7 @@ select feature, count(*) as values, count(*) filter (where missing) as missing,
     "time_since_previous": _sql(SESSIONS, """
 , p as (select id, k, us // 1000 - lag(us // 1000) over (partition by session_id order by created_at, id) as ms from sess)
 select id, coalesce(greatest(0, ms), 0) as ms_since_previous, k % 3 = 0 and abs(k * 1000000 - coalesce(greatest(0, ms), 0)) > 1000 as ms_mismatch from p"""),
-    "status_encoded": _sql(AUDIT, "select id, cast(case when k % 3 = 0 then 1 when k % 3 = 1 then 2 when status = 'OK' then 1 else 2 end as bigint) as status_id from audit"),
+    "status_encoded": _sql(AUDIT, "select id, cast(case when k % 3 = 0 then 1 when k % 3 = 1 then 2 when status = 'OK' then 1 else 0 end as bigint) as status_id from audit"),
     "top_surprise_fields": _sql(AUDIT, """
 , c as (select id, unnest(['action', 'device', 'route', 'hour', 'ip', 'country']) as f, unnest([k % 7, k % 3, k % 5, k % 11, k % 2, k % 13]) as v from audit),
 r as (select *, row_number() over (partition by id order by v desc, f) as rank from c)
@@ -95,5 +95,70 @@ select id, string_agg(f, ',' order by rank) as fields from r where rank <= 5 gro
     "imputed_matrix": _sql(AUDIT, f"""
 , m as (select quantile_cont(k, 0.5) filter (where k % 7 <> 0) as m from audit where id % 5 <> 0 and device <> 'D2')
 select id, {real("case when k % 7 <> 0 then k else (select m from m) end as x", "(device = 'D0')::int as device_D0", "(device = 'D1')::int as device_D1")} from audit"""),
+    "payload_items": _sql(AUDIT, """
+, p as (select id, k, k % 7 as form from audit where k % 7 < 4),
+i as (select *, unnest(case when form = 3 then [0] else [0, 1] end) as place from p)
+select id, case form when 0 then 'array' when 1 then 'items' when 2 then 'data' else 'object' end as shape, cast(place as bigint) as place, cast(k + place as bigint) as item_id,
+  cast((k + place) / 4 as double) as score from i"""),
+    "request_template_table": _sql(AUDIT, """
+select id, case when k % 5 = 0 then case when k % 6 in (1, 5) then '/users/*' else 'UNTRACKED' end
+  else case k % 6 when 0 then route_of when 1 then '/users/{id}' when 2 then '/users/{id}/file-*.pdf' when 3 then 'UNTRACKED' when 4 then '/users/{id}/{part}' else '/users/me' end end as template
+from (select *, '/r' || (k % 4) as route_of from audit)"""),
+    "live_session_summary": _sql(ENRICHED, f"""
+, r as (select *, row_number() over (partition by session_id order by created_at desc, id desc) as back from enriched),
+whole_ as (
+  select insured_id, session_id, count(*) as n, arg_min(country_code, (created_at, id)) as country_code, min(created_at) as s, max(created_at) as e, arg_min(action, (created_at, id)) as first_action,
+    arg_max(action, (created_at, id)) as last_action, avg(delta) as pause, max(unique_ips) as ips, max(unique_devices) as devices, count(*) filter (where status = 'KO') as kos, max(longest_ko_streak) as streak,
+    max(cast(action = 'signup' as int)) as login, max(cast(action = 'error' as int)) as logout, max(is_ip_changed) as ip, max(is_device_changed) as device, sum(is_download_action) as downloads,
+    max(downloads_recent) as most_downloads, max(ping_pong) as pongs, max(risk) as risk_max, avg(risk) as risk_avg, sum(is_anomaly) as anomalies, max(cast(isodow(created_at) > 5 as int)) as weekend
+  from r group by all
+),
+seen as (
+  select session_id, count(distinct action) as actions, count(distinct route) as routes, arg_max(route, back) as first_route, arg_min(route, back) as last_route, string_agg(action, ' > ' order by back desc) as signature,
+    string_agg(action, ',' order by back desc) as listed from r where back <= 5 group by all
+),
+firsts as (select session_id, route, max(back) as b from r where back <= 5 group by all),
+ways as (select session_id, string_agg(route, ' > ' order by b desc) as signature, string_agg(route, ',' order by b desc) as listed from firsts group by all),
+kinds as (select session_id, anomaly_type, max(back) as b from r where back <= 5 and anomaly_type <> 'normal' group by all),
+named as (select session_id, string_agg(anomaly_type, ',' order by b desc) as listed, arg_max(anomaly_type, b) as first from kinds group by all)
+select w.insured_id, w.session_id, country_code, epoch_us(s) as session_start, epoch_us(e) as session_end, {whole('hour(s) as start_hour', 'hour(e) as end_hour', 'isodow(s) - 1 as day_of_week', 'weekend as is_weekend')},
+  first_action, last_action, first_route, last_route, {whole('n as total_events', 'floor((epoch_us(e) - epoch_us(s)) / 1e6) as total_duration_seconds')}, {real('pause as avg_inter_action_seconds')},
+  0.0::double as min_inter_action_seconds, 0.0::double as max_inter_action_seconds, {whole('actions as unique_actions', 'routes as unique_routes', 'ips as unique_ips_used', 'devices as unique_devices_used', 'kos as total_kos',
+  'n - kos as total_oks', 'streak as longest_ko_streak', 'login as has_login', 'logout as has_logout', 'ip as ip_changed', 'device as device_changed', 'downloads as total_download_actions',
+  'most_downloads as max_downloads_in_2_minutes', 'pongs as ping_pong_count')}, {real('risk_max as risk_score_max', 'risk_avg as risk_score_avg')},
+  {whole('logout = 0 and n >= 3 as ended_abruptly', 'anomalies as anomaly_event_count')}, seen.signature as action_sequence_signature, ways.signature as route_sequence_signature,
+  coalesce(named.first, 'normal') as primary_anomaly_type, coalesce(named.listed, '') as anomaly_types, seen.listed as action_sequence, ways.listed as route_sequence
+from whole_ w join seen using (session_id) join ways using (session_id) left join named using (session_id)"""),
+    "live_session_totals": _sql(ENRICHED, f"""
+, w as (select insured_id, session_id, count(*) as n, max(unique_ips) as ips, arg_min(action, (created_at, id)) as a, arg_max(action, (created_at, id)) as b from enriched group by all)
+select {_KEY}, {whole('n as total_events', '1 as unique_actions', 'greatest(1, ips) as unique_ips_used')}, null::varchar as first_route, a || ',' || b as action_sequence, case when a = b then a else a || ',' || b end as counted,
+  'normal' as primary_anomaly_type from w"""),
+    "latency_of_latest": _sql(AUDIT, f"""
+, last as (select k from audit where k is not null order by created_at desc, id desc limit 1000), placed as (select k, row_number() over (order by k) as r, count(*) over () as n from last)
+select {whole('max(k) filter (where r = ceil(n * 50 / 100)) as p50', 'max(k) filter (where r = ceil(n * 95 / 100)) as p95', 'max(k) as greatest', 'count(*) as n')} from placed"""),
+    "vector_coverage": _sql(AUDIT, f"""
+select {whole('count(*) filter (where k % 3 = 0) as missing_features', 'count(*) filter (where k % 4 = 0) as defaulted_features', 'count(*) filter (where k % 4 = 0) as non_finite_replacements',
+  'count(*) filter (where k % 5 = 0) as contract_mismatches', 'count(*) filter (where k % 6 = 0) as length_mismatches')}, {real('count(*) filter (where k % 3 = 2) / sum(k % 4) as unknown_categorical_ratio')} from audit"""),
+    "prediction_as_of": _sql(SESSIONS, f"""
+, made as (
+  select session_id, id as c, k, case when k % 3 = 0 then created_at else created_at + interval 30 minutes end as made_at from sess where id % 2 = 0
+), both_ as (select * from made union all select session_id, c, k, made_at + interval 2 hours from made where k % 4 = 0),
+found as (
+  select e.id, e.action, e.device, arg_max(p, (p.made_at, p.c)) as p from sess e left join both_ p on p.session_id = e.session_id and p.made_at <= e.created_at and p.c <> e.id group by all
+),
+parts as (
+  select *, (p.k % 7) / 20 as v, (p.k % 7 + 1) / 20 as c_, (p.k % 5) / 20 as d0, (p.k % 5 + 1) / 20 as d1 from found
+),
+chances as (
+  select *, case when action = 'view' and v > 0 then v when action = 'click' then c_ when v > 0 then v * 0.1 else 0.001 end as pa,
+    case when p.k % 4 = 0 then null when device = 'D0' and d0 > 0 then d0 when device = 'D1' then d1 when d0 > 0 then d0 * 0.1 else 0.001 end as pd from parts
+)
+select id, coalesce(epoch_us(p.made_at), -1) as predicted_at, coalesce(p.c, -1) as predicted_for, case when p.c is not null then round(cast(case when pd is null then 1 - pa else (2 - pa - pd) / 2 end as double), 6) else -1 end as deviation,
+  p.c is not null and action in ('view', 'click') as action_matched from chances"""),
+    "alert_list_hydrated": _sql(ALERTS, """
+, f as (select event_id, case when event_id % 7 <> 0 then timestamp end as t, created_at, full_device as device, coalesce(country, full_country) as country from alerts
+  where position = 1 and risk_level = 'MEDIUM' and (event_id % 7 = 0 or timestamp >= '2024-01-15'))
+select event_id, coalesce(epoch_us(t), -1) as timestamp, device, country, (select count(*) from f) as total, (select count(*) from f) > 60 as has_more
+from f order by t desc nulls last, created_at desc, event_id desc limit 40 offset 20"""),
 }
 SQL = {k: v.replace(")\n, ", "),\n", 1) if "\n, " in v else v for k, v in SQL.items()}

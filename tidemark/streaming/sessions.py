@@ -150,7 +150,9 @@ def state_store(spark) -> None:
 
 
 def trailing_downloads(events: DataFrame, seconds: int = 120, late: str = "10 minutes") -> DataFrame:
-    """For each event of a stream, downloads of its session in the ``seconds`` up to it.
+    """For each event of a stream, downloads of its session in the ``seconds`` up to it, in whole seconds as in batch: up to a second less one more.
+
+    Of events at one time, those with a smaller id come before.
 
     An interval join of the stream with its own downloads; both sides' state ends with the watermark, so it does not grow.
     ``events``: id, insured_id, session_id, created_at, is_download_action.
@@ -160,6 +162,7 @@ def trailing_downloads(events: DataFrame, seconds: int = 120, late: str = "10 mi
         F.col("insured_id").alias("_user"), F.col("session_id").alias("_session"), F.col("created_at").alias("_at"), F.col("id").alias("_id")
     ).withWatermark("_at", late)
     near = (F.col("insured_id") == F.col("_user")) & (F.col("session_id") == F.col("_session"))
-    near &= (F.col("_at") <= F.col("created_at")) & (F.col("_at") >= F.col("created_at") - F.expr(f"interval {seconds} seconds"))
+    near &= (F.col("_at") <= F.col("created_at")) & (F.col("_at") > F.col("created_at") - F.expr(f"interval {seconds + 1} seconds"))
+    near &= (F.col("_at") < F.col("created_at")) | (F.col("_id") <= F.col("id"))
     joined = left.join(right, near, "left_outer")
     return joined.groupBy(F.window("created_at", "1 second"), "id", "session_id").agg(F.count("_id").alias("downloads_recent")).drop("window")
