@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -136,19 +138,17 @@ def latest_percentiles(df: DataFrame, column: str, order: list[str], n: int = 1_
     return rows.select(*(of(F.try_element_at("v", place(p))).alias(f"p{p}") for p in percents), of(F.try_element_at("v", F.lit(-1))).alias("greatest"), F.col("n").cast("long").alias("n"))
 
 
-def nearest_rank_by_rounds(df: DataFrame, column: str, percents: tuple[int, ...] = (50, 95, 99), buckets: int = 1_024) -> dict[int, float | None]:
-    """Exact nearest-rank percentiles of a number column of any size, without a sort: the value at place ceil(p/100 n).
+def values_at(df: DataFrame, column: str, places: Iterable[int], buckets: int = 1_024) -> dict[int, float]:
+    """The values that stand at the given places, from 1, when a number column of any size is sorted; without a sort.
 
     Each round counts the values left in ``buckets`` equal parts of each wanted place's interval, with the least and the greatest value of each part,
     and goes on within the part that holds the place, until that part holds one value. A round is one pass with
-    partial sums; the driver sees the parts, never values. Only finite numbers count; without any all are None.
+    partial sums; the driver sees the parts, never values. Only finite numbers count; places beyond them have no value.
     """
     x = df.select(F.col(column).cast("double").alias("x")).where("abs(x) < double('infinity')")
     n, low, high = x.agg(F.count("*"), F.min("x"), F.max("x")).first()
-    if not n:
-        return dict.fromkeys(percents)
     # wanted place to interval and to the place within it
-    left = {p: (low, high, max(1, -(-p * n // 100))) for p in percents}
+    left = {p: (low, high, p) for p in places if 1 <= p <= n}
     done: dict[int, float] = {}
     while True:
         done |= {p: a for p, (a, b, _) in left.items() if a == b}
@@ -170,6 +170,14 @@ def nearest_rank_by_rounds(df: DataFrame, column: str, percents: tuple[int, ...]
                 place -= r.n
 
 
+def nearest_rank_by_rounds(df: DataFrame, column: str, percents: tuple[int, ...] = (50, 95, 99), buckets: int = 1_024) -> dict[int, float | None]:
+    """Exact nearest-rank percentiles of a number column of any size: the value at place ceil(p/100 n). Without finite numbers all are None."""
+    n = df.where(F.abs(F.col(column).cast("double")) < float("inf")).count()
+    place = {p: max(1, -(-p * n // 100)) for p in percents}
+    found = values_at(df, column, set(place.values()), buckets)
+    return {p: found.get(place[p]) for p in percents}
+
+
 def field_coverage(df: DataFrame, known: dict[str, list[str]], warn_above: float = 0.30, top_unknown: int = 5) -> DataFrame:
     """For each field: values known to its vocabulary, unknown ones, their share, the most frequent of these.
 

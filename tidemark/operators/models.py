@@ -164,10 +164,15 @@ def impute_medians(train: DataFrame, df: DataFrame, columns: list[str]) -> DataF
     return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(float(medians[c] or 0.0))) for c in columns})
 
 
-def one_hot(train: DataFrame, df: DataFrame, column: str, most: int = 200) -> DataFrame:
-    """Adds ``<column>_<value>``, 1.0 or 0.0, for each of the ``most`` most frequent values in ``train``; a value that it lacks has no column."""
-    ranked = train.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), column).limit(most)
-    values = sorted(r[0] for r in ranked.select(column).collect())
+def one_hot(train: DataFrame, df: DataFrame, column: str, most: int = 2_000) -> DataFrame:
+    """Adds ``<column>_<value>``, 1.0 or 0.0, for each value in ``train``; a value that it lacks has no column.
+
+    More than ``most`` values are an error: no plan holds a column for each of very many, and none is left out unsaid.
+    """
+    found = train.where(F.col(column).isNotNull()).select(F.col(column).alias("v")).distinct().limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"{column} has more than {most} values: encode it by a vocabulary, or raise the bound")
+    values = sorted(r.v for r in found)
     return df.withColumns({f"{column}_{v}": F.coalesce((F.col(column) == v).cast("double"), F.lit(0.0)) for v in values})
 
 

@@ -5,8 +5,11 @@ All features of ``enrich`` share one partitioning and one order, so Spark shuffl
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.params import FeatureParams, SessionParams
 from ..functions.text import comparison_key, has_download_word, is_one_of
@@ -43,21 +46,38 @@ def assign_sessions(events: DataFrame, gap_seconds: int = SessionParams.gap_seco
 def cut_long_sessions(events: DataFrame, max_seconds: int = SessionParams.max_duration_seconds) -> DataFrame:
     """Adds ``part``: a session's part ends before the first event ``max_seconds`` or more after the part's start.
 
-    Each part starts anew, so the cut is a fold over the session's ordered times. It keeps the starts of parts
-    alone; an event's part is the number of starts up to it. Events without a time have no part.
+    Each part starts anew, so a session is walked in order of time: sorted within partitions, one batch after another, from each
+    part's start straight to its end. Only the last start is carried on, no session is ever gathered. Events without a time have no part.
     """
-    us = F.unix_micros("created_at")
-    times = F.array_sort(F.collect_list(us))
-    none = F.struct(F.lit(None).cast("bigint").alias("start"), F.array().cast("array<bigint>").alias("starts"))
-
-    def step(acc, t):
-        cut = acc.start.isNull() | (t - acc.start >= max_seconds * 1_000_000)
-        return F.struct(F.when(cut, t).otherwise(acc.start).alias("start"), F.when(cut, F.array_append(acc.starts, t)).otherwise(acc.starts).alias("starts"))
-
-    parts = events.where("created_at is not null").groupBy(*SESSION).agg(times.alias("times"))
-    starts = parts.select(*SESSION, F.aggregate("times", none, step, lambda a: a.starts).alias("_starts"))
-    part = F.when(us.isNotNull(), F.size(F.filter("_starts", lambda s: s <= us)) - 1)
-    return events.join(starts, SESSION, "left").withColumn("part", part).drop("_starts")
+    rows = events.withColumn("_us", F.unix_micros("created_at")).repartition(*SESSION).sortWithinPartitions(*SESSION, "_us")
+    limit = max_seconds * 1_000_000
+
+    def run(batches):
+        key, start, part = None, 0, -1
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            keys = list(zip(*(batch.column(c).to_pylist() for c in SESSION)))
+            us = batch.column("_us").to_numpy(zero_copy_only=False).astype(float)
+            turns = [k for k in range(n) if k == 0 or keys[k] != keys[k - 1]] + [n]
+            parts = np.full(n, -1, dtype=np.int64)
+            for a, b in zip(turns[:-1], turns[1:]):
+                if keys[a] != key:
+                    key, part = keys[a], -1
+                at = a + int(np.isnan(us[a:b]).sum())  # nulls are first
+                while at < b:
+                    if part < 0 or us[at] - start >= limit:
+                        start, part = us[at], part + 1
+                    end = at + int(np.searchsorted(us[at:b], start + limit))
+                    parts[at:end] = part
+                    at = end
+            kept = [c for c in batch.schema.names if c != "_us"]
+            column = pa.array(parts.astype(np.int32), pa.int32(), mask=parts < 0)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), column], names=[*kept, "part"])
+
+    own = events.drop("part")
+    return rows.select(*own.columns, "_us").mapInArrow(run, T.StructType([*own.schema.fields, T.StructField("part", T.IntegerType())]))
 
 
 def enrich(events: DataFrame, p: FeatureParams = FeatureParams()) -> DataFrame:

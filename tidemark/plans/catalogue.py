@@ -12,7 +12,7 @@ from ..functions import scores, text
 from ..operators import alerts as A
 from ..operators import counters as C
 from ..operators import forecast as W
-from ..operators import details, fusion, live, models, profiles, requests, rules, sequences, sessions, summary
+from ..operators import details, fusion, isolation, live, models, profiles, requests, rules, seasonal, sequences, sessions, summary
 from ..sources import payloads
 from ..sources.audit import audit_events
 from . import tables as t
@@ -796,6 +796,27 @@ def alert_list_hydrated(s, d):
     )
 
 
+def isolated_sessions(s, d):
+    """Sessions by how unlike the others they are."""
+    features = ["total_events", "total_kos", "unique_ips_used", "total_download_actions", "ping_pong_count", "risk_score_max"]
+    rows = t.summaries(s, d)
+    forest = isolation.fit_isolation_forest(rows, features)
+    return plain(rows.select(*KEY, models.score_with(forest, features).alias("isolation_score")))
+
+
+def seasonal_forecast(s, d):
+    """Events of the thirty days after the last one, by trend and weekly cycle; no rows for too short a series."""
+    days = W.daily_series(audit_events(s, d))
+    model = seasonal.fit_seasonal(days, "total_events", cycles={7.0: 3}, bends=5)
+    ahead = seasonal.future_days(days, 30)
+    out = ahead.withColumn("yhat", F.lit(0.0)).limit(0) if model is None else seasonal.forecast_with(model, ahead)
+    return plain(out.withColumn("ds", F.col("ds").cast("string")))
+
+
+#: Queries that no SQL can express: tests hold their operators against planted cases and known series.
+ROWS_ONLY: dict[str, Query] = {"isolated_sessions": isolated_sessions, "seasonal_forecast": seasonal_forecast}
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -80,23 +80,44 @@ class SessionProcessor(StatefulProcessor):
             if self.drop_late:
                 return
             s = None
-        for e in events.itertuples(index=False):
-            if s is None:
-                s = (0, 0, None, None, None, None, now, None)
-            at = None if pd.isna(e.created_us) else int(e.created_us)
-            first = s[4] is None or (at is not None and at < s[4])
-            last = s[5] is None or (at is not None and at >= s[5])
-            s = (
-                s[0] + 1, s[1] + int(str(e.status).upper() == "KO"), e.action if first else s[2], e.action if last else s[3],
-                at if first else s[4], at if last else s[5], now, None,
-            )
-            label = python_key(e.action if isinstance(e.action, str) else "")
-            if label in self.ends:
-                yield self._row(key, "closed", "explicit_sso_disconnect" if "sso disconnect" in label else "explicit_logout", s)
+        labels = [python_key(a) if isinstance(a, str) else "" for a in events["action"]]
+        ends = [k for k, label in enumerate(labels) if label in self.ends]
+        at = 0
+        for end in [*ends, None]:
+            stretch = events.iloc[at : len(events) if end is None else end + 1]
+            at += len(stretch)
+            if not len(stretch):
+                continue
+            if s is not None and s[7] is not None:
+                # what follows an end in the same batch is as late as what follows it in the next one
+                yield self._row(key, "late", None, (len(stretch), 0, *[None] * 4))
+                if self.drop_late:
+                    break
+                s = None
+            s = self._merged(s, stretch, now)
+            if end is not None:
+                yield self._row(key, "closed", "explicit_sso_disconnect" if "sso disconnect" in labels[end] else "explicit_logout", s)
                 s = (*s[:7], now)
         self.state.update(s)
         self._wake(now, s)
 
+    @staticmethod
+    def _merged(s: tuple | None, events: pd.DataFrame, now: int) -> tuple:
+        """The state after more events, in order of time: counts add up, the earliest and the latest event are kept."""
+        n, kos = len(events), int((events["status"].astype(str).str.upper() == "KO").sum())
+        timed = events[events["created_us"].notna()]
+        text = lambda a: a if isinstance(a, str) else None
+        if len(timed):
+            first, last = timed.iloc[0], timed.iloc[-1]
+            edges = (text(first["action"]), text(last["action"]), int(first["created_us"]), int(last["created_us"]))
+        else:
+            edges = (text(events["action"].iloc[0]), text(events["action"].iloc[-1]), None, None)
+        if s is None:
+            return (n, kos, *edges, now, None)
+        first = edges[2] is not None and (s[4] is None or edges[2] < s[4]) or s[4] is None and edges[2] is None
+        last = edges[3] is not None and (s[5] is None or edges[3] >= s[5]) or s[5] is None and edges[3] is None
+        return (s[0] + n, s[1] + kos, edges[0] if first else s[2], edges[1] if last else s[3], edges[2] if first else s[4], edges[3] if last else s[5], now, None)
+
     def _wake(self, now: int, s: tuple) -> None:
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t)
