@@ -352,6 +352,15 @@ def test_fingerprints(spark, small, docs, empty):
     assert max(errors) < 0.2 and np.mean(errors) < 0.03
     by_ranges = sketch.compare_with_edits(spark.read.parquet(f"{SMALL}/documents.parquet"), rows_per_range=13).collect()
     assert sorted(by_ranges) == sorted(got.values())
+    few, sketch.CUTS = sketch.CUTS, 3
+    try:
+        # limits found in several passes, each within the ranges of the one before; ids that floats cannot tell apart
+        big = spark.read.parquet(f"{SMALL}/documents.parquet").withColumn("doc_id", F.col("doc_id") + F.lit(1 << 60))
+        by_levels = sketch.compare_with_edits(big, rows_per_range=13).collect()
+        assert len(sketch.range_limits(big.select("doc_id"), 15, 1 << 60, (1 << 60) + max(small))) > 9
+    finally:
+        sketch.CUTS = few
+    assert sorted((r.doc_id - (1 << 60), *r[1:]) for r in by_levels) == sorted(tuple(r) for r in got.values())
     edge = sketch.compare_with_edits(docs).collect()
     assert len(edge) == len(EDGES) and len({r.fingerprint for r in edge if r.doc_id in (1, 2, 3)}) == 1
     assert sketch.compare_with_edits(empty).count() == 0
@@ -401,6 +410,42 @@ def test_decontamination_of_a_passage_in_many_documents(spark):
         assert set(found) == {d for d, _ in part if d < 300} and all(s >= 0.5 for s in found.values())
 
 
+def best_alignment(item, words):
+    """Smith-Waterman over whole texts, one cell after another."""
+    best, above = 0.0, [0.0] * (len(words) + 1)
+    for a in item:
+        now = [0.0]
+        for j, b in enumerate(words):
+            now.append(max(0.0, above[j] + (1.0 if a == b else -decontaminate.OTHER), above[j + 1] - decontaminate.GAP, now[j] - decontaminate.GAP))
+        best, above = max(best, *now), now
+    return best / len(item)
+
+
+def test_recall_of_edited_copies(spark, duck):
+    """Copies of given items in which words are changed, left out and put in: all that full alignment scores THRESHOLD are found, with its score."""
+    r = np.random.default_rng(11)
+    items = duck.execute("select item_id, text from benchmark order by item_id limit 30").fetchall()
+    filler = duck.execute("select string_agg(text, ' ') from (select text from documents order by doc_id limit 20)").fetchone()[0].split()
+    word = re.compile(r"[a-z0-9\u0080-\U0010ffff]+")
+    rows, want = [], {}
+    for item, text in items:
+        own = word.findall(text.translate(LOWER))
+        for share in (0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.33, 0.4):
+            copy = []
+            for w in own:
+                kind = r.random() / share
+                copy += [w] if kind >= 1 else [f"q{r.integers(999)}"] if kind < 0.4 else [] if kind < 0.7 else [w, f"q{r.integers(999)}"]
+            at = int(r.integers(len(filler) - 90))
+            rows.append((len(rows), " ".join(filler[at : at + 40] + copy + filler[at + 50 : at + 90])))
+            score = best_alignment(own, word.findall(rows[-1][1].translate(LOWER)))
+            if score >= decontaminate.THRESHOLD:
+                want[rows[-1][0], item] = score
+    assert len(want) > 150
+    found = decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    got = {(x.doc_id, x.item_id): x.score for x in found}
+    assert not [k for k in want if abs(got.get(k, 0) - want[k]) > 1e-5]
+
+
 def kept_words(texts):
     """Brute force: windows of twenty words seen before, in order of id and start."""
     seen, out = set(), {}

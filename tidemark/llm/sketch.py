@@ -10,6 +10,7 @@ import base64
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -125,7 +126,44 @@ def _in_order(batches):
             size += len(t)
 
 
-def compare_with_edits(docs: DataFrame, rows_per_range: int = 4096, most_ranges: int = 20_000) -> DataFrame:
+#: Limits of ranges that one pass finds for a range; more are found range by range in further passes.
+CUTS = 1_000
+
+
+def _range_of(limits):
+    """A column: the range of each doc_id by the limits of ranges (a broadcast array), and whether it is such a limit."""
+
+    @F.pandas_udf("r long, head boolean")
+    def find(ids: pd.Series, missing: pd.Series) -> pd.DataFrame:
+        known, value, none = limits.value, ids.to_numpy(), missing.to_numpy()
+        r = np.where(none, 0, np.searchsorted(known, value))
+        head = ~none & (known[np.minimum(r, len(known) - 1)] == value) if len(known) else np.zeros(len(value), bool)
+        return pd.DataFrame({"r": r, "head": head})
+
+    # nulls would turn ids into floats on their way
+    return find(F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull())
+
+
+def range_limits(rows: DataFrame, ranges: int, least: int, greatest: int) -> np.ndarray:
+    """Ids of the table, from ``least`` to ``greatest``, that cut it into about ``ranges`` ranges of as many rows, the greatest id last: eight bytes a range."""
+    limits = np.array([greatest], dtype=np.int64)
+    held = rows.where("doc_id is not null")
+    by_range = lambda: held.groupBy(_range_of(rows.sparkSession.sparkContext.broadcast(limits))["r"].alias("r"))
+    while len(limits) < ranges:
+        cuts = min(CUTS, -(-ranges // len(limits)))
+        at = F.array(*(F.lit(i / cuts) for i in range(1, cuts)))
+        # percentiles are floats: counted from the least id they are right for more ids
+        found = by_range().agg(F.percentile_approx(F.try_subtract("doc_id", F.lit(least)), at, 20 * cuts).alias("at")).collect()
+        limits = np.union1d(limits, np.array([x + least for r in found for x in r.at or ()], dtype=np.int64))
+        # each limit is the greatest id of its range, whatever floats made of it
+        exact = np.array(sorted(r.top for r in by_range().agg(F.max("doc_id").alias("top")).collect()), dtype=np.int64)
+        limits, stuck = exact, len(exact) <= len(found)
+        if stuck:
+            break  # no range holds ids that can be told apart
+    return limits
+
+
+def compare_with_edits(docs: DataFrame, rows_per_range: int = 4096) -> DataFrame:
     """Each text's fingerprint beside those of its edited copy and of the next document.
 
     Order: falling doc_id, ties by text; the first document follows the last one. The edited text has its last
@@ -136,29 +174,18 @@ def compare_with_edits(docs: DataFrame, rows_per_range: int = 4096, most_ranges:
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    total = rows.agg(F.count("*"), F.max("doc_id"), F.sum(F.octet_length("text"))).first()
+    total = rows.agg(F.count("*"), F.max("doc_id"), F.sum(F.octet_length("text")), F.min("doc_id")).first()
     # a range, and a task, for as many rows or bytes, whichever makes more
-    ranges = max(1, min(max(total[0] // rows_per_range, (total[2] or 0) // TASK_BYTES), most_ranges))
-    heads = []
-    if total[1] is not None:
-        cuts = [i / ranges for i in range(1, ranges)] + [1.0]
-        found = rows.agg(F.percentile_approx("doc_id", F.array(*map(F.lit, cuts)), 20 * ranges)).first()[0]
-        heads = sorted({*found, total[1]})
+    ranges = max(1, total[0] // rows_per_range, (total[2] or 0) // TASK_BYTES)
+    heads = range_limits(rows.select("doc_id"), ranges, total[3], total[1]) if total[1] is not None else np.zeros(0, np.int64)
     # The text of the very first document closes the last range; so do the heads of all others: one row a range.
-    limits = np.array(heads, dtype=np.int64)
-
-    @F.pandas_udf("long")
-    def range_of(ids):
-        where = np.searchsorted(limits, ids.fillna(-(1 << 62)).to_numpy().astype(np.int64))
-        return ids.__class__(np.where(ids.isna(), 0, where))
-
-    own = rows.withColumn("r", range_of("doc_id") if heads else F.lit(0).cast("long")).withColumn("border", F.lit(False))
-    tops = own.where(F.col("doc_id").isin(*heads)) if heads else own
+    own = rows.withColumn("f", _range_of(spark.sparkContext.broadcast(heads))).select("doc_id", "text", "f.r", "f.head").withColumn("border", F.lit(False))
+    tops = own.where("head") if len(heads) else own
     tops = tops.groupBy("r", "doc_id").agg(F.min("text").alias("text"))
     border = tops.select(
         "doc_id", "text", F.when(F.col("r") < len(heads) - 1, F.col("r") + 1).otherwise(F.lit(0)).cast("long").alias("r"), F.lit(True).alias("border")
     ).where(F.lit(len(heads) > 0))
-    if not heads:
+    if not len(heads):
         border = border.unionByName(rows.groupBy().agg(F.min("text").alias("text")).where("text is not null").select(
             F.lit(None).cast("long").alias("doc_id"), "text", F.lit(0).cast("long").alias("r"), F.lit(True).alias("border")))
     dealt = own.select("r", "doc_id", "text", "border").unionByName(border.select("r", "doc_id", "text", "border"))
