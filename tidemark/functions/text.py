@@ -24,8 +24,7 @@ FOLDS = _folds()
 DOWNLOAD_HINTS = ("download", "telecharg", "téléchar", "document", "certificat", "decompte", "wallet", "file")
 # Routes and the families they belong to.
 ROUTE_FAMILIES = {
-    "/login": "authentication", "/account": "account", "/documents": "documents", "/bank": "banking",
-    "/wallet": "wallet", "/reimbursements": "reimbursements", "/profile": "profile", "/contact": "contact",
+    "login": "auth", "logout": "auth", "documents": "documents", "refunds": "insured", "home": "home", "bankinginformation": "bankinginformation", "address": "insured", "file": "documents",
 }
 
 
@@ -124,8 +123,9 @@ def api_family(c: Column) -> Column:
 
 
 def route_family(route: Column, families: dict[str, str] = ROUTE_FAMILIES) -> Column:
+    """The family of a route's name, blanks around it and case aside; null for others."""
     pairs = [F.lit(x) for kv in families.items() for x in kv]
-    return F.try_element_at(F.create_map(*pairs), route)
+    return F.try_element_at(F.create_map(*pairs), F.lower(F.trim(route)))
 
 
 def json_text(payload: Column, *paths: str) -> Column:

@@ -12,7 +12,7 @@ from ..functions import scores, text
 from ..operators import alerts as A
 from ..operators import counters as C
 from ..operators import forecast as W
-from ..operators import details, fusion, isolation, live, models, profiles, requests, rules, seasonal, sequences, sessions, summary
+from ..operators import details, fusion, isolation, live, models, profiles, requests, rules, seasonal, sequences, sessions, summary, views
 from ..sources import payloads
 from ..sources.audit import audit_events
 from . import tables as t
@@ -491,6 +491,41 @@ def user_360(s, d):
     return profiles.user_360(t.analysis(s, d), t.anomalies(s, d))
 
 
+@query
+def user_view(s, d):
+    """All that is shown of each user, from sessions and anomalies with some fields missing by fixed rules."""
+    e, k, n = t.session_events(s, d), F.col("k"), F.col("n")
+    own = e.groupBy(*KEY).agg(F.min("created_at").alias("start_time"), F.max("created_at").alias("end_time"), F.count("*").alias("n"), F.min("country_code").alias("c"))
+    sessions_ = own.withColumns({
+        "country_code": F.when(n % 4 != 0, F.col("c")).otherwise(" "), "churn_probability": F.when(n % 3 != 0, F.pmod(n * 37, F.lit(100)) / 100), "churn_risk_level": F.when(n % 2 == 0, "LOW").otherwise(""),
+        "final_risk_score": F.when(n % 5 != 0, (n * 7 % 101).cast("double")), "routes": F.when(n % 2 == 0, F.array(F.lit("Login"), F.lit(" file "), F.lit("logout"), F.lit("other"))),
+        "type_evidence": F.when(n % 3 == 0, F.lit('{"apiTemplate":"/Refunds/{id}"}')),
+    })
+    text_of = lambda name, value: F.concat(F.lit(f'"{name}":"'), value, F.lit('"'))
+    device = F.when(k % 4 == 0, text_of("device", F.concat(F.lit("D"), k % 3)))
+    family = F.when(k % 3 == 0, text_of("apiFamily", F.lit("/Auth/x"))).when(k % 3 == 1, text_of("apiTemplate", F.lit("n/a")))
+    anomalies = audit_events(s, d).where("is_anomaly = 1").select(
+        F.col("id").alias("event_id"), "insured_id", F.col("created_at").alias("event_time"), F.when(k % 7 != 0, (k * 3 % 101).cast("double")).alias("final_risk_score"),
+        F.when(k % 3 == 0, "high").when(k % 3 == 1, "odd").alias("risk_level"), F.when(k % 5 == 0, "critical").otherwise("x").alias("anomaly_tier"), (k % 2 == 0).alias("anomaly_flag"),
+        F.concat(F.lit("{"), F.array_join(F.array_compact(F.array(device, family)), ","), F.lit("}")).alias("event_json"), F.when(k % 2 == 0, F.lit('{"eventMetadata":{"apiFamily":"Pay"}}')).alias("payload"),
+    )
+    out = views.user_view(sessions_, anomalies)
+    return out.select(
+        "insured_id", "churn_probability", "churn_risk_level", F.coalesce("average_risk", F.lit(-1.0)).alias("average_risk"), "alert_count", "critical_alert_count", F.coalesce("usual_country", F.lit("")).alias("usual_country"),
+        F.coalesce("usual_device", F.lit("")).alias("usual_device"), "usual_active_hours", "top_api_families", F.transform("recent_sessions", lambda x: x.session_id).alias("sessions"),
+        F.transform("risk_timeline", lambda x: F.concat(x.event_id, F.lit(":"), F.coalesce(x.risk_level, F.lit("none")))).alias("timeline"),
+    )
+
+
+@query
+def forecast_history(s, d):
+    days = W.daily_series(audit_events(s, d)).withColumn("total_events", F.when(F.dayofmonth("ds") % 4 != 0, F.col("total_events")).otherwise(0))
+    out = views.forecast_history(days.withColumnRenamed("anomaly_events", "alerts"), "2024-01-20")
+    return out.select(F.explode(F.arrays_zip("total_events", "anomaly_rate")).alias("x"), "warning").select(
+        F.col("x.total_events.date").cast("string").alias("date"), F.col("x.total_events.value").alias("events"), F.col("x.anomaly_rate.value").alias("rate"), "warning"
+    )
+
+
 @query
 def active_hours(s, d):
     return profiles.active_hours(t.analysis(s, d), audit_events(s, d))

@@ -155,6 +155,40 @@ chances as (
 )
 select id, coalesce(epoch_us(p.made_at), -1) as predicted_at, coalesce(p.c, -1) as predicted_for, case when p.c is not null then round(cast(case when pd is null then 1 - pa else (2 - pa - pd) / 2 end as double), 6) else -1 end as deviation,
   p.c is not null and action in ('view', 'click') as action_matched from chances"""),
+    "forecast_history": _sql(AUDIT, f"""
+, d as (select cast(created_at as date) as ds, count(*) as n, sum(is_anomaly) as a from audit where day(created_at) % 4 <> 0 and created_at >= '2024-01-13' and created_at < '2024-01-20' group by all)
+select cast(ds as varchar) as date, {whole('n as events')}, {real('a / n as rate')}, 'forecast_history_partial' as warning from d"""),
+    "user_view": _sql(SESSIONS, f"""
+, own as (
+  select insured_id, session_id, min(created_at) as s, max(created_at) as e, count(*) as n, min(country_code) as c, row_number() over (partition by insured_id order by max(created_at) desc, session_id desc) as p
+  from sess group by insured_id, session_id qualify p <= 10
+),
+odd as (select *, row_number() over (partition by insured_id order by created_at desc, id desc) as p from audit where is_anomaly = 1 qualify p <= 10),
+users as (select insured_id from own union select insured_id from odd),
+by_sessions as (
+  select insured_id, first((n * 37 % 100) / 100 order by p) filter (where n % 3 <> 0) as churn, avg(n * 7 % 101) filter (where n % 5 <> 0) as risk, count(*) filter (where n % 2 = 0) as low,
+    first(c order by p) filter (where n % 4 <> 0) as country, string_agg(session_id, ',' order by p) as sessions from own group by all
+),
+by_anomalies as (
+  select insured_id, count(*) filter (where k % 2 = 0) as alerts, count(*) filter (where k % 5 = 0) as critical, first('D' || (k % 3) order by p) filter (where k % 4 = 0) as device,
+    string_agg(id || ':' || case when k % 3 = 0 then 'HIGH' when k % 7 = 0 then 'none' when k * 3 % 101 >= 80 then 'CRITICAL' when k * 3 % 101 >= 60 then 'HIGH' when k * 3 % 101 >= 35 then 'MEDIUM' else 'LOW' end, ',' order by p) as timeline
+  from odd group by all
+),
+seen as (
+  select insured_id, hour(s) as h, p * 2 as place from own union all select insured_id, hour(e), p * 2 + 1 from own union all select insured_id, hour(created_at), 100 + p from odd
+),
+hours as (select insured_id, h, row_number() over (partition by insured_id order by count(*) desc, min(place)) as r from seen group by insured_id, h qualify r <= 3),
+met as (
+  select insured_id, case when k % 3 = 0 then 'auth' when k % 3 = 2 and k % 2 = 0 then 'pay' end as f, p as place from odd
+  union all select insured_id, case when n % 3 = 0 then 'refunds' end, 100 + p * 3 from own
+  union all select insured_id, 'auth', 101 + p * 3 from own where n % 2 = 0 union all select insured_id, 'documents', 102 + p * 3 from own where n % 2 = 0
+),
+families as (select insured_id, f, row_number() over (partition by insured_id order by count(*) desc, min(place)) as r from met where f is not null group by insured_id, f qualify r <= 5)
+select insured_id, {real('coalesce(churn, 0) as churn_probability')}, case when low > 0 then 'LOW' else 'UNKNOWN' end as churn_risk_level, {real('coalesce(risk, -1) as average_risk')},
+  {whole('coalesce(alerts, 0) as alert_count', 'coalesce(critical, 0) as critical_alert_count')}, coalesce(country, '') as usual_country, coalesce(device, '') as usual_device,
+  coalesce((select string_agg(h, ',' order by r) from hours x where x.insured_id = u.insured_id), '') as usual_active_hours,
+  coalesce((select string_agg(f, ',' order by r) from families x where x.insured_id = u.insured_id), '') as top_api_families, coalesce(sessions, '') as sessions, coalesce(timeline, '') as timeline
+from users u left join by_sessions using (insured_id) left join by_anomalies using (insured_id)"""),
     "alert_list_hydrated": _sql(ALERTS, """
 , f as (select event_id, case when event_id % 7 <> 0 then timestamp end as t, created_at, full_device as device, coalesce(country, full_country) as country from alerts
   where position = 1 and risk_level = 'MEDIUM' and (event_id % 7 = 0 or timestamp >= '2024-01-15'))
