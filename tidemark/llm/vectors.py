@@ -164,15 +164,17 @@ def _levels(pages: DataFrame) -> list[DataFrame]:
 
 def _interval_pairs(levels: list[DataFrame], eps: float) -> tuple[DataFrame, DataFrame]:
     """Pairs of pages to be compared, and pairs ``(level, a, b, na, nb)`` of intervals that are linked as a whole."""
-    spark = levels[0].sparkSession
     gap = f"sqrt(aggregate(sequence(0, {LEADING - 1}), 0D, (s, i) -> s + pow(greatest(0D, x.low[i] - y.high[i], y.low[i] - x.high[i]), 2)))"
     apart = "sqrt(aggregate(sequence(0, x.dim - 1), 0D, (s, i) -> s + pow(x.centre[i] - y.centre[i], 2)))"
-    open_, whole = spark.createDataFrame([(0, 0)], "up_a long, up_b long"), []
+    open_, whole = None, []
     for level in range(len(levels) - 1, -1, -1):
-        up = F.expr(f"id div {FAN}") if level < len(levels) - 1 else F.lit(0).cast("long")
-        part = levels[level].withColumn("up", up)
+        part = levels[level].withColumn("up", F.expr(f"id div {FAN}"))
         x, y = part.withColumnRenamed("up", "up_a").alias("x"), part.withColumnRenamed("up", "up_b").alias("y")
-        met = open_.join(x, "up_a").join(y, "up_b").where("x.id <= y.id")
+        if open_ is None:
+            # the one interval that holds the sequence, with itself
+            met = x.join(y, F.col("x.id") == F.col("y.id"))
+        else:
+            met = open_.join(x, "up_a").join(y, "up_b").where("x.id <= y.id")
         # lengths that differ within an interval leave its ball unknown: such a pair goes on
         judged = met.select(
             F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"),
