@@ -131,14 +131,29 @@ def upsert_latest(stored: DataFrame, rows: DataFrame, keys: list[str], order: st
 
 
 def alert_view(anomalies: DataFrame) -> DataFrame:
-    """Anomaly rows as alerts: each field from the first of its sources that holds a value."""
+    """Anomaly rows as alerts: each field from the first of its sources that holds a value.
+
+    Sources: columns of the row, then its ``event_json``, then the event metadata of its ``payload`` and of its ``llm_payload``, of which the
+    latter only help a row whose event has no action. Columns that the table lacks count as null.
+    """
     from ..functions.text import first_text, json_text
 
-    text = lambda *c: first_text(*c)
-    j = lambda *names: json_text(F.col("event_json"), *(f"$.{n}" for n in names))
+    have = set(anomalies.columns)
+    of = lambda c, kind="string": (F.col(c) if c in have else F.lit(None)).cast(kind)
+    number = lambda *c: F.coalesce(*(of(x, "double") for x in c))
+    j = lambda payload, *names: json_text(of(payload), *(f"$.{n}" for n in names))
+    own_action = j("event_json", "eventAction", "action")
+
+    def event(*names: str) -> Column:
+        meta = [j(p, *(f"eventMetadata.{n}" for n in names)) for p in ("payload", "llm_payload")]
+        return F.coalesce(j("event_json", *names), *(F.when(own_action.isNull(), m) for m in meta))
+
+    codes = F.coalesce(F.from_json(of("triggered_rules_json"), "array<string>"), F.when(first_text(of("triggered_rules_json")).isNull() & (F.trim(of("rule_type")) != ""), F.array(of("rule_type"))))
     return anomalies.select(
-        "event_id", "insured_id", "session_id", F.coalesce("event_time", "detected_at").alias("timestamp"), F.col("detected_at").alias("created_at"),
-        text("risk_level", "anomaly_tier").alias("risk_level"), "final_risk_score", text("anomaly_type").alias("anomaly_type"),
-        j("eventAction", "action").alias("event_action"), j("apiTemplate", "route").alias("api_template"),
-        j("country", "countryCode").alias("country"), j("httpMethod", "method").alias("http_method"), F.lit("OPEN").alias("alert_status"),
+        "event_id", "insured_id", "session_id", F.coalesce(of("event_time", "timestamp"), F.col("detected_at")).alias("timestamp"), F.col("detected_at").alias("created_at"),
+        first_text(of("risk_level"), of("anomaly_tier")).alias("risk_level"), number("final_risk_score", "risk_score", "anomaly_score").alias("final_risk_score"), first_text(of("anomaly_type")).alias("anomaly_type"),
+        number("anomaly_type_confidence", "type_confidence").alias("anomaly_type_confidence"), F.coalesce(codes, F.array().cast("array<string>")).alias("triggered_rule_codes"),
+        event("eventAction", "action").alias("event_action"), event("apiTemplate", "route").alias("api_template"), event("country", "countryCode").alias("country"),
+        event("httpMethod", "method").alias("http_method"), event("apiFamily").alias("api_family"), *(event(n).alias(n) for n in ("controller", "page", "device", "browser", "os", "status")),
+        first_text(of("persona_label"), F.lit("persona_disabled")).alias("persona_label"), F.coalesce(F.trim(of("llm_payload")) != "", F.lit(False)).alias("llm_evidence_available"), F.lit("OPEN").alias("alert_status"),
     )

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -60,13 +62,16 @@ def alert_details(anomalies: DataFrame, sessions: DataFrame) -> DataFrame:
     return rows.withColumn("_one", one).withColumns({"source": F.coalesce(source, F.lit("sql-payload")), "warning": warning, "shown_payload": shown}).drop("_one")
 
 
-def evidence(anomaly: dict[str, str], scores: Iterable[str]) -> Column:
-    """The payload of an alert as JSON: event metadata, model and rule evidence, churn and persona.
+def evidence(anomaly: dict[str, str], scores: Iterable[str], sequence: dict[str, str] | None = None) -> Column:
+    """The payload of an alert as JSON: event metadata, model, sequence and rule evidence, churn and persona.
 
-    ``anomaly``: payload field of the event's metadata to column; ``scores``: columns of model scores.
+    ``anomaly``: payload field of the event's metadata to column; ``scores``: columns of model scores; ``sequence``: payload field of the
+    sequence evidence to column, ``available`` being true where the score or the selected model is known. Fields without a value are left out.
     """
     c = F.col
-    return F.to_json(F.struct(
+    known = [c(v).isNotNull() for k, v in (sequence or {}).items() if k in ("anomalyScore", "selectedModel")]
+    steps = [F.struct(*(c(v).alias(k) for k, v in sequence.items()), reduce(or_, known, F.lit(False)).alias("available")).alias("sequenceEvidence")] if sequence else []
+    return F.to_json(F.struct(*steps,
         c("event_id").cast("string").alias("eventId"),
         F.struct(c("event_id").cast("string").alias("eventId"), *(c(v).alias(k) for k, v in anomaly.items())).alias("eventMetadata"),
         F.struct(*(c(s).alias(s) for s in scores)).alias("tabularEvidence"),

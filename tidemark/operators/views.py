@@ -105,3 +105,39 @@ def forecast_history(days: DataFrame, today: str, n: int = 7) -> DataFrame:
     at = lambda f: F.transform("d", lambda x: F.struct(x.ds.alias("date"), f(x).alias("value")))
     warning = F.when(F.size("d") == 0, "forecast_history_unavailable").when(F.size("d") < n, "forecast_history_partial")
     return rows.select(at(lambda x: x.n).alias("total_events"), at(lambda x: x.alerts / x.n).alias("anomaly_rate"), warning.alias("warning"))
+
+
+def best_predictions(users: DataFrame, predictions: DataFrame) -> DataFrame:
+    """``insured_id, session_id`` of ``users`` with ``predicted_at``, ``heads`` and ``note``: the prediction shown for each.
+
+    ``predictions``: insured_id, session_id, created_at, heads (map of field to ranked values). The latest of the session stands where it has heads, else
+    the latest of the user, noted ``fallback_to_insured_prediction``; where neither has, heads are null and the note is ``next_event_prediction_not_available``.
+    """
+    made = F.struct("created_at", "heads")
+
+    def latest(key: str, name: str) -> DataFrame:
+        known = predictions.where(F.col(key).isNotNull() & F.col("created_at").isNotNull())
+        return known.groupBy(key).agg(F.max_by(made, "created_at").alias(name))
+
+    rows = users.select("insured_id", "session_id").join(latest("session_id", "_s"), "session_id", "left").join(latest("insured_id", "_u"), "insured_id", "left")
+    filled = lambda c: F.coalesce(F.size(F.col(f"{c}.heads")) > 0, F.lit(False))
+    chosen = F.when(filled("_s"), F.col("_s")).when(filled("_u"), F.col("_u"))
+    note = F.when(~filled("_s") & filled("_u"), "fallback_to_insured_prediction").when(~filled("_s"), "next_event_prediction_not_available")
+    return rows.select("insured_id", "session_id", chosen["created_at"].alias("predicted_at"), chosen["heads"].alias("heads"), note.alias("note"))
+
+
+def churn_view(sessions: DataFrame, anomalies: DataFrame, latest: int = 50, n: int = 10) -> DataFrame:
+    """The ``n`` users most likely to churn among the ``latest`` sessions, each by its deciding session, with the risk of their own latest sessions and anomalies.
+
+    ``sessions``: insured_id, session_id, end_time, created_at, churn_probability, churn_risk_level, final_risk_score, risk_level; ``anomalies`` as for
+    ``user_view``. A user's deciding session is that of the latest end, then creation, then the highest probability. Levels are in
+    upper case, UNKNOWN where there is none.
+    """
+    recent = sessions.orderBy(F.col("created_at").desc_nulls_last(), F.col("session_id").desc_nulls_last()).limit(latest).where("churn_probability is not null and insured_id is not null")
+    w = Window.partitionBy("insured_id").orderBy(*(F.col(c).desc_nulls_last() for c in ("end_time", "created_at", "churn_probability", "session_id")))
+    deciding = recent.withColumn("_n", F.row_number().over(w)).where("_n = 1").orderBy(F.desc("churn_probability"), "insured_id").limit(n)
+    few = F.broadcast(deciding.select("insured_id"))  # at most ``n`` rows
+    risk = user_view(sessions.join(few, "insured_id", "left_semi"), anomalies.join(few, "insured_id", "left_semi")).select("insured_id", "average_risk", "alert_count", "critical_alert_count")
+    level = F.coalesce(F.upper(F.trim(blank_to_null(F.col("churn_risk_level")))), F.lit("UNKNOWN"))
+    out = deciding.select("insured_id", "session_id", "churn_probability", level.alias("churn_risk_level"), F.col("final_risk_score").alias("latest_final_risk_score"), F.col("risk_level").alias("latest_risk_level"))
+    return out.join(risk, "insured_id", "left")

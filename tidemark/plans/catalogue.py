@@ -449,6 +449,22 @@ def alert_view(s, d):
     return A.alert_view(rows).select("event_id", "timestamp", "risk_level", "api_template", "country", "http_method", "alert_status")
 
 
+@query
+def alert_view_full(s, d):
+    """Alerts whose fields come from columns, from the event, or from payloads, by fixed rules."""
+    n = F.col("event_id")
+    meta = lambda a: F.concat(F.lit('{"eventMetadata":{"action":"'), F.lit(a), F.lit('","route":"/p'), n.cast("string"), F.lit('"}}'))
+    rows = t.anomalies(s, d).withColumns({
+        "event_json": F.when(n % 3 == 0, F.lit('{"action":" ","route":"/e"}')).when(n % 3 == 1, F.lit('{"eventAction":"own","os":"x"}')), "payload": F.when(n % 2 == 0, meta("paid")), "llm_payload": F.when(n % 5 < 3, meta("told")),
+        "risk_score": F.col("final_risk_score"), "final_risk_score": F.when(n % 4 != 0, F.col("final_risk_score")), "type_confidence": (n % 10 / 10).cast("double"), "anomaly_type_confidence": F.when(n % 2 == 0, F.lit(0.95)),
+        "triggered_rules_json": F.when(n % 3 == 0, F.lit('["A","B"]')).when(n % 3 == 1, F.lit(" ")), "rule_type": F.when(n % 2 == 0, "R"),
+    })
+    return A.alert_view(rows).select(
+        "event_id", "final_risk_score", "anomaly_type_confidence", "triggered_rule_codes", F.coalesce("event_action", F.lit("-")).alias("event_action"), F.coalesce("api_template", F.lit("-")).alias("api_template"),
+        F.coalesce("os", F.lit("-")).alias("os"), "persona_label", "llm_evidence_available",
+    )
+
+
 @query
 def risky_of_both(s, d):
     """Live alerts beside stored ones, what is in both twice: the first forty."""
@@ -517,6 +533,29 @@ def user_view(s, d):
     )
 
 
+@query
+def churn_view(s, d):
+    """Users most likely to churn, with the risk of their latest sessions and anomalies."""
+    e, n, k = t.session_events(s, d), F.col("n"), F.col("k")
+    own = e.groupBy(*KEY).agg(F.max("created_at").alias("end_time"), F.count("*").alias("n"), F.max("k").alias("k"))
+    sessions_ = own.withColumns({
+        "created_at": F.col("end_time"), "churn_probability": F.when(n % 3 != 0, F.pmod(n * 37 + k * 11, F.lit(997)) / 1000), "churn_risk_level": F.when(n % 2 == 0, " low ").otherwise(" "),
+        "final_risk_score": F.when(n % 5 != 0, (n * 7 % 101).cast("double")), "risk_level": F.lit("LOW"),
+    })
+    odd = audit_events(s, d).where("is_anomaly = 1").select(F.col("id").alias("event_id"), "insured_id", F.col("created_at").alias("event_time"), F.when(k % 5 == 0, "CRITICAL").alias("anomaly_tier"), (k % 2 == 0).alias("anomaly_flag"))
+    return views.churn_view(sessions_, odd).drop("latest_risk_level").withColumns({c: F.coalesce(c, F.lit(-1.0)) for c in ("average_risk", "latest_final_risk_score")})
+
+
+@query
+def best_predictions(s, d):
+    """The prediction shown for each session: its own, its user's, or none."""
+    e = t.session_events(s, d)
+    heads = F.when(F.col("k") % 2 == 0, F.create_map(F.lit("action"), F.col("action"))).otherwise(F.create_map().cast("map<string,string>"))
+    made = e.where("id % 3 = 0").select("insured_id", "session_id", "created_at", heads.alias("heads"))
+    out = views.best_predictions(e.select(*KEY).distinct(), made)
+    return out.select(*KEY, F.coalesce(F.unix_micros("predicted_at"), F.lit(-1)).alias("predicted_at"), F.coalesce(F.try_element_at("heads", F.lit("action")), F.lit("")).alias("action"), F.coalesce("note", F.lit("")).alias("note"))
+
+
 @query
 def forecast_history(s, d):
     days = W.daily_series(audit_events(s, d)).withColumn("total_events", F.when(F.dayofmonth("ds") % 4 != 0, F.col("total_events")).otherwise(0))

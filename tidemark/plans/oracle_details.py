@@ -155,6 +155,29 @@ chances as (
 )
 select id, coalesce(epoch_us(p.made_at), -1) as predicted_at, coalesce(p.c, -1) as predicted_for, case when p.c is not null then round(cast(case when pd is null then 1 - pa else (2 - pa - pd) / 2 end as double), 6) else -1 end as deviation,
   p.c is not null and action in ('view', 'click') as action_matched from chances"""),
+    "alert_view_full": _sql(ALERTS, f"""
+, x as (select *, event_id % 3 as m, event_id % 2 = 0 as paid, event_id % 5 < 3 as told from base)
+select event_id, {real('risk as final_risk_score', 'case when paid then 0.95 else event_id % 10 / 10 end as anomaly_type_confidence')}, case when m = 0 then 'A,B' when paid then 'R' else '' end as triggered_rule_codes,
+  case when m = 1 then 'own' when paid then 'paid' when told then 'told' else '-' end as event_action, case when m = 0 then '/e' when m = 2 and (paid or told) then '/p' || event_id else '-' end as api_template,
+  case when m = 1 then 'x' else '-' end as os, 'persona_disabled' as persona_label, told as llm_evidence_available from x"""),
+    "churn_view": _sql(SESSIONS, f"""
+, own as (select insured_id, session_id, max(created_at) as e, count(*) as n, max(k) as k from sess group by insured_id, session_id),
+scored as (select *, case when n % 3 <> 0 then (n * 37 + k * 11) % 997 / 1000 end as churn, case when n % 5 <> 0 then n * 7 % 101 end as risk from own),
+recent as (select * from scored order by e desc, session_id desc limit 50),
+deciding as (select * from recent where churn is not null qualify row_number() over (partition by insured_id order by e desc, churn desc, session_id desc) = 1),
+chosen as (select * from deciding order by churn desc, insured_id limit 10),
+ten as (select insured_id, avg(risk) as r from (select * from scored qualify row_number() over (partition by insured_id order by e desc, session_id desc) <= 10) group by insured_id),
+odd as (select insured_id, count(*) filter (where k % 2 = 0) as a, count(*) filter (where k % 5 = 0) as c
+  from (select * from audit where is_anomaly = 1 qualify row_number() over (partition by insured_id order by created_at desc, id desc) <= 10) group by insured_id)
+select insured_id, session_id, {real('churn as churn_probability', 'coalesce(risk, -1) as latest_final_risk_score', 'coalesce(r, -1) as average_risk')}, case when n % 2 = 0 then 'LOW' else 'UNKNOWN' end as churn_risk_level,
+  {whole('coalesce(a, 0) as alert_count', 'coalesce(c, 0) as critical_alert_count')} from chosen left join ten using (insured_id) left join odd using (insured_id)"""),
+    "best_predictions": _sql(SESSIONS, """
+, made as (select insured_id, session_id, created_at as t, case when k % 2 = 0 then action end as a from sess where id % 3 = 0),
+s as (select session_id, max(t) as t, arg_max(coalesce(a, ''), t) as a from made group by all), u as (select insured_id, max(t) as t, arg_max(coalesce(a, ''), t) as a from made group by all),
+x as (select distinct insured_id, session_id from sess)
+select insured_id, session_id, case when s.a <> '' then epoch_us(s.t) when u.a <> '' then epoch_us(u.t) else -1 end as predicted_at, case when s.a <> '' then s.a when u.a <> '' then u.a else '' end as action,
+  case when s.a <> '' then '' when u.a <> '' then 'fallback_to_insured_prediction' else 'next_event_prediction_not_available' end as note
+from x left join s using (session_id) left join u using (insured_id)"""),
     "forecast_history": _sql(AUDIT, f"""
 , d as (select cast(created_at as date) as ds, count(*) as n, sum(is_anomaly) as a from audit where day(created_at) % 4 <> 0 and created_at >= '2024-01-13' and created_at < '2024-01-20' group by all)
 select cast(ds as varchar) as date, {whole('n as events')}, {real('a / n as rate')}, 'forecast_history_partial' as warning from d"""),
