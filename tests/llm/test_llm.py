@@ -264,12 +264,11 @@ def test_secrets_in_repeated_heads_take_linear_time():
     heads = ["token=", "password: ", "secret:token= ", "AKIA", "AKIA-", "a1b2-", "f" * 31 + " ", "eyJ-", "eyJ-.", "eyJa.eyJ-", "SG.", "SG.-", "bearer ", "-----BEGIN ", "-----BEGIN PRIVATE KEY", "-----END "]
     heads += ["aws_secret_key", "aws_secret_key ", "AccountKey=", "gh" + "o_", "github_pat_", "glpat-", "AIza-", "ya29.", "sk-proj-", "sk-a-", "npm_", "xoxb-", "https://hooks", "sk_live_"]
     heads += ["https://a:", "ftp://a@", "mongodb+srv://x", "AGE-SECRET-KEY-1-", "-----BEGIN PRIVATE KEY-----A"]
-    for head in heads:
-        for joint in ("", " ", "-"):
-            data = ((head + joint) * (1_000_000 // len(head + joint))).encode()
-            began = time.process_time()
-            secrets.scan(data)
-            assert time.process_time() - began < 2, (head, joint)
+    for head in [h + joint for h in heads for joint in ("", "-")]:
+        data = (head * (1_000_000 // len(head))).encode()
+        began = time.process_time()
+        secrets.scan(data)
+        assert time.process_time() - began < 2, head
 
 
 def test_tokens_inside_runs_of_heads():
