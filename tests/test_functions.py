@@ -4,6 +4,7 @@ import hashlib
 import json
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import scores, text
@@ -83,3 +84,14 @@ def test_history_of_forecasts(spark):
     assert at("2025-02-08").warning == "forecast_history_unavailable" and [x.value for x in at("2025-01-09").anomaly_rate] == [0.0]
     full = spark.range(7).select(F.date_add(F.lit("2025-03-01").cast("date"), F.col("id").cast("int")).alias("ds"), F.lit(2).alias("total_events"), F.lit(1).alias("alerts"))
     assert views.forecast_history(full, "2025-03-08").first().warning is None and math.isclose(views.forecast_history(full, "2025-03-08").first().anomaly_rate[0].value, 0.5)
+
+
+def test_settings_of_a_configuration():
+    from tidemark.functions.params import GENERATED, Params, params_of
+
+    got = params_of({"sessions": {"gap_seconds": 600, "end_actions": ["x"]}, "fusion": {"alert": 50}})
+    assert (got.sessions.gap_seconds, got.sessions.end_actions, got.fusion.alert, got.sessions.grace_seconds, got.rules) == (600, ("x",), 50.0, 60, Params().rules)
+    assert params_of({}, GENERATED) == GENERATED and params_of({"profile": {"anomaly_at": 1.5}}, GENERATED).features == GENERATED.features
+    for bad in ({"session": {}}, {"sessions": {"gap": 1}}, {"sessions": {"gap_seconds": "600"}}, {"fusion": {"renormalize": 1}}):
+        with pytest.raises(ValueError):
+            params_of(bad)

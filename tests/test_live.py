@@ -132,3 +132,14 @@ def test_payloads_of_every_shape(spark):
 def test_payloads_are_parsed_once(spark):
     df = payloads.list_items(spark.createDataFrame([(1, "[{}]")], "k int, payload string"), "payload", FIELDS)
     assert df._jdf.queryExecution().optimizedPlan().toString().count("parse_json") <= 2
+
+
+def test_running_states_end_in_the_session_states(spark):
+    df = frame(spark, EVENTS)
+    ends = by_session(live.session_states(df))
+    rows = live.running_states(df)
+    last = {(r.insured_id, r.session_id): r.asDict(recursive=True) for r in rows.orderBy("events").collect()}
+    for key, want in ends.items():
+        assert {k: last[key][k] for k in want if k != "recent"} == {k: v for k, v in want.items() if k != "recent"}
+    steps = [(r.id, r.events, r.failures_in_a_row, r.most_failures_in_a_row, r.first["action"]) for r in rows.where("session_id = 's' and insured_id = 'u'").orderBy("events").collect()]
+    assert steps == [("a", 1, 0, 0, "Connexion"), ("b", 2, 1, 1, "Connexion"), ("c", 3, 0, 1, "Connexion"), ("d", 4, 1, 1, "Connexion")]

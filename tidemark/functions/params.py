@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 
 # The defaults of the classes below.
@@ -75,6 +75,29 @@ class Params:
     profile: ProfileParams = field(default_factory=ProfileParams)
 
 
+def params_of(settings: dict, base: Params = Params()) -> Params:
+    """``base`` with the settings of a configuration: part, field, value, as in ``{"sessions": {"gap_seconds": 600}}``.
+
+    Lists become tuples. A part or field that is not known, or a value of another kind than its default, is an error.
+    """
+    new = {}
+    for part, values in settings.items():
+        old = getattr(base, part, None) if part in Params.__dataclass_fields__ else None
+        if old is None:
+            raise ValueError(f"unknown part of the settings: {part}")
+        changed = {}
+        for name, value in values.items():
+            if name not in old.__dataclass_fields__:
+                raise ValueError(f"unknown setting: {part}.{name}")
+            value, default = tuple(value) if isinstance(value, list) else value, getattr(old, name)
+            value = float(value) if isinstance(default, float) and type(value) is int else value
+            if type(value) is not type(default):
+                raise ValueError(f"{part}.{name} is to be {type(default).__name__}, not {type(value).__name__}")
+            changed[name] = value
+        new[part] = replace(old, **changed)
+    return replace(base, **new)
+
+
 #: For the generated events, whose users act a few times a day: wider windows, other action names.
 GENERATED = Params(
     features=FeatureParams(43_200, 3_600, ("signup",), ("error",), ()),

@@ -80,6 +80,27 @@ def session_states(events: DataFrame, p: FeatureParams = FeatureParams(), recent
     )
 
 
+def running_states(events: DataFrame, p: FeatureParams = FeatureParams()) -> DataFrame:
+    """``id`` and the state of its session after each event, in order of arrival: what the accumulator holds from event to event.
+
+    Besides sums and greatest values: the first and the last event so far by time, sequence number and id, and ``failures_in_a_row`` and
+    ``most_failures_in_a_row``, which only OK and all else but KO break. All share one partitioning and one order.
+    """
+    rows = contributions(events, p).withColumn("_n", F.coalesce("seq", F.lit((1 << 63) - 1)))
+    arrival = Window.partitionBy(*SESSION).orderBy("_n", F.col("at_us").asc_nulls_last(), "event_id")
+    upto = arrival.rowsBetween(Window.unboundedPreceding, 0)
+    order = F.when(F.col("at_us").isNotNull(), F.struct("at_us", F.coalesce("seq", F.lit(-(1 << 63))).alias("seq"), "event_id"))
+    edge = F.struct("at_us", *EDGE)
+    place = F.row_number().over(arrival)
+    broken = F.coalesce(F.max(F.when(F.col("kos") == 0, F.col("_place"))).over(upto), F.lit(0))
+    numbered = rows.withColumn("_place", place).withColumn("failures_in_a_row", F.when(F.col("kos") > 0, F.col("_place") - broken).otherwise(0))
+    return numbered.select(
+        *SESSION, F.col("event_id").alias("id"), *(F.sum(c).over(upto).alias(c) for c in SUMS), *(F.max(c).over(upto).alias(c) for c in MOST),
+        F.min_by(edge, order).over(upto).alias("first"), F.max_by(edge, order).over(upto).alias("last"),
+        "failures_in_a_row", F.max("failures_in_a_row").over(upto).alias("most_failures_in_a_row"),
+    )
+
+
 def _first_filled(values: Column) -> Column:
     return F.get(F.filter(values, lambda x: F.trim(x) != ""), F.lit(0))
 

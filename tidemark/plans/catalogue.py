@@ -242,6 +242,16 @@ def live_session_summary(s, d):
     return live.live_summaries(t.enriched(s, d), P.features, recent=5).drop("action_counts", "campaign_ids")
 
 
+@query
+def running_states(s, d):
+    """What the accumulator of a session holds after each event."""
+    out = live.running_states(t.enriched(s, d), P.features)
+    return out.select(
+        "id", "events", "oks", "kos", "pause_sum", "pause_count", "downloads", "unique_ips", "unique_devices", "ip_changed", "max_downloads", "ping_pongs", "has_login", "has_logout", "cumulative_kos",
+        "risk_sum", "risk_max", "anomaly_events", "weekend_events", F.col("first.action").alias("first_action"), F.col("last.ip").alias("last_ip"), "failures_in_a_row", "most_failures_in_a_row",
+    )
+
+
 @query
 def live_session_totals(s, d):
     """The live summary where nothing recent is kept."""

@@ -129,6 +129,14 @@ select w.insured_id, w.session_id, country_code, epoch_us(s) as session_start, e
   {whole('logout = 0 and n >= 3 as ended_abruptly', 'anomalies as anomaly_event_count')}, seen.signature as action_sequence_signature, ways.signature as route_sequence_signature,
   coalesce(named.first, 'normal') as primary_anomaly_type, coalesce(named.listed, '') as anomaly_types, seen.listed as action_sequence, ways.listed as route_sequence
 from whole_ w join seen using (session_id) join ways using (session_id) left join named using (session_id)"""),
+    "running_states": _sql(ENRICHED, f"""
+, f as (select *, case when status = 'KO' then row_number() over (partition by session_id, island, status order by created_at, id) else 0 end as fails from enriched)
+select cast(id as varchar) as id, {whole('count(*) over w as events', "count(*) filter (where status = 'OK') over w as oks", 'cumulative_kos as kos', 'sum(delta) over w as pause_sum', 'count(*) over w as pause_count',
+  'downloads', 'max(unique_ips) over w as unique_ips', 'max(unique_devices) over w as unique_devices', 'max(is_ip_changed) over w as ip_changed', 'max(downloads_recent) over w as max_downloads',
+  'max(ping_pong) over w as ping_pongs', "max((action = 'signup')::int) over w as has_login", "max((action = 'error')::int) over w as has_logout", 'cumulative_kos',
+  'sum(is_anomaly) over w as anomaly_events', 'sum((isodow(created_at) > 5)::int) over w as weekend_events', 'fails as failures_in_a_row', 'max(fails) over w as most_failures_in_a_row')},
+  {real('sum(risk) over w as risk_sum', 'max(risk) over w as risk_max')}, first(action) over w as first_action, ip as last_ip
+from f window w as (partition by session_id order by created_at, id)"""),
     "live_session_totals": _sql(ENRICHED, f"""
 , w as (select insured_id, session_id, count(*) as n, max(unique_ips) as ips, arg_min(action, (created_at, id)) as a, arg_max(action, (created_at, id)) as b from enriched group by all)
 select {_KEY}, {whole('n as total_events', '1 as unique_actions', 'greatest(1, ips) as unique_ips_used')}, null::varchar as first_route, a || ',' || b as action_sequence, case when a = b then a else a || ',' || b end as counted,
