@@ -175,3 +175,22 @@ def test_silence_and_age_close_sessions():
         handle.now += 80_000
         heard(p, handle, "Profil")
     assert woken(p, handle) == [("closed", "max_open_duration", 4)] and handle.now == start + 270_000
+
+
+def test_trailing_downloads_by_whole_seconds(spark, tmp_path):
+    """As in batch, 120.9 s count as 120 and 121 do not; of events at one time the smaller ids come before."""
+    schema = "id string, insured_id string, session_id string, created_at timestamp, is_download_action int"
+    names = [x.split()[0] for x in schema.split(", ")]
+    at = lambda s: T0 + timedelta(milliseconds=int(s * 1000))
+    put = lambda name, rs: (tmp_path / "in" / name).write_text("\n".join(json.dumps(dict(zip(names, r)), default=lambda t: t.isoformat() + "Z") for r in rs))
+    (tmp_path / "in").mkdir()
+    df = sessions.trailing_downloads(spark.readStream.schema(schema).json(str(tmp_path / "in")), late="1 minute")
+    put("0.json", [(i, "u", "s", at(t), d) for i, t, d in [("a", 0, 1), ("b", 120.9, 0), ("c", 121, 0), ("d", 200, 1), ("e", 200, 1), ("f", 200, 0)]])
+    q = df.writeStream.format("memory").queryName("whole_seconds").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
+    q.processAllAvailable()
+    for k in range(4):
+        put(f"{k + 1}.json", [(f"z{k}", "z", "z", at(3600 * (k + 1)), 1)])
+        q.processAllAvailable()
+    q.stop()
+    got = {r.id: r.downloads_recent for r in spark.table("whole_seconds").collect() if r.session_id == "s"}
+    assert got == {"a": 1, "b": 1, "c": 0, "d": 1, "e": 2, "f": 2}
