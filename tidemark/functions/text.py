@@ -151,7 +151,8 @@ def evidence_summary(score: Column, level: Column, kind: Column, fallback: Colum
 
 def template_of(method: Column, path: Column, templates: Iterable[tuple[str, str]], untracked: str = "UNTRACKED") -> Column:
     """The template of a request: the path itself, then the path without its query, then the first template of the method
-    whose ``*`` and ``{parameter}`` parts fit. ``templates``: method and template, few and typed by the caller."""
+    whose ``*`` and ``{parameter}`` parts, any text without a slash, fit. ``templates``: method and template, few and typed by the caller;
+    for a table of them see ``operators.requests``."""
     few = list(templates)
     bare = F.split_part(path, F.lit("?"), F.lit(1))
     same = lambda p, t: (F.upper(method) == t[0].upper()) & (p == t[1])
@@ -159,7 +160,7 @@ def template_of(method: Column, path: Column, templates: Iterable[tuple[str, str
     tests = [(same(path, t), t[1]) for t in few] + [(same(bare, t), t[1]) for t in few]
     for kind, template in few:
         parts = re.split(r"(\*|\{[^{}/]*\})", template)
-        pattern = "".join(".*" if x == "*" else "[^/]+" if k % 2 else re.escape(x) for k, x in enumerate(parts))
+        pattern = "".join("[^/]+" if k % 2 else re.escape(x) for k, x in enumerate(parts))
         if len(parts) > 1:
             tests.append(((F.upper(method) == kind.upper()) & bare.rlike(f"^{pattern}$"), template))
     for test, template in tests:

@@ -57,7 +57,7 @@ select {_KEY}, {whole('count(*) as events', "count(*) filter (where status = 'KO
   'count(distinct action) filter (where back <= 5) as recent_actions', 'count(distinct ip) filter (where back <= 5) as recent_ips', 'sum(is_download_action) filter (where back <= 5) as recent_downloads',
   'max(ping_pong) filter (where back <= 5) as recent_ping_pongs')} from r group by all"""),
     "request_template": _sql(AUDIT, """select id, case when k % 5 = 0 then case when k % 4 in (0, 3) then '/users' else 'UNTRACKED' end
-        else case k % 4 when 0 then '/users' when 1 then '/users/{id}' when 2 then '/files/*' else '/users' end end as template from audit"""),
+        else case k % 4 when 0 then '/users' when 1 then '/users/{id}' when 2 then 'UNTRACKED' else '/users' end end as template from audit"""),
     "text_helpers": _sql(AUDIT, "select id, k % 3 <> 2 as same, k % 3 <> 2 as download, 'bank_data' as family, case when k % 2 = 0 then 'SUCCESS' else 'FAILURE' end as status from audit"),
     "churn_dashboard": _sql(FUSED, f"""
 , l as (select * from analysis order by end_time desc, session_id desc limit 50)
