@@ -95,3 +95,15 @@ def test_settings_of_a_configuration():
     for bad in ({"session": {}}, {"sessions": {"gap": 1}}, {"sessions": {"gap_seconds": "600"}}, {"fusion": {"renormalize": 1}}):
         with pytest.raises(ValueError):
             params_of(bad)
+
+
+def test_labels_are_repaired_with_replacement_characters(spark):
+    """Worked out by hand: UTF-8 read as Latin-1 once and twice, lone lead bytes, what Latin-1 lacks, blanks that a repair brings to an end."""
+    twice = "déjà".encode().decode("latin-1").encode().decode("latin-1")
+    want = {
+        "Ã©tÃ©": "été", twice: "déjà", "Ã": "?", "aÃb": "a?b", "Ã©€": "é?", "\ufffd": "?", "\t ok\n": "ok", "plain €": "plain €", "": "",
+    }
+    df = spark.createDataFrame([(k, v) for k, v in want.items()] + [(None, None)], "t string, v string")
+    got = df.select("t", "v", text.normalize_label(F.col("t")).alias("g"), text.comparison_key(F.col("t")).alias("k")).collect()
+    assert [r.g for r in got] == [r.v for r in got]
+    assert [r.k for r in got] == [text.python_key(r.t) for r in got]

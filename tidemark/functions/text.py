@@ -28,6 +28,12 @@ ROUTE_FAMILIES = {
 }
 
 
+#: Blanks and control characters.
+TRIMMED = "".join(map(chr, range(0x21)))
+#: Signs of UTF-8 that was read as Latin-1.
+MISREAD = "[ÃÂ\ufffd]"
+
+
 def blank_to_null(c: Column) -> Column:
     return F.when(F.trim(c) != "", c)
 
@@ -37,17 +43,24 @@ def first_text(*columns: Column | str) -> Column:
     return F.coalesce(*(blank_to_null(F.col(c) if isinstance(c, str) else c) for c in columns))
 
 
+def _trimmed(c: Column) -> Column:
+    """Without blanks and control characters at both ends."""
+    return F.btrim(c, F.lit(TRIMMED))
+
+
 def normalize_label(c: Column) -> Column:
-    """Trimmed; text that was read as Latin-1 though it was UTF-8 is repaired, up to three times."""
+    """Trimmed; text that was read as Latin-1 though it was UTF-8 is repaired, up to three times.
+
+    What Latin-1 lacks becomes a question mark, bytes that are no UTF-8 become U+FFFD.
+    """
 
     def mended(x: Column, _: Column) -> Column:
-        # only characters of Latin-1 can be turned back into bytes
-        whole = F.try_validate_utf8(F.encode(x, "ISO-8859-1").cast("string"))
-        return F.when(x.rlike("[ÃÂ\ufffd]") & ~x.rlike("[^\u0000-ÿ]"), F.coalesce(whole, x)).otherwise(x)
+        as_bytes = F.encode(F.regexp_replace(x, "[^\u0000-\u00ff]", "?"), "ISO-8859-1")
+        return F.when(x.rlike(MISREAD), _trimmed(F.make_valid_utf8(as_bytes.cast("string")))).otherwise(x)
 
     # the fold binds each pass once, so the expression does not grow with the passes
-    three = F.aggregate(F.array(F.lit(1), F.lit(2), F.lit(3)), F.trim(c), mended)
-    return F.when(c.rlike("[ÃÂ]"), three).otherwise(F.trim(c))
+    three = F.aggregate(F.array(F.lit(1), F.lit(2), F.lit(3)), _trimmed(c), mended)
+    return F.when(c.rlike(MISREAD), three).otherwise(_trimmed(c))
 
 
 def comparison_key(c: Column) -> Column:
@@ -62,13 +75,10 @@ def equals_normalized(a: Column, b: Column) -> Column:
 
 def python_key(text: str | None) -> str:
     """``comparison_key`` of a literal."""
-    t = (text or "").strip()
+    t = (text or "").strip(TRIMMED)
     for _ in range(3):
         if any(x in t for x in "ÃÂ\ufffd"):
-            try:
-                t = t.encode("latin-1").decode("utf-8")
-            except UnicodeError:
-                break
+            t = t.encode("latin-1", "replace").decode("utf-8", "replace").strip(TRIMMED)
     t = t.translate(str.maketrans(FOLDS))
     return "".join(x for x in t if unicodedata.category(x)[0] != "M").lower().strip()
 
