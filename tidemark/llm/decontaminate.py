@@ -24,8 +24,8 @@ RARE_SHARE, RARE_LEAST = 0.001, 3
 #: What alignment pays for another word and for a missing one; a full match counts 1 a word.
 OTHER, GAP = 0.5, 0.5
 THRESHOLD = 0.5
-#: Words of the items that one block of the benchmark holds at most; their hashes are sent to tasks.
-BLOCK_WORDS = 1_000_000
+#: Words of the items that one block of the benchmark holds at most; some 30 bytes for each are sent to tasks.
+BLOCK_WORDS = 4_000_000
 #: Stretches of an item that are compared together.
 STRETCHES = 256
 #: Alignments that are computed together.
@@ -39,22 +39,34 @@ _PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97
 
 @dataclass
 class Items:
-    """A block of items: ids, word hashes, and their n-grams as sorted distinct hashes by length of gram."""
+    """A block of items: ids, the word hashes of all of them in one array, and where each item's end.
+
+    An item of at least ``SEED_WORDS`` words is searched by n-grams of that length, a shorter one by itself.
+    For each length ``grams`` are sorted and distinct; gram ``i`` is held from ``first[i]`` up to ``first[i + 1]`` of ``item`` and ``place``.
+    """
 
     ids: list
-    words: list[np.ndarray]
+    flat: np.ndarray
+    ends: np.ndarray
 
     def __post_init__(self) -> None:
-        self.grams: dict[int, np.ndarray] = {}
-        self.holders: dict[int, list[list[tuple[int, int]]]] = {}
-        found: dict[int, dict[int, list[tuple[int, int]]]] = {}
-        for k, w in enumerate(self.words):
-            n = min(SEED_WORDS, len(w))
-            for place, g in enumerate(gram_hashes(w, n).tolist() if n else []):
-                found.setdefault(n, {}).setdefault(g, []).append((k, place))
-        for n, by in found.items():
-            self.grams[n] = np.array(sorted(by), dtype=np.uint64)
-            self.holders[n] = [by[g] for g in self.grams[n].tolist()]
+        self.sizes = np.diff(self.ends, prepend=0)
+        self.grams, self.first, self.item, self.place = {}, {}, {}, {}
+        for n in range(1, SEED_WORDS + 1):
+            mine = np.flatnonzero(np.minimum(self.sizes, SEED_WORDS) == n)
+            if not len(mine):
+                continue
+            counts = self.sizes[mine] - n + 1
+            item = np.repeat(mine, counts).astype(np.int32)
+            place = (np.arange(len(item)) - np.repeat(np.cumsum(counts) - counts, counts)).astype(np.int32)
+            grams = gram_hashes(self.flat, n)[(self.ends - self.sizes)[item] + place]
+            order = np.argsort(grams, kind="stable")
+            self.grams[n], first = np.unique(grams[order], return_index=True)
+            self.first[n] = np.append(first, len(grams)).astype(np.int32)
+            self.item[n], self.place[n] = item[order], place[order]
+
+    def words(self, k: int) -> np.ndarray:
+        return self.flat[self.ends[k] - self.sizes[k] : self.ends[k]]
 
 
 def _hits(words: np.ndarray, n: int, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -74,12 +86,13 @@ def _documents(texts: list[bytes]):
 
 def gram_counts(docs: DataFrame, items: Items) -> dict[int, np.ndarray]:
     """For each n, the number of documents that hold each n-gram of the items."""
+    known = items.grams  # all that tasks of this scan are sent
 
     def run(batches):
-        counts = {n: np.zeros(len(g), np.int64) for n, g in items.grams.items()}
+        counts = {n: np.zeros(len(g), np.int64) for n, g in known.items()}
         for batch in batches:
             for _, words in _documents(text_bytes(batch.column(0))):
-                for n, grams in items.grams.items():
+                for n, grams in known.items():
                     counts[n][np.unique(_hits(words, n, grams)[1])] += 1
         for n, c in counts.items():
             i = np.flatnonzero(c)
@@ -99,21 +112,19 @@ def rare_grams(items: Items, counts: dict[int, np.ndarray], total: int) -> dict[
     copies, so each has seeds however many documents hold it.
     """
     rare = {n: c <= max(RARE_LEAST, RARE_SHARE * total) for n, c in counts.items()}
-    own: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for n, holders in items.holders.items():
-        for i, places in enumerate(holders):
-            for k, place in places:
-                own.setdefault((n, k), []).append((place, i))
-    for (n, k), grams in own.items():
-        i = np.array([g for _, g in sorted(grams)])
-        span = min(len(i), max(1, int(np.ceil(THRESHOLD * len(items.words[k]))) - n + 1))
-        view = np.lib.stride_tricks.sliding_window_view(counts[n][i], span)
-        # the rarest quarter by rank, so that no stretch is without
-        for at in range(0, len(view), STRETCHES):
-            part = view[at : at + STRETCHES]
-            bound = np.partition(part, (span - 1) // 4, axis=1)[:, (span - 1) // 4]
-            row, column = np.nonzero(part <= 2 * bound[:, None])
-            rare[n][i[at + row + column]] = True
+    for n, held in items.item.items():
+        order = np.lexsort((items.place[n], held))
+        index = np.repeat(np.arange(len(items.grams[n])), np.diff(items.first[n]))[order]
+        turn = np.flatnonzero(np.diff(held[order], prepend=-1))
+        for k, i in zip(held[order][turn].tolist(), np.split(index, turn[1:])):
+            span = min(len(i), max(1, int(np.ceil(THRESHOLD * items.sizes[k])) - n + 1))
+            view = np.lib.stride_tricks.sliding_window_view(counts[n][i], span)
+            # the rarest quarter by rank, so that no stretch is without
+            for at in range(0, len(view), STRETCHES):
+                part = view[at : at + STRETCHES]
+                bound = np.partition(part, (span - 1) // 4, axis=1)[:, (span - 1) // 4]
+                row, column = np.nonzero(part <= 2 * bound[:, None])
+                rare[n][i[at + row + column]] = True
     return rare
 
 
@@ -140,27 +151,27 @@ def align(items: np.ndarray, passages: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def _passages(words: np.ndarray, items: Items, seeds: dict[int, np.ndarray]):
     """``(item, start, end)`` of each stretch where seeds of an item lie near one diagonal."""
-    places: dict[int, list[int]] = {}
     for n, grams in items.grams.items():
-        for place, i in zip(*(x.tolist() for x in _hits(words, n, grams))):
-            if seeds[n][i]:
-                for k, at in items.holders[n][i]:
-                    places.setdefault(k, []).append(place - at)
-    for k, starts in places.items():
-        m, starts = len(items.words[k]), sorted(starts)
-        slack = m // 2 + 2
-        low = high = starts[0]
-        for s in starts[1:] + [None]:
-            if s is None or s - high > slack:
-                yield k, max(0, low - slack), min(len(words), high + m + slack)
-                low = s
-            high = s
+        place, i = _hits(words, n, grams)
+        place, i = place[seeds[n][i]], i[seeds[n][i]]
+        if not len(i):
+            continue
+        first, held = items.first[n][i], np.diff(items.first[n])[i]
+        at = np.arange(int(held.sum())) + np.repeat(first - (np.cumsum(held) - held), held)
+        k, start = items.item[n][at], np.repeat(place, held) - items.place[n][at]
+        order = np.lexsort((start, k))
+        k, start = k[order], start[order]
+        slack = items.sizes[k] // 2 + 2
+        turn = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (np.diff(start) > slack[1:])))
+        last = np.append(turn[1:], len(k)) - 1
+        low, high = start[turn] - slack[turn], start[last] + items.sizes[k[turn]] + slack[turn]
+        yield from zip(k[turn].tolist(), np.maximum(low, 0).tolist(), np.minimum(high, len(words)).tolist())
 
 
 def _scored(queue: list[tuple], items: Items) -> list[tuple]:
     """Rows above the threshold of a queue of ``(doc_id, item, start, words of the passage)``."""
     rows = []
-    queue.sort(key=lambda q: (len(q[3]), len(items.words[q[1]])))
+    queue.sort(key=lambda q: (len(q[3]), items.sizes[q[1]]))
     at = 0
     while at < len(queue):
         # passages come by width: as many together as keep to CELLS, one at least
@@ -168,13 +179,13 @@ def _scored(queue: list[tuple], items: Items) -> list[tuple]:
         while end < min(len(queue), at + TOGETHER) and (end + 1 - at) * len(queue[end][3]) <= CELLS:
             end += 1
         part, at = queue[at:end], end
-        a = np.zeros((len(part), max(len(items.words[q[1]]) for q in part)), np.uint64)
+        a = np.zeros((len(part), max(int(items.sizes[q[1]]) for q in part)), np.uint64)
         b = np.ones((len(part), max(len(q[3]) for q in part)), np.uint64)
         for r, (_, k, _, p) in enumerate(part):
-            a[r, : len(items.words[k])], b[r, : len(p)] = items.words[k], p
+            a[r, : items.sizes[k]], b[r, : len(p)] = items.words(k), p
         best, end = align(a, b)
         for (doc, k, start, _), s, e in zip(part, best.tolist(), end.tolist()):
-            score = s / len(items.words[k])
+            score = s / int(items.sizes[k])
             if score >= THRESHOLD:
                 rows.append((doc, k, score, start + e))
     return rows
@@ -233,12 +244,12 @@ def _blocks(items: DataFrame):
         if not len(w):
             continue
         if ids and size + len(w) > BLOCK_WORDS:
-            yield Items(ids, words)
+            yield Items(ids, np.concatenate(words), np.cumsum([len(x) for x in words]))
             ids, words, size = [], [], 0
         ids.append(r.item_id), words.append(w)
         size += len(w)
     if ids:
-        yield Items(ids, words)
+        yield Items(ids, np.concatenate(words), np.cumsum([len(x) for x in words]))
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
