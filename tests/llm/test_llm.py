@@ -97,8 +97,12 @@ def test_near_duplicates_in_a_large_family(spark):
     assert got == components({i: shingles(t) for i, t in rows})
 
 
-def test_near_duplicates_of_copies_and_crowded_bands(spark):
+@pytest.mark.parametrize("small_parts", [False, True])
+def test_near_duplicates_of_copies_and_crowded_bands(spark, monkeypatch, small_parts):
     """Many exact copies beside near ones, repeated ids with several texts, and hundreds of texts that share most of their words and no link."""
+    if small_parts:  # crowded bands in many cells, hubs in many parts
+        monkeypatch.setattr(minhash, "CELL", 16)
+        monkeypatch.setattr(common, "HUB_ROWS", 5)
     rng = np.random.default_rng(9)
     board = [f"b{k}" for k in range(60)]
     rows = [(k, " ".join(board + [f"u{k}x{j}" for j in range(int(rng.integers(25, 40)))])) for k in range(300)]
@@ -445,6 +449,25 @@ def test_recall_of_edited_copies(spark, duck):
     assert not [k for k in want if abs(got.get(k, 0) - want[k]) > 1e-5]
 
 
+def test_decontamination_in_blocks(spark, monkeypatch):
+    """Items of one, two, three and more words, some equal, some within others: blocks of few items find what one block finds."""
+    r = np.random.default_rng(4)
+    items = [(k, " ".join(f"v{x}" for x in r.integers(0, 300, int(n)))) for k, n in enumerate([1, 2, 3, 4, 5, 8, 13, 30, 60] * 3)]
+    items += [(90, items[8][1]), (91, " ".join(items[8][1].split()[10:30])), (92, "  ")]
+    rows = []
+    for k in range(200):
+        own = items[int(r.integers(len(items) - 1))][1].split()
+        own[int(r.integers(len(own)))] = f"v{k}"
+        rows.append((k, " ".join([f"f{x}" for x in r.integers(0, 50, 20)] + own + [f"f{x}" for x in r.integers(0, 50, 20)])))
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    one = sorted(decontaminate.contaminated(docs, bench).collect())
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 120)
+    assert one == sorted(decontaminate.contaminated(docs, bench).collect()) and len(one) > 100
+    texts, words = dict(rows), {k: t.split() for k, t in items}
+    want = {(d, k) for d, t in texts.items() for k, w in words.items() if w and f" {' '.join(w)} " in f" {t} "}
+    assert want == {(x.doc_id, x.item_id) for x in one if x.score == 1.0}
+
+
 def kept_words(texts):
     """Brute force: windows of twenty words seen before, in order of id and start."""
     seen, out = set(), {}

@@ -70,6 +70,30 @@ def without_counted(rows: DataFrame, counted: DataFrame, key: list[str]) -> Data
     return rows.join(_hot(counted)[1].select(*key), key, "left_anti").join(counted.select(*key), key, "left_anti")
 
 
+#: A key with no more rows than this is never a hub.
+HUB_ROWS = 1_000
+
+
+def hubs(rows: DataFrame, key: str) -> DataFrame:
+    """``(key, _parts)`` for each hub of ``rows``, a staged table: keys of very many rows, and the parts to deal those into."""
+    counted = staged(rows.groupBy(key).agg(F.count("*").alias("n")).where(f"n > {HUB_ROWS}"), "hubs")
+    bound = max(HUB_ROWS, (counted.agg(F.sum("n")).first()[0] or 0) // HOT_SHARE)
+    return counted.where(F.col("n") > bound).select(key, F.ceil(F.col("n") / bound).cast("int").alias("_parts"))
+
+
+def join_dealt(rows: DataFrame, side: DataFrame, key: str, by: str, found: DataFrame) -> DataFrame:
+    """``rows`` joined with ``side(key, ...)``, whose rows may be large and are few for each key.
+
+    The rows of each hub of ``found`` are dealt into its parts by column ``by``, and each part gets a copy of what
+    ``side`` has for it. There are fewer than ``HOT_SHARE`` hubs, and fewer than twice as many copies in all;
+    only hubs and their numbers of parts are broadcast.
+    """
+    parts, hot = F.coalesce("_parts", F.lit(1)), F.broadcast(found)
+    dealt = rows.join(hot, key, "left").withColumn("_part", F.pmod(F.hash(by), parts)).drop("_parts")
+    copies = side.join(hot, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return dealt.join(copies, [key, "_part"]).drop("_part")
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SHINGLE_WORDS, connected_components, join_counted, mix64, shingle_set, signed, staged, text_bytes, word_blocks
+from .common import SHINGLE_WORDS, connected_components, hubs, join_counted, join_dealt, mix64, shingle_set, signed, staged, text_bytes, word_blocks
 
 REGISTERS, BAND, MANTISSA = 128, 4, 24
 #: A pair is dropped unread only when its estimate lies this many standard deviations below the threshold.
@@ -25,7 +25,7 @@ SIGMAS = 6.0
 #: Bands of at most this many members are compared pair by pair where components differ.
 FEW = 16
 #: Members on each side of a cell of a larger band.
-CELL = 512
+CELL = 2048
 #: 64-bit words of the map that tells members of larger bands apart.
 WORDS = 16
 _MARKS = ["n", "lacks", "lacks_hidden", "more", "more_hidden", *(f"w{k}" for k in range(WORDS))]
@@ -148,12 +148,13 @@ def _across(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     overlap from above. Families whose members differ from a common source in places of
     their own are thereby told apart without comparing them in pairs, and no link is lost.
     """
-    split = rest.groupBy("band").agg(F.min("comp").alias("pivot"), F.max("comp").alias("d"), F.count("*").alias("m")).where("pivot <> d")
-    open_ = staged(rest.join(split.select("band", "m", "pivot"), "band"), "open")
+    split = rest.groupBy("band").agg(F.min("comp").alias("pivot"), F.max("comp").alias("d"), F.count("*").alias("n")).where("pivot <> d")
+    open_ = staged(join_counted(rest, staged(split.drop("d"), "split"), ["band"]).withColumnRenamed("n", "m"), "open")
     few = open_.where(f"m <= {FEW}").select("band", "id", "comp")
     pairs = few.alias("x").join(few.alias("y"), "band").where("x.comp < y.comp").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
     many = open_.where(f"m > {FEW}").select("band", "m", "id", "comp", "pivot")
-    both = many.select("pivot", "id").distinct().join(sets.toDF("id", "hashes"), "id").join(sets.toDF("pivot", "ph"), "pivot")
+    own = staged(many.select("pivot", "id").distinct(), "pivots")
+    both = join_dealt(own, sets.toDF("pivot", "ph"), "pivot", "id", hubs(own, "pivot")).join(sets.toDF("id", "hashes"), "id")
     fields = "pivot long, id long, " + ", ".join(f"{c} long" for c in _MARKS)
     marked = many.join(staged(both.mapInArrow(_marks, fields), "marks"), ["pivot", "id"]).drop("pivot")
 
@@ -162,14 +163,14 @@ def _across(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         return f"least(x.{count}, y.{count}, {bits} + least(x.{hidden}, y.{hidden}))"
 
     common = f"{shared('lacks', 'lacks_hidden', range(WORDS // 2))} + {shared('more', 'more_hidden', range(WORDS // 2, WORDS))}"
-    # a band of m members is compared in cells of CELL by CELL, so that no task has more than one cell to do
+    # the members of a band are cut into cells, and each two cells, in one order, are a task's work
     cells = F.ceil(F.col("m") / CELL).cast("int")
-    own = marked.withColumn("cell", F.pmod(F.hash("id"), cells))
-    every = F.explode(F.sequence(F.lit(0), cells - 1))
-    x, y = own.withColumnRenamed("cell", "row").withColumn("column", every), own.withColumnRenamed("cell", "column").withColumn("row", every)
+    celled = marked.withColumn("cell", F.pmod(F.hash("id"), cells))
+    x = celled.withColumnRenamed("cell", "row").withColumn("column", F.explode(F.sequence("row", cells - 1)))
+    y = celled.withColumnRenamed("cell", "column").withColumn("row", F.explode(F.sequence(F.lit(0), "column")))
     # the maps of one side unfold to far more than their compressed size says: never a broadcast
     far = x.alias("x").join(y.hint("merge").alias("y"), ["band", "row", "column"]).where(
-        f"x.comp < y.comp and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and "
+        f"x.comp <> y.comp and (row < column or x.comp < y.comp) and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and "
         f"(100 + {percent}) * (x.lacks + x.more + y.lacks + y.more - 2 * ({common})) <= (100 - {percent}) * (x.n + y.n)"
     )
     return pairs.unionByName(far.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")))
@@ -197,8 +198,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         filled.join(followers, ["doc_id", *key], "left_anti").dropDuplicates(["doc_id", *key]).select("doc_id", *key, "registers", "bands"), "reps"
     )
     entries = reps.select(F.explode("bands").alias("band"), F.col("doc_id").alias("id"))
-    crowded = entries.groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high")
-    members = staged(entries.join(crowded, "band"), "members")
+    crowded = entries.groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n")).where("low <> high")
+    members = staged(join_counted(entries, staged(crowded, "crowded"), ["band"]).drop("n"), "members")
     seen = members.select("id").distinct()
     sets = staged(
         text.join(seen.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, hashes binary"),
@@ -208,11 +209,16 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
 
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        left = regs.toDF("a", "na", "ra")
-        right = regs.toDF("b", "nb", "rb")
-        sized = pairs.join(left, "a").join(right, "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-        likely = sized.mapInArrow(_plausible(percent), "a long, b long")
-        full = likely.join(sets.toDF("a", "ha"), "a").join(sets.toDF("b", "hb"), "b")
+        pairs = staged(pairs, "pairs")
+        # the first and the last id of a crowded band are in pairs with all its members
+        many_a, many_b = hubs(pairs, "a"), hubs(pairs, "b")
+
+        def with_both(rows: DataFrame, side: DataFrame, a: list[str], b: list[str]) -> DataFrame:
+            return join_dealt(join_dealt(rows, side.toDF("a", *a), "a", "b", many_a), side.toDF("b", *b), "b", "a", many_b)
+
+        sized = with_both(pairs, regs, ["na", "ra"], ["nb", "rb"]).where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
+        likely = sized.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(_plausible(percent), "a long, b long")
+        full = with_both(likely, sets, ["ha"], ["hb"])
         return full.mapInArrow(_confirmed(percent), "a long, b long")
 
     def labelled(links: DataFrame) -> DataFrame:
@@ -225,7 +231,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         members.select(F.col("high").alias("a"), F.col("id").alias("b"))
     )
     links = staged(verify(first), "links")
-    links = links.unionByName(verify(_across(labelled(links), sets, percent)))
+    links = links.unionByName(verify(_across(staged(labelled(links), "labelled"), sets, percent)))
     found = staged(connected_components(links), "components")
     # Rows of one id with different texts are one document: its smallest label holds for all of them.
     led = followers.groupBy("rep").agg(F.count("*").alias("n")).join(found.toDF("rep", "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
