@@ -39,6 +39,12 @@ def fuse(df: DataFrame, p: FusionParams = FusionParams()) -> DataFrame:
     return out.withColumn("risk_level", risk_level(F.col("final_risk_score"), p))
 
 
+def sum_of_parts() -> Column:
+    """What ``fuse`` holds to 0..100 where models scored: all contributions and the boost."""
+    parts = (F.col(f"{m}_contribution") for m in (*MODELS, "rule", "business_context"))
+    return sum(parts, F.lit(0.0)) + F.coalesce("aggregation_boost", F.lit(0.0))
+
+
 def rules_only(df: DataFrame, p: FusionParams = FusionParams()) -> DataFrame:
     """Fusion as it is when no model may run: no scores and no boost."""
     none = {f"{m}_score": F.lit(None).cast("double") for m in MODELS}
