@@ -1,9 +1,11 @@
 """Tables larger than the small folder: results where scores pass their bounds, and tasks that stay small as the input grows."""
 
 import duckdb
+import pytest
+from pyspark.sql import functions as F
 
-from tests.conftest import same_rows
-from tidemark.plans import catalogue
+from tests.conftest import SMALL, same_rows
+from tidemark.plans import catalogue, tables
 
 
 def written(path, sql):
@@ -19,3 +21,24 @@ def test_fusion_full_is_not_held_to_100(spark, tmp_path):
     found = catalogue.queries()["fusion_full"](spark, folder).toPandas()
     assert found.final_risk_score.max() > 100
     same_rows(found, con.execute(catalogue.oracle_sql()["fusion_full"]).df())
+
+
+@pytest.fixture
+def small_tasks(monkeypatch):
+    monkeypatch.setattr(tables, "TASK_ROWS", 100, raising=False)
+
+
+def most_in_a_partition(df):
+    return df.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+
+
+def test_enrichment_is_dealt_by_size(spark, monkeypatch):
+    """Ten times the events: no partition holds much more than its share of rows."""
+    monkeypatch.setattr(tables, "TASK_ROWS", 500, raising=False)
+    assert most_in_a_partition(tables.enriched(spark, "/root/testdata/sf0.01")) < 1_500
+
+
+@pytest.mark.parametrize("name", ["upsert_latest", "alert_filter_lenient", "alert_search", "risky_of_both", "live_session_summary", "session_risk_summary"])
+def test_same_rows_where_events_are_dealt(spark, duck, small_tasks, name):
+    assert tables.task_count(spark, SMALL) > 4
+    same_rows(catalogue.queries()[name](spark, SMALL).toPandas(), duck.execute(catalogue.oracle_sql()[name]).df())

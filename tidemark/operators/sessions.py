@@ -28,6 +28,14 @@ def in_session() -> WindowSpec:
     return Window.partitionBy(*SESSION).orderBy(*event_order())
 
 
+def dealt(df: DataFrame, tasks: int | None, *keys: str) -> DataFrame:
+    """Rows by key in ``tasks`` partitions, or as they are.
+
+    Left to itself, a shuffle is merged down to one partition a core or 64 MB of packed rows, and the memory of a task grows with the table.
+    """
+    return df.repartition(tasks, *keys) if tasks else df
+
+
 def assign_sessions(events: DataFrame, gap_seconds: int = SessionParams.gap_seconds) -> DataFrame:
     """Adds ``session_id``: a new one for each user after a pause of ``gap_seconds`` or more.
 
