@@ -1,5 +1,7 @@
 """Tables larger than the small folder: results where scores pass their bounds, and tasks that stay small as the input grows."""
 
+import re
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -42,3 +44,13 @@ def test_enrichment_is_dealt_by_size(spark, monkeypatch):
 def test_same_rows_where_events_are_dealt(spark, duck, small_tasks, name):
     assert tables.task_count(spark, SMALL) > 4
     same_rows(catalogue.queries()[name](spark, SMALL).toPandas(), duck.execute(catalogue.oracle_sql()[name]).df())
+
+
+@pytest.mark.parametrize("name", ["alert_list_hydrated", "alert_list_critical", "alert_list_live", "alert_details", "alert_dedup_richness", "alert_by_ids", "alert_merge_critical", "alert_hydrate_left", "alert_new_rows"])
+def test_joins_by_event_are_dealt_by_size(spark, duck, small_tasks, name):
+    """All joins and ranks by event, or by session, work in as many partitions as the events make."""
+    tasks = tables.task_count(spark, SMALL)
+    found = catalogue.queries()[name](spark, SMALL)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert f", {tasks})" in plan and not re.findall(rf"hashpartitioning\((?!.*, {tasks}\))[^\n]*", plan)
+    same_rows(found.toPandas(), duck.execute(catalogue.oracle_sql()[name]).df())

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import json_text
 from . import alerts as A
+from .sessions import dealt
 
 # Where a payload may name the event that it is about.
 ID_PATHS = [
@@ -36,15 +37,15 @@ def by_ids(alerts: DataFrame, ids: DataFrame | Iterable) -> DataFrame:
     return alerts.where(F.col("event_id").isin(*ids))
 
 
-def with_latest_session(anomalies: DataFrame, sessions: DataFrame) -> DataFrame:
-    """Each anomaly with ``session``, a struct of the latest analysis of its session; null where there is none."""
+def with_latest_session(anomalies: DataFrame, sessions: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Each anomaly with ``session``, a struct of the latest analysis of its session; null where there is none. ``tasks``: partitions of the join, if not Spark's own."""
     keys = ["insured_id", "session_id"]
     rest = [c for c in sessions.columns if c not in keys]
-    latest = A.latest_by(sessions, keys, "created_at").select(*keys, F.struct(*rest).alias("session"))
-    return anomalies.join(latest, keys, "left")
+    latest = A.latest_by(dealt(sessions, tasks, *keys), keys, "created_at").select(*keys, F.struct(*rest).alias("session"))
+    return dealt(anomalies, tasks, *keys).join(latest, keys, "left")
 
 
-def alert_details(anomalies: DataFrame, sessions: DataFrame) -> DataFrame:
+def alert_details(anomalies: DataFrame, sessions: DataFrame, tasks: int | None = None) -> DataFrame:
     """One row for each event, of its latest anomaly: which payload it shows, from where, and what was held back.
 
     ``anomalies``: event_id, insured_id, session_id, detected_at, ``payload`` (JSON). ``sessions``: insured_id, session_id,
@@ -52,7 +53,7 @@ def alert_details(anomalies: DataFrame, sessions: DataFrame) -> DataFrame:
     shown where it speaks of this event and names its own source or is an ``sql-payload``; one about another event is held back with
     the warning ``sql_payload_event_mismatch``. Where there is neither a payload nor a session, the warning is ``exact_event_payload_unavailable``.
     """
-    rows = with_latest_session(A.latest_by(anomalies.where("event_id is not null"), ["event_id"], "detected_at"), sessions)
+    rows = with_latest_session(A.latest_by(anomalies.where("event_id is not null"), ["event_id"], "detected_at"), sessions, tasks)
     has = lambda c: F.coalesce(F.trim(c) != "", F.lit(False))
     one = F.when(has(F.col("payload")), F.col("payload")).when(has(F.col("session.payload")), F.col("session.payload"))
     about = payload_is_about(F.col("_one"), F.col("event_id"))

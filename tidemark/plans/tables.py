@@ -100,6 +100,11 @@ def anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def anomalies_by_event(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anomalies dealt out by event, as ``alerts_by_event`` are."""
+    return sessions.dealt(anomalies(spark, sf_dir), task_count(spark, sf_dir), "event_id")
+
+
 def conversation_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of conversations as events of sessions."""
     c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
@@ -117,6 +122,7 @@ def detail_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     rows = anomalies(spark, sf_dir)
     own = F.when(n % 4 == 0, about(n)).when(n % 4 == 1, about(n + 1)).when(n % 8 == 2, F.lit("no json"))
     first = rows.groupBy("insured_id", "session_id").agg(F.min("event_id").alias("e"), F.max("detected_at").alias("created_at"))
-    sessions_ = first.select("insured_id", "session_id", "created_at", F.when(F.col("e") % 3 != 0, about(F.col("e"))).alias("payload"))
-    again = sessions_.withColumns({"created_at": F.col("created_at") - F.expr("interval 1 hour"), "payload": about(F.lit(-1))})
-    return rows.withColumn("payload", own), sessions_.unionByName(again)
+    latest = F.struct("created_at", F.when(F.col("e") % 3 != 0, about(F.col("e"))).alias("payload"))
+    earlier = F.struct((F.col("created_at") - F.expr("interval 1 hour")).alias("created_at"), about(F.lit(-1)).alias("payload"))
+    sessions_ = first.select("insured_id", "session_id", F.inline(F.array(latest, earlier)))
+    return sessions.dealt(rows, task_count(spark, sf_dir), "event_id").withColumn("payload", own), sessions_
