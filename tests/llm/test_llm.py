@@ -816,3 +816,42 @@ def test_word_ids_like_whole_texts():
     want = [np.array(words.tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
     assert [words.encode([t.encode()])[0] for t in texts] == want
     assert words.encode([t.encode() for t in texts]) == want
+
+
+class Counted:
+    """A tokenizer that counts the texts it is given."""
+
+    def __init__(self, tok):
+        self.tok, self.n = tok, 0
+
+    def encode_batch_fast(self, texts, **named):
+        self.n += len(texts)
+        return self.tok.encode_batch_fast(texts, **named)
+
+
+def test_words_of_letters_skip_normalizer_and_cuts(monkeypatch):
+    """New words of letters go straight to the tokenizer's model, with the ids of the whole text; words are kept, and forgotten before they are many bytes."""
+    path = entries.tokenizer("word_bpe_49k.json")
+    tok, words = tokens.load(path), packing.WordIds(path)
+    words.tok = counted = Counted(tok)
+    letters = ["".join(map(chr, range(97, 123))), "".join(map(chr, range(65, 91))), *(f"un{chr(c)}x{chr(c)}" for c in range(0xC0, 0x100) if chr(c).isalpha())]
+    texts = [" ".join(letters), "\n".join(reversed(letters)), "Élan\tÉTÉ  straße ÿ naïveté"]
+    assert words.encode([t.encode() for t in texts]) == [np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert counted.n == 0
+    assert words.encode(["été, naïveté! (ÉTÉ) été9 ×é÷".encode()])[0] == np.array(tok.encode("été, naïveté! (ÉTÉ) été9 ×é÷", add_special_tokens=False).ids, "<u4").tobytes()
+    assert "été".encode() in words.known and "été,".encode() not in words.known
+    assert packing.word_ids(path) is packing.word_ids(path)
+    monkeypatch.setattr(packing, "KNOWN_BYTES", 20_000)
+    for k in range(20):
+        words.encode([f"{'longword' * 500}{chr(97 + k)}".encode()])
+        assert sum(map(len, words.known)) < 25_000
+
+
+def test_word_ids_like_whole_texts_of_latin_letters():
+    rng = np.random.default_rng(9)
+    letters, marks = [chr(c) for c in range(0xA0, 0x180)], list("abz.,:'^`!~9 \n") + ["’", "Σ", "ͅ", "́", "⃗", "゙"]
+    words = packing.WordIds(entries.tokenizer("word_bpe_49k.json"))
+    texts = ["".join(rng.choice(p, int(rng.integers(0, 30)))) for p in (letters + marks, letters + marks[:-4], marks) for _ in range(300)]
+    want = [np.array(words.tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert [words.encode([t.encode()])[0] for t in texts] == want
+    assert words.encode([t.encode() for t in texts]) == want

@@ -9,7 +9,10 @@ class; the last group's, a number that does not grow with the input, are placed
 
 from __future__ import annotations
 
+import re
+import struct
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -17,14 +20,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BYTES, cut_text, hash_block, staged
+from .common import BLOCK_BYTES, cut_text, staged, text_bytes
 from .tokens import load
 
 CAPACITY, END_ID, WASTE = 2048, 1, 0.02
 #: Groups of workers that pool their open sequences at each further level.
 FAN_IN = 64
-#: Words whose ids a worker keeps at most.
-KNOWN_WORDS = 300_000
+#: Words whose ids a worker keeps before it forgets them all, and bytes of words and ids together.
+KNOWN_WORDS, KNOWN_BYTES = 600_000, 64 << 20
 _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, part long"
 
 
@@ -44,33 +47,41 @@ def cut(length: int, capacity: int = CAPACITY, waste: float = WASTE) -> list[int
 _KINDS = np.array([2 if 48 <= c < 58 else 1 if chr(c).isalpha() and c < 128 else 3 if 33 <= c < 127 and c != 39 else 0 for c in range(256)], np.uint8)
 #: Pairs of kinds, the first four times over, between which words are cut.
 _CUT = np.array([(a, b) in {(1, 2), (2, 1), (2, 2), (1, 3), (3, 1), (2, 3), (3, 2)} for a in range(4) for b in range(4)])
+#: Letters from U+00C0 to U+00FF: the byte 0xC3, then one of these.
+_LATIN = np.array([c in range(0x80, 0xC0) and c not in (0x97, 0xB7) for c in range(256)])
+_LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 
 
 class WordIds:
     """Ids of texts by a tokenizer that drops white space and never joins across it: words are encoded once.
 
-    Words are first cut where the tokenizer cuts them anyway: between an ASCII letter and an ASCII sign or digit,
-    about digits; A-Z are lower-cased as it does. Equal words of a block are found by two 64-bit hashes and looked up by their bytes. New words are encoded many at a time, with a mark
-    between them that has an id of its own; words that hold the mark are encoded alone.
+    Words are first cut where the tokenizer cuts them anyway: between a letter (A to Z, U+00C0 to U+00FF) and an ASCII
+    sign or digit, about digits; A-Z are lower-cased as it does. Words are known by their bytes. A new word of such letters
+    alone is one pre-token, so it goes to the tokenizer's model as that; other new words are encoded many at a time, with
+    a mark between them that has an id of its own; words that hold the mark are encoded alone.
     """
 
     MARK, TOGETHER = b"~", 256
 
     def __init__(self, path: str) -> None:
         self.tok = load(path)
+        self.model = self.tok.model
         # in lower case, as blocks are looked at
         self.special = [t.content.encode().lower() for t in self.tok.get_added_tokens_decoder().values()]
         self.mark = self.tok.encode(self.MARK.decode(), add_special_tokens=False).ids
+        # what the model is given for each letter
+        letters = [chr(c) for c in (*range(0x61, 0x7B), *range(0xC0, 0x100)) if chr(c).isalpha()]
+        self.letters = {ord(c): "".join(x for x, _ in self.tok.pre_tokenizer.pre_tokenize_str(c.lower())) for c in letters}
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.at, self.length, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.known: dict[bytes, bytes] = {}
+        self.size = 0
 
-    def _alone(self, words: list[bytes]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+    def _alone(self, words: list[bytes]) -> list[bytes]:
+        return [_raw(e.ids) for e in self.tok.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
 
-    def _encoded(self, words: list[bytes]) -> list[np.ndarray]:
+    def _encoded(self, words: list[bytes]) -> list[bytes]:
         """Ids of each word."""
         if len(self.mark) != 1:
             return self._alone(words)
@@ -82,52 +93,52 @@ class WordIds:
         parts = [rest[k : k + self.TOGETHER] for k in range(0, len(rest), self.TOGETHER)]
         texts = [(b"\n" + self.MARK + b"\n").join([words[k] for k in part]).decode() for part in parts]
         for part, e in zip(parts, self.tok.encode_batch_fast(texts, add_special_tokens=False)):
-            ids = np.array(e.ids, np.uint32)
+            ids = np.array(e.ids, "<u4")
             cut = np.flatnonzero(ids == self.mark[0])
             if len(cut) != len(part) - 1:
                 found = self._alone([words[k] for k in part])
             else:
                 edges = [-1, *cut.tolist(), len(ids)]
-                found = [ids[x + 1 : y] for x, y in zip(edges[:-1], edges[1:])]
+                found = [ids[x + 1 : y].tobytes() for x, y in zip(edges[:-1], edges[1:])]
             for k, x in zip(part, found):
                 out[k] = x
         return out
 
-    def _places(self, words: list[bytes]) -> np.ndarray:
-        """The number under which each word is known; new ones are encoded first."""
-        new = [w for w in words if w not in self.known]
-        if new:
-            found = self._encoded(new)
-            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
-            length = np.fromiter(map(len, found), np.int64, len(found))
-            self.at = np.concatenate([self.at, len(self.flat) + np.cumsum(length) - length])
-            self.length, self.flat = np.concatenate([self.length, length]), np.concatenate([self.flat, *found])
-        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-
-    def _block(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Starts of the words of a block, where the ids of each end, and all ids."""
-        if len(self.known) > KNOWN_WORDS:
+    def _learn(self, words: set[bytes]) -> None:
+        """Makes new words known."""
+        known, tokenize, others = self.known, self.model.tokenize, []
+        for w in words:
+            if w.isalpha():
+                text = w.lower().decode()
+            elif _LETTERS.fullmatch(w):
+                text = w.decode().translate(self.letters)
+            else:
+                others.append(w)
+                continue
+            known[w] = ids = _raw([t.id for t in tokenize(text)])
+            self.size += len(w) + len(ids)
+        for w, ids in zip(others, self._encoded(others)):
+            known[w] = ids
+            self.size += len(w) + len(ids)
+
+    def _block(self, data: bytes, offsets: list[int]) -> list[bytes]:
+        """Ids of each text of a block, where texts start at ``offsets`` and white space stands between."""
+        if len(self.known) > KNOWN_WORDS or self.size > KNOWN_BYTES:
             self._forget()
-        cuts = np.zeros(0, np.int64)
         # special tokens are cut by nothing and looked for as they are; marks could join a letter differently by case
         low = data.lower()
         if not any(x in low for x in (*self.special, b"\xcc", b"\xcd")):
-            data = low
-            kinds = _KINDS[np.frombuffer(data, np.uint8)]
+            buf = np.frombuffer(low, np.uint8)
+            kinds = _KINDS[buf]
+            lead = np.flatnonzero(buf[:-1] == 0xC3)
+            lead = lead[_LATIN[buf[lead + 1]]]
+            kinds[lead] = kinds[lead + 1] = 1
             cuts = np.flatnonzero(_CUT[kinds[:-1] * 4 + kinds[1:]]) + 1
-            data = np.insert(np.frombuffer(data, np.uint8), cuts, 32).tobytes()
-        starts, ends, h = hash_block(data, lower=False)
-        other = hash_block(data, lower=False, family=1)[2]
-        _, first, back = np.unique(h, return_index=True, return_inverse=True)
-        if (other != other[first][back]).any():
-            first, back = np.unique(np.stack([h, other]), axis=1, return_index=True, return_inverse=True)[1:]
-        place = self._places([data[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())])[back.ravel()]
-        length = self.length[place]
-        upto = np.cumsum(length)
-        total = int(upto[-1]) if len(upto) else 0
-        # starts in the block as it came: less what was put in before
-        starts = starts - np.searchsorted(cuts + np.arange(len(cuts)), starts, side="left")
-        return starts, upto, self.flat[np.repeat(self.at[place] - upto + length, length) + np.arange(total)]
+            data = np.insert(buf, cuts, 32).tobytes()
+            offsets = (offsets + np.searchsorted(cuts, offsets)).tolist()
+        texts = [data[x:y].split() for x, y in zip(offsets, [*offsets[1:], len(data)])]
+        self._learn(set(chain.from_iterable(texts)).difference(self.known))
+        return [b"".join(map(self.known.__getitem__, words)) for words in texts]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers."""
@@ -138,17 +149,28 @@ class WordIds:
                 size += len(texts[end]) + 1
                 end += 1
             if end == at + 1:
-                out.append(b"".join(self._block(part)[2].astype("<u4").tobytes() for part in cut_text(texts[at])))
+                out.append(b"".join(self._block(part, [0])[0] for part in cut_text(texts[at])))
             else:
-                starts, upto, ids = self._block(b" ".join(texts[at:end]))
-                raw, limits = ids.astype("<u4").tobytes(), np.append(0, upto)
-                offsets = np.cumsum([0] + [len(t) + 1 for t in texts[at:end]])
-                bounds = (4 * limits[np.searchsorted(starts, offsets)]).tolist()
-                out += [raw[x:y] for x, y in zip(bounds[:-1], bounds[1:])]
+                offsets = np.cumsum([0] + [len(t) + 1 for t in texts[at : end - 1]])
+                out += self._block(b" ".join(texts[at:end]), offsets.tolist())
             at = end
         return out
 
 
+def _raw(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+_WORDS: dict[str, WordIds] = {}
+
+
+def word_ids(path: str) -> WordIds:
+    """The words known of a tokenizer file, kept by a worker from task to task."""
+    if path not in _WORDS:
+        _WORDS[path] = WordIds(path)
+    return _WORDS[path]
+
+
 def _fill(rows: list[tuple], key, number) -> tuple[list[tuple], list[tuple]]:
     """Fill each class's sequences with its fixed count: placed rows, and those of open sequences."""
     by: dict[int, list[tuple]] = {}
@@ -210,10 +232,10 @@ def pack(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
     order = [x.split()[0] for x in kinds.split(", ")]
 
     def first(batches):
-        words, part = WordIds(path), TaskContext.get().partitionId()
+        words, part = word_ids(path), TaskContext.get().partitionId()
         number, open_ = _numbers(0, part), []
         for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), [(x or "").encode() for x in batch.column(1).to_pylist()]
+            doc_ids, texts = batch.column(0).to_pylist(), text_bytes(batch.column(1))
             for at in range(0, len(texts), 256):
                 rows = []
                 for doc_id, coded in zip(doc_ids[at : at + 256], words.encode(texts[at : at + 256])):
