@@ -26,8 +26,8 @@ from .tokens import load
 CAPACITY, END_ID, WASTE = 2048, 1, 0.02
 #: Groups of workers that pool their open sequences at each further level.
 FAN_IN = 64
-#: Words whose ids a worker keeps before it forgets them all, and bytes of words and ids together.
-KNOWN_WORDS, KNOWN_BYTES = 600_000, 64 << 20
+#: Words whose ids a task keeps before it forgets them all, and bytes of words and ids together.
+KNOWN_WORDS, KNOWN_BYTES = 300_000, 32 << 20
 _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, part long"
 
 
@@ -161,16 +161,6 @@ def _raw(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
-_WORDS: dict[str, WordIds] = {}
-
-
-def word_ids(path: str) -> WordIds:
-    """The words known of a tokenizer file, kept by a worker from task to task."""
-    if path not in _WORDS:
-        _WORDS[path] = WordIds(path)
-    return _WORDS[path]
-
-
 def _fill(rows: list[tuple], key, number) -> tuple[list[tuple], list[tuple]]:
     """Fill each class's sequences with its fixed count: placed rows, and those of open sequences."""
     by: dict[int, list[tuple]] = {}
@@ -232,7 +222,7 @@ def pack(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
     order = [x.split()[0] for x in kinds.split(", ")]
 
     def first(batches):
-        words, part = word_ids(path), TaskContext.get().partitionId()
+        words, part = WordIds(path), TaskContext.get().partitionId()
         number, open_ = _numbers(0, part), []
         for batch in batches:
             doc_ids, texts = batch.column(0).to_pylist(), text_bytes(batch.column(1))
