@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -806,6 +807,31 @@ def test_pipeline(spark, empty):
             assert stage(spark, odd, SMALL).columns == odd.columns and stage(spark, odd, SMALL).count() <= 4
 
 
+def test_pipeline_sends_small_batches(spark, empty):
+    """Long texts reach Python a few MB at a time after any stage; a bound that the session has set stays."""
+    import corpus_pipeline as p
+
+    conf = "spark.sql.execution.arrow.maxBytesPerBatch"
+    long = spark.range(3000, numPartitions=1).select(F.repeat(F.lit("word "), 1000).alias("text"))
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    before = spark.conf.get(conf, None)
+    try:
+        for _, stage in p.STAGES:
+            spark.conf.unset(conf)
+            stage(spark, empty, SMALL)
+            found = [r.n for r in long.mapInArrow(sizes, "n long").collect()]
+            assert sum(found) > 15_000_000 and max(found) < 3_000_000
+        spark.conf.set(conf, "1m")
+        p.STAGES[0][1](spark, empty, SMALL)
+        assert spark.conf.get(conf) == "1m"
+    finally:
+        spark.conf.unset(conf) if before is None else spark.conf.set(conf, before)
+
+
 def test_word_ids_like_whole_texts():
     """Words cut at signs and digits, lower-cased and known by hash give the ids of the whole text."""
     rng = np.random.default_rng(8)
